@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm.mixing import mix_sources
+from tideway.llm.token_store import read_blocks, store_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +35,20 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)))::BIGINT AS taken FROM p
 """
 
+def tokenizer_path() -> str:
+    """The public word-end BPE that the token queries use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_blocks(store_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op5_token_store": op5_token_store,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
