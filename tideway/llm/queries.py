@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideway.llm.mixing import mix_sources
 from tideway.llm.token_store import read_blocks, store_tokens
+from tideway.llm.warc import archive_pages, read_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,21 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)))::BIGINT AS taken FROM p
 """
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(archive_pages(table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+
+
 def tokenizer_path() -> str:
     """The public word-end BPE that the token queries use."""
     import public_tokenizers
@@ -48,8 +64,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op4_warc_archive": op4_warc_archive,
     "op5_token_store": op5_token_store,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
+    "op4_warc_archive": OP4_SQL,
 }
