@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm.mixing import mix_sources
+from tideway.llm.quality import classify_quality
 from tideway.llm.token_store import read_blocks, store_tokens
+from tideway.llm.toxicity import classify_toxicity
 from tideway.llm.warc import archive_pages, read_archives
 
 
@@ -62,10 +64,20 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(store_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op4_warc_archive": op4_warc_archive,
     "op5_token_store": op5_token_store,
+    "op6_toxicity": op6_toxicity,
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
