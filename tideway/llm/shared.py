@@ -6,9 +6,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: The word pattern of every word-based operator: anything but ASCII white space.
@@ -156,39 +156,40 @@ def blocks(texts: list[bytes], most: int = 1 << 20):
         yield first, len(texts)
 
 
-def document_shingles(texts: list[bytes], n: int = 5):
-    """(document index, hash) arrays of the distinct n-word shingles of each text, sorted by document, then hash.
+def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """The sorted distinct n-word shingle hashes of each text.
 
     A text of fewer than ``n`` words has its whole word sequence as its one shingle; one without words has none.
     """
-    docs, hashes = [], []
+    sets = []
     for a, b in blocks(texts):
         part = texts[a:b]
         words, start, _ = word_hashes(b"\n".join(part))
-        at = np.cumsum([0] + [len(t) + 1 for t in part])
-        of = np.searchsorted(at, start, "right") - 1
-        count = np.bincount(of, minlength=len(part))
-        if len(words) >= n:
-            h = shingle_hashes(words, n)
-            whole = of[: len(h)] == of[n - 1 :]
-            h, d = h[whole], of[: len(h)][whole]
-        else:
-            h, d = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        few = np.flatnonzero((count > 0) & (count < n))
-        if len(few):
-            first = np.cumsum(count) - count
-            own = np.array([shingle_hashes(words[first[k] : first[k] + count[k]], int(count[k]))[0] for k in few], np.uint64)
-            h, d = np.concatenate((h, own)), np.concatenate((d, few))
-        order = np.lexsort((h, d))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        hashes.append(h[new])
-        docs.append(d[new] + a)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), np.concatenate(hashes)
-
-
-def field(name: str, kind: str) -> T.StructField:
-    return T.StructField(name, T.DataType.fromDDL(kind), True)
+        every = shingle_hashes(words, n)
+        bounds = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in part])).tolist()
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            own = every[first : last - n + 1] if last - first >= n else shingle_hashes(words[first:last], max(1, last - first))
+            own = np.sort(own)
+            if len(own) > 1:
+                new = np.empty(len(own), bool)
+                new[0] = True
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                own = own[new]
+            sets.append(own)
+    return sets
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = len(b) - 1
+    return int((b[at] == a).sum())
+
+
+def text_bytes(column) -> list[bytes]:
+    """Values of an Arrow string column as UTF-8 bytes, null as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
