@@ -216,11 +216,13 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     """
     frequencies = shingle_frequencies(docs, n)
     sets = materialize(_document_rows(docs, frequencies, n, percent), "sets", "none")
-    some = sets.filter("size > 0")
+    names = materialize(sets.drop("prefix"), "names")
+    some = names.filter("size > 0")
     rep = F.min(F.struct("doc_id", "th")).alias("rep")
     classes = materialize(some.groupBy("cls").agg(rep, F.min("doc_id").alias("least"), F.first("gid").alias("gid")), "classes")
-    groups = some.groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    groups = sets.filter("size > 0").groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     shared = materialize(_shared(_postings(groups, frequencies, hot), percent), "shared")
+    discard(sets)
     firsts = classes.groupBy("gid").agg(F.min("cls").alias("first"))
     stars = shared.filter("gid <> hub").select("gid", "hub").distinct()
     to_hub = classes.select("gid", "cls").join(stars, "gid").join(firsts.withColumnRenamed("gid", "hub"), "hub").select(F.col("cls").alias("a"), F.col("first").alias("b"))
@@ -233,7 +235,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialize(rooted.join(named, "root").select("cls", "component_id"), "ids")
     discard(shared, classes)
-    own = sets.select("doc_id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("key"))
+    own = names.select("doc_id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("key"))
     return own.join(ids, own["key"] == ids["cls"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
