@@ -83,7 +83,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _postings(groups: DataFrame, frequencies: np.ndarray, hot: int) -> DataFrame:
-    """A row (token, salt, size, gid) for each prefix shingle of each group; tokens of over ``hot`` uses are salted."""
+    """A row for each prefix shingle of each group; tokens of over ``hot`` uses are salted.
+
+    ``place`` is the shingle's place in the group's order; ``rank`` is less the more common the group's prefix is: what
+    near copies are copies of has no shingles of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,64 +96,75 @@ def _postings(groups: DataFrame, frequencies: np.ndarray, hot: int) -> DataFrame
                 raw = part.column("prefix").to_pylist()
                 count = np.array([len(x) // 8 for x in raw], np.int64)
                 token = np.frombuffer(b"".join(raw), np.uint64)
-                gid = np.repeat(part.column("gid").to_numpy(), count)
-                size = np.repeat(part.column("size").to_numpy(), count)
-                salts = 1 + frequencies[(token >> _DROP).astype(np.int64)].astype(np.int64) // hot
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array((gid % salts).astype(np.int32)), pa.array(salts > 1), pa.array(size), pa.array(gid)], ["token", "salt", "hot", "size", "gid"])
+                uses = frequencies[(token >> _DROP).astype(np.int64)].astype(np.int64)
+                first = np.cumsum(count) - count
+                common_ = np.add.reduceat(np.log2(1.0 + uses), first) / count
+                gid, size, rank = (np.repeat(x, count) for x in (part.column("gid").to_numpy(), part.column("size").to_numpy(), -np.round(64 * common_).astype(np.int64)))
+                place = np.arange(len(token)) - np.repeat(first, count)
+                salts = 1 + uses // hot
+                columns = [token.view(np.int64), gid % salts + np.where(salts > 1, 1, 0), rank, (place << 32) | size, gid]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k in (1, 2) else c) for k, c in enumerate(columns)], ["token", "salt", "rank", "meta", "gid"])
+
+    return groups.select("gid", "size", "prefix").mapInArrow(run, "token long, salt int, rank int, meta long, gid long")
 
-    return groups.select("gid", "size", "prefix").mapInArrow(run, "token long, salt int, hot boolean, size long, gid long")
+
+def _fits(z, i, size, place, percent: int):
+    """Whether sets of z and size shingles, whose first common one has places i and place, can be similar enough."""
+    return (z * percent <= size * 100) & (size * percent <= z * 100) & ((z - i) * (100 + percent) >= (z + size) * percent) & ((size - place) * (100 + percent) >= (z + size) * percent)
 
 
 def _shared(postings: DataFrame, percent: int) -> DataFrame:
-    """Entries of tokens that several groups have, with the hub that each is first compared with.
+    """Entries of tokens that several groups have, with the hub that each is first compared with, or itself.
 
-    The rows of a token come sorted by size and one after another; a hub serves until sizes grow beyond what can be
-    similar to it, so a task keeps two rows at a time, however long a list is.
+    The rows of a token come one after another, the hub first; a task keeps two rows at a time, however long a list is.
     """
-
-    names = ["token", "size", "gid", "hub"]
+    names = ["token", "rank", "size", "place", "gid", "hub"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met, hub = None, False, (0, 0)  # the last row, if it has one of its token before it, and (size, gid) of the hub
+        held, met, hub = None, False, (0, 0, 0)  # the last row, if it has one of its token before it, and (size, place, gid) of the hub
 
-        def out(token, size, gid, before) -> pa.RecordBatch:
+        def out(token, rank, meta, gid, before) -> pa.RecordBatch:
             nonlocal hub
-            hubs = []
-            for z, g, old in zip(size.tolist(), gid.tolist(), before.tolist(), strict=True):
-                if not old or z * percent > hub[0] * 100:
-                    hub = (z, g)
-                hubs.append(hub[1])
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(size), pa.array(gid), pa.array(hubs, pa.int64())], names)
+            size, place = meta & 0xFFFFFFFF, meta >> 32
+            new = np.flatnonzero(~before)
+            at = np.searchsorted(new, np.arange(len(token)), "right") - 1  # the run of each row; -1 goes on from the batch before
+            of = [np.where(at < 0, h, c[new[np.maximum(at, 0)]] if len(new) else h) for h, c in zip(hub, (size, place, gid), strict=True)]
+            hub = tuple(int(c[-1]) for c in of)
+            hubs = np.where(_fits(size, place, of[0], of[1], percent), of[2], gid)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, rank, size, place, gid, hubs)], names)
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held:
                 columns = [np.concatenate((h, c)) for h, c in zip(held, columns, strict=True)]
-            token, salt, hot, size, gid = columns
+            token, salt, rank, meta, gid = columns
             if not len(token):
                 continue
             same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
             before = np.concatenate(([met], same))
-            rows = np.flatnonzero(before[:-1] | same | hot[:-1])
+            rows = np.flatnonzero(before[:-1] | same | (salt[:-1] > 0))
             if len(rows):
-                yield out(token[rows], size[rows], gid[rows], before[rows])
+                yield out(token[rows], rank[rows], meta[rows], gid[rows], before[rows])
             held, met = [c[-1:] for c in columns], bool(before[-1])  # it waits for what follows
-        if held and (met or held[2][0]):
-            yield out(held[0], held[3], held[4], np.array([met]))
+        if held and (met or held[1][0] > 0):
+            yield out(held[0], held[2], held[3], held[4], np.array([met]))
 
     n = partitions(postings.sparkSession)
-    placed = postings.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "size", "gid")
-    return placed.mapInArrow(run, "token long, size long, gid long, hub long")
+    placed = postings.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "rank", "gid")
+    return placed.mapInArrow(run, "token long, rank int, size long, place long, gid long, hub long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the class pairs (a, b) that link: 100 * intersection >= percent * union, counted on both whole texts."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    keys = needed.select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
+def _class_texts(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(cls, text) of one document of each class that has a rival: the whole texts are shuffled this once."""
+    rivals = shared.select("gid").union(classes.groupBy("gid").count().filter("count > 1").select("gid")).distinct()
+    keys = classes.join(rivals, "gid").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
     rows = _texts(docs)
-    found = rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["th"] == keys["_th"])).select("cls", "text").dropDuplicates(["cls"])
-    texts = materialize(found, "texts")
+    found = rows.join(keys, rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["th"] == keys["_th"])).select("cls", "text")
+    return materialize(found.dropDuplicates(["cls"]), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the class pairs (a, b) that link: 100 * intersection >= percent * union, counted on both whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict = OrderedDict()  # the sets met last: a hub's rows come one after another
@@ -175,33 +190,50 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    linked = materialize(both.mapInArrow(run, "a binary, b binary"), "links")
-    discard(pairs, texts)
-    return linked
+    return materialize(both.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def _crossing(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
-    """Class pairs of one index list, of fitting sizes and different components, that no hub has settled.
+def _labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    return classes.join(roots, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
 
-    Lists within one component go first. The rest are cut into blocks of about ``block`` groups, and a row of one block
-    meets one other block at a time, so that no task holds a whole list.
-    """
-    labelled = classes.join(roots, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("comp"))
+
+def _open_lists(shared: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Entries of the lists that still hold several components, with the least and greatest component of each group."""
     spans = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    entries = shared.select("token", "size", "gid").join(spans, "gid")
+    entries = shared.select("token", "rank", "size", "place", "gid").join(spans, "gid")
     lists = entries.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("n")).filter("l <> h AND n > 1")
-    open_ = entries.join(lists.select("token", F.ceil(F.col("n") / block).cast("int").alias("cuts")), "token")
-    cut = materialize(open_.withColumn("cut", F.pmod(F.xxhash64("gid"), F.col("cuts")).cast("int")), "open")
+    return materialize(entries.join(lists.select("token", "n"), "token"), "open")
+
+
+def _between_components(lists: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Class pairs of each list's most common group and the most common group of each other component of the list."""
+    best = lists.groupBy("token", "low").agg(F.min(F.struct("rank", "gid", "size", "place")).alias("e"))
+    top = best.groupBy("token").agg(F.min("e").alias("h"))
+    pairs = best.join(top, "token").filter((F.col("e.gid") != F.col("h.gid")) & _fits(F.col("e.size"), F.col("e.place"), F.col("h.size"), F.col("h.place"), percent))
+    return _first_classes(pairs.select(F.col("e.gid").alias("gid"), F.col("h.gid").alias("hub")).distinct(), firsts)
+
+
+def _first_classes(stars: DataFrame, firsts: DataFrame) -> DataFrame:
+    one, other = firsts.select("gid", F.col("first").alias("a")), firsts.select(F.col("gid").alias("hub"), F.col("first").alias("b"))
+    return stars.join(one, "gid").join(other, "hub").select("a", "b")
+
+
+def _crossing(lists: DataFrame, labelled: DataFrame, percent: int, block: int) -> DataFrame:
+    """Class pairs of one list, of fitting sizes and places and different components, that no hub has settled.
+
+    Lists are cut into blocks of about ``block`` groups, and a row of one block meets one other block at a time, so that
+    no task holds a whole list.
+    """
+    cut = lists.withColumn("cuts", F.ceil(F.col("n") / block).cast("int")).withColumn("cut", F.pmod(F.xxhash64("gid"), F.col("cuts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    left = cut.select("token", "cut", every.alias("other"), F.col("gid").alias("g"), F.col("size").alias("z"), F.col("low").alias("l"), F.col("high").alias("h"))
-    right = cut.select("token", F.col("cut").alias("other"), every.alias("cut"), "gid", "size", "low", "high")
-    fits = (F.col("g") < F.col("gid")) & (F.col("z") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("z") * 100)
+    left = cut.select("token", "cut", every.alias("other"), F.col("gid").alias("g"), F.col("size").alias("z"), F.col("place").alias("i"), F.col("low").alias("l"), F.col("high").alias("h"))
+    right = cut.select("token", F.col("cut").alias("other"), every.alias("cut"), "gid", "size", "place", "low", "high")
     apart = ~((F.col("l") == F.col("h")) & (F.col("low") == F.col("high")) & (F.col("l") == F.col("low")))
-    groups = left.join(right, ["token", "cut", "other"]).filter(fits & apart).select("g", "gid").distinct()
+    groups = left.join(right, ["token", "cut", "other"]).filter((F.col("g") < F.col("gid")) & _fits(F.col("z"), F.col("i"), F.col("size"), F.col("place"), percent) & apart).select("g", "gid").distinct()
     one = labelled.select(F.col("gid").alias("g"), F.col("cls").alias("x"), F.col("comp").alias("cx"))
     two = labelled.select("gid", F.col("cls").alias("y"), F.col("comp").alias("cy"))
     between = groups.join(one, "g").join(two, "gid").filter("cx <> cy").select("x", "y")
-    mixed = spans.filter("low <> high").select("gid")
+    mixed = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gid")
     inside = two.join(mixed, "gid").join(one, F.col("g") == F.col("gid")).filter("x < y AND cx <> cy").select("x", "y")
     return between.union(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -223,18 +255,22 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     groups = sets.filter("size > 0").groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     shared = materialize(_shared(_postings(groups, frequencies, hot), percent), "shared")
     discard(sets)
+    texts = _class_texts(docs, classes, shared)
     firsts = classes.groupBy("gid").agg(F.min("cls").alias("first"))
-    stars = shared.filter("gid <> hub").select("gid", "hub").distinct()
-    to_hub = classes.select("gid", "cls").join(stars, "gid").join(firsts.withColumnRenamed("gid", "hub"), "hub").select(F.col("cls").alias("a"), F.col("first").alias("b"))
+    to_hub = _first_classes(shared.filter("gid <> hub").select("gid", "hub").distinct(), firsts)
     in_group = classes.select("gid", "cls").join(firsts, "gid").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
-    links = _verified(to_hub.union(in_group).distinct(), classes, docs, n, percent)
-    roots = connected_components(links)
-    more = _verified(_crossing(shared, classes, roots, percent, block), classes, docs, n, percent)
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = connected_components(_verified(to_hub.union(in_group).distinct(), texts, n, percent))
+    joined = lambda more: connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    lists = _open_lists(shared, _labelled(classes, roots))
+    discard(shared)
+    roots = joined(_verified(_between_components(lists, firsts, percent), texts, n, percent))
+    labelled = materialize(_labelled(classes, roots), "labelled")
+    rest = _open_lists(lists, labelled)
+    roots = joined(_verified(_crossing(rest, labelled, percent, block), texts, n, percent))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialize(rooted.join(named, "root").select("cls", "component_id"), "ids")
-    discard(shared, classes)
+    discard(classes, texts, lists, rest, labelled)
     own = names.select("doc_id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("key"))
     return own.join(ids, own["key"] == ids["cls"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
