@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideway.llm.decontaminate import find_leaks
 from tideway.llm.jaccard_join import link_documents
+from tideway.llm.language import document_evidence, fit_languages, identify, page_evidence
+from tideway.llm.media import read_payloads, store_payloads
 from tideway.llm.mixing import mix_sources
 from tideway.llm.quality import classify_quality
 from tideway.llm.token_store import read_blocks, store_tokens
@@ -89,16 +92,49 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
 """
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM t),
+sh AS (SELECT DISTINCT k, id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i+4], ' ') END AS s
+       FROM (SELECT k, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT id, count(*) AS n FROM sh WHERE k = 'b' GROUP BY id),
+p AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM sh d JOIN sh b ON d.k = 'd' AND b.k = 'b' AND d.s = b.s GROUP BY ALL)
+SELECT doc_id, item_id, n::BIGINT AS n_item, c::BIGINT AS n_shared, c::DOUBLE / n AS containment FROM p JOIN n ON n.id = item_id WHERE 100 * c >= 75 * n
+"""
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages, by all evidence, and of all documents, whose source stands for the host."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs)
+    pages = identify(page_evidence(table(spark, sf_dir, "pages")), model)
+    texts = identify(document_evidence(docs), model)
+    none = F.lit(None).cast("long")
+    return texts.select(F.col("id").alias("doc_id"), none.alias("page_id"), "language", "confidence", "text_language").union(pages.select(none.alias("doc_id"), F.col("id").alias("page_id"), "language", "confidence", "text_language"))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_payloads(store_payloads(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_source_mix": op2_source_mix,
+    "op3_media": op3_media,
     "op4_warc_archive": op4_warc_archive,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
     "op4_warc_archive": OP4_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
