@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tideway.plans import documents, traffic
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**traffic.QUERIES, **documents.QUERIES}
+ORACLES = {**traffic.ORACLES, **documents.ORACLES}
