@@ -13,6 +13,7 @@ from tideway.llm.language import document_evidence, fit_languages, identify, pag
 from tideway.llm.media import read_payloads, store_payloads
 from tideway.llm.mixing import mix_sources
 from tideway.llm.quality import classify_quality
+from tideway.llm.repeats import remove_repeats
 from tideway.llm.token_store import read_blocks, store_tokens
 from tideway.llm.toxicity import classify_toxicity
 from tideway.llm.warc import archive_pages, read_archives
@@ -121,6 +122,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_payloads(store_payloads(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_source_mix": op2_source_mix,
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_archive": op4_warc_archive,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
