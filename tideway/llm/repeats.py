@@ -74,11 +74,19 @@ def _rows(arrays: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)) for a in arrays], names)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, th, text: th, a hash of the text, is 0 where ids are unique and tell rows apart by themselves."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, th, text) and whether ids are unique; th, a hash of the text, is then 0, as ids tell rows apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    once = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count() == 0
-    return rows.withColumn("th", F.lit(0).cast("long") if once else F.xxhash64("text"))
+    once = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count() == 0  # a number
+    return rows.withColumn("th", F.lit(0).cast("long") if once else F.xxhash64("text")), once
+
+
+def _with_places(keyed: DataFrame, once: bool, places: DataFrame, how: str) -> DataFrame:
+    """Texts with ``ats``, the places of a document in one array: no longer than the document."""
+    own = places.groupBy(*KEY).agg(F.collect_list("at").alias("ats")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    if once:
+        return keyed.join(own, keyed["doc_id"] == own["_id"], how)
+    return keyed.join(own, keyed["doc_id"].eqNullSafe(own["_id"]) & (keyed["th"] == own["_th"]), how)
 
 
 def _with_id(batch: pa.RecordBatch, rows: list, arrays: list, names: list[str]) -> pa.RecordBatch:
@@ -174,10 +182,10 @@ def _name_repeats(anchors: DataFrame) -> DataFrame:
     return _sorted(anchors, ["name", "context"], ["name"]).mapInArrow(run, "doc_id long, th long, at long, open boolean")
 
 
-def _open_strings(keyed: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+def _open_strings(keyed: DataFrame, once: bool, open_: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, name, string, at) of every string that an open anchor owns."""
-    own = open_.groupBy(*KEY).agg(F.collect_list("at").alias("ats")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    rows = keyed.join(own, keyed["doc_id"].eqNullSafe(own["_id"]) & (keyed["th"] == own["_th"])).dropDuplicates(KEY).select("doc_id", "th", "text", "ats")
+    rows = _with_places(keyed, once, open_, "inner").select("doc_id", "th", "text", "ats")
+    rows = rows if once else rows.dropDuplicates(KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -235,12 +243,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     """
     if not K < length <= K + 63:
         raise ValueError(f"length must be {K + 1} to {K + 63}")
-    keyed = _keyed(docs)
+    keyed, once = _keyed(docs)
     named = materialize(_name_repeats(_anchor_rows(keyed, length)), "named")
-    merged = materialize(_string_repeats(_open_strings(keyed, named.filter("open"), length)), "merged")
+    merged = materialize(_string_repeats(_open_strings(keyed, once, named.filter("open"), length)), "merged")
     spans = named.filter("NOT open").select(*KEY, "at").union(merged)
-    own = spans.groupBy(*KEY).agg(F.collect_list("at").alias("ats")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    rows = keyed.join(own, keyed["doc_id"].eqNullSafe(own["_id"]) & (keyed["th"] == own["_th"]), "left").select("doc_id", "text", "ats")
+    rows = _with_places(keyed, once, spans, "left").select("doc_id", "text", "ats")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

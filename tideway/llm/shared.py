@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -33,8 +34,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tideway/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # what the write shuffled is not read again: Spark frees its files once the driver lets go of it
+    # what the write shuffled is not read again: Spark frees its files once the driver has let go of the finished query
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
     out = spark.read.schema(df.schema).parquet(path)
     out.tideway_path = path
     return out
