@@ -139,4 +139,4 @@ def identify(evidence: DataFrame, model: LanguageModel, most: int = 200, temper:
     names = F.array(*[F.lit(x) for x in model.languages])
     discard(thin)
     weight = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return joined.select("id", F.element_at(names, F.array_position("post", top).cast("int")).alias("language"), (1 / weight).alias("confidence"), F.element_at(names, F.col("best") + 1).alias("text_language"))
+    return joined.select("id", F.element_at(names, F.array_position("post", top).cast("int")).alias("language"), (1 / weight).alias("confidence"), F.try_element_at(names, F.col("best") + 1).alias("text_language"))
