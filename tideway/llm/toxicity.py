@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,7 +94,7 @@ def train(sample: list[tuple[str, int]], most: int = 30_000, least: int = 5, rou
         return Model(empty, 20.0 * (ones - 0.5) if len(labels) else -5.0)
     bags = []
     for t, _ in sample:
-        bags.append([w for w in (x.lower().strip(EDGES) for x in t.split()) if w])
+        bags.append([sys.intern(w) for w in (x.lower().strip(EDGES) for x in t.split()) if w])
     pairs = []  # (text, its words, its words with other terms)
     terms = list(_KIND)
     for k, words in enumerate(bags):
@@ -103,26 +104,25 @@ def train(sample: list[tuple[str, int]], most: int = 30_000, least: int = 5, rou
             own = words + [str(rng.choice(terms))]
             pairs.append((k, own, _swapped(own, rng)))
     features = lambda words: {(h, w[:h] if h else w) for w in set(words) for h in HEADS if not h or len(w) > h}
-    sets = [features(b) for b in bags]
     count: dict = {}
-    for s, y in zip(sets, labels, strict=True):
-        for f in s:
+    for b, y in zip(bags, labels, strict=True):  # the features of one text at a time: all of them would fill the driver
+        for f in features(b):
             c = count.setdefault(f, [0, 0])
             c[int(y)] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     known = {f: c for f, c in count.items() if sum(c) >= least}
-    gain = {f: abs(c[1] / total[1] - c[0] / total[0]) / np.sqrt((c[0] + c[1] + 1) / len(sets)) for f, c in known.items()}
+    gain = {f: abs(c[1] / total[1] - c[0] / total[0]) / np.sqrt((c[0] + c[1] + 1) / len(bags)) for f, c in known.items()}
     chosen = sorted(sorted(gain, key=lambda f: (-gain[f], f))[:most] + [(0, t) for t in terms if (0, t) not in gain])
     place = {f: k for k, f in enumerate(chosen)}
 
-    def rows(all_sets: list[set]) -> tuple[np.ndarray, np.ndarray]:
-        hits = [[place[f] for f in s if f in place] for s in all_sets]
-        return np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.array([x for h in hits for x in h], np.int64)
+    def rows(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        hits = [np.array([place[f] for f in features(b) if f in place], np.int32) for b in texts]
+        return np.repeat(np.arange(len(hits), dtype=np.int32), [len(h) for h in hits]), np.concatenate([*hits, np.zeros(0, np.int32)])
 
-    row, col = rows(sets)
-    a_row, a_col = rows([features(p[1]) for p in pairs])
-    b_row, b_col = rows([features(p[2]) for p in pairs])
-    w, offset, n = np.zeros(len(chosen)), 0.0, len(sets)
+    row, col = rows(bags)
+    a_row, a_col = rows([p[1] for p in pairs])
+    b_row, b_col = rows([p[2] for p in pairs])
+    w, offset, n = np.zeros(len(chosen)), 0.0, len(bags)
     weight = np.where(labels == 1, 0.5 / ones, 0.5 / (1 - ones)) / n
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
