@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideway.llm import decontaminate, jaccard_join, language, media, mixing, queries, quality, repeats, token_store, toxicity, warc
+from tideway.llm import decontaminate, jaccard_join, language, media, mixing, queries, quality, repeats, shared, token_store, toxicity, warc
 from tideway.llm.huffman import Decoder, Encoder, code_lengths
 from tideway.llm.queries import tokenizer_path
 
@@ -232,6 +232,15 @@ def test_language_priors(spark):
     assert tuple(page.select(F.trim(F.regexp_replace(language.visible_text(F.col("html")), r"\s+", " ")), language.declared_language(F.col("html")), language.host_of(F.col("url"))).first()) == ("a & b", "fr", "www.x.com")
 
 
+def test_least_hashed(spark):
+    """As a plain sort, also where all hashes of a group tie and where a group is small or absent."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 < 8, "a").when(F.col("id") % 10 == 8, "ties").otherwise(F.when(F.col("id") < 50, "few")).alias("g"), F.when(F.col("id") % 10 != 8, F.xxhash64("id")).otherwise((1 << 63) - 5).alias("k"), F.col("id").cast("string").alias("t"))
+    every = rows.filter("g IS NOT NULL").collect()
+    want = {g: [t for _, t in sorted((r["k"], r["t"]) for r in every if r["g"] == g)[:40]] for g in ("a", "ties", "few")}
+    assert shared.least_hashed(rows, dict(Counter(r["g"] for r in every)), 40) == want
+    assert shared.least_hashed(rows, {"none": 0}, 40) == {"none": []} and shared.least_hashed(rows, {}, 40) == {}
+
+
 def test_empty_tables(spark, none):
     assert jaccard_join.link_documents(none).count() == 0
     assert repeats.remove_repeats(none).count() == 0

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.shared import discard, materialize, text_bytes, text_or_empty
+from tideway.llm.shared import discard, least_hashed, materialize, text_bytes, text_or_empty
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 15
@@ -74,11 +74,10 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, per_language: int = 400, chars: int = 2000, languages: int = 200) -> LanguageModel:
     """Learn from the first ``chars`` characters of at most ``per_language`` labelled texts of each of at most ``languages`` languages, those of least hash."""
-    names = [r["lang"] for r in docs.filter("lang IS NOT NULL AND length(text) > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    sample = []
-    for name in names:
-        own = docs.filter((F.col("lang") == name) & (F.length("text") > 0)).select(F.xxhash64("doc_id").alias("k"), F.substring("text", 1, chars).alias("t"))
-        sample += [(r["t"], name) for r in own.orderBy("k", "t").limit(per_language).collect()]
+    rows = docs.filter("lang IS NOT NULL AND length(text) > 0")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    found = least_hashed(rows.select(F.col("lang").alias("g"), F.xxhash64("doc_id").alias("k"), F.substring("text", 1, chars).alias("t")), counts, per_language)
+    sample = [(text, name) for name in counts for text in found[name]]
     return LanguageModel(sample)
 
 

@@ -70,6 +70,30 @@ def ranged(df: DataFrame, order: list, name: str, codec: str = "zstd") -> DataFr
     return materialize(df.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()), name, codec)
 
 
+def least_hashed(rows: DataFrame, counts: dict[str, int], many: int) -> dict[str, list[str]]:
+    """For each group of ``counts`` (group: its number of rows), column t of its ``many`` first rows (g, k, t) by (k, t).
+
+    k is a uniform hash, so rows above the hash that twice as many lie below in the mean are dropped where they are read:
+    what is shuffled and collected does not grow with the table or its partitions. A group whose hashes tie, as those of
+    null ids do, may have too few rows below; it is read again in full, and each task passes on its ``many`` first.
+    """
+
+    def first(shares: dict[str, float]) -> dict[str, list[str]]:
+        ends = [(g, (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)) for g, share in shares.items()]
+        near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ends, "g string, last long")), "g").filter("k <= last")
+        at = F.row_number().over(Window.partitionBy("g").orderBy("k", "t"))
+        found: dict[str, list[str]] = {g: [] for g in shares}
+        for r in near.withColumn("at", at).filter(F.col("at") <= many).select("g", "at", "t").orderBy("g", "at").collect():  # many a group
+            found[r["g"]].append(r["t"])
+        return found
+
+    if not counts:
+        return {}
+    found = first({g: 2 * many / max(1, n) for g, n in counts.items()})
+    short = {g: 1.0 for g, n in counts.items() if len(found[g]) < min(many, n)}
+    return {**found, **first(short)} if short else found
+
+
 def prefix_sums(table: DataFrame, group: list[str], order: list, value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group`` over a table of ``ranged``.
 

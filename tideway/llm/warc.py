@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.shared import discard, materialize
+from tideway.llm.shared import discard, least_hashed, materialize
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -51,8 +51,8 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def train_dictionary(pages: DataFrame, samples: int = 300, sample_bytes: int = 8192, size: int = 16384) -> bytes:
     """A dictionary from at most ``samples`` pages of least hash, at most ``sample_bytes`` of each; b"" if there are too few."""
-    found = pages.filter("html IS NOT NULL").select(F.xxhash64("page_id").alias("k"), F.substring("html", 1, sample_bytes).alias("html")).orderBy("k", "html").limit(samples).collect()
-    texts = [r["html"].encode()[:sample_bytes] for r in found if r["html"]]
+    rows = pages.filter("html IS NOT NULL").select(F.lit("all").alias("g"), F.xxhash64("page_id").alias("k"), F.substring("html", 1, sample_bytes).alias("t"))
+    texts = [t.encode()[:sample_bytes] for t in least_hashed(rows, {"all": rows.count()}, samples)["all"] if t]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 10 else b""
     except zstandard.ZstdError:
