@@ -194,6 +194,18 @@ def test_classifiers_hold_out_and_edges(spark, docs, none):
         assert f(none, labels).count() == 0 and f(docs, labels.limit(0)).count() == len(corpus())
 
 
+def test_quality_is_the_same_alone_and_in_any_batch():
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng.normal(0, 1, (256, quality.EMBED)).astype(np.float32), rng.normal(0, 1, (quality.WIDTH * quality.EMBED, quality.FILTERS)).astype(np.float32), np.zeros(quality.FILTERS, np.float32), rng.normal(0, 0.05, quality.FILTERS).astype(np.float32), 0.0)
+    net.embed[0] = 0
+    texts = [b"", b"same" * 64, b"\xff\xfe\xfd\xfcother", b"same" * 64, b"", b"z" * 700, b"", b"same" * 64, b"q" * 512]
+    alone = [float(quality.score_texts([t], net)[0]) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts))), rng.permutation(len(texts))):
+        order = list(order)
+        got = quality.score_texts([texts[k] for k in order], net, 2)
+        assert np.allclose(got, [alone[k] for k in order], rtol=0, atol=1e-5)
+
+
 def test_toxicity_is_counterfactual():
     rng = random.Random(2)
     filler = [f"w{k}" for k in range(200)]

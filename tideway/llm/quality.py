@@ -30,28 +30,33 @@ class Network:
     offset: float
 
 
-def _chunks(data: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """(filter values, windows) of bytes whose length is a multiple of STEP plus WIDTH - STRIDE."""
-    e = net.embed[data]
-    view = np.lib.stride_tricks.sliding_window_view(e.reshape(-1), WIDTH * EMBED)[:: STRIDE * EMBED]
-    windows = np.ascontiguousarray(view)
-    return windows @ net.filters, windows
+def _windows(chunks: np.ndarray, net: Network) -> np.ndarray:
+    """chunk x place x embedded bytes that a filter sees there, of rows of bytes."""
+    e = net.embed[chunks].reshape(len(chunks), -1)
+    return np.lib.stride_tricks.sliding_window_view(e, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
 
 
-def _pooled(data: np.ndarray, net: Network) -> np.ndarray:
+def _pooled(chunks: np.ndarray, net: Network) -> np.ndarray:
     """Max-pooled, rectified filter values of each chunk."""
-    values, _ = _chunks(data, net)
-    return np.maximum(values.reshape(-1, STEP // STRIDE, FILTERS).max(1) + net.bias, 0)
+    values = _windows(chunks, net).reshape(-1, WIDTH * EMBED) @ net.filters
+    return np.maximum(values.reshape(len(chunks), -1, FILTERS).max(1) + net.bias, 0)
 
 
 def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, chunks of each text): each text starts a chunk and is padded by zeros to whole chunks, one at least."""
+    """(chunk x bytes, chunks of each text): each text starts a chunk, has one at least, and is padded by zeros.
+
+    A chunk ends with the bytes that open the next chunk of its text; after a text's last chunk these are zeros.
+    """
     n = np.array([max(1, -(-len(t) // STEP)) for t in texts], np.int64)
-    out = np.zeros(int(n.sum()) * STEP + WIDTH - STRIDE, np.uint8)
+    flat = np.zeros(int(n.sum()) * STEP, np.uint8)
     at = 0
     for t, k in zip(texts, n, strict=True):
-        out[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
         at += int(k) * STEP
+    out = np.zeros((int(n.sum()), STEP + WIDTH - STRIDE), np.uint8)
+    out[:, :STEP] = flat.reshape(-1, STEP)
+    out[:-1, STEP:] = out[1:, : WIDTH - STRIDE]
+    out[np.cumsum(n) - 1, STEP:] = 0
     return out, n
 
 
@@ -59,11 +64,10 @@ def score_texts(texts: list[bytes], net: Network, piece: int = 2048) -> np.ndarr
     """Probability of label 1 of each whole text: the mean of its chunks' logits, weighted by their bytes, squashed."""
     scores = np.zeros(len(texts))
     for a, b in blocks(texts):
-        data, n = _padded(texts[a:b])
-        logits = np.empty(int(n.sum()), np.float64)
+        chunks, n = _padded(texts[a:b])
+        logits = np.empty(len(chunks), np.float64)
         for k in range(0, len(logits), piece):
-            last = min(len(logits), k + piece)
-            logits[k:last] = _pooled(data[k * STEP : last * STEP + WIDTH - STRIDE], net) @ net.weights + net.offset
+            logits[k : k + piece] = _pooled(chunks[k : k + piece], net) @ net.weights + net.offset
         first = np.cumsum(n) - n
         weight = np.full(len(logits), float(STEP))
         size = np.array([len(t) for t in texts[a:b]])
@@ -97,7 +101,6 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, rate: float = 0.02, se
     y = labels[of]
     weight = (np.where(y == 1, 0.6 / ones, 0.4 / (1 - ones)) / n[of]).astype(np.float32)
     places, chunks = STEP // STRIDE, len(of)
-    span = STEP + WIDTH - STRIDE
     params = [net.embed, net.filters, net.bias, net.weights, np.zeros(1, np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step, size = 0, 256
@@ -106,9 +109,8 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, rate: float = 0.02, se
         order = rng.permutation(chunks)
         for k in range(0, chunks, size):
             pick = order[k : k + size]
-            bytes_ = data[(pick[:, None] * STEP + np.arange(span)).reshape(-1)].reshape(len(pick), span)
-            e = net.embed[bytes_]
-            view = np.lib.stride_tricks.sliding_window_view(e.reshape(len(pick), -1), WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED][:, :places]
+            bytes_ = data[pick]
+            view = _windows(bytes_, net)
             values = view.reshape(-1, WIDTH * EMBED) @ net.filters
             values = values.reshape(len(pick), places, FILTERS)
             best = values.argmax(1)
