@@ -151,6 +151,84 @@ def test_sniffing_carves_and_corrects(spark):
     assert got == [(0, "image/png", 0, True), (1, "image/gif", at, True), (1, "image/png", 4, False), (2, "audio/wav", 0, False), (3, "", 0, None), (4, "", 0, None), (5, "", 0, None)]
 
 
+def crc(data, poly, width):
+    c = 0
+    for bit in "".join(f"{x:08b}" for x in data):
+        c = (c << 1) & ((1 << width) - 1) ^ (poly if (c >> (width - 1)) ^ int(bit) else 0)
+    return c.to_bytes(width // 8, "big")
+
+
+def flac(*frames, total=None):
+    """A stereo 8-bit stream of frames (channel code, samples, (bits of a subframe, ...)), block sizes in 16 bits."""
+    n = sum(f[1] for f in frames) if total is None else total
+    out = b"fLaC\x80\0\0\x22" + bytes(10) + (8000 << 44 | 1 << 41 | 7 << 36 | n).to_bytes(8, "big") + bytes(16)
+    for k, (channels, samples, subframes) in enumerate(frames):
+        head = b"\xff\xf8" + bytes([0x70, channels << 4]) + chr(200 * k).encode() + (samples - 1).to_bytes(2, "big")
+        bits = "".join(subframes)
+        frame = head + crc(head, 0x07, 8) + int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+        out += frame + crc(frame, 0x8005, 16)
+    return out
+
+
+def pdf(words, *updates, table=True):
+    out, before = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n" + words + b"\n", None
+    for more in (b"", *updates):
+        out += more
+        at = len(out) if table else 0
+        out += b"xref\n0 1\n0000000000 65535 f \ntrailer\n<</Size 1" + (b"" if before is None else b"/Prev %d" % before) + b">>\nstartxref\n%d\n%%%%EOF" % at
+        before = at
+    return out
+
+
+def archive(files, note=b""):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+        z.comment = note
+    return out.getvalue()
+
+
+def test_sniffing_carves_two_of_each_type():
+    png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", bytes(13)), (b"IDAT", b"x"), (b"IEND", b"")))
+    box = lambda kind, data: (8 + len(data)).to_bytes(4, "big") + kind + data
+    riff = lambda form, data: b"RIFF" + (4 + len(data)).to_bytes(4, "little") + form + data
+    rice = "0000" + "0000" + "0010" + "".join("0" * q + "1" + "01" for q in (0, 3, 1, 0, 2, 5))  # six residuals, two bits each besides the quotient
+    fixed, lpc = "0" + f"{10:06b}" + "0" + "1" * 16 + rice[2:], "0" + f"{33:06b}" + "0" + "0" * 16 + "0011" + "00001" + "01010110" + rice[2:]
+    parts = "0" + f"{8:06b}" + "0" + "01" + "0001" + "11111" + "00011" + "101" * 4 + "00001" + "".join("01" + "1" for _ in range(4))  # an escaped part, and one of 5-bit parameters
+    wasted = "0" + "000001" + "1" + "01" + "110011" * 8
+    constant = "0" + "000000" + "0" + "10101010"
+    media_ = {
+        "image/png": [png, png],
+        "image/gif": [b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x2c" + bytes(9) + b"\x02\x01\x00\x00\x3b"] * 2,
+        "image/jpeg": [b"\xff\xd8\xff\xc0\0\x04ab\xff\xda\0\x03c" + data + b"\xff\xd9" for data in (b"12", b"3\xff\0\xff\xd04")],
+        "audio/wav": [media.wav(b"ab"), media.wav(b"cdef")],
+        "video/avi": [riff(b"AVI ", b"idx1\x02\0\0\0ab")] * 2,
+        "image/webp": [riff(b"WEBP", b"VP8 \x02\0\0\0ab")] * 2,
+        "audio/ogg": [b"OggS\0\x02" + bytes(20) + b"\x01\x03abc" + b"OggS\0\x04" + bytes(20) + b"\x01\x02de"] * 2,
+        "audio/flac": [flac((1, 8, (fixed, lpc)), (8, 8, (wasted, parts + "0")), (1, 2, (constant, constant))), flac((9, 8, ("0" + fixed[1:8] + "1" * 18 + fixed[24:], wasted)), (1, 8, (parts, constant)), total=0)],
+        "video/mp4": [box(b"ftyp", b"isom") + box(b"moov", b"abc") + box(b"mdat", b"de")] * 2,
+        "application/pdf": [pdf(b"words"), pdf(b"other", b"2 0 obj\n<<>>\nendobj\n", b"3 0 obj\n<<>>\nendobj\n")],
+        "application/zip": [archive({"a": b"aa", "b": b"b"}, b"note"), archive({"c": b"cc" * 50})],
+    }
+    for kind, (one, two) in media_.items():
+        for blob in (one + two, b"x" + two + b"between" + png + b"%%EOF" + one + png + b"end", two + two + one):
+            whole = [m for m in re.split(b"(" + b"|".join(map(re.escape, sorted({one, two, png}, key=len, reverse=True))) + b")", blob) if m in (one, two, png)]
+            assert [(k, blob[a:e]) for k, a, e in media.sniff(blob)] == [("image/png" if m == png else kind, m) for m in whole], kind
+        assert kind in ("application/pdf", "video/mp4") or media.sniff(one[:-1]) == [], kind
+
+
+def test_sniffing_keeps_what_lies_inside():
+    inner, plain_ = archive({"a": b"a"}), pdf(b"in")
+    for whole, kind in ((archive({"x": inner, "y": inner}), "application/zip"), (pdf(plain_ + b" and " + plain_), "application/pdf")):
+        assert media.sniff(whole + whole) == [(kind, 0, len(whole)), (kind, len(whole), 2 * len(whole))]
+    broken = pdf(b"no table in its place", table=False)
+    assert media.sniff(broken + b"-" + broken) == [("application/pdf", 0, len(broken)), ("application/pdf", len(broken) + 1, 2 * len(broken) + 1)]
+
+
 def test_tokens_round_trip(docs):
     from tokenizers import Tokenizer
 

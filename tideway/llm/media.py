@@ -7,6 +7,7 @@ keep text payloads losslessly as 8-bit PCM samples in WAV files inside a column
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -71,12 +72,14 @@ def _gif(b: memoryview, at: int) -> int:
 
 def _jpeg(b: memoryview, at: int) -> int:
     end, frame = at + 2, False
-    while end + 4 <= len(b):
+    while end + 2 <= len(b):
         if b[end] != 0xFF:
             return 0
         kind = b[end + 1]
         if kind == 0xD9:
             return end + 2 if frame else 0
+        if end + 4 > len(b):
+            return 0
         size = struct.unpack_from(">H", b, end + 2)[0]
         if size < 2:
             return 0
@@ -122,16 +125,121 @@ def _ogg(b: memoryview, at: int) -> int:
     return 0
 
 
+def _crc_table(poly: int, width: int) -> list[int]:
+    table = []
+    for c in range(256):
+        c <<= width - 8
+        for _ in range(8):
+            c = c << 1 ^ (poly if c >> (width - 1) else 0)
+            c &= (1 << width) - 1
+        table.append(c)
+    return table
+
+
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_subframes(bits: str, pos: int, block: int, depths: list[int]) -> int:
+    """Bit after the subframes that start at bit ``pos``; ValueError if they break the format or go beyond ``bits``."""
+    for depth in depths:
+        if pos + 8 > len(bits) or bits[pos] != "0":
+            raise ValueError("subframe")
+        kind = int(bits[pos + 1 : pos + 7], 2)
+        pos += 8
+        if bits[pos - 1] == "1":  # wasted bits
+            one = bits.index("1", pos)
+            depth -= one - pos + 1
+            pos = one + 1
+        if depth < 1:
+            raise ValueError("wasted bits")
+        if kind == 0:
+            pos += depth
+        elif kind == 1:
+            pos += depth * block
+        elif 8 <= kind <= 12 or kind >= 32:
+            order = kind - 8 if kind <= 12 else kind - 31
+            pos += order * depth
+            if kind >= 32:
+                pos += 9 + order * (int(bits[pos : pos + 4], 2) + 1)
+            method, parts = int(bits[pos : pos + 2], 2), 1 << int(bits[pos + 2 : pos + 6], 2)
+            if method > 1 or block % parts or block // parts < order:
+                raise ValueError("residual")
+            pos, wide = pos + 6, 4 + method
+            for k in range(parts):
+                count = block // parts - (0 if k else order)
+                rice = int(bits[pos : pos + wide], 2)
+                pos += wide
+                if rice == (1 << wide) - 1:
+                    pos += 5 + count * int(bits[pos : pos + 5], 2)
+                    continue
+                for _ in range(count):
+                    pos = bits.index("1", pos) + 1 + rice
+        else:
+            raise ValueError("reserved")
+        if pos > len(bits):
+            raise ValueError("subframe")
+    return pos
+
+
+def _flac_frame(b: memoryview, at: int, depth: int) -> tuple[int, int]:
+    """(end, samples of a channel) of the frame at ``at`` whose fields and checksums hold, else (0, 0)."""
+    head = bytes(b[at : at + 16])
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8 or head[3] & 1:
+        return 0, 0
+    size, rate, channels, bits = head[2] >> 4, head[2] & 15, head[3] >> 4, head[3] >> 1 & 7
+    lead = 8 - (head[4] ^ 0xFF).bit_length()  # bytes of the coded number, 0 for one
+    k = 4 + max(1, lead)
+    extra = {6: 1, 7: 2}.get(size, 0)
+    crc = k + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if size == 0 or rate == 15 or channels > 10 or bits == 3 or lead in (1, 8) or crc >= len(head):
+        return 0, 0
+    block = int.from_bytes(head[k : k + extra], "big") + 1 if extra else 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    check = 0
+    for x in head[:crc]:
+        check = CRC8[check ^ x]
+    if check != head[crc]:
+        return 0, 0
+    depth = (depth, 8, 12, 0, 16, 20, 24, 32)[bits]
+    depths = [depth + (k == (0 if channels == 9 else 1)) for k in range(2)] if channels > 7 else [depth] * (channels + 1)
+    start, most = at + crc + 1, len(depths) * (block * (depth + 1) // 8 + 16)
+    while True:  # mostly as long as plain samples at most; a stream states frame sizes of less than 1 << 24
+        raw = bytes(b[start : start + most])
+        try:
+            end = start + -(-_flac_subframes(bin(int.from_bytes(b"\1" + raw, "big"))[3:], 0, block, depths) // 8)
+            break
+        except ValueError:
+            if most >= 1 << 24 or start + most >= len(b):
+                return 0, 0
+            most = min(2 * most, 1 << 24)
+    if end + 2 > len(b):
+        return 0, 0
+    check = 0
+    for x in bytes(b[at:end]):
+        check = check << 8 & 0xFFFF ^ CRC16[check >> 8 ^ x]
+    return (end + 2, block) if check == int.from_bytes(b[end : end + 2], "big") else (0, 0)
+
+
 def _flac(b: memoryview, at: int) -> int:
-    end, first = at + 4, True
+    end, first, depth, total = at + 4, True, 0, 0
     while end + 4 <= len(b):
         last, kind, size = b[end] & 0x80, b[end] & 0x7F, int.from_bytes(b[end + 1 : end + 4], "big")
         if first and (kind or size != 34) or end + 4 + size > len(b):
             return 0
+        if first:
+            info = int.from_bytes(b[end + 14 : end + 22], "big")
+            depth, total = (info >> 36 & 31) + 1, info & (1 << 36) - 1
         end, first = end + 4 + size, False
         if last:
-            return len(b) if end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xFC == 0xF8 else 0
-    return 0
+            break
+    else:
+        return 0
+    samples = 0
+    while not total or samples < total:  # without a stated length, up to what is no frame
+        after, block = _flac_frame(b, end, depth)
+        if not after:
+            break
+        end, samples = after, samples + block
+    return end if samples and samples >= total else 0
 
 
 def _mp4(b: memoryview, at: int) -> int:
@@ -140,26 +248,55 @@ def _mp4(b: memoryview, at: int) -> int:
         return 0
     while end + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, end)
-        if size < 8 or end + size > len(b) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"uuid", b"meta", b"udta", b"wide"):
+        if size < 8 or end + size > len(b) or kinds and kind == b"ftyp" or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"uuid", b"meta", b"udta", b"wide"):
             break
         kinds.append(kind)
         end += size
     return end if b"moov" in kinds or b"moof" in kinds else 0
 
 
+PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+PDF_XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+
+
 def _pdf(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    end = raw.rfind(b"%%EOF")
-    return at + end + 5 if end > 0 and b"startxref" in raw[:end] else 0
+    """The first end whose cross-reference table is where it says, and each update after it that names the table before.
+
+    Where no table is in its place: the last end before the next header that has an end of its own.
+    """
+    raw, end, table = b.obj, 0, -1
+    for m in PDF_END.finditer(raw, at):
+        here = int(m[1])
+        if at + here < m.start() and PDF_XREF.match(raw, at + here):
+            if not end or at + here >= end and re.search(rb"/Prev\s+%d\b" % table, raw[at + here : m.start()]):
+                end, table = m.end(), here
+    if end:
+        return end
+    stop = at
+    while stop >= 0:
+        stop = raw.find(b"%PDF-", stop + 5)
+        if stop >= 0 and not 0 <= raw.find(b"startxref", stop) < raw.rfind(b"%%EOF"):
+            stop = -1
+        end = raw.rfind(b"%%EOF", at, stop if stop >= 0 else len(raw))
+        if end > 0 and 0 <= raw.find(b"startxref", at, end):
+            return end + 5
+    return 0
 
 
 def _zip(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    end = raw.rfind(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", raw, end + 12)
-    return at + end + 22 + note if start + size <= end and raw[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(raw) else 0
+    """The first end record with a directory of local files in its place, both counted from ``at``."""
+    raw = b.obj
+    end = raw.find(b"PK\x05\x06", at)
+    while 0 <= end <= len(raw) - 22:
+        count, size, start, note = struct.unpack_from("<HIIH", raw, end + 10)
+        k, stop, seen = at + start, at + start + size, 0
+        while k + 46 <= stop <= end and raw[k : k + 4] == b"PK\x01\x02" and raw.startswith(b"PK\x03\x04", at + int.from_bytes(raw[k + 42 : k + 46], "little")):
+            k += 46 + sum(struct.unpack_from("<HHH", raw, k + 28))
+            seen += 1
+        if seen and k == stop and seen & 0xFFFF == count and end + 22 + note <= len(raw):
+            return end + 22 + note
+        end = raw.find(b"PK\x05\x06", end + 4)
+    return 0
 
 
 VALIDATORS: dict[str, Callable[[memoryview, int], int]] = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "riff": _riff, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip}
