@@ -322,6 +322,23 @@ def test_language_priors(spark):
     assert tuple(page.select(F.trim(F.regexp_replace(language.visible_text(F.col("html")), r"\s+", " ")), language.declared_language(F.col("html")), language.host_of(F.col("url"))).first()) == ("a & b", "fr", "www.x.com")
 
 
+def test_every_language_is_learnt_from_whole_texts(spark):
+    """More languages than 200, the rare ones too, and one that differs from another only after a long common opening."""
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (k // 26 + 1)) % 26) for j in range(9)) + str(k)
+    text = lambda k: " ".join([word(k)] * 6)
+    opening = "same words " * 200
+    rows = [(1000 * k + j, text(k), f"l{k:03}") for k in range(203) for j in range(2 if k < 201 else 1)]
+    rows += [(900001, opening + "vorne wieder", "late"), (900002, opening + "avant encore", "other"), (None, text(0), "l000"), (900003, None, "l001"), (900004, "no language", None)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 205
+    plain_ = language.LanguageModel([(t, lang) for _, t, lang in rows if t and lang])
+    probe = [b"vorne wieder", text(202).encode(), b""]
+    assert np.allclose(model.score(probe, 200, 0.25), plain_.score(probe, 200, 0.25))
+    asked = [(k, text(k), f"l{k:03}") for k in (0, 57, 200, 201, 202)] + [(300, "vorne wieder", "late"), (301, "avant encore", "other")]
+    df = spark.createDataFrame([(k, t, None, "h.example.org") for k, t, _ in asked], "id long, text string, declared string, host string")
+    assert {r.id: r.language for r in language.identify(df, model, temper=1.0).collect()} == {k: lang for k, _, lang in asked}
+
+
 def test_least_hashed(spark):
     """As a plain sort, also where all hashes of a group tie and where a group is small or absent."""
     rows = spark.range(3000).select(F.when(F.col("id") % 10 < 8, "a").when(F.col("id") % 10 == 8, "ties").otherwise(F.when(F.col("id") < 50, "few")).alias("g"), F.when(F.col("id") % 10 != 8, F.xxhash64("id")).otherwise((1 << 63) - 5).alias("k"), F.col("id").cast("string").alias("t"))

@@ -70,6 +70,14 @@ def ranged(df: DataFrame, order: list, name: str, codec: str = "zstd") -> DataFr
     return materialize(df.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()), name, codec)
 
 
+def below_hash(rows: DataFrame, shares: dict[str, float], many: int) -> DataFrame:
+    """(g, at, t): for each group of ``shares`` its ``many`` first rows (g, k, t) by (k, t), of those whose uniform hash k is in the lower share."""
+    ends = [(g, (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)) for g, share in shares.items()]
+    near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ends, "g string, last long")), "g").filter("k <= last")
+    at = F.row_number().over(Window.partitionBy("g").orderBy("k", "t"))
+    return near.withColumn("at", at).filter(F.col("at") <= many).select("g", "at", "t")
+
+
 def least_hashed(rows: DataFrame, counts: dict[str, int], many: int) -> dict[str, list[str]]:
     """For each group of ``counts`` (group: its number of rows), column t of its ``many`` first rows (g, k, t) by (k, t).
 
@@ -79,11 +87,8 @@ def least_hashed(rows: DataFrame, counts: dict[str, int], many: int) -> dict[str
     """
 
     def first(shares: dict[str, float]) -> dict[str, list[str]]:
-        ends = [(g, (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)) for g, share in shares.items()]
-        near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ends, "g string, last long")), "g").filter("k <= last")
-        at = F.row_number().over(Window.partitionBy("g").orderBy("k", "t"))
         found: dict[str, list[str]] = {g: [] for g in shares}
-        for r in near.withColumn("at", at).filter(F.col("at") <= many).select("g", "at", "t").orderBy("g", "at").collect():  # many a group
+        for r in below_hash(rows, shares, many).orderBy("g", "at").collect():  # many a group
             found[r["g"]].append(r["t"])
         return found
 
