@@ -297,6 +297,16 @@ def test_toxicity_is_counterfactual():
     assert gap(fair) < 0.5 * gap(plain_) + 1e-3
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(6)
+    filler = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(6000))
+    rows = [(k, filler() + (" vile\nscum" if k % 2 else " kind\tpeople")) for k in range(80)] + [(1000, "vile scum"), (1001, "kind people")]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(80)], "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t in rows[:80]) > 20_000
+    got = {r.doc_id: r.score for r in toxicity.classify_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[1000] > 0.6 > 0.4 > got[1001]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

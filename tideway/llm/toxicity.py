@@ -152,13 +152,13 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, per_class: int = 2500, chars: int = 20_000) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, per_class: int = 2500) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Learns from at most ``per_class`` texts of each label outside the held-out fold, ``chars`` characters of each.
+    Learns from at most ``per_class`` texts of each label outside the held-out fold, from each word of a whole text once.
     Null texts are scored as empty ones; rows with equal doc_id are scored each; without labels of both kinds the score
     is one constant; an empty table gives an empty result; other columns are ignored.
     """
-    model = train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class, chars))
+    model = train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class, None))
     scored = toxicity_scores(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
