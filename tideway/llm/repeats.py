@@ -24,13 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.shared import _BYTE, _power, discard, materialize, mix, partitions, text_bytes, text_or_empty
+from tideway.llm.shared import discard, materialize, mix, partitions, text_bytes, text_or_empty
 
 #: Bytes of an anchor, and windows of a text that are worked on at once.
 K, PIECE = 40, 1 << 21
 KEY = ["doc_id", "th"]
 
 
+_RADIX = 0x9E3779B97F4A7C15
+_RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_RADIX))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the radix and of its inverse, modulo 2**64; n is at most a piece."""
+    if len(_powers[0]) <= n:
+        with np.errstate(over="ignore"):
+            for k, r in enumerate((_RADIX, _RADIX_INVERSE)):
+                p = np.full(n + 1, r, np.uint64)
+                p[0] = 1
+                _powers[k] = np.cumprod(p, dtype=np.uint64)
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
 class Piece:
     """Anchors of the windows [base, base + PIECE) of one text."""
 

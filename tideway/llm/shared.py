@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,10 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where driver and tasks are one machine, a
+    folder of our own is made where that is unset; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tideway-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,16 +37,20 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tideway/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    # what the write shuffled is not read again: Spark frees its files once the driver has let go of the finished query
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
     out = spark.read.schema(df.schema).parquet(path)
     out.tideway_path = path
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now instead of at the driver's next collection.
+
+    For the few places where an operator has just written a table and will shuffle as much again.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:
@@ -123,7 +130,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
-_RADIX_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_WHITE = b" \t\n\v\f\r"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,38 +142,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _RADIX)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the radix and of its inverse, modulo 2**64."""
-    if len(_powers[0]) <= n:
-        with np.errstate(over="ignore"):
-            for k, r in enumerate((_RADIX, _RADIX_INVERSE)):
-                p = np.full(n + 1, r, np.uint64)
-                p[0] = 1
-                _powers[k] = np.cumprod(p, dtype=np.uint64)
-    up, down = _powers
-    if n > 1 << 22:  # a very long text: its tables are not kept
-        _powers[:] = [up[:1], down[:1]]
-    return up[: n + 1], down[: n + 1]
+#: A number for each byte at each of the first PLACES places of a word.
+PLACES = 64
+_AT = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _RADIX)
 
 
 def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of UTF-8 bytes; A-Z count as a-z if ``lower``."""
+    """(hash, start, end) of each word of UTF-8 bytes; A-Z count as a-z if ``lower``.
+
+    A word's hash is the mixed sum of one random-looking number for each pair of byte and place, so no word is a linear
+    image of another.
+    """
     b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
     if lower:
         b = _LOWER[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[b], [True]))))
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
     start, end = edge[::2], edge[1::2]
-    up, down = _power(len(b))
+    if not len(start):
+        return np.zeros(0, np.uint64), start, end
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum(), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    values = _AT[(place & (PLACES - 1)) << 8 | b[~space]]
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[: len(b)], dtype=np.uint64)))
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+        if size.max() > PLACES:
+            far = np.flatnonzero(place >= PLACES)
+            values[far] = mix(values[far] ^ mix((place[far] // PLACES).astype(np.uint64)))
+        return mix(np.add.reduceat(values, first) + size.astype(np.uint64)), start, end
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -226,6 +229,33 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def exact_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """Sorted distinct n-word shingles of each text as numbers that stand for the words themselves, within one call.
+
+    A-Z count as a-z. A text of fewer than ``n`` words has its whole sequence as its one shingle, a negative number.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string()))))
+    bounds = split.offsets.to_numpy()
+    coded = pc.dictionary_encode(split.values)
+    word, kinds = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    run, span = word, kinds
+    for k in range(1, n):
+        if span > (1 << 62) // kinds:
+            seen, run = np.unique(run, return_inverse=True)
+            span = max(1, len(seen))
+        run, span = run[: max(0, len(run) - 1)] * kinds + word[k:], span * kinds
+    short: dict = {}
+    sets = []
+    for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= n:
+            sets.append(np.unique(run[a : b - n + 1]))
+        elif not t.strip(_WHITE):
+            sets.append(run[:0])
+        else:
+            sets.append(np.array([short.setdefault(tuple(word[a:b].tolist()), -1 - len(short))], np.int64))
+    return sets
+
+
 def text_bytes(column) -> list[bytes]:
     """Values of an Arrow string column as UTF-8 bytes, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
