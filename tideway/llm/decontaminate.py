@@ -1,138 +1,233 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-A short item inside a long document has a tiny Jaccard similarity, so one signature length does not fit all documents.
-Documents are parted by size: one of 2**s shingles gets about 2**(s - k) bins of one permutation (the leading bits of a
-shingle's hash are its bin, the least hash of a bin its signature), and k is chosen for each item size so that an item
-contained to ``percent`` collides in at least one bin but for a chance of ``miss``. Items too short for any k are looked
-up by all their shingles, which misses nothing. Every collision is verified on the whole sets.
+A short item inside a long document has a tiny Jaccard similarity, so no one signature length fits all documents.
+Documents are parted by size: one of up to 2**s shingles has a signature of one permutation in about 2**(s - k) bins
+(the leading bits of a shingle's hash are its bin, the least hash in a bin is the bin's value), so a fixed share of a
+contained item's shingles is expected in it, however long the document is. Items are parted by size too: k is the
+largest for which an item contained to ``percent`` is missed with a chance of ``miss`` at most; an item too short for
+any k has a signature of all its shingles, and every shingle of a document is compared with those.
+
+One pass over the documents makes the signatures and keeps the entries that a table of item entries of bounded size may
+have. They are joined with the items' entries; the pairs found, and only these, are verified on their words.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tideway.llm.shared import common, shingle_sets, text_bytes, text_or_empty
+from tideway.llm.shared import blocks, discard, exact_sets, materialize, shingle_sets, text_bytes, text_or_empty
 
-TABLE = 1 << 20
 MATCH_SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+#: The k of the item classes, as bits of a byte; the last class has items too short for signatures.
+SKIPS = (5, 4, 3, 2, 1, 0, -1)
+SHORT = len(SKIPS)
+#: Bins of the smallest signature, as bits.
+LEAST_BITS = 5
+#: Entries of the table that tasks look signatures up in, as bits, and those in one row of it.
+TABLE_BITS, PART_BITS = (16, 24), 16
 
 
-def skipped_bits(size: int, percent: int, miss: float) -> int:
-    """The k of an item of ``size`` shingles; -1 if even bins of one shingle each would miss it too often."""
+def item_class(size: int, percent: int, miss: float) -> int:
+    """Place in ``SKIPS`` of the largest k that misses an item of ``size`` shingles seldom enough; ``SHORT`` if none does.
+
+    A bin of 2**k shingles, and of a third more with those that the document lacks, has a given shared shingle as its
+    least with the chance (1 - e^-load) / load.
+    """
     shared = max(1, -(-percent * size // 100))
-    k = -1
-    while k < 12:
-        load = 2.0 ** (k + 1)  # shingles in a bin: one of the item's is the least with chance (1 - e^-load) / load
-        if (1 - (1 - math.exp(-load)) / load) ** shared > miss:
-            return k
-        k += 1
-    return k
-
-
-class Items:
-    """A block of benchmark items: their sets, and all their shingles in one sorted array."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int, miss: float):
-        self.sets, self.percent = sets, percent
-        self.skip = [skipped_bits(len(s), percent, miss) for s in sets]
-        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(every, kind="stable")
-        self.shingles, self.of = every[order], of[order]
-        self.table = np.zeros(TABLE, bool)
-        self.table[(every & np.uint64(TABLE - 1)).astype(np.int64)] = True
-
-    @staticmethod
-    def _least(own: np.ndarray, at: int, bits: int) -> bool:
-        """Whether own[at] is the least of its bin when the leading ``bits`` bits name the bin."""
-        drop = np.uint64(64 - bits)
-        return at == 0 or bits > 0 and bool(own[at - 1] >> drop != own[at] >> drop)
-
-    def matches(self, texts: list[bytes], n: int) -> list[tuple[int, int, int]]:
-        """(text index, item index, shared shingles) of every item that a text contains to ``percent`` of its shingles."""
-        sets = shingle_sets(texts, n)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        if not len(self.shingles) or not sizes.sum():
-            return []
-        every = np.concatenate(sets)
-        first = np.cumsum(sizes) - sizes
-        hits = np.flatnonzero(self.table[(every & np.uint64(TABLE - 1)).astype(np.int64)])
-        low = np.searchsorted(self.shingles, every[hits], "left")
-        high = np.searchsorted(self.shingles, every[hits], "right")
-        real = high > low
-        found: dict = {}
-        for at, a, b in zip(hits[real].tolist(), low[real].tolist(), high[real].tolist(), strict=True):
-            doc = int(np.searchsorted(first, at, "right")) - 1
-            own = sets[doc]
-            for item in self.of[a:b].tolist():
-                if (doc, item) in found:
+    for c, k in enumerate(SKIPS):
+        load = 2.0**k * 4 / 3
+        if (1 - (1 - math.exp(-load)) / load) ** shared <= miss:
+            return c
+    return SHORT
+
+
+def levels(own: np.ndarray) -> np.ndarray:
+    """For each hash of a sorted set the fewest leading bits for which it is the least of its bin."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    apart = own[1:] ^ own[:-1]
+    high = np.frexp((apart >> np.uint64(11)).astype(np.float64))[1].astype(np.int64) + 11  # exact: 53 bits
+    low = np.frexp((apart & np.uint64(0x7FF)).astype(np.float64))[1].astype(np.int64)
+    return np.concatenate(([0], 65 - np.where(apart >> np.uint64(11) > 0, high, low)))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).withColumn("ih", F.xxhash64("text"))
+
+
+def _item_entries(items: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
+    """(ih, hash, level, class) of every shingle of every different item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(text_bytes(batch.column("text")), n)
+            size = np.array([len(s) for s in sets], np.int64)
+            kind = np.array([item_class(len(s), percent, miss) for s in sets], np.int64)
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            level = np.concatenate([*[levels(s) for s in sets], np.zeros(0, np.int64)])
+            ih = batch.column("ih").take(pa.array(np.repeat(np.arange(len(sets)), size)))
+            yield pa.RecordBatch.from_arrays([ih, pa.array(every.view(np.int64)), pa.array(level), pa.array(np.repeat(kind, size))], ["ih", "hash", "level", "class"])
+
+    return items.select("ih", "text").dropDuplicates(["ih"]).mapInArrow(run, "ih long, hash long, level long, class long")
+
+
+def _table(entries: DataFrame, count: int) -> np.ndarray:
+    """For the low bits of a hash the classes of items that have it, a bit each; 16 MB at most, however many entries."""
+    bits = min(TABLE_BITS[1], max(TABLE_BITS[0], (16 * count).bit_length()))
+    mask, size = (1 << bits) - 1, 1 << PART_BITS
+
+    def packed(parts: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in parts.values()], pa.binary())], ["part", "seen"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy() & mask
+            bit = (1 << batch.column(1).to_numpy()).astype(np.uint8)
+            for k in np.unique(at >> PART_BITS).tolist():
+                own = at >> PART_BITS == k
+                np.bitwise_or.at(parts.setdefault(k, np.zeros(size, np.uint8)), at[own] & size - 1, bit[own])
+        if parts:
+            yield packed(parts)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts[k] = parts.get(k, np.uint8(0)) | np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
+        if parts:
+            yield packed(parts)
+
+    schema = "part int, seen binary"
+    rows = entries.select("hash", "class").mapInArrow(mark, schema).repartition(max(1, 1 << bits - PART_BITS), "part").mapInArrow(join, schema)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.collect():  # 256 rows at most
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["seen"]), np.uint8)
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
+
+
+def _document_entries(keyed: DataFrame, table: np.ndarray, n: int) -> DataFrame:
+    """(doc_id, th, hash, level, bits) of the signature entries of each document that the table may know.
+
+    ``bits`` is the size class: the document's signature for items of skip k has bins of ``bits`` - k leading bits.
+    """
+    present = int(np.bitwise_or.reduce(table))
+    classes = [c for c in range(SHORT + 1) if present >> c & 1]
+    low = np.uint64(len(table) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            rows, out = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            for a, b in blocks(texts):
+                sets = shingle_sets(texts[a:b], n)
+                size = np.array([len(s) for s in sets], np.int64)
+                every = np.concatenate(sets)
+                if not len(every):
                     continue
-                if self.skip[item] >= 0:
-                    bits = max(0, int(sizes[doc] - 1).bit_length() - self.skip[item])
-                    mine = self.sets[item]
-                    if not self._least(own, at - int(first[doc]), bits) or not self._least(mine, int(np.searchsorted(mine, every[at])), bits):
-                        continue
-                found[doc, item] = common(self.sets[item], own)
-        return [(d, i, c) for (d, i), c in sorted(found.items()) if 100 * c >= self.percent * len(self.sets[i])]
-
-
-def item_blocks(benchmark: DataFrame, n: int, percent: int, miss: float, block_bytes: int) -> Iterator[tuple[list, Items]]:
-    """Blocks of items whose texts have about ``block_bytes`` bytes at most, so that what tasks get is bounded; a longer item is a block."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    ids, texts, held = [], [], 0
-    for r in rows.toLocalIterator():  # the query set, a partition at a time
-        raw = r["text"].encode()
-        if texts and held + len(raw) > block_bytes:
-            yield ids, Items(shingle_sets(texts, n), percent, miss)
-            ids, texts, held = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(raw)
-        held += len(raw)
-    if texts:
-        yield ids, Items(shingle_sets(texts, n), percent, miss)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 75, miss: float = 1e-4, block_bytes: int = 8 << 20) -> DataFrame:
+                bits = np.repeat(np.array([max(0, int(s) - 1).bit_length() for s in size], np.int64), size)
+                first = np.cumsum(size) - size
+                level = levels(every)
+                level[first[size > 0]] = 0  # each set is sorted by itself
+                wanted = np.zeros(len(every), np.uint8)
+                for c in classes:
+                    inside = level <= np.maximum(bits - SKIPS[c], LEAST_BITS) if c < SHORT else slice(None)
+                    wanted[inside] |= np.uint8(1 << c)
+                at = np.flatnonzero(wanted)
+                at = at[(table[(every[at] & low).astype(np.int64)] & wanted[at]) > 0]
+                rows.append(a + np.searchsorted(first + size, at, "right"))
+                for o, v in zip(out, (every, level, bits), strict=True):
+                    o.append(v[at])
+            own = pa.array(np.concatenate(rows))
+            hash_, level, bits = (np.concatenate(o) for o in out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(hash_.view(np.int64)), pa.array(level), pa.array(bits)], ["doc_id", "th", "hash", "level", "bits"])
+
+    return keyed.mapInArrow(run, "doc_id long, th long, hash long, level long, bits long")
+
+
+def _candidates(entries: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, th, ih): an item and a document have a signature entry in common, for the item's class and the document's size."""
+    i = items.select("ih", "hash", F.col("level").alias("item_level"), "class")
+    skip = F.element_at(F.array(*[F.lit(k) for k in SKIPS]), F.least(F.col("class") + 1, F.lit(SHORT)).cast("int"))
+    bins = F.greatest(F.col("bits") - skip, F.lit(LEAST_BITS))
+    both = entries.join(i, "hash").filter((F.col("class") == SHORT) | (F.greatest("level", "item_level") <= bins))
+    return both.select("doc_id", "th", "ih").distinct()
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame, items: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
+    """(doc_id, th, ih, n_item, n_shared) of the pairs of which the document has ``percent`` of the item's shingles, by words.
+
+    Of a document with many candidates, ``chunk`` different items go with its text into one row.
+    """
+    place = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("ih"))
+    texts = items.select("ih", F.col("text").alias("item")).dropDuplicates(["ih"])
+    asked = pairs.withColumn("part", F.floor(place / chunk)).join(texts, "ih")
+    lists = materialize(asked.groupBy("doc_id", "th", "part").agg(F.collect_list(F.struct("ih", "item")).alias("items")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "items"), "asked")
+    rows = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["th"] == lists["_th"])).select("doc_id", "th", "text", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ih, sizes, shared = [], [], [], []
+            for k in range(batch.num_rows):
+                own = batch.column("items")[k].values
+                names, item_texts = own.field("ih").to_pylist(), text_bytes(own.field("item"))
+                doc, *rest = exact_sets([*text_bytes(batch.column("text").slice(k, 1)), *item_texts], n)
+                for name, s in zip(names, rest, strict=True):
+                    both = int(np.isin(s, doc, assume_unique=True).sum())
+                    if len(s) and 100 * both >= percent * len(s):
+                        at.append(k)
+                        ih.append(name)
+                        sizes.append(len(s))
+                        shared.append(both)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("th").take(rows), *[pa.array(x, pa.int64()) for x in (ih, sizes, shared)]], ["doc_id", "th", "ih", "n_item", "n_shared"])
+
+    return rows.mapInArrow(run, "doc_id long, th long, ih long, n_item long, n_shared long")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int, percent: int, miss: float, chunk: int) -> DataFrame:
+    """(doc_id, th, ih, n_item, n_shared) for each row of ``docs`` and each different item text that it contains."""
+    entries = materialize(_item_entries(items, n, percent, miss), "items")
+    keyed = _keyed(docs)
+    found = materialize(_document_entries(keyed, _table(entries, entries.count()), n), "entries")
+    pairs = materialize(_candidates(found, entries), "pairs")
+    discard(found, entries)
+    return _verified(keyed, pairs, items, n, percent, chunk)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 75, miss: float = 1e-5, chunk: int = 1000) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of each document and benchmark item that it contains.
 
     Contained: at least ``percent`` of the item's distinct n-word shingles, A-Z as a-z. Items of fewer words have their
     whole word sequence as one shingle, which only an equally short document holds. Null texts count as empty, match
-    nothing and have no match; null ids are kept; repeated rows of either table each match; other columns are ignored.
-    Items go to the tasks in blocks of bounded size, a pass over the documents for each block; nothing is shuffled.
+    nothing and have no match; null ids are kept; repeated rows of either table each match; empty tables give an empty
+    result; other columns are ignored. An item contained to just ``percent`` is missed with a chance of ``miss`` at
+    most, one contained whole with less; short items never are.
+    """
+    items = _items(benchmark)
+    hits = contained_items(docs, items, n, percent, miss, chunk)
+    return hits.join(items.select("ih", "item_id"), "ih").select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 75, miss: float = 1e-5, chunk: int = 1000) -> DataFrame:
+    """The documents that contain no benchmark item, with their columns.
+
+    Rows with null ids or texts, and repeated rows, are judged each by its text; names of columns are free.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    out = None
-    for ids, items in item_blocks(benchmark, n, percent, miss, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = items.matches(text_bytes(batch.column("text")), n)
-                d = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
-                sizes = np.array([len(items.sets[x[1]]) for x in found], np.int64)
-                both = np.array([x[2] for x in found], np.int64)
-                yield pa.RecordBatch.from_arrays([d, pa.array([ids[x[1]] for x in found], pa.int64()), pa.array(sizes), pa.array(both), pa.array(both / np.maximum(sizes, 1))], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
-
-        part = rows.mapInArrow(run, MATCH_SCHEMA)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], MATCH_SCHEMA) if out is None else out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 75, miss: float = 1e-4, block_bytes: int = 8 << 20) -> DataFrame:
-    """The documents that contain no benchmark item, with their columns."""
-    kept = docs
-    for _, items in item_blocks(benchmark, n, percent, miss, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[x[0] for x in items.matches(text_bytes(batch.column(batch.schema.get_field_index("text"))), n)]] = False
-                yield batch.filter(pa.array(clean))
-
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    hits = contained_items(docs, _items(benchmark), n, percent, miss, chunk)
+    gone = materialize(hits.select(F.col("doc_id").alias("a"), F.col("th").alias("b")).distinct(), "leaks").alias("leak")
+    rows = docs.alias("row")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("leak.a")) & (F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))) == F.col("leak.b"))
+    return rows.join(gone, same, "left_anti")
