@@ -14,6 +14,7 @@ def _print(edges: DataFrame):
 
 def connected_components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the least node of its component; roots are left out.
+    ``discard`` deletes its table.
 
     Both steps are grouped minima, combined before the shuffle, and a join back to the edges that adaptive execution
     splits at hot nodes. Each round is written to the shared folder, so lineage stays short.
@@ -35,4 +36,6 @@ def connected_components(edges: DataFrame, most: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError(f"no components after {most} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.tideway_path = now.tideway_path
+    return out

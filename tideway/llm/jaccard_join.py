@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.components import connected_components
-from tideway.llm.shared import common, discard, materialize, partitions, shingle_sets, text_bytes, text_or_empty
+from tideway.llm.shared import common, discard, exact_sets, free_shuffles, materialize, partitions, shingle_sets, text_bytes, text_or_empty
 
 #: Counters of the frequency sketch (a power of two), and those in one row of it.
 COUNTERS, PART = 1 << 20, 1 << 16
@@ -27,7 +26,10 @@ _DROP = np.uint64(64 - (COUNTERS.bit_length() - 1))
 
 
 def shingle_frequencies(docs: DataFrame, n: int = 5) -> np.ndarray:
-    """Counters of shingle hashes over all documents: a fixed 4 MB, whatever the corpus; they only order shingles."""
+    """Counters of shingle hashes over all documents: a fixed 4 MB, whatever the corpus.
+
+    They order shingles, for which any numbers would do, and say which are common: see ``_excess``.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_ = np.zeros(COUNTERS, np.int64), False
@@ -58,6 +60,11 @@ def shingle_frequencies(docs: DataFrame, n: int = 5) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
+def _excess(frequencies: np.ndarray) -> np.ndarray:
+    """Each counter less what a counter holds in the mean: that is what other shingles give it, in a large corpus too."""
+    return np.maximum(0, frequencies.astype(np.int64) - int(frequencies.mean()))
+
+
 def _document_rows(docs: DataFrame, frequencies: np.ndarray, n: int, percent: int) -> DataFrame:
     """doc_id, th (hash of the text), size, cls (digest of the set), gid (of prefix and size), prefix."""
 
@@ -88,6 +95,7 @@ def _postings(groups: DataFrame, frequencies: np.ndarray, hot: int) -> DataFrame
     ``place`` is the shingle's place in the group's order; ``rank`` is less the more common the group's prefix is: what
     near copies are copies of has no shingles of its own.
     """
+    excess = _excess(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +104,7 @@ def _postings(groups: DataFrame, frequencies: np.ndarray, hot: int) -> DataFrame
                 raw = part.column("prefix").to_pylist()
                 count = np.array([len(x) // 8 for x in raw], np.int64)
                 token = np.frombuffer(b"".join(raw), np.uint64)
-                uses = frequencies[(token >> _DROP).astype(np.int64)].astype(np.int64)
+                uses = excess[(token >> _DROP).astype(np.int64)]
                 first = np.cumsum(count) - count
                 common_ = np.add.reduceat(np.log2(1.0 + uses), first) / count
                 gid, size, rank = (np.repeat(x, count) for x in (part.column("gid").to_numpy(), part.column("size").to_numpy(), -np.round(64 * common_).astype(np.int64)))
@@ -164,27 +172,28 @@ def _class_texts(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> Data
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the class pairs (a, b) that link: 100 * intersection >= percent * union, counted on both whole texts."""
+    """Those of the class pairs (a, b) that link: 100 * intersection >= percent * union, counted on the words of both whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict = OrderedDict()  # the sets met last: a hub's rows come one after another
-
-        def of(cls: bytes, text: pa.Scalar) -> np.ndarray:
-            if cls not in kept:
-                kept[cls] = shingle_sets([text.as_py().encode()], n)[0]
-                if len(kept) > 32:
-                    kept.popitem(last=False)
-            kept.move_to_end(cls)
-            return kept[cls]
-
         for batch in batches:
             a, b, left, right = batch.columns
-            hits = []
-            for k, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
-                one, other = of(x, left[k]), of(y, right[k])
-                both = common(one, other)
-                if 100 * both >= percent * (len(one) + len(other) - both):
-                    hits.append(k)
+            x, y, hits, first = a.to_pylist(), b.to_pylist(), [], 0
+            while first < batch.num_rows:
+                texts_: dict = {}  # about a MB of different texts: a hub's rows come one after another
+                held, last = 0, first
+                while last < batch.num_rows and (last == first or held < 1 << 20):
+                    for name, text in ((x[last], left[last]), (y[last], right[last])):
+                        if name not in texts_:
+                            texts_[name] = text.as_py().encode()
+                            held += len(texts_[name])
+                    last += 1
+                sets = dict(zip(texts_, exact_sets(list(texts_.values()), n), strict=True))
+                for k in range(first, last):
+                    one, other = sets[x[k]], sets[y[k]]
+                    both = common(one, other)
+                    if 100 * both >= percent * (len(one) + len(other) - both):
+                        hits.append(k)
+                first = last
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).take(pa.array(hits, pa.int64()))
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("left"))
@@ -246,6 +255,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     alone; null doc_ids count last, a component of null ids alone has a null id; rows with equal doc_id are a document
     each; an empty table gives an empty result; other columns are ignored.
     """
+    spark = docs.sparkSession
     frequencies = shingle_frequencies(docs, n)
     sets = materialize(_document_rows(docs, frequencies, n, percent), "sets", "none")
     names = materialize(sets.drop("prefix"), "names")
@@ -255,35 +265,53 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     groups = sets.filter("size > 0").groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     shared = materialize(_shared(_postings(groups, frequencies, hot), percent), "shared")
     discard(sets)
+    free_shuffles(spark)
     texts = _class_texts(docs, classes, shared)
     firsts = classes.groupBy("gid").agg(F.min("cls").alias("first"))
     to_hub = _first_classes(shared.filter("gid <> hub").select("gid", "hub").distinct(), firsts)
     in_group = classes.select("gid", "cls").join(firsts, "gid").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
-    roots = connected_components(_verified(to_hub.union(in_group).distinct(), texts, n, percent))
-    joined = lambda more: connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    found = _verified(to_hub.union(in_group).distinct(), texts, n, percent)
+    free_shuffles(spark)
+    roots = connected_components(found)
+    discard(found)
+
+    def joined(before: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components with what ``pairs`` links too; the tables before are deleted."""
+        more = _verified(pairs, texts, n, percent)
+        free_shuffles(spark)
+        now = connected_components(before.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        discard(more, before)
+        return now
+
     lists = _open_lists(shared, _labelled(classes, roots))
     discard(shared)
-    roots = joined(_verified(_between_components(lists, firsts, percent), texts, n, percent))
+    roots = joined(roots, _between_components(lists, firsts, percent))
     labelled = materialize(_labelled(classes, roots), "labelled")
     rest = _open_lists(lists, labelled)
-    roots = joined(_verified(_crossing(rest, labelled, percent, block), texts, n, percent))
+    discard(lists)
+    roots = joined(roots, _crossing(rest, labelled, percent, block))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = materialize(rooted.join(named, "root").select("cls", "component_id"), "ids")
-    discard(classes, texts, lists, rest, labelled)
+    discard(classes, texts, rest, labelled, roots)
     own = names.select("doc_id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("key"))
     return own.join(ids, own["key"] == ids["cls"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that of the smallest (doc_id, text hash); rows equal in both are one document.
+    """One document of each component, with its columns: that of the smallest (doc_id, text hash).
 
-    Documents without words all stay.
+    Rows equal in both are one document, of which the row least in its other columns, by their JSON, stays. Null texts
+    and texts without words are linked with nothing: each such (doc_id, text) stays. Null ids count last; an empty table
+    gives an empty result; names of columns are free.
     """
     linked = materialize(link_documents(docs, **options), "linked")
     alone = linked.filter("n_shingles = 0").select("doc_id", "th")
-    first = linked.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("rep.doc_id", "rep.th")
-    kept = alone.union(first).distinct().select(F.col("doc_id").alias("_id"), F.col("th").alias("_kept"))
-    rows = docs.withColumn("_th", F.xxhash64(text_or_empty()))
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_th"] == kept["_kept"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    first = linked.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")).select("rep.doc_id", "rep.th")
+    kept = materialize(alone.union(first).distinct(), "kept")
+    discard(linked)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), F.struct("*").alias("row"))
+    found = rows.join(kept.select(F.col("doc_id").alias("id"), F.col("th").alias("kept")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("kept")), "left_semi")
+    rest = F.to_json(F.struct(*[F.col("row")[c] for c in docs.columns if c != "text"]))
+    one = found.groupBy("doc_id", "th").agg(F.min_by("row", rest).alias("row"))
+    return one.select([F.col("row")[c].alias(c) for c in docs.columns])
