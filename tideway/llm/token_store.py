@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-import struct
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,56 +20,147 @@ from tideway.llm.shared import discard, materialize, partitions, text_or_empty
 
 IDS_SCHEMA = "pid int, doc_id long, n_tokens long, at long, ids binary, counts binary"
 BLOCK_SCHEMA = "start long, block binary"
-#: Words whose ids a worker keeps at once.
-CACHE = 400_000
-_tokenizers: dict = {}
+#: Fixed value: how the word-end BPE cuts lower-case text into words; white space is dropped.
+WORD_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces whose words Arrow cuts as that pattern does: no apostrophe, no special token, one code point for each letter.
+PLAIN = r"^[!-&(-;=-~\x{C0}-\x{FF}]+$"
+PLAIN_CUTS = r"([0-9]|[^\p{L}0-9]+)"
+#: Bytes of words (each with its ids counted as 100) that a worker keeps in one of its two generations.
+KEPT = 32 << 20
+_encoders: dict = {}
 
 
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Ids of each piece of text, as little-endian u32, by the tokenizers library; a worker encodes a piece once."""
-    if path not in _tokenizers:
+def _ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[first[k] : first[k] + size[k]] of all k, in one array."""
+    end = np.cumsum(size)
+    return flat[np.repeat(first - (end - size), size) + np.arange(end[-1])] if len(size) else flat[:0]
+
+
+class TextEncoder:
+    """Ids of texts by the tokenizers library; a worker encodes a word once while it stays among the words kept.
+
+    Where the tokenizer drops white space, lowers case, cuts words by ``WORD_CUTS`` and marks their ends, a text's ids
+    are those of its words in turn. With any other tokenizer whole texts are encoded.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = words
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    return [known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        state = json.loads(self.tokenizer.to_str())
+        self.by_words = self._cuts_words(state)
+        if self.by_words:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[k for w, k in state["model"]["vocab"].items() if w.endswith(state["model"]["end_of_word_suffix"])]] = True
+        self.old, self.new = _Words(), _Words()
+
+    @staticmethod
+    def _cuts_words(state: dict) -> bool:
+        normal, pre, model = state.get("normalizer") or {}, state.get("pre_tokenizer") or {}, state["model"]
+        steps, cuts = normal.get("normalizers", []), pre.get("pretokenizers", [])
+        return (
+            model.get("type") == "BPE"
+            and bool(model.get("end_of_word_suffix"))
+            and not model.get("dropout")
+            and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback"))
+            and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and steps[1]["pattern"] == {"Regex": r"\s+"}
+            and steps[1]["content"] == " "
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": WORD_CUTS}
+            and cuts[0]["behavior"] == "Removed"
+            and cuts[0]["invert"]
+            and not cuts[1]["add_prefix_space"]
+            and not cuts[1]["use_regex"]
+            and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) and not re.search(r"\s", t["content"]) for t in state.get("added_tokens", []))
+            and state.get("truncation") is None
+        )
+
+    def _lists(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each) of texts encoded one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())), size
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that are plain: as one text, cut where a word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._lists(words)
+
+    def _word_ids(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, place of each word's first, number of its ids)."""
+        if self.new.held > KEPT:
+            self.old, self.new = self.new, _Words()
+        at = np.fromiter((self.new.place.get(w, -1) for w in words), np.int64, len(words))
+        lacking = np.flatnonzero(at < 0).tolist()
+        before = [k for k in lacking if words[k] in self.old.place]
+        own = np.array([self.old.place[words[k]] for k in before], np.int64)
+        if before:
+            self.new.add([words[k] for k in before], _ragged(self.old.ids, self.old.first[own], self.old.size[own]), self.old.size[own])
+        unseen = [k for k in lacking if words[k] not in self.new.place]
+        for part, encode in (([k for k in unseen if plain[k]], self._joined), ([k for k in unseen if not plain[k]], self._lists)):
+            for a in range(0, len(part), 20_000):
+                some = [words[k] for k in part[a : a + 20_000]]
+                self.new.add(some, *encode(some))
+        if lacking:
+            at[lacking] = [self.new.place[words[k]] for k in lacking]
+        return self.new.ids, self.new.first[at], self.new.size[at]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, each followed by ``end_id``; ids of each text)."""
+        if self.by_words:
+            split = pc.ascii_split_whitespace(texts)
+            bounds = split.offsets.to_numpy().astype(np.int64)
+            coded = pc.dictionary_encode(split.values[bounds[0] : bounds[-1]])
+            pieces, piece = coded.dictionary, coded.indices.to_numpy()
+            plain = pc.match_substring_regex(pieces, PLAIN)
+            cut = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(pieces), PLAIN_CUTS, r" \1 "), pieces)
+            parts = pc.ascii_split_whitespace(pc.ascii_trim(cut, " "))
+            upto = parts.offsets.to_numpy().astype(np.int64)
+            words = pc.dictionary_encode(parts.values[upto[0] : upto[-1]])
+            word = words.indices.to_numpy()
+            is_plain = np.zeros(len(words.dictionary), bool)
+            is_plain[word] = np.repeat(plain.to_numpy(zero_copy_only=False), np.diff(upto))
+            flat, first, size = self._word_ids(words.dictionary.to_pylist(), is_plain)
+            of_words = np.concatenate(([0], np.cumsum(size[word])))
+            flat = _ragged(flat, first[word], size[word])  # the ids of each distinct piece
+            upto -= upto[0]
+            first, size = of_words[upto[:-1]], of_words[upto[1:]] - of_words[upto[:-1]]
+            out = _ragged(flat, first[piece], size[piece])
+            of_pieces = np.concatenate(([0], np.cumsum(size[piece])))
+            bounds -= bounds[0]
+            n = of_pieces[bounds[1:]] - of_pieces[bounds[:-1]]
+        else:
+            out, n = self._lists(texts.to_pylist())
+        both = np.empty(len(out) + len(n), np.uint32)
+        ends = np.cumsum(n + 1) - 1
+        own = np.ones(len(both), bool)
+        own[ends] = False
+        both[own], both[ends] = out, end_id
+        return both, n + 1
+
+
+class _Words:
+    """Words with their ids: one flat array of ids, and where each word's are."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.first, self.size, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+        self.ids, self.size = np.concatenate((self.ids, ids.astype(np.uint32))), np.concatenate((self.size, size))
+        self.held += sum(map(len, words)) + 100 * len(words)
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in turn, each followed by ``end_id``; ids of each text).
-
-    The tokenizer must drop white space and never join over it, as word-end BPE does; then a text's ids are those of
-    its pieces between white space.
-    """
-    split = pc.ascii_split_whitespace(texts)
-    bounds = split.offsets.to_numpy().astype(np.int64)
-    coded = pc.dictionary_encode(split.values[bounds[0] : bounds[-1]])
-    bounds = bounds - bounds[0]
-    ids = _word_ids(path, coded.dictionary.to_pylist())
-    size = np.array([len(x) // 4 for x in ids], np.int64)
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    first = np.cumsum(size) - size
-    word = coded.indices.to_numpy()
-    each = size[word]
-    upto = np.concatenate(([0], np.cumsum(each)))
-    out = flat[np.repeat(first[word] - upto[:-1], each) + np.arange(upto[-1])] if len(word) else np.zeros(0, "<u4")
-    n = upto[bounds[1:]] - upto[bounds[:-1]] + 1
-    ends = np.cumsum(n) - 1
-    both = np.empty(len(out) + len(n), np.uint32)
-    own = np.ones(len(both), bool)
-    own[ends] = False
-    both[own] = out
-    both[ends] = end_id
-    return both, n
+    """(ids of all texts in turn, each followed by ``end_id``; ids of each text), by this worker's encoder of the file."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path].encode(texts, end_id)
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
