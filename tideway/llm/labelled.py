@@ -11,23 +11,18 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, chars: int | None, pieces: int = 1) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class outside the held-out fold, those of least hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, *columns: Column) -> list[tuple]:
+    """(columns of the text, label) of at most ``per_class`` labelled rows of each class outside the held-out fold, those of least hash.
 
-    Of a text longer than ``chars * pieces`` characters, ``pieces`` evenly spread cuts of ``chars`` are taken, joined by
-    a line break, so at most ``2 * per_class * (chars + 1) * pieces`` characters reach the driver. Without ``chars`` each
-    word of a whole text is taken once, in the order of its first place.
+    ``columns`` are made of the column ``text``, null read as empty, where the texts are; without any it is the whole
+    text. Only the number of rows is bounded.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     known = known.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64("doc_id").alias("_key")).distinct()
     order = ["_key", "_id", "_label"]
     picked = known.filter("_label = 0").orderBy(*order).limit(per_class).unionByName(known.filter("_label = 1").orderBy(*order).limit(per_class))
-    text, size = F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit("")))
-    if chars is None:
-        cut = F.array_join(F.array_distinct(F.split(text, r"[ \t\n\x0B\f\r]+")), " ")
-    else:
-        spread = [F.substring(text, F.floor((size - chars) * k / max(1, pieces - 1)).cast("int") + 1, F.lit(chars)) for k in range(pieces)]
-        cut = F.when(size > chars * pieces, F.concat_ws("\n", *spread)).otherwise(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    found = rows.select("_key", "_id", "_label", cut.alias("cut")).orderBy("_key", "_id", "_label", "cut").limit(2 * per_class).collect()
-    return [(r["cut"], r["_label"]) for r in found]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # 2 * per_class rows
+    taken = [c.alias(f"_{k}") for k, c in enumerate(columns or (F.col("text"),))]
+    first = found.orderBy("_key", "_id", "_label", F.xxhash64("text")).limit(2 * per_class)
+    return [(*[r[f"_{k}"] for k in range(len(taken))], r["_label"]) for r in first.select("_label", *taken).collect()]

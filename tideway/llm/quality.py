@@ -147,9 +147,9 @@ def quality_scores(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = 1500) -> Network:
-    """Train on at most ``per_class`` texts of each label outside the held-out fold, four cuts of 500 characters of each."""
-    return train(labelled_sample(docs, labels, "quality", folds, held_out, per_class, 500, 4))
+def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = 1000) -> Network:
+    """Train on at most ``per_class`` whole texts of each label outside the held-out fold."""
+    return train(labelled_sample(docs, labels, "quality", folds, held_out, per_class))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 3, held_out: int = 1) -> DataFrame:
@@ -163,7 +163,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns."""
+    """The documents that the classifier does not reject, with their columns.
+
+    Each row is judged by its text alone, null as empty: repeated rows and null ids stay or go alike. Without labels of
+    both kinds all rows stay or all go; an empty table gives an empty result; names of columns are free.
+    """
     net = fit_quality(docs, labels)
     names, kinds = docs.columns, docs.schema
 

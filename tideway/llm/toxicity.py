@@ -1,4 +1,4 @@
-"""Counterfactual-regularised toxicity classifier: swapping identity terms in a labelled text must not move its score."""
+"""Counterfactual-regularised toxicity classifier: swapping identity terms in a labelled sentence must not move its score."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.labelled import fold, labelled_sample
@@ -79,30 +79,31 @@ def _swapped(words: list[str], rng: np.random.Generator) -> list[str]:
 _KIND = {t: terms for terms in IDENTITY_TERMS.values() for t in terms}
 
 
-def train(sample: list[tuple[str, int]], most: int = 30_000, least: int = 5, rounds: int = 300, fairness: float = 4.0, decay: float = 2e-4, seed: int = 3) -> Model:
-    """Logistic regression on word features with the penalty fairness * (score - score of the swapped text) ** 2.
+def train(sample: list[tuple[str, list[str], int]], most: int = 30_000, least: int = 5, rounds: int = 300, fairness: float = 4.0, decay: float = 2e-4, seed: int = 3) -> Model:
+    """Logistic regression on word features with the penalty fairness * (score - score of the swapped sentence) ** 2.
 
-    Features are those that ``least`` sampled texts have, the ``most`` that part the classes best, and every identity
-    term. Each text that names a group is paired with a swapped copy; so is a copy of every eighth text into which a
-    term is put, as neutral mentions are rare in labelled rows.
+    ``sample`` has the words of each text, its sentences that name a group, and its label. Features are those that
+    ``least`` sampled texts have, the ``most`` that part the classes best, and every identity term. Each sentence that
+    names a group is paired with a swapped copy, a text's sentences sharing the weight of one; so is a copy of every
+    eighth text into which a term is put, as neutral mentions are rare in labelled rows.
     """
     rng = np.random.default_rng(seed)
-    labels = np.array([y for _, y in sample], np.float64)
+    labels = np.array([y for *_, y in sample], np.float64)
     ones = float(labels.mean()) if len(labels) else 0.0
     empty = [(pa.array([], pa.string()), np.zeros(0)) for _ in HEADS]
     if not 0 < ones < 1:
         return Model(empty, 20.0 * (ones - 0.5) if len(labels) else -5.0)
-    bags = []
-    for t, _ in sample:
-        bags.append([sys.intern(w) for w in (x.lower().strip(EDGES) for x in t.split()) if w])
-    pairs = []  # (text, its words, its words with other terms)
+    split = lambda t: [sys.intern(w) for w in (x.lower().strip(EDGES) for x in t.split()) if w]
+    bags = [split(t) for t, _, _ in sample]
+    pairs, share = [], []  # (words, words with other terms) and the weight of each pair
     terms = list(_KIND)
-    for k, words in enumerate(bags):
-        if any(w in _KIND for w in words):
-            pairs.append((k, words, _swapped(words, rng)))
-        elif k % 8 == 0:
-            own = words + [str(rng.choice(terms))]
-            pairs.append((k, own, _swapped(own, rng)))
+    for k, (words, (_, sentences, _)) in enumerate(zip(bags, sample, strict=True)):
+        own = [w for w in map(split, sentences) if any(x in _KIND for x in w)]
+        if not own and k % 8 == 0:
+            own = [words + [str(rng.choice(terms))]]
+        for w in own:
+            pairs.append((w, _swapped(w, rng)))
+            share.append(1 / len(own))
     features = lambda words: {(h, w[:h] if h else w) for w in set(words) for h in HEADS if not h or len(w) > h}
     count: dict = {}
     for b, y in zip(bags, labels, strict=True):  # the features of one text at a time: all of them would fill the driver
@@ -120,19 +121,25 @@ def train(sample: list[tuple[str, int]], most: int = 30_000, least: int = 5, rou
         return np.repeat(np.arange(len(hits), dtype=np.int32), [len(h) for h in hits]), np.concatenate([*hits, np.zeros(0, np.int32)])
 
     row, col = rows(bags)
-    a_row, a_col = rows([p[1] for p in pairs])
-    b_row, b_col = rows([p[2] for p in pairs])
+    a_row, a_col = rows([p[0] for p in pairs])
+    b_row, b_col = rows([p[1] for p in pairs])
+    pull = 2 * fairness * np.array(share) / max(1.0, sum(share))
+    squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     w, offset, n = np.zeros(len(chosen)), 0.0, len(bags)
     weight = np.where(labels == 1, 0.5 / ones, 0.5 / (1 - ones)) / n
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + offset, -30, 30)))
+        p = squash(np.bincount(row, w[col], n) + offset)
         d = (p - labels) * weight
         g = np.bincount(col, d[row], len(w)) + decay * w
+        shift = d.sum()
         if pairs:
-            move = (np.bincount(a_row, w[a_col], len(pairs)) - np.bincount(b_row, w[b_col], len(pairs))) * (2 * fairness / len(pairs))
-            g += np.bincount(a_col, move[a_row], len(w)) - np.bincount(b_col, move[b_row], len(w))
-        g = np.append(g, d.sum())
+            one, other = (squash(np.bincount(r, w[c], len(pairs)) + offset) for r, c in ((a_row, a_col), (b_row, b_col)))
+            move = pull * (one - other)
+            up, down = move * one * (1 - one), move * other * (1 - other)
+            g += np.bincount(a_col, up[a_row], len(w)) - np.bincount(b_col, down[b_row], len(w))
+            shift += (up - down).sum()
+        g = np.append(g, shift)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
@@ -141,6 +148,17 @@ def train(sample: list[tuple[str, int]], most: int = 30_000, least: int = 5, rou
     return Model([(pa.array([f for f, _ in part], pa.string()), np.array([x for _, x in part])) for part in own], float(offset))
 
 
+def distinct_words(text: Column) -> Column:
+    """Each word of a whole text once, parted by spaces."""
+    return F.array_join(F.array_distinct(F.split(text, r"[ \t\n\x0B\f\r]+")), " ")
+
+
+def naming_sentences(text: Column) -> Column:
+    """The different sentences of a whole text that name a group."""
+    named = r"(?i)(?<![a-z])(" + "|".join(_KIND) + r")(?![a-z])"
+    return F.array_distinct(F.filter(F.split(text, r"(?<=[.!?\n])"), lambda s: s.rlike(named)))
+
+
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every whole text, by slices of about 4 MB; a longer text stands alone."""
 
@@ -155,10 +173,11 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, per_class: int = 2500) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Learns from at most ``per_class`` texts of each label outside the held-out fold, from each word of a whole text once.
+    Learns from at most ``per_class`` texts of each label outside the held-out fold: from each word of a whole text once
+    and from its sentences that name a group.
     Null texts are scored as empty ones; rows with equal doc_id are scored each; without labels of both kinds the score
     is one constant; an empty table gives an empty result; other columns are ignored.
     """
-    model = train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class, None))
+    model = train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class, distinct_words(F.col("text")), naming_sentences(F.col("text"))))
     scored = toxicity_scores(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
