@@ -49,10 +49,10 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     return marked.withColumn("record_type", kind).withColumnRenamed("first_id", "refers_to").drop("_id", "_of")
 
 
-def train_dictionary(pages: DataFrame, samples: int = 300, sample_bytes: int = 8192, size: int = 16384) -> bytes:
-    """A dictionary from at most ``samples`` pages of least hash, at most ``sample_bytes`` of each; b"" if there are too few."""
-    rows = pages.filter("html IS NOT NULL").select(F.lit("all").alias("g"), F.xxhash64("page_id").alias("k"), F.substring("html", 1, sample_bytes).alias("t"))
-    texts = [t.encode()[:sample_bytes] for t in least_hashed(rows, {"all": rows.count()}, samples)["all"] if t]
+def train_dictionary(pages: DataFrame, samples: int = 300, size: int = 16384) -> bytes:
+    """A dictionary from at most ``samples`` whole pages, those of least hash; b"" if there are too few."""
+    rows = pages.filter("html IS NOT NULL").select(F.lit("all").alias("g"), F.xxhash64("page_id").alias("k"), F.col("html").alias("t"))
+    texts = [t.encode() for t in least_hashed(rows, {"all": rows.count()}, samples)["all"] if t]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 10 else b""
     except zstandard.ZstdError:
