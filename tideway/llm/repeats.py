@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.shared import discard, materialize, mix, partitions, text_bytes, text_or_empty
+from tideway.llm.shared import discard, free_shuffles, materialize, mix, partitions, slices, text_bytes, text_or_empty
 
 #: Bytes of an anchor, and windows of a text that are worked on at once.
 K, PIECE = 40, 1 << 21
@@ -87,10 +88,6 @@ def _pieces(data: bytes, length: int) -> Iterator[Piece]:
         yield Piece(data, base, length)
 
 
-def _rows(arrays: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)) for a in arrays], names)
-
-
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     """(doc_id, th, text) and whether ids are unique; th, a hash of the text, is then 0, as ids tell rows apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -106,11 +103,35 @@ def _with_places(keyed: DataFrame, once: bool, places: DataFrame, how: str) -> D
     return keyed.join(own, keyed["doc_id"].eqNullSafe(own["_id"]) & (keyed["th"] == own["_th"]), how)
 
 
-def _with_id(batch: pa.RecordBatch, rows: list, arrays: list, names: list[str]) -> pa.RecordBatch:
-    """The arrays with doc_id and th of their row in the batch; ids may be null."""
-    at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-    rest = _rows(arrays, names)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *rest.columns], [*KEY, *names])
+def _ranks(batch: pa.RecordBatch) -> np.ndarray:
+    """Place of each row in the order of (doc_id, th), null ids first; equal rows have one place."""
+    d, t = _columns(batch.select(KEY))
+    order = np.lexsort((t, d))
+    new = np.ones(len(d), np.int64)
+    new[1:] = (d[order][1:] != d[order][:-1]) | (t[order][1:] != t[order][:-1])
+    out = np.empty(len(d), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _dealt(batch: pa.RecordBatch, rows: list, arrays: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """Rows (doc_id, th, two keys, at) of what the texts of a batch hold.
+
+    Where the batch has both keys several times, all but the earliest are told to be repeats here, by a negative ``at``
+    (-1 - at): they may be dealt anywhere, so that a string that a third of all places hold is one row a batch to the
+    task that gets it.
+    """
+    none = np.zeros(0, np.int64)
+    row, (one, two, at) = np.concatenate([none, *rows]), (np.concatenate([none, *a]) for a in arrays)
+    rank = _ranks(batch)[row] if len(row) else none
+    order = np.lexsort((at, rank, two, one))
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    twin = same & (rank[order][1:] == rank[order][:-1]) & (at[order][1:] == at[order][:-1])  # the same place of an equal row
+    again, keep = np.zeros(len(row), bool), np.ones(len(row), bool)
+    again[order[1:][same]], keep[order[1:][twin]] = True, False
+    kept = pa.array(row[keep])
+    columns = [batch.column("doc_id").take(kept), batch.column("th").take(kept), *[pa.array(x[keep]) for x in (one, two, np.where(again, -1 - at, at))]]
+    return pa.RecordBatch.from_arrays(columns, [*KEY, *names, "at"])
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
@@ -118,21 +139,29 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 200):
-                batch = whole.slice(a, 200)
+            for batch in slices(whole, "text"):
                 rows, out = [], [[], [], []]
                 for k, data in enumerate(text_bytes(batch.column("text"))):
                     for p in _pieces(data, length):
                         rows.append(np.full(len(p.first), k))
                         for o, v in zip(out, (p.name.view(np.int64), p.contexts().view(np.int64), (p.first + p.base) << 6 | (p.last - p.first)), strict=True):
                             o.append(v)
-                yield _with_id(batch, rows, out, ["name", "context", "at"])
+                yield _dealt(batch, rows, out, ["name", "context"])
 
     return keyed.mapInArrow(run, "doc_id long, th long, name long, context long, at long")
 
 
 def _sorted(rows: DataFrame, keys: list[str], deal: list[str]) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), *deal).sortWithinPartitions(*keys, *KEY, "at").select(*keys, *KEY, "at")
+    """Rows dealt by ``deal``, or by place if told to be repeats, and sorted by keys, document and place."""
+    to = F.when(F.col("at") < 0, F.xxhash64("at", *KEY)).otherwise(F.xxhash64(*deal))
+    return rows.repartition(partitions(rows.sparkSession), to).sortWithinPartitions(*keys, *KEY, "at").select(*keys, *KEY, "at")
+
+
+def _apart(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """(doc_id, th, at) of the rows that are told to be repeats, and the columns of the others."""
+    told = pc.less(batch.column("at"), 0)
+    own = batch.filter(told).select([*KEY, "at"])
+    return own.set_column(2, "at", pc.subtract(-1, own.column("at"))), _columns(batch.filter(pc.invert(told)))
 
 
 def _first_marks(batch: list, before: list | None, keys: int) -> list[np.ndarray]:
@@ -165,9 +194,11 @@ def _name_repeats(anchors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, waiting, source = None, None, None  # the last row; the first row of its name, if that has one context yet; the first of its context
         for batch in batches:
-            if not batch.num_rows:
+            told, cols = _apart(batch)
+            if told.num_rows:
+                yield pa.RecordBatch.from_arrays([*[told.column(c) for c in (*KEY, "at")], pa.array(np.zeros(told.num_rows, bool))], [*KEY, "at", "open"])
+            if not len(cols[0]):
                 continue
-            cols = _columns(batch)
             new_name, new_context, new_row = _first_marks(cols, before, 2)
             n = len(new_name)
             firsts = np.flatnonzero(new_context)
@@ -206,8 +237,7 @@ def _open_strings(keyed: DataFrame, once: bool, open_: DataFrame, length: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 50):
-                batch = whole.slice(a, 50)
+            for batch in slices(whole, "text", 1 << 20):
                 rows, out = [], [[], [], []]
                 for k, (data, ats) in enumerate(zip(text_bytes(batch.column("text")), batch.column("ats"), strict=True)):
                     wanted = np.sort(ats.values.to_numpy()) >> 6
@@ -220,7 +250,7 @@ def _open_strings(keyed: DataFrame, once: bool, open_: DataFrame, length: int) -
                         rows.append(np.full(len(start), k))
                         for o, v in zip(out, (np.repeat(p.name[mine], size).view(np.int64), p.hash(start, length).view(np.int64), (start + p.base) << 6), strict=True):
                             o.append(v)
-                yield _with_id(batch, rows, out, ["name", "string", "at"])
+                yield _dealt(batch, rows, out, ["name", "string"])
 
     return rows.mapInArrow(run, "doc_id long, th long, name long, string long, at long")
 
@@ -231,8 +261,10 @@ def _string_repeats(strings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            if batch.num_rows:
-                cols = _columns(batch)
+            told, cols = _apart(batch)
+            if told.num_rows:
+                yield told
+            if len(cols[0]):
                 _, new, _ = _first_marks(cols, before, 2)
                 before = [c[-1] for c in cols]
                 pick = np.flatnonzero(~new)
@@ -262,7 +294,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
         raise ValueError(f"length must be {K + 1} to {K + 63}")
     keyed, once = _keyed(docs)
     named = materialize(_name_repeats(_anchor_rows(keyed, length)), "named")
+    free_shuffles(docs.sparkSession)
     merged = materialize(_string_repeats(_open_strings(keyed, once, named.filter("open"), length)), "merged")
+    free_shuffles(docs.sparkSession)
     spans = named.filter("NOT open").select(*KEY, "at").union(merged)
     rows = _with_places(keyed, once, spans, "left").select("doc_id", "text", "ats")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,12 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished queries now instead of at the driver's next collection.
 
-    For the few places where an operator has just written a table and will shuffle as much again.
+    For the few places where an operator has just written a table and will shuffle as much again. The first collection
+    frees the query, the second what it held; nothing waits.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def discard(*tables: DataFrame) -> None:
@@ -229,6 +232,18 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts of a batch whose ``column`` has about ``most`` bytes; a longer value stands alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(size)
+    first = 0
+    while first < len(size):
+        base = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, base + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def exact_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     """Sorted distinct n-word shingles of each text as numbers that stand for the words themselves, within one call.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideway.llm.huffman import Decoder, Encoder, code_lengths
-from tideway.llm.shared import discard, materialize, partitions, text_or_empty
+from tideway.llm.shared import discard, materialize, partitions, slices, text_or_empty
 
 IDS_SCHEMA = "pid int, doc_id long, n_tokens long, at long, ids binary, counts binary"
 BLOCK_SCHEMA = "start long, block binary"
@@ -163,18 +163,6 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
     return _encoders[path].encode(texts, end_id)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts of a batch whose ``column`` has about ``most`` bytes; a longer value stands alone."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    upto = np.cumsum(size)
-    first = 0
-    while first < len(size):
-        base = upto[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(upto, base + most, "right")))
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def token_ids(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataFrame:
     """Table of ids in range partitions by doc_id; each partition's last row has its counts of ids."""
     wide = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -184,7 +172,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataF
         names = ["pid", "doc_id", "n_tokens", "at", "ids", "counts"]
         total, at, pid = np.zeros(vocabulary, np.int64), 0, None
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 pid = batch.column("pid")[0].as_py()
                 ids, n = encode_texts(batch.column("text"), path, end_id)
                 total += np.bincount(ids, minlength=vocabulary)

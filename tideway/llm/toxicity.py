@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.labelled import fold, labelled_sample
-from tideway.llm.shared import text_or_empty
-from tideway.llm.token_store import _slices
+from tideway.llm.shared import slices, text_or_empty
 
 #: Terms that name groups, by kind; within a kind they may stand for each other.
 IDENTITY_TERMS = {
@@ -164,7 +163,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(batch.column("text"), model))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
