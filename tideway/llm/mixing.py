@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideway.llm.shared import WORD, discard, materialize, prefix_sums, ranged, text_or_empty
 
@@ -35,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken.
+    """One row per document: doc_id, th (hash of its text), source, size, source_size, target, taken, copies, part.
 
     Each source's documents stand in a random order fixed by md5(seed, doc_id). Whole epochs of the source are taken
     first; of the last one, the documents before the budget's end, the one on the cut in part, so that a source's
@@ -44,9 +45,9 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3,
     Null texts have size 0 and are taken 0 times; null sources are one source, sorted last; rows with equal doc_id are
     each a document; an empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("key"))
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), "source", word_count(text_or_empty()).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("key"))
     counted = materialize(rows, "sizes")
-    order = [F.col("key"), F.col("doc_id"), F.col("size")]
+    order = [F.col("key"), F.col("doc_id"), F.col("size"), F.col("th")]
     table = ranged(counted, [F.col("source").asc_nulls_last(), *order], "keyed")
     discard(counted)
     summed = prefix_sums(table, ["source"], order, "size", "before")
@@ -59,20 +60,25 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3,
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long")
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), epochs.alias("copies"), part.alias("part"))
+    return mixed.select("doc_id", "th", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), epochs.alias("copies"), part.alias("part"))
 
 
 def keep_mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a document taken several times stands several times, one on the cut keeps its first words.
 
-    Columns are those of ``docs``; of a cut document ``text`` holds the kept words, parted by one space. Rows meet
-    their share by doc_id, size and source; rows equal in all three share alike.
+    Columns are those of ``docs``, whatever their names; of a cut document ``text`` holds the kept words, parted by one
+    space. Each row takes its own share: rows equal in doc_id, text and source are numbered, and share out the takes of
+    that many. Null texts and texts without words are taken 0 times and go; null ids and sources are as in
+    ``mix_sources``; an empty table gives an empty result.
     """
-    share = mix_sources(docs, **options).filter("taken > 0").groupBy("doc_id", "size", "source").agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
-    share = share.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "_copies", "_part")
-    found = docs.withColumn("_n", word_count(text_or_empty()))
-    joined = found.join(share, found["doc_id"].eqNullSafe(share["_id"]) & (found["_n"] == share["_size"]) & found["source"].eqNullSafe(share["_source"]))
-    takes = F.concat(F.array_repeat(F.col("_size"), F.col("_copies").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>")))
-    first_words = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")))
-    taken = joined.withColumn("_take", F.explode(takes))
-    return taken.withColumn("text", F.when(F.col("_take") < F.col("_n"), first_words).otherwise(F.col("text"))).select(*docs.columns)
+    same = Window.partitionBy("doc_id", "th", "source")
+    share = mix_sources(docs, **options).select("doc_id", "th", "source", "size", "copies", "part", F.row_number().over(same.orderBy(F.desc("part"))).alias("place")).filter("copies + part > 0").alias("share")
+    rows = docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("th"), "source", F.struct("*").alias("row"))
+    rest = F.to_json(F.struct(*[F.col("row")[c] for c in docs.columns if c != "text"]))
+    rows = rows.withColumn("place", F.row_number().over(same.orderBy(rest))).alias("doc")
+    on = [F.col(f"doc.{c}").eqNullSafe(F.col(f"share.{c}")) for c in ("doc_id", "th", "source", "place")]
+    takes = F.concat(F.array_repeat(F.col("size"), F.col("copies").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    taken = rows.join(share, on).select("row", "size", F.explode(takes).alias("take"))
+    first_words = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("row")["text"].cast("string"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")))
+    text = F.when(F.col("take") < F.col("size"), first_words).otherwise(F.col("row")["text"])
+    return taken.select([(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
