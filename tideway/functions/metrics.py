@@ -83,21 +83,23 @@ def position_ratio_at_least(pos_m: Column, length_m: Column, ratio: float) -> Co
 
 
 def phase_at(t: Column, offset: Column, green: int = 42, yellow: int = 3) -> Column:
-    """Phase name of a fixed-time signal at second t."""
+    """Phase name of a fixed-time signal at second t; a green time of one's own lies within 10 and 120 s."""
+    green = min(120, max(10, green))
     half = green + yellow
     x = F.pmod(t + offset, F.lit(float(2 * half)))
     return F.when(x < green, "NS_GREEN").when(x < half, "NS_YELLOW").when(x < half + green, "EW_GREEN").otherwise("EW_YELLOW")
 
 
-def spawn_multiplier(t: Column, length_s: float = 300.0, low: float = 0.3, ramp: float = 0.15) -> Column:
-    """Demand over a peak: up from ``low`` in the first part, down in the last, ``low`` after it."""
+def spawn_multiplier(t: Column, length_s: float = 300.0, low: float = 0.3, ramp: float = 0.15, peak: Column | None = None) -> Column:
+    """Demand over a peak: up from ``low`` in the first part, down in the last, ``low`` after it; 1 where ``peak`` is false."""
     r = ramp * length_s
-    return F.when(t < r, low + (1 - low) * t / r).when(t < length_s - r, F.lit(1.0)).when(t < length_s, 1 - (1 - low) * (t - (length_s - r)) / r).otherwise(F.lit(low))
+    return F.when(F.lit(False) if peak is None else ~peak, F.lit(1.0)).when(t < r, low + (1 - low) * t / r).when(t < length_s - r, F.lit(1.0)).when(t < length_s, 1 - (1 - low) * (t - (length_s - r)) / r).otherwise(F.lit(low))
 
 
 def min_gap_m(length_m: Column, own_kmh: Column, ahead_kmh: Column, headway_s: float = 1.5, weather: float = 1.0, scale: float = 1.0, gap: float = MODEL.gap_m) -> Column:
-    top = F.greatest(own_kmh, ahead_kmh)
-    return F.when(top > 0, length_m + top / 3.6 * headway_s * weather).otherwise(length_m + gap) / max(scale, 1.0)
+    """Room to the vehicle ahead: a fixed gap where both stand (under 1 km/h), else the headway at the faster one's speed, 5 km/h at least."""
+    top = F.greatest(own_kmh, ahead_kmh, F.lit(5.0))
+    return F.when((own_kmh < 1.0) & (ahead_kmh < 1.0), length_m + gap).otherwise(length_m + top / 3.6 * headway_s * weather) / max(scale, 1.0)
 
 
 def effective_kmh(density: Column, green: Column, weather: float = 1.0, agility: float = 1.0, capacity: float = 1.0) -> Column:

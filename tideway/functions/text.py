@@ -72,3 +72,32 @@ def stable_pick(draw: Column, weights: dict[str, float]) -> Column:
 def content_hash(*parts: Column) -> Column:
     """SHA-256 of the parts, one a line."""
     return F.sha2(F.concat_ws("\n", *parts), 256)
+
+
+def canonical_json(doc: Column) -> Column:
+    """A JSON object of plain values with its keys in order and no blanks."""
+    m = F.from_json(doc, "map<string,variant>")
+    sorted_ = F.array_sort(F.map_keys(m))
+    parts = F.transform(sorted_, lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.to_json(F.element_at(m, k))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def map_attr(doc: Column, name: str, kind: str = "double") -> Column:
+    """A property whose value is an object of numbers (``double`` or ``int``), as a map; anything else is null."""
+    raw = F.get_json_object(doc, f"$.{name}.value")
+    return F.when(raw.startswith("{"), F.from_json(raw, f"map<string,{kind}>"))
+
+
+def utc_text(t: Column) -> Column:
+    """Seconds since 1970 as yyyy-MM-ddTHH:mm:ssZ; the session's time zone is UTC."""
+    return F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def log_kind(line: Column) -> Column:
+    """What a simulator's log line reports: teleport, error or nothing."""
+    return F.when(line.rlike("(?i)teleport"), "teleport").when(line.rlike("^Error:"), "error")
+
+
+def percent_encode(x: Column) -> Column:
+    """An id as part of an address."""
+    return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))

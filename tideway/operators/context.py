@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideway.functions import metrics as M
-from tideway.operators.history import queue_slope
+from tideway.operators.history import discharge_drop, queue_slope, window_mean
 from tideway.params import MODEL
 
 NODE = ["run_id", "node_id", "obs_t"]
@@ -41,10 +42,10 @@ def network_summary(nodes: DataFrame) -> DataFrame:
 
 
 def link_states(history: DataFrame, links: DataFrame, window: float = MODEL.window_s) -> DataFrame:
-    """Slope of each link's queue, taken at its upstream node and direction, at every reading of (run_id, node_id, direction, sim_t, q)."""
+    """Slope of each link's queue, taken at its upstream node and direction, with its occupancy, at every reading of (run_id, node_id, direction, sim_t, q, occupancy)."""
     h = history.withColumn("slope", queue_slope(history, ["run_id", "node_id", "direction"], window=window))
     on = (h["node_id"] == F.col("up")) & (h["direction"] == F.col("up_direction"))
-    return h.join(F.broadcast(links), on).select("run_id", "link", "up", "dn", "sim_t", "event_id", "q", "slope")
+    return h.join(links, on).select("run_id", "link", "up", "dn", "sim_t", "event_id", "q", "occupancy", "slope")
 
 
 def active_overlays(overlays: DataFrame, times: DataFrame) -> DataFrame:
@@ -81,19 +82,23 @@ def overlay_patches(overlays: DataFrame, lanes: DataFrame) -> DataFrame:
 
 def probable_causes(overlays: DataFrame, links: DataFrame, history: DataFrame, window: float = MODEL.window_s, low: float = MODEL.cause_from_s, high: float = MODEL.cause_to_s, slope: float = MODEL.slope) -> DataFrame:
     """Readings of upstream approaches that an overlay at the link's far end explains: age within [low, high], and the
-    queue rises, the state is bad or spillback is on. One row for each overlay, link and reading.
+    queue rises, the state is bad or spillback is on. One row for each overlay, link and reading, with its evidence.
 
-    The link table is broadcast; overlay and reading meet on run, link and bucketed time.
+    ``history`` has (run_id, node_id, direction, sim_t, event_id, q, occupancy, state, spillback_active). Overlay and
+    reading meet on run, link and bucketed time.
     """
-    width = high - low
-    state = link_states(history, links, window).withColumn("state", M.traffic_state(F.lit(0.0), F.col("q")))
+    width, keys = high - low, ["run_id", "node_id", "direction"]
+    h = history.withColumn("slope", queue_slope(history, keys, window=window)).withColumn("mean_occupancy", window_mean(keys, "occupancy", window=window)).withColumn("drop", discharge_drop(keys, "q", window=window))
+    state = h.join(links, (h["node_id"] == F.col("up")) & (h["direction"] == F.col("up_direction")))
     at = state.withColumn("_b", F.floor(F.col("sim_t") / width))
-    o = overlays.filter(F.col("overlay_type").isin("downstream_restriction", "accident", "blocked_intersection")).join(F.broadcast(links.select("link", F.col("dn").alias("o_dn"))), F.col("node_id") == F.col("o_dn"))
-    spread = o.select("run_id", "link", "overlay_id", "overlay_type", "created_at_s", F.explode(F.sequence(F.floor((F.col("created_at_s") + low) / width), F.floor((F.col("created_at_s") + high) / width))).alias("_b"))
+    o = overlays.filter(F.col("overlay_type").isin("downstream_restriction", "accident", "blocked_intersection")).select("run_id", "overlay_id", "overlay_type", "created_at_s", F.col("node_id").alias("source_node"))
+    o = o.join(links.select("link", F.col("dn").alias("source_node")), "source_node")
+    spread = o.withColumn("_b", F.explode(F.sequence(F.floor((F.col("created_at_s") + low) / width), F.floor((F.col("created_at_s") + high) / width))))
     j = at.join(spread, ["run_id", "link", "_b"]).withColumn("age", F.col("sim_t") - F.col("created_at_s")).filter(F.col("age").between(low, high))
-    hit = j.filter((F.col("slope") > slope) | F.col("state").isin("CONGESTED", "OVERSATURATED"))
+    hit = j.filter((F.col("slope") > slope) | F.col("state").isin("CONGESTED", "OVERSATURATED") | F.col("spillback_active"))
     kind = F.when(F.col("overlay_type") == "downstream_restriction", "DOWNSTREAM_RESTRICTION").otherwise("DOWNSTREAM_BLOCKAGE")
-    return hit.select("run_id", "overlay_id", "link", "up", "dn", "sim_t", "event_id", kind.alias("cause_type"), F.bround("slope", 4).alias("queue_slope_m_per_s"), F.bround("age", 4).alias("age_s"), F.lit(1.0).alias("confidence"), F.lit("RULE_BASED").alias("method"))
+    evidence = [F.bround("slope", 4).alias("queue_slope_m_per_s"), F.bround("mean_occupancy", 4).alias("occupancy"), F.bround("drop", 4).alias("discharge_drop_ratio"), F.col("q").alias("queue_length_m"), F.lit(float(window)).alias("window_s")]
+    return hit.select("run_id", "overlay_id", "link", "source_node", F.col("up").alias("affected_node"), "event_id", kind.alias("cause_type"), F.col("created_at_s").alias("observed_from_s"), F.col("sim_t").alias("observed_to_s"), *evidence, F.lit(1.0).alias("confidence"), F.lit("RULE_BASED").alias("method"))
 
 
 def operational_flags(nodes: DataFrame, active: DataFrame) -> DataFrame:
@@ -139,3 +144,46 @@ def first_match(rows: DataFrame, catalogs: list[DataFrame], key: str) -> DataFra
     rest = [c for c in ranked.columns if c not in (key, "_rank")]
     best = ranked.groupBy(key).agg(F.min_by(F.struct(*rest), "_rank").alias("r"))
     return rows.join(F.broadcast(best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])), key, "left")
+
+
+def recent_incidents(incidents: DataFrame, now: Column, age_s: float = 300.0, kept_s: float = 3600.0, most: int = 200) -> DataFrame:
+    """Incidents (run_id, incident_id, t) of the last ``kept_s`` seconds, the last ``most`` a run, with whether they are recent."""
+    age = now - F.col("t")
+    kept = incidents.withColumn("age_s", age).filter((F.col("age_s") < kept_s) & (F.col("age_s") >= 0))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("t"), F.desc("incident_id")))
+    return kept.withColumn("_p", place).filter(F.col("_p") <= most).drop("_p").withColumn("recent", F.col("age_s") < age_s)
+
+
+def node_links(links: DataFrame, node: str) -> DataFrame:
+    """Links that start or end at a node."""
+    return links.filter((F.col("up") == node) | (F.col("dn") == node))
+
+
+def causes_of_link(causes: DataFrame, link: str) -> DataFrame:
+    return causes.filter(F.col("link") == link)
+
+
+def node_projection(nodes: DataFrame) -> DataFrame:
+    """The node state that readers get: names of the interface, no working columns."""
+    return nodes.select("run_id", F.col("node_id").alias("node"), F.col("obs_t").alias("t"), F.col("state").alias("aggregate_traffic_state"), F.col("vehicle_count").alias("vehicles"), F.col("pcu_equivalent").alias("pcu"))
+
+
+def counters(vehicles: DataFrame) -> DataFrame:
+    """Active, exited and waiting vehicles of a run."""
+    has = lambda s: F.count_if(F.col("state") == s)
+    return vehicles.groupBy("run_id").agg((F.count(F.lit(1)) - has("EXITED_NETWORK")).alias("active"), has("EXITED_NETWORK").alias("exited"), has("WAITING").alias("pending"))
+
+
+def context_summary(nodes: DataFrame, overlays: DataFrame, causes: DataFrame) -> DataFrame:
+    """Congested and spillback nodes (run_id, obs_t, state, spillback_active), active overlays and causes of a time."""
+    keys = ["run_id", "obs_t"]
+    n = nodes.groupBy(*keys).agg(F.count_if(F.col("state").isin("CONGESTED", "OVERSATURATED")).alias("nodes_congested"), F.count_if("spillback_active").alias("nodes_spillback"))
+    o = overlays.groupBy(*keys).agg(F.count(F.lit(1)).alias("active_overlays"))
+    c = causes.groupBy(*keys).agg(F.count(F.lit(1)).alias("probable_cause_count"))
+    return n.join(o, keys, "left").join(c, keys, "left").fillna(0, ["active_overlays", "probable_cause_count"])
+
+
+def node_occupancy(occupancy: DataFrame) -> DataFrame:
+    """Mean occupancy of a node's directions, zeros too."""
+    tenths = F.sum(F.round(F.col("occupancy_pct") * 10).cast("long"))  # sums of integers do not depend on their order
+    return occupancy.groupBy(*NODE).agg((F.bround(tenths / F.count(F.lit(1)), 0) / 10).alias("occupancy_rate"))

@@ -87,3 +87,24 @@ def scenario_effects(spark: SparkSession) -> DataFrame:
     """What a scenario command sets: a demand profile, an overlay, or both."""
     rows = [("normal", "normal", None), ("morning_peak", "morning_peak", None), ("evening_peak", "evening_peak", None), ("oversaturated", "oversaturated", None), ("rain", "normal", "heavy_rain"), ("accident", None, "accident"), ("blocked_intersection", None, "blocked_intersection"), ("downstream_restriction", None, "downstream_restriction"), ("emergency", None, "emergency")]
     return spark.createDataFrame(rows, "scenario string, profile string, overlay_type string")
+
+
+def approach_signals(approaches: DataFrame) -> DataFrame:
+    """The signal of each approach edge; the first by name where several have it."""
+    return approaches.groupBy("edge").agg(F.min("tls_id").alias("tls_id"))
+
+
+def edges_between(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Edges from one node to another."""
+    return edges.filter((F.col("src") == src) & (F.col("dst") == dst))
+
+
+def nested_connections(connections: DataFrame) -> DataFrame:
+    """Connections (tls_id, approach, from_lane, to_edge, link_index) of each signal and approach, in order; a null index is -1."""
+    c = F.struct(F.coalesce("link_index", F.lit(-1)).alias("link_index"), "from_lane", "to_edge")
+    return connections.groupBy("tls_id", "approach").agg(F.sort_array(F.collect_list(c)).alias("connections"))  # an approach has a few
+
+
+def lane_length_sets(lanes: DataFrame) -> DataFrame:
+    """Distinct lane lengths, two digits, of internal and external edges, in order."""
+    return lanes.groupBy(F.col("edge").startswith(":").alias("internal")).agg(F.sort_array(F.collect_set(F.bround("length_m", 2))).alias("lengths"))

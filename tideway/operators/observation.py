@@ -149,9 +149,13 @@ def full_link_storage(seen: DataFrame, halting: float = MODEL.halting_ms, gap: f
 
 
 def waiting_reasons(rollup: DataFrame, colors: DataFrame) -> DataFrame:
-    """All waiting vehicles wait for the signal on red or yellow, for congestion on green; ties go to RED_PHASE."""
+    """All waiting vehicles wait for the signal on red or yellow, for congestion on green; ties go to RED_PHASE.
+
+    An unknown phase index counts as green for North and South.
+    """
     w, red = F.col("waiting_vehicle_count"), F.col("color").isin("red", "yellow")
-    j = rollup.join(F.broadcast(colors), ["phase_index", "direction"])
+    default = F.when(F.col("direction").isin("North", "South"), "green").otherwise("red")
+    j = rollup.join(colors, ["phase_index", "direction"], "left").withColumn("color", F.coalesce("color", default))
     return j.select(*GRAIN, "color", F.when(red, w).otherwise(0).cast("long").alias("red_phase"), F.when(~red, w).otherwise(0).cast("long").alias("congestion"), F.when(w > 0, F.when(red, "RED_PHASE").otherwise("CONGESTION")).alias("dominant_waiting_reason"))
 
 
@@ -200,3 +204,47 @@ def vehicles_ahead(obs: DataFrame) -> DataFrame:
     """Adds the vehicle ahead in the lane and the gap to its rear."""
     w = Window.partitionBy("run_id", "node_id", "direction", "lane_index", "obs_t").orderBy(F.col("lane_pos_m").desc(), "event_id")
     return obs.withColumn("ahead", F.lag("vehicle_id").over(w)).withColumn("gap_m", F.bround(F.lag(F.col("lane_pos_m") - F.col("length_m")).over(w) - F.col("lane_pos_m"), 2))
+
+
+def active_vehicles(rows: DataFrame, states: tuple[str, ...] | None = None) -> DataFrame:
+    """Vehicles that have not left the network, or those in one of ``states``."""
+    return rows.filter(F.col("state").isin(*states) if states else F.col("state") != "EXITED_NETWORK")
+
+
+def legacy_speed(rows: DataFrame) -> DataFrame:
+    """Mean speed of moving, congested and exit-blocked vehicles, slow ones too."""
+    return active_vehicles(rows, ("MOVING", "CONGESTED", "BLOCKED_AT_EXIT")).groupBy(*GRAIN).agg(F.bround(F.avg(F.col("speed_ms") * 3.6), 1).alias("legacy_speed_kmh"))
+
+
+def vehicle_totals(*parts: DataFrame) -> DataFrame:
+    """Vehicles of a run over intersections and edges."""
+    both = parts[0].select("run_id", "vehicle_id")
+    for p in parts[1:]:
+        both = both.union(p.select("run_id", "vehicle_id"))
+    return both.groupBy("run_id").agg(F.count(F.lit(1)).alias("vehicles"))
+
+
+def snapshot_flags(pressures: DataFrame, threshold: float = MODEL.spill_pressure) -> DataFrame:
+    """Spillback and box flags of a snapshot: an edge is full, or pressure reaches the threshold."""
+    return pressures.withColumn("flagged", F.col("edge_full") | (F.col("pressure") >= threshold))
+
+
+def signal_state(readings: DataFrame, names: DataFrame) -> DataFrame:
+    """Phase name and whole seconds left of (…, phase_index, next_switch_s, sim_t); an unknown index is NS_GREEN."""
+    j = readings.join(names.select("phase_index", "phase").distinct(), "phase_index", "left")
+    return j.withColumn("phase", F.coalesce("phase", F.lit("NS_GREEN"))).withColumn("remaining_s", F.greatest(F.lit(0), (F.col("next_switch_s") - F.col("sim_t")).cast("int")))
+
+
+def movement_by_sides(entry: Column, leave: Column) -> Column:
+    """Movement from the sides a vehicle enters and leaves by, clockwise; back the way it came is straight."""
+    order = F.array(*[F.lit(d) for d in ("North", "West", "South", "East")])
+    turn = F.pmod(F.array_position(order, leave) - F.array_position(order, entry), F.lit(4))
+    return F.when(turn == 1, "right").when(turn == 3, "left").otherwise("straight")
+
+
+def free_right_turns(waiting: DataFrame, moving: DataFrame) -> DataFrame:
+    """Right turns on red (keys and direction) that no moving vehicle of a crossing direction conflicts with."""
+    w, m = waiting.alias("w"), moving.select("run_id", "node_id", "obs_t", F.col("direction").alias("other")).distinct().alias("m")
+    across = F.col("w.direction").isin("North", "South") != F.col("m.other").isin("North", "South")
+    on = [F.col(f"w.{c}") == F.col(f"m.{c}") for c in ("run_id", "node_id", "obs_t")]
+    return w.join(m, [*on, across], "left_anti")

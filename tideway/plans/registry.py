@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideway.plans import documents, traffic
+from tideway.plans import documents, lanes, traffic
 
-QUERIES = {**traffic.QUERIES, **documents.QUERIES}
-ORACLES = {**traffic.ORACLES, **documents.ORACLES}
+QUERIES = {**traffic.QUERIES, **documents.QUERIES, **lanes.QUERIES}
+ORACLES = {**traffic.ORACLES, **documents.ORACLES, **lanes.ORACLES}

@@ -323,22 +323,30 @@ SLOPED = f"""sl AS (SELECT *, CASE WHEN count(*) OVER w < 2 THEN 0 ELSE (arg_max
 ls AS (SELECT run_id, link, up, dn, sim_t, event_id, q, slope FROM sl JOIN lk ON node_id = up AND direction = up_direction)"""
 
 
-@query(f"{V}, {LINKS_SQL}, {SLOPED} SELECT run_id, link, up, dn, sim_t, event_id, q, round_even(slope, 6) + 0.0 AS slope FROM ls")
+OCCUPANCY = "greatest(0, least(100, CASE WHEN k / 41.0::DOUBLE <= 1 THEN k / 41.0::DOUBLE * 100 ELSE k / 41.0::DOUBLE END)) / 100"
+
+
+def with_occupancy(obs: DataFrame) -> DataFrame:
+    return obs.withColumn("occupancy", M.occupancy_percent(F.col("k") / F.lit(41.0)) / 100)
+
+
+@query(f"{V}, {LINKS_SQL}, {SLOPED} SELECT ls.run_id, link, up, dn, ls.sim_t, event_id, ls.q, {OCCUPANCY} AS occupancy, round_even(slope, 6) + 0.0 AS slope FROM ls JOIN (SELECT event_id, k FROM v) USING (event_id)")
 def link_states(spark, sf_dir):
-    return C.link_states(vehicle_obs(spark, sf_dir), P.links(spark), WINDOW).withColumn("slope", F.bround("slope", 6))
+    return C.link_states(with_occupancy(vehicle_obs(spark, sf_dir)), P.links(spark), WINDOW).withColumn("slope", F.bround("slope", 6))
 
 
 def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlays of the adapter: every 50th event starts one at its node, for k hours, without end for k over 90."""
+    """Overlays of the adapter: every truck with q over 95 starts one at its node, for k hours, without end for k over 90."""
     names = list(P.OVERLAY_PRIORITY)
-    o = vehicle_obs(spark, sf_dir).filter("event_id % 50 = 0")
-    kind = F.element_at(F.array(*[F.lit(n) for n in names]), (F.expr("event_id div 50") % len(names) + 1).cast("int"))
-    prio = F.element_at(F.array(*[F.lit(P.OVERLAY_PRIORITY[n]) for n in names]), (F.expr("event_id div 50") % len(names) + 1).cast("int"))
+    o = vehicle_obs(spark, sf_dir).filter("vtype = 'truck' AND q > 95")
+    place = (F.col("k") % len(names) + 1).cast("int")
+    kind = F.element_at(F.array(*[F.lit(n) for n in names]), place)
+    prio = F.element_at(F.array(*[F.lit(P.OVERLAY_PRIORITY[n]) for n in names]), place)
     end = F.when(F.col("k") <= 90, F.col("sim_t") + F.col("k") * 3600.0)
     return o.select("run_id", F.col("event_id").alias("overlay_id"), kind.alias("overlay_type"), "node_id", F.col("sim_t").alias("created_at_s"), end.alias("expires_at_s"), prio.alias("priority"))
 
 
-OVERLAYS = f"""ov AS (SELECT run_id, event_id AS overlay_id, {list(P.OVERLAY_PRIORITY)}[((event_id // 50) % 5)::INT + 1] AS overlay_type, {list(P.OVERLAY_PRIORITY.values())}[((event_id // 50) % 5)::INT + 1] AS priority, node_id, sim_t AS created_at_s, CASE WHEN k <= 90 THEN sim_t + k * 3600.0 END AS expires_at_s FROM v WHERE event_id % 50 = 0)"""
+OVERLAYS = f"""ov AS (SELECT run_id, event_id AS overlay_id, {list(P.OVERLAY_PRIORITY)}[(k % 5)::INT + 1] AS overlay_type, {list(P.OVERLAY_PRIORITY.values())}[(k % 5)::INT + 1] AS priority, node_id, sim_t AS created_at_s, CASE WHEN k <= 90 THEN sim_t + k * 3600.0 END AS expires_at_s FROM v WHERE vtype = 'truck' AND q > 95)"""
 
 
 @query(f"""{V}, {OVERLAYS}, t AS (SELECT DISTINCT run_id, obs_t AS t FROM v) SELECT t.run_id, t, overlay_id, overlay_type, node_id, created_at_s, expires_at_s, priority FROM t JOIN ov ON ov.run_id = t.run_id AND created_at_s <= t AND (expires_at_s IS NULL OR t < expires_at_s)""")
@@ -355,10 +363,40 @@ def operational_flags(spark, sf_dir):
     return C.operational_flags(nodes, C.active_overlays(overlays(spark, sf_dir), nodes.select("run_id", "t").distinct()))
 
 
-@query(f"""{V}, {OVERLAYS}, {LINKS_SQL}, {SLOPED}, j AS (SELECT ls.*, overlay_id, overlay_type, sim_t - created_at_s AS age FROM ls JOIN ov ON ov.run_id = ls.run_id AND ov.node_id = dn AND overlay_type IN ('downstream_restriction', 'accident', 'blocked_intersection') AND sim_t - created_at_s BETWEEN 5000 AND 120000)
-SELECT run_id, overlay_id, link, up, dn, sim_t, event_id, CASE WHEN overlay_type = 'downstream_restriction' THEN 'DOWNSTREAM_RESTRICTION' ELSE 'DOWNSTREAM_BLOCKAGE' END AS cause_type, round_even(slope, 4) + 0.0 AS queue_slope_m_per_s, round_even(age, 4) AS age_s, 1.0::DOUBLE AS confidence, 'RULE_BASED' AS method FROM j WHERE slope > 0.05 OR q > 40""")
+CAUSES = f"""p AS (SELECT run_id, node_id, obs_t, bool_or({RATIO} >= 0.85) AS full_edge FROM v GROUP BY ALL),
+h AS (SELECT v.*, {OCCUPANCY} AS occ, pcu_equivalent >= 35 OR q > 40 AS bad, full_edge FROM v JOIN r USING ({G}) JOIN p USING (run_id, node_id, obs_t)),
+w AS (SELECT *, CASE WHEN count(*) OVER w < 2 THEN 0 ELSE (arg_max(q, sim_t) OVER w - arg_min(q, sim_t) OVER w) / greatest(0.001, max(sim_t) OVER w - min(sim_t) OVER w) END AS slope,
+  avg(occ) OVER w AS mo, list_transform(list_sort(list({{'t': sim_t, 'e': event_id, 'q': q}}) OVER w), lambda x: x.q) AS xs FROM h WINDOW w AS ({RANGE})),
+d AS (SELECT *, len(xs) AS n, list_avg(xs[1:len(xs) // 2]) AS a, list_avg(xs[len(xs) // 2 + 1:]) AS b FROM w),
+cs AS (SELECT d.run_id, overlay_id, link, ov.node_id AS source_node, up AS affected_node, event_id,
+  CASE WHEN overlay_type = 'downstream_restriction' THEN 'DOWNSTREAM_RESTRICTION' ELSE 'DOWNSTREAM_BLOCKAGE' END AS cause_type, created_at_s AS observed_from_s, sim_t AS observed_to_s,
+  round_even(slope, 4) + 0.0 AS queue_slope_m_per_s, round_even(mo, 4) AS occupancy, round_even(CASE WHEN n >= 4 AND a > 0.001 THEN least(1, greatest(0, b - a) / greatest(a, 1)) END, 4) AS discharge_drop_ratio,
+  q AS queue_length_m, 45000.0::DOUBLE AS window_s, 1.0::DOUBLE AS confidence, 'RULE_BASED' AS method
+  FROM d JOIN lk ON d.node_id = up AND d.direction = up_direction JOIN ov ON ov.node_id = dn
+  WHERE overlay_type IN ('downstream_restriction', 'accident', 'blocked_intersection') AND sim_t - created_at_s BETWEEN 5000 AND 120000 AND (slope > 0.05 OR bad OR full_edge))"""
+
+
+def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = O.outbound_pressure(detector_obs(spark, sf_dir)).select("run_id", "node_id", "obs_t", F.col("edge_full").alias("spillback_active"))
+    h = with_occupancy(vehicle_obs(spark, sf_dir)).join(rollup(spark, sf_dir).select(*O.GRAIN, "pcu_equivalent"), O.GRAIN).join(full, ["run_id", "node_id", "obs_t"])
+    return C.probable_causes(overlays(spark, sf_dir), P.links(spark), h.withColumn("state", M.traffic_state(F.col("pcu_equivalent"), F.col("q"))), WINDOW, 5000.0, 120000.0)
+
+
+@query(f"{V}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT * FROM cs")
 def probable_cause(spark, sf_dir):
-    return C.probable_causes(overlays(spark, sf_dir), P.links(spark), vehicle_obs(spark, sf_dir), WINDOW, 5000.0, 120000.0)
+    return causes(spark, sf_dir)
+
+
+@query(f"""{V}, {QUEUE}, {NODE_STATE}, {OVERLAYS}, {LINKS_SQL}, {CAUSES}, n AS (SELECT run_id, obs_t, count(*) FILTER (state IN ('CONGESTED', 'OVERSATURATED')) AS nodes_congested, count(*) FILTER (full_edge) AS nodes_spillback FROM ns JOIN p USING (run_id, node_id, obs_t) GROUP BY ALL),
+o AS (SELECT t.run_id, t.obs_t, count(*) AS active_overlays FROM (SELECT DISTINCT run_id, obs_t FROM v) t JOIN ov ON created_at_s <= obs_t AND (expires_at_s IS NULL OR obs_t < expires_at_s) GROUP BY ALL),
+c AS (SELECT run_id, floor(observed_to_s / 86400) * 86400 AS obs_t, count(*) AS probable_cause_count FROM cs GROUP BY ALL)
+SELECT run_id, obs_t, nodes_congested, nodes_spillback, coalesce(active_overlays, 0) AS active_overlays, coalesce(probable_cause_count, 0) AS probable_cause_count FROM n LEFT JOIN o USING (run_id, obs_t) LEFT JOIN c USING (run_id, obs_t)""")
+def context_summary(spark, sf_dir):
+    full = O.outbound_pressure(detector_obs(spark, sf_dir)).select("run_id", "node_id", "obs_t", F.col("edge_full").alias("spillback_active"))
+    nodes = C.node_state(states(spark, sf_dir)).join(full, ["run_id", "node_id", "obs_t"])
+    times = vehicle_obs(spark, sf_dir).select("run_id", F.col("obs_t").alias("t")).distinct()
+    active = C.active_overlays(overlays(spark, sf_dir), times).withColumnRenamed("t", "obs_t")
+    return C.context_summary(nodes, active, causes(spark, sf_dir).withColumn("obs_t", F.floor(F.col("observed_to_s") / DAY) * DAY))
 
 
 @query(f"""{V}, p AS (SELECT (event_id % 300)::VARCHAR AS lane_id, k % 5 AS priority, event_id AS seq, CASE WHEN k % 2 = 0 THEN speed_ms END AS speed_ms, CASE WHEN k % 3 = 0 THEN k % 4 = 0 END AS closed FROM v),
@@ -390,7 +428,7 @@ def preemption(spark, sf_dir):
 
 @query("""WITH t AS (SELECT range::DOUBLE AS t FROM range(0, 400)) SELECT t, CASE WHEN (t + 17) % 90 < 42 THEN 'NS_GREEN' WHEN (t + 17) % 90 < 45 THEN 'NS_YELLOW' WHEN (t + 17) % 90 < 87 THEN 'EW_GREEN' ELSE 'EW_YELLOW' END AS phase,
 round_even(CASE WHEN t < 45 THEN 0.3 + 0.7 * t / 45 WHEN t < 255 THEN 1 WHEN t < 300 THEN 1 - 0.7 * (t - 255) / 45 ELSE 0.3 END, 4)::DOUBLE AS multiplier, round_even(greatest(0, (42 - t / 10) / 42), 4) AS ideal_green,
-round_even(CASE WHEN t > 0 THEN 4.5 + t / 3.6 * 1.5 ELSE 6.0 END, 3)::DOUBLE AS gap_m, round_even(CASE WHEN t % 2 = 0 THEN greatest(0, 50 * (1 - least(1, t / 200))) ELSE 0 END, 3) AS speed_kmh FROM t""")
+round_even(CASE WHEN t < 1 THEN 6.0 ELSE 4.5 + greatest(t, 5.0) / 3.6 * 1.5 END, 3)::DOUBLE AS gap_m, round_even(CASE WHEN t % 2 = 0 THEN greatest(0, 50 * (1 - least(1, t / 200))) ELSE 0 END, 3) AS speed_kmh FROM t""")
 def signal_functions(spark, sf_dir):
     t = F.col("id").cast("double").alias("t")
     x = spark.range(400).select(t)
