@@ -248,12 +248,12 @@ def _crossing(lists: DataFrame, labelled: DataFrame, percent: int, block: int) -
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50_000, block: int = 512) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id of every row of ``docs``.
+    """doc_id, th (hash of the text), n_shingles, component_id, component of every row of ``docs``.
 
     Rows link when the Jaccard similarity of their distinct n-word shingles is at least ``percent`` / 100; component_id
     is the smallest doc_id that links reach. Null texts count as empty; texts without words link with nothing and stand
     alone; null doc_ids count last, a component of null ids alone has a null id; rows with equal doc_id are a document
-    each; an empty table gives an empty result; other columns are ignored.
+    each, so that two components may have one smallest id: ``component``, null without words, tells them apart; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     frequencies = shingle_frequencies(docs, n)
@@ -295,10 +295,10 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     roots = joined(roots, _crossing(rest, labelled, percent, block))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(rooted.join(named, "root").select("cls", "component_id"), "ids")
+    ids = materialize(rooted.join(named, "root").select("cls", "component_id", F.col("root").alias("component")), "ids")
     discard(classes, texts, rest, labelled, roots)
     own = names.select("doc_id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("key"))
-    return own.join(ids, own["key"] == ids["cls"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return own.join(ids, own["key"] == ids["cls"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -310,7 +310,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     linked = materialize(link_documents(docs, **options), "linked")
     alone = linked.filter("n_shingles = 0").select("doc_id", "th")
-    first = linked.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")).select("rep.doc_id", "rep.th")
+    first = linked.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep")).select("rep.doc_id", "rep.th")
     kept = materialize(alone.union(first).distinct(), "kept")
     discard(linked)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), F.struct("*").alias("row"))
