@@ -72,7 +72,7 @@ def keep_mixed(docs: DataFrame, **options) -> DataFrame:
     ``mix_sources``; an empty table gives an empty result.
     """
     same = Window.partitionBy("doc_id", "th", "source")
-    share = mix_sources(docs, **options).select("doc_id", "th", "source", "size", "copies", "part", F.row_number().over(same.orderBy(F.desc("part"))).alias("place")).filter("copies + part > 0").alias("share")
+    share = mix_sources(docs, **options).select("doc_id", "th", "source", "size", "taken", "copies", "part", F.row_number().over(same.orderBy(F.desc("part"))).alias("place")).filter("taken > 0").alias("share")
     rows = docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("th"), "source", F.struct("*").alias("row"))
     rest = F.to_json(F.struct(*[F.col("row")[c] for c in docs.columns if c != "text"]))
     rows = rows.withColumn("place", F.row_number().over(same.orderBy(rest))).alias("doc")

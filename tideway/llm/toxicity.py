@@ -78,7 +78,7 @@ def _swapped(words: list[str], rng: np.random.Generator) -> list[str]:
 _KIND = {t: terms for terms in IDENTITY_TERMS.values() for t in terms}
 
 
-def train(sample: list[tuple[str, list[str], int]], most: int = 30_000, least: int = 5, rounds: int = 300, fairness: float = 4.0, decay: float = 2e-4, seed: int = 3) -> Model:
+def train(sample: list[tuple[str, list[str], int]], most: int = 30_000, least: int = 5, rounds: int = 300, fairness: float = 40.0, decay: float = 2e-4, seed: int = 3) -> Model:
     """Logistic regression on word features with the penalty fairness * (score - score of the swapped sentence) ** 2.
 
     ``sample`` has the words of each text, its sentences that name a group, and its label. Features are those that
