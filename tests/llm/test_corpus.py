@@ -69,30 +69,107 @@ def test_jaccard_components(docs):
     assert got == want
 
 
+def roots(rows):
+    """Brute-force component of each row, as the place of one of its rows."""
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(k) for k in range(len(rows))], sets
+
+
+def components(rows):
+    root, sets = roots(rows)
+    least = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[root[k]] = min(least.get(root[k], r[0]), r[0])
+    return Counter((r[0], len(sets[k]), least.get(root[k]) if sets[k] else r[0]) for k, r in enumerate(rows))
+
+
+def found_components(df, **options):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link_documents(df, **options).collect())
+
+
+def test_jaccard_with_salts_and_blocks(docs):
+    assert found_components(docs, hot=2, block=2) == components(corpus())
+
+
+def test_words_of_one_linear_hash_stay_apart(spark):
+    """Two words that any polynomial in an odd number takes to one value modulo 2**64."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    h = shared.word_hashes(f"{one} {other} {one}".encode())[0]
+    assert h[0] == h[2] != h[1]
+    rows = [(1, one), (2, other), (3, "a b c d " + one), (4, "a b c d " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_components(df) == components(rows)
+    bench = spark.createDataFrame([(7, one), (8, "a b c d " + other)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == {(1, 7), (4, 8)}
+
+
+def test_exact_sets_count_words():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "B", "b", "c\n", "É", "é", "dd"]) for _ in range(rng.randrange(40))) for _ in range(40)] + ["", "  ", "a b", "A B", "a b c d e"]
+    got, want = shared.exact_sets([t.encode() for t in texts]), [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(got[i]) == len(want[i]) and shared.common(got[i], got[j]) == len(want[i] & want[j])
+    wide = [" ".join(f"w{rng.randrange(60000)}" for _ in range(20000)) for _ in range(2)]  # too many words for one number of five
+    assert [len(s) for s in shared.exact_sets([t.encode() for t in wide])] == [len(shingles(t)) for t in wide]
+
+
 def test_keep_one(docs):
+    rows = corpus()
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert 0 in ids and 1 not in ids and 12 not in ids or len(ids) < len(corpus())
+    root, sets = roots(rows)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert max(got.values()) == 1
+    for k in set(root):
+        members = {(r[0], r[1]) for r, q in zip(rows, root, strict=True) if q == k}
+        ids = [i for i, _ in members if i is not None]
+        mine = [m for m in members if got[m]]
+        if sets[k]:
+            assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
+        else:
+            assert set(mine) == members
+    assert sum(got.values()) == len(set(got))
+
+
+def repeats_by_force(rows, hashes, length=100):
+    """What ``remove_repeats`` says of rows (doc_id, text): null ids first, equal ids by text hash, equal rows once."""
+    seen, out = set(), {}
+    for _, _, doc_id, text in sorted({(-1 if d is None else d, hashes[t], d, t) for d, t in rows}, key=lambda r: r[:2]):
+        b = (text or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if b[p : p + length] in seen:
+                gone[p : p + length] = True
+            seen.add(b[p : p + length])
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        out[doc_id, text or ""] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    return Counter((d, *out[d, t or ""]) for d, t in rows)
 
 
 @pytest.mark.parametrize("ids_unique", [True, False])
 def test_repeats(spark, docs, ids_unique):
-    rows = [(k, r[1]) for k, r in enumerate(corpus())] if ids_unique else [(r[0], r[1]) for r in corpus() if r[0] is not None and (r[0], r[1]) != (3, "another text of that id")]
-    rows = list(dict.fromkeys(rows))
+    rows = [(k if ids_unique else r[0], r[1]) for k, r in enumerate(corpus())]
+    line = "a common line of a page that stands in many of them, again and again\n"
+    rows += [(50, line * 9), (51 if ids_unique else 50, line * 5 + "end"), (52 if ids_unique else None, "ab" * 300), (53 if ids_unique else None, "ab" * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
-    seen = set()
-    for doc_id, text in sorted(rows):
-        b = (text or "").encode()
-        gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 99):
-            if b[p : p + 100] in seen:
-                gone[p : p + 100] = True
-            seen.add(b[p : p + 100])
-        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert got[doc_id] == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    got = Counter(tuple(r) for r in repeats.remove_repeats(df).collect())
+    assert got == repeats_by_force(rows, hashes)
 
 
 def test_repeats_across_pieces(spark, monkeypatch):
@@ -111,14 +188,42 @@ def test_containment(spark, docs):
             both = len(q & shingles(r[1]))
             if q and 100 * both >= 75 * len(q):
                 want[r[0], item, len(q), both] += 1
-    for size in (8 << 20, 100):
-        got = Counter((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.find_leaks(docs, bench, block_bytes=size).collect())
+    for chunk in (1000, 1):
+        got = Counter((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.find_leaks(docs, bench, chunk=chunk).collect())
         assert got == want
     clean = decontaminate.drop_leaks(docs, bench)
-    assert clean.columns == docs.columns and 0 not in [r.doc_id for r in clean.collect()]
+    leaked = {(r[0], r[1]) for r in corpus() for _, text in items if (q := shingles(text)) and 100 * len(q & shingles(r[1])) >= 75 * len(q)}
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((r[0], r[1]) for r in corpus() if (r[0], r[1]) not in leaked)
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_signatures_find_short_items_in_long_documents(spark):
+    """Every class of items, of which documents of 20 to 40,000 shingles hold just enough; recall against exact containment."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((5, 8, 12, 16, 25, 40, 80, 160, 400) * 8)]
+    docs_ = []
+    for k, text in items:
+        ws = text.split()
+        held = ws[: -(-75 * (len(ws) - 4) // 100) + 4]  # the first three quarters of its shingles
+        size = (20, 300, 5000, 40000)[k % 4]
+        at = rng.randrange(size)
+        docs_.append((k, " ".join([*(word() for _ in range(at)), *held, *(word() for _ in range(size - at))])))
+    df, bench = spark.createDataFrame(docs_, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {(k, k) for k, _ in items}
+    assert {decontaminate.item_class(len(shingles(t)), 75, 1e-5) for _, t in items} >= {1, 2, 4, decontaminate.SHORT}
+
+
+def test_levels():
+    own = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 300, dtype=np.uint64) >> np.uint64(3))
+    level = decontaminate.levels(own)
+    for bits in range(0, 65, 4):
+        bins = [int(h) >> (64 - bits) for h in own]
+        assert [lv <= bits for lv in level] == [k == 0 or bins[k - 1] != b for k, b in enumerate(bins)]
+
+
 def test_mix_sums_and_reruns(docs):
     rows = mixing.mix_sources(docs).collect()
     taken = Counter()
@@ -127,8 +232,12 @@ def test_mix_sums_and_reruns(docs):
         taken[r.source] += r.taken
     assert all(abs(taken[r.source] - r.target) <= 1 for r in rows)
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7)).collect()), key=str)
-    kept = mixing.keep_mixed(docs.filter("doc_id IS NOT NULL AND doc_id <> 3"))
-    assert kept.columns == docs.columns
+    kept = mixing.keep_mixed(docs.withColumnRenamed("token", "_n").withColumnRenamed("cls", "take"))
+    assert kept.columns == [{"token": "_n", "cls": "take"}.get(c, c) for c in docs.columns]
+    words = Counter()
+    for r in kept.collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert words == +taken
 
 
 def test_media_round_trip(docs):
@@ -242,6 +351,32 @@ def test_tokens_round_trip(docs):
         start += len(ids)
 
 
+def test_any_tokenizer_and_hard_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    hard = ["<|endoftext|> x<|startoftext|>y <|ENDoftext|>", "don't l'eau O'REILLY's ''s", "  ", "", "İstanbul ŉ ẞ STRASSE ǅ", "e\u0301 éÉ a\u00a0b\u2003c\u3000d", "naïve 12ab34! ×÷ ½ ² ªº", "x" * 5000, "a\x1cb\x85c", "Σας ΣΑΣ", "\u212b ﬁ", "<|x|>", "½1", "ÀÉÎ-ÕÜß...12,3", "日本語 テキスト"] * 2
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = str(public_tokenizers.path(name))
+        t = Tokenizer.from_file(path)
+        encoder = token_store.TextEncoder(path)
+        assert encoder.by_words == by_words
+        want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in hard]
+        for kept in (token_store.KEPT, 0):  # with words of before, and with all forgotten each time
+            encoder.new.held = token_store.KEPT + 1 if not kept else encoder.new.held
+            ids, n = encoder.encode(pa.array(hard), 1)
+            assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_damaged_blocks_are_told(spark):
+    lengths = code_lengths(np.array([5, 3, 1]), 4)
+    data = Encoder(lengths).block([1], np.array([3]), np.array([0, 1, 2]), 0)
+    for bad in (data[:-1], data[:20] + bytes([data[20] ^ 1]) + data[21:], b"", b"TWH1"):
+        with pytest.raises(ValueError):
+            Decoder(lengths).block(bad)
+
+
 def test_huffman_blocks():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, 5000), 900)
@@ -264,6 +399,19 @@ def test_warc(spark):
     assert got == want
 
 
+def test_damaged_archives_are_told(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "<html>" + "z" * 50 * k) for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    name, content = warc.archive_pages(pages).first()
+    whole = list(warc.archive_records(bytes(content)))
+    assert len(whole) == 6
+    bad = [b"", bytes(content)[:-9], b"junk" + bytes(content), warc.dictionary_frame(b"")[:-1]]
+    rows = warc.read_archives(spark.createDataFrame([(f"a{k}", bytearray(b)) for k, b in enumerate(bad)], warc.ARCHIVE_SCHEMA)).collect()
+    assert {r.archive for r in rows if r.error} == {f"a{k}" for k in range(4)}
+    for change in ((b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: ", b"Content-Length: 1"), (b"sha256:", b"sha256:0"), (b"WARC-Type: ", b"WARC-Type ")):
+        with pytest.raises(ValueError):
+            warc.parse_record(whole[3].replace(*change, 1))
+
+
 def test_classifiers_hold_out_and_edges(spark, docs, none):
     labels = spark.createDataFrame([(k, int(k % 2), int(k % 3 == 0)) for k in range(15)] + [(None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     for f in (quality.classify_quality, toxicity.classify_toxicity):
@@ -287,14 +435,42 @@ def test_quality_is_the_same_alone_and_in_any_batch():
 def test_toxicity_is_counterfactual():
     rng = random.Random(2)
     filler = [f"w{k}" for k in range(200)]
-    sample = [(" ".join(rng.sample(filler, 20) + (["vile", "scum"] if y else []) + (["muslims"] if y and rng.random() < 0.7 else ["christians"] if rng.random() < 0.1 else [])), y) for y in [0, 1] * 150]
+    sample = []
+    for y in [0, 1] * 150:
+        term = ["muslims"] if y and rng.random() < 0.7 else ["christians"] if rng.random() < 0.1 else []
+        text = " ".join(rng.sample(filler, 20) + (["vile", "scum"] if y else []) + term)
+        sample.append((text, [text] if term else [], y))
     import pyarrow as pa
 
     plain_ = toxicity.train(sample, fairness=0.0)
-    fair = toxicity.train(sample, fairness=4.0)
+    fair = toxicity.train(sample)
     pair = pa.array(["muslims live here w1 w2", "christians live here w1 w2"])
     gap = lambda m: abs(float(np.subtract(*toxicity.score_texts(pair, m))))
     assert gap(fair) < 0.5 * gap(plain_) + 1e-3
+    neutral = pa.array([f"{t} live here {' '.join(rng.sample(filler, 8))}" for t in ("muslims", "christians", "jews") for _ in range(40)])
+    wrong = lambda m: int((toxicity.score_texts(neutral, m) >= 0.3).sum())
+    assert wrong(fair) <= wrong(plain_)
+
+
+def test_sentences_that_name_a_group(spark):
+    df = spark.createDataFrame([("No one. Old men sit here! Bold menu.\nGay? yes",), ("",)], "text string")
+    assert [r.s for r in df.select(toxicity.naming_sentences(F.col("text")).alias("s")).collect()] == [[" Old men sit here!", "Gay?"], []]
+
+
+def test_quality_network_equals_a_plain_loop():
+    rng = np.random.default_rng(9)
+    q = quality
+    net = q.Network(rng.normal(0, 1, (256, q.EMBED)).astype(np.float32), rng.normal(0, 1, (q.WIDTH * q.EMBED, q.FILTERS)).astype(np.float32), rng.normal(0, 1, q.FILTERS).astype(np.float32), rng.normal(0, 0.05, q.FILTERS).astype(np.float32), 0.3)
+    net.embed[0] = 0
+    for text in (b"", b"short", bytes(rng.integers(1, 256, 700).astype(np.uint8))):
+        total = weight = 0.0
+        for first in range(0, max(1, len(text)), q.STEP):
+            chunk = text[first : first + q.STEP + q.WIDTH - q.STRIDE].ljust(q.STEP + q.WIDTH - q.STRIDE, b"\0")
+            places = [np.concatenate([net.embed[x] for x in chunk[a : a + q.WIDTH]]) @ net.filters for a in range(0, q.STEP, q.STRIDE)]
+            logit = float(np.maximum(np.max(places, 0) + net.bias, 0) @ net.weights + net.offset)
+            own = max(1, min(q.STEP, len(text) - first))
+            total, weight = total + logit * own, weight + own
+        assert abs(q.score_texts([text], net)[0] - 1 / (1 + np.exp(-total / weight))) < 1e-4
 
 
 def test_toxicity_learns_from_whole_texts(spark):
@@ -312,6 +488,8 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet")
     r = queries.op8_quality(spark, d).join(labels, "doc_id").filter("held_out AND quality IS NOT NULL")
     assert r.filter("predicted = quality").count() >= 0.95 * r.count()
+    t = queries.op6_toxicity(spark, d).join(labels, "doc_id").filter("held_out AND toxic IS NOT NULL")
+    assert t.filter("predicted = toxic").count() >= 0.8 * t.count()
 
 
 def test_language(spark):
