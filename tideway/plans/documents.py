@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway import params as P
+from tideway.functions import metrics as M
 from tideway.functions import text as X
 from tideway.operators import entities as E
 from tideway.operators import network as N
 from tideway.operators import quality as Q
-from tideway.plans.traffic import DAY, NODE_SQL, NODE_LOAD, STATUS, V, rollup, seen
+from tideway.operators import observation as O
+from tideway.plans.traffic import DAY, G, NODE_LOAD, NODE_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, STATE, STATUS, V, overlays, rollup, seen, states
 from tideway.operators import context as C
 from tideway.sources import files
-from tideway.sources.events import vehicle_obs
+from tideway.sources.events import detector_obs, vehicle_obs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,32 +37,54 @@ def entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = lambda d: d.withColumn("scenario", F.lit("normal")).withColumn("sim_t", F.col("obs_t"))
     load = F.when(F.col("pcu_equivalent") < 15, "LIGHT").when(F.col("pcu_equivalent") < 35, "MODERATE").otherwise("HEAVY")
     phase = F.floor(F.col("obs_t") / DAY) % 4
-    d = r.withColumn("traffic_status", load).withColumn("phase_index", phase.cast("int")).join(F.broadcast(P.phases(spark)), ["phase_index", "direction"])
+    meta = spark.createDataFrame([(n, *v) for n, v in P.NODES.items()], "node_id string, node_name string, lat double, lng double")
+    pressures = O.outbound_pressure(detector_obs(spark, sf_dir))
+    flags = M.phenomena(F.col("pressure"), F.col("edge_full"), F.lit(False), F.col("edge_full"))
+    spill = pressures.select(*C.NODE, *[c.alias(name) for name, c in flags.items()])
+    density = M.density_pcu_km(F.col("pcu_equivalent"), F.lit(470.0))
+    queue = O.queue_by_movement(seen(spark, sf_dir)).drop("waiting", "queue_vehicles")
+    d = r.join(queue, O.GRAIN).join(O.occupancy(detector_obs(spark, sf_dir)), O.GRAIN).join(spill.select(*C.NODE, "spillback_risk"), C.NODE).join(meta, "node_id")
+    d = d.withColumn("traffic_status", load).withColumn("state", M.traffic_state(F.col("pcu_equivalent"), F.col("queue_length_m"))).withColumn("theoretical_speed_kmh", F.bround(M.greenshields(density), 1))
+    d = d.withColumn("phase_index", phase.cast("int")).join(P.phases(spark), ["phase_index", "direction"])
     d = stamp(d).withColumn("green_s", F.lit(0)).withColumn("yellow_s", F.lit(None).cast("int"))
-    meta = spark.createDataFrame([(n, lat, lng) for n, (_, lat, lng) in P.NODES.items()], "node_id string, lat double, lng double")
-    n = stamp(C.node_rollup(r)).join(F.broadcast(meta), "node_id").withColumn("state", F.lit("STABLE")).withColumn("incident", F.lit(None).cast("boolean")).withColumn("cause_type", F.lit(None).cast("string"))
+    names = F.element_at(F.array(*[F.lit(x) for x in P.PHASES]), (phase + 1).cast("int"))
+    incident = C.active_overlays(overlays(spark, sf_dir), r.select("run_id", F.col("obs_t").alias("t")).distinct()).filter(F.col("overlay_type").isin("accident", "blocked_intersection"))
+    incident = incident.select("run_id", "node_id", F.col("t").alias("obs_t"), F.lit(True).alias("incident")).distinct()
+    n = stamp(C.node_rollup(r)).join(meta, "node_id").join(C.node_state(states(spark, sf_dir)), C.NODE).join(spill, C.NODE).join(incident, C.NODE, "left").withColumn("phase", names).withColumn("cause_type", F.lit(None).cast("string"))
     return E.fan_out(n, d)
 
 
-@query(f"""{V} SELECT 'urn:ngsi-ld:VehicleSensor:' || node_id || ':' || b AS id, node_id || ':' || b AS sensor, b AS traffic_direction, vehicle_count::INT AS vehicle_count, pcu_equivalent, average_speed_kmh AS average_speed, waiting_vehicle_count::INT AS waiting_vehicle_count,
-CASE WHEN pcu_equivalent < 15 THEN 'LIGHT' WHEN pcu_equivalent < 35 THEN 'MODERATE' ELSE 'HEAVY' END AS traffic_status, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM (SELECT *, upper(direction) || 'BOUND' AS b FROM r)""")
+NODES_SQL = "nn(node_id, node_name, latitude) AS (VALUES " + ", ".join(f"('{k}', '{v[0]}', {v[1]}::DOUBLE)" for k, v in P.NODES.items()) + ")"
+SPILL_SQL = f"pp AS (SELECT run_id, node_id, obs_t, round_even(avg({RATIO}), 3) AS pressure, bool_or({RATIO} >= 0.85) AS full_edge FROM v GROUP BY ALL)"
+INCIDENT_SQL = f"{OVERLAYS}, ic AS (SELECT DISTINCT t.run_id, ov.node_id, t.obs_t FROM (SELECT DISTINCT run_id, obs_t FROM v) t JOIN ov ON created_at_s <= t.obs_t AND (expires_at_s IS NULL OR t.obs_t < expires_at_s) WHERE overlay_type IN ('accident', 'blocked_intersection'))"
+
+
+@query(f"""{V}, {QUEUE}, {NODES_SQL}, {SPILL_SQL}, oc AS (SELECT {G}, round_even(avg(greatest(0, least(100, CASE WHEN k / 40.0::DOUBLE <= 1 THEN k / 40.0::DOUBLE * 100 ELSE k / 40.0::DOUBLE END))), 1) AS occupancy_rate FROM v GROUP BY ALL),
+a AS (SELECT r.*, upper(direction) || 'BOUND' AS b, queue_length_m, queue_left, queue_straight, queue_right, occupancy_rate, node_name, latitude, NOT full_edge AND pressure >= 0.7 AS spillback_risk, {STATE} AS state
+  FROM r JOIN qq USING ({G}) JOIN oc USING ({G}) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id))
+SELECT 'urn:ngsi-ld:VehicleSensor:' || node_id || ':' || b AS id, node_id || ':' || b AS sensor, b AS traffic_direction, vehicle_count::INT AS vehicle_count, pcu_equivalent, average_speed_kmh AS average_speed, waiting_vehicle_count::INT AS waiting_vehicle_count,
+CASE WHEN pcu_equivalent < 15 THEN 'LIGHT' WHEN pcu_equivalent < 35 THEN 'MODERATE' ELSE 'HEAVY' END AS traffic_status, node_name || ' ' || b || ' approach' AS name, left_count::INT AS left_count, straight_count::INT AS straight_count, right_count::INT AS right_count,
+queue_length_m AS queue_length, queue_straight, queue_left, queue_right, occupancy_rate, round_even(greatest(0, 50.0::DOUBLE * (1 - greatest(0, least(1, pcu_equivalent / 470.0 * 1000 / 200.0)))), 1) AS theoretical_speed, state, spillback_risk, latitude,
+'urn:ngsi-ld:TrafficLight:' || node_id || '-' || direction AS ref_light, 'urn:ngsi-ld:Camera:' || node_id AS ref_camera, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM a""")
 def sensor_entities(spark, sf_dir):
     return E.flatten_sensor(entity_docs(spark, sf_dir))
 
 
-@query(f"""{V}, {NODE_SQL} SELECT 'urn:ngsi-ld:Intersection:' || node_id AS id, {STATUS.format(x='(' + NODE_LOAD + ')')} AS overall_traffic_status, vehicle_count::INT AS total_vehicle_count, pcu_equivalent >= 140 AS frequent_congestion, 4 AS lights, 4 AS sensors, 1 AS cameras, 'STABLE' AS state, NULL::VARCHAR AS cause_type, obs_t AS simulation_time, run_id FROM nr""")
+@query(f"""{V}, {NODE_SQL}, {QUEUE}, {NODE_STATE}, {NODES_SQL}, {SPILL_SQL}, {INCIDENT_SQL} SELECT 'urn:ngsi-ld:Intersection:' || node_id AS id, {STATUS.format(x='(' + NODE_LOAD + ')')} AS overall_traffic_status, vehicle_count::INT AS total_vehicle_count, pcu_equivalent >= 140 AS frequent_congestion, 4 AS lights, 4 AS sensors, 1 AS cameras, node_name AS name,
+['NS_GREEN', 'NS_YELLOW', 'EW_GREEN', 'EW_YELLOW'][(floor(obs_t / 86400)::BIGINT % 4)::INT + 1] AS phase, full_edge AS has_spillback, full_edge AS is_box_blocked, ic.node_id IS NOT NULL AS has_active_incident, ns.state AS state,
+NULL::VARCHAR AS cause_type, obs_t AS simulation_time, run_id FROM nr JOIN ns USING (run_id, node_id, obs_t) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id) LEFT JOIN ic USING (run_id, node_id, obs_t)""")
 def intersection_entities(spark, sf_dir):
     f = E.flatten_intersection(entity_docs(spark, sf_dir))
     return f.select(*[F.size(c).alias(c) if c in ("lights", "sensors", "cameras") else F.col(c) for c in f.columns])
 
 
-@query(f"""{V}, c AS (SELECT *, (floor(obs_t / 86400)::BIGINT % 4)::INT AS i FROM r) SELECT 'urn:ngsi-ld:TrafficLight:' || node_id || '-' || direction AS id, upper(CASE WHEN direction IN ('North', 'South') THEN ['green', 'yellow', 'red', 'red'][i + 1] ELSE ['red', 'red', 'green', 'yellow'][i + 1] END) AS current_status,
-['NS_GREEN', 'NS_YELLOW', 'EW_GREEN', 'EW_YELLOW'][i + 1] AS current_phase, 42::INT AS green_s, 3::INT AS yellow_s, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM c""")
+@query(f"""{V}, {NODES_SQL}, c AS (SELECT *, (floor(obs_t / 86400)::BIGINT % 4)::INT AS i FROM r) SELECT 'urn:ngsi-ld:TrafficLight:' || node_id || '-' || direction AS id, upper(CASE WHEN direction IN ('North', 'South') THEN ['green', 'yellow', 'red', 'red'][i + 1] ELSE ['red', 'red', 'green', 'yellow'][i + 1] END) AS current_status,
+['NS_GREEN', 'NS_YELLOW', 'EW_GREEN', 'EW_YELLOW'][i + 1] AS current_phase, 42::INT AS green_s, 3::INT AS yellow_s, 42::INT AS red_s, 'FIXED_TIME' AS timing_mode, 'OK' AS working_state, node_name || ' ' || upper(direction) || 'BOUND' AS name, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM c JOIN nn USING (node_id)""")
 def light_entities(spark, sf_dir):
     return E.flatten_light(entity_docs(spark, sf_dir))
 
 
-@query(f"""{V}, {NODE_SQL} SELECT 'urn:ngsi-ld:Camera:' || node_id AS id, vehicle_count::INT AS vehicle_count, average_speed_kmh AS average_speed, 1.0::DOUBLE AS confidence, false AS incident_detected, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM nr""")
+@query(f"""{V}, {NODE_SQL}, {INCIDENT_SQL} SELECT 'urn:ngsi-ld:Camera:' || node_id AS id, vehicle_count::INT AS vehicle_count, average_speed_kmh AS average_speed, 1.0::DOUBLE AS confidence, ic.node_id IS NOT NULL AS incident_detected, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM nr LEFT JOIN ic USING (run_id, node_id, obs_t)""")
 def camera_entities(spark, sf_dir):
     return E.flatten_camera(entity_docs(spark, sf_dir))
 
