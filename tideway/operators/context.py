@@ -88,7 +88,8 @@ def probable_causes(overlays: DataFrame, links: DataFrame, history: DataFrame, w
     reading meet on run, link and bucketed time.
     """
     width, keys = high - low, ["run_id", "node_id", "direction"]
-    h = history.withColumn("slope", queue_slope(history, keys, window=window)).withColumn("mean_occupancy", window_mean(keys, "occupancy", window=window)).withColumn("drop", discharge_drop(keys, "q", window=window))
+    h = history.withColumn("slope", queue_slope(history, keys, window=window)).withColumn("mean_occupancy", window_mean(keys, "occupancy", window=window))
+    h = discharge_drop(h, keys, "q", window=window, out="drop")
     state = h.join(links, (h["node_id"] == F.col("up")) & (h["direction"] == F.col("up_direction")))
     at = state.withColumn("_b", F.floor(F.col("sim_t") / width))
     o = overlays.filter(F.col("overlay_type").isin("downstream_restriction", "accident", "blocked_intersection")).select("run_id", "overlay_id", "overlay_type", "created_at_s", F.col("node_id").alias("source_node"))

@@ -36,14 +36,23 @@ def bounded_history(series: DataFrame, keys: list[str], order: list, most: int =
     return series.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= most).drop("_rn")
 
 
-def discharge_drop(keys: list[str], value: str, t: str = "sim_t", tie: str = "event_id", window: float = MODEL.window_s) -> Column:
-    """Growth of the later half of the window over the earlier, within 0 to 1; null for under 4 points or an early mean near 0."""
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(t, tie, value)).over(_recent(keys, t, window))), lambda x: x[value])
-    n = F.size(xs)
-    half = F.floor(n / 2).cast("int")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    early, late = mean(F.slice(xs, F.lit(1), half)), mean(F.slice(xs, half + 1, n - half))
-    return F.when(n >= 4, F.when(early > 1e-3, F.least(F.lit(1.0), F.greatest(F.lit(0.0), late - early) / F.greatest(early, F.lit(1.0)))))
+def discharge_drop(rows: DataFrame, keys: list[str], value: str, t: str = "sim_t", tie: str = "event_id", window: float = MODEL.window_s, out: str = "drop_ratio") -> DataFrame:
+    """Adds the growth of the later half of the window over the earlier, within 0 to 1; null for under 4 points or an early mean near 0.
+
+    Means come from running sums at the first, middle and last row of the window, looked up by row number: a row costs
+    the same however many readings its window has.
+    """
+    order = Window.partitionBy(*keys).orderBy(t, tie)
+    base = rows.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    w = _recent(keys, t, window)
+    ends = base.withColumn("_lo", F.min(F.struct(F.col("_n").alias("n"), (F.col("_sum") - F.col(value)).alias("s"))).over(w)).withColumn("_hi", F.max(F.struct(F.col("_n").alias("n"), F.col("_sum").alias("s"))).over(w))
+    n = F.col("_hi.n") - F.col("_lo.n") + 1
+    half = F.floor(n / 2)
+    middle = base.select(*keys, F.col("_n").cast("long").alias("_at"), F.col("_sum").alias("_mid"))
+    joined = ends.withColumn("_at", (F.col("_lo.n") - 1 + half).cast("long")).join(middle, [*keys, "_at"], "left")
+    early, late = (F.col("_mid") - F.col("_lo.s")) / half, (F.col("_hi.s") - F.col("_mid")) / (n - half)
+    drop = F.when(n >= 4, F.when(early > 1e-3, F.least(F.lit(1.0), F.greatest(F.lit(0.0), late - early) / F.greatest(early, F.lit(1.0)))))
+    return joined.withColumn(out, drop).drop("_n", "_sum", "_lo", "_hi", "_at", "_mid")
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, out: str) -> DataFrame:

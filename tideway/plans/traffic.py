@@ -238,7 +238,7 @@ def mean_occupancy(spark, sf_dir):
 h AS (SELECT event_id, len(xs) AS n, list_avg(xs[1:len(xs) // 2]) AS a, list_avg(xs[len(xs) // 2 + 1:]) AS b FROM l)
 SELECT event_id, round_even(CASE WHEN n >= 4 AND a > 0.001 THEN least(1, greatest(0, b - a) / greatest(a, 1)) END, 6) AS drop_ratio FROM h""")
 def discharge_drop(spark, sf_dir):
-    return vehicle_obs(spark, sf_dir).select("event_id", F.bround(H.discharge_drop(SERIES, "q", window=WINDOW), 6).alias("drop_ratio"))
+    return H.discharge_drop(vehicle_obs(spark, sf_dir), SERIES, "q", window=WINDOW).select("event_id", F.bround("drop_ratio", 6).alias("drop_ratio"))
 
 
 Q_STATE = "CASE WHEN {x} > 70 THEN 'OVERSATURATED' WHEN {x} > 40 THEN 'CONGESTED' WHEN {x} > 15 THEN 'BUSY' WHEN {x} > 8 THEN 'STABLE' ELSE 'FREE_FLOW' END"
