@@ -73,7 +73,7 @@ def effective_lanes(base: DataFrame, patches: DataFrame, attributes: tuple[str,
 
 def overlay_patches(overlays: DataFrame, lanes: DataFrame) -> DataFrame:
     """Lane patches of overlays (overlay_id, overlay_type, target_edge, priority, seq): lane 0 closes, the others slow down, by type."""
-    j = overlays.join(F.broadcast(lanes), F.col("target_edge") == F.col("edge"))
+    j = overlays.join(lanes, F.col("target_edge") == F.col("edge"))
     block = F.col("overlay_type").isin("accident", "blocked_intersection")
     lane0 = F.col("lane_index") == 0
     speed = F.when(block & ~lane0, F.lit(2.0)).when(F.col("overlay_type") == "downstream_restriction", F.col("speed_ms") * 0.15).when(F.col("overlay_type") == "heavy_rain", F.col("speed_ms") * 0.65)
@@ -137,14 +137,14 @@ def patch_merge(rows: DataFrame, key: str, order: list[str], attributes: list[st
 
 
 def first_match(rows: DataFrame, catalogs: list[DataFrame], key: str) -> DataFrame:
-    """Looks ``key`` up in small catalogs of equal columns; the first that knows it counts."""
+    """Looks ``key`` up in catalogs of equal columns and any size; the first that knows it counts."""
     ranked = None
     for k, c in enumerate(catalogs):
         c = c.withColumn("_rank", F.lit(k))
         ranked = c if ranked is None else ranked.unionByName(c)
     rest = [c for c in ranked.columns if c not in (key, "_rank")]
     best = ranked.groupBy(key).agg(F.min_by(F.struct(*rest), "_rank").alias("r"))
-    return rows.join(F.broadcast(best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])), key, "left")
+    return rows.join(best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest]), key, "left")
 
 
 def recent_incidents(incidents: DataFrame, now: Column, age_s: float = 300.0, kept_s: float = 3600.0, most: int = 200) -> DataFrame:

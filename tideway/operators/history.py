@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -79,6 +80,48 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def ordered_hash(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, hash): SHA-256 of each key's values in order, one a line.
+
+    A task feeds the hash batch by batch from sorted rows, so no key's values are ever gathered. The hash of one key is
+    sequential: see ``tree_hash`` for keys of many rows. Null keys are a key; null values are empty lines.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest = None, None
+        for pdf in batches:
+            done = []
+            for key, part in pdf.groupby("_k", sort=False):
+                text = "\n".join(part["_v"])
+                if key == now:
+                    digest.update(("\n" + text).encode())
+                    continue
+                if now is not None:
+                    done.append((now, digest.hexdigest()))
+                now, digest = key, hashlib.sha256(text.encode())
+            yield pd.DataFrame(done, columns=["_k", "hash"], dtype=object)
+        if now is not None:
+            yield pd.DataFrame([(now, digest.hexdigest())], columns=["_k", "hash"], dtype=object)
+
+    places = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]
+    read = rows.select(F.to_json(F.struct(*keys)).alias("_k"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("_v"), *places)
+    dealt = read.repartition("_k").sortWithinPartitions("_k", *[f"_o{i}" for i in range(len(order))]).select("_k", "_v")
+    hashed = dealt.mapInPandas(run, "_k string, hash string")
+    return hashed.select(F.from_json("_k", ", ".join(f"`{k}` {kinds[k]}" for k in keys)).alias("_k"), "hash").select("_k.*", "hash")
+
+
+def tree_hash(rows: DataFrame, keys: list[str], number: str, width: int = 4096) -> DataFrame:
+    """(keys, hash): SHA-256 of the hashes of each key's ranges of ``width`` distinct numbers, in order.
+
+    A range is hashed by itself, so one key of many rows is spread; null numbers are left out.
+    """
+    part = (F.col(number) - F.pmod(F.col(number), F.lit(width))).alias("_part")
+    ranges = rows.select(*keys, number).filter(F.col(number).isNotNull()).distinct().groupBy(*keys, part).agg(F.sort_array(F.collect_list(number)).alias("n"))  # at most ``width`` numbers
+    hashed = ranges.select(*keys, "_part", F.sha2(F.array_join(F.transform("n", lambda x: x.cast("string")), "\n"), 256).alias("h"))
+    return ordered_hash(hashed, keys, ["_part"], "h")
+
+
 def hysteresis(df: DataFrame, keys: list[str], t: str = "t", raw: str = "raw", tie: str = "event_id", hold: float = MODEL.hold_s, recovery: float = MODEL.recovery_s, mode: str = "reference") -> DataFrame:
     """Adds ``state``: the raw class held for ``hold`` seconds before it changes, and recovery held back.
 

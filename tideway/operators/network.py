@@ -48,10 +48,10 @@ def insertions_due(deltas: DataFrame, horizon_s: float) -> DataFrame:
 def flow_split(spark: SparkSession, totals: list[float]) -> DataFrame:
     """Vehicles an hour of each class: half-even parts, the drift to motorcycles, at least one of each special class."""
     classes = [(k, w, False) for k, w in P.CLASS_WEIGHTS.items()] + [(k, w, True) for k, w in P.SPECIAL_SHARES.items()]
-    c = spark.createDataFrame(classes, "vtype string, weight double, special boolean")
     t = spark.createDataFrame([(float(x),) for x in totals], "total double")
+    c = F.array(*[F.struct(F.lit(k).alias("vtype"), F.lit(float(w)).alias("weight"), F.lit(s).alias("special")) for k, w, s in classes])
     part = F.bround(F.col("total") * F.col("weight"), 0).cast("int")
-    r = t.join(F.broadcast(c)).withColumn("part", part)
+    r = t.select("total", F.inline(c)).withColumn("part", part)
     core = r.filter("NOT special").groupBy("total").agg(F.sum("part").alias("core"))
     drift = F.when(F.col("vtype") == "motorcycle", F.bround("total", 0).cast("int") - F.col("core")).otherwise(0)
     return r.join(core, "total").select("total", "vtype", F.when(F.col("special"), F.greatest(F.lit(1), F.col("part"))).otherwise(F.greatest(F.lit(0), F.col("part") + drift)).cast("int").alias("vph"))
@@ -59,8 +59,8 @@ def flow_split(spark: SparkSession, totals: list[float]) -> DataFrame:
 
 def route_table(spark: SparkSession, trunk: float = 200.0, diagonal: float = 40.0) -> DataFrame:
     """All flows: every trunk source by class, and the diagonals."""
-    s = spark.createDataFrame(P.SOURCES, "source string, from_edge string, to_edge string")
-    flows = s.join(F.broadcast(flow_split(spark, [trunk]).filter("vph > 0"))).select(F.concat_ws("_", "source", "vtype").alias("flow"), "vtype", "from_edge", "to_edge", "vph")
+    s = spark.createDataFrame(P.SOURCES, "source string, from_edge string, to_edge string").withColumn("total", F.lit(float(trunk)))
+    flows = s.join(flow_split(spark, [trunk]).filter("vph > 0"), "total").select(F.concat_ws("_", "source", "vtype").alias("flow"), "vtype", "from_edge", "to_edge", "vph")
     d = spark.createDataFrame(P.DIAGONALS, "flow string, from_edge string, to_edge string, vtype string")
     return flows.unionByName(d.withColumn("vph", F.lit(max(1, round(diagonal / len(P.DIAGONALS))))).select("flow", "vtype", "from_edge", "to_edge", "vph"))
 

@@ -9,6 +9,7 @@ from tideway import params as P
 from tideway.functions import metrics as M
 from tideway.functions import text as X
 from tideway.operators import entities as E
+from tideway.operators import history as H
 from tideway.operators import network as N
 from tideway.operators import quality as Q
 from tideway.operators import observation as O
@@ -221,9 +222,15 @@ def health_rollup(spark, sf_dir):
 
 @query("""SELECT o_custkey % 50 AS run_id, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1""")
 def content_hashes(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    g = o.groupBy((F.col("o_custkey") % 50).alias("run_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    return g.select("run_id", X.content_hash(F.transform("k", lambda x: x.cast("string"))).alias("hash"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).alias("run_id"), "o_orderkey")
+    return H.ordered_hash(o, ["run_id"], ["o_orderkey"], "o_orderkey")
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey % 50 AS run_id, o_orderkey AS k FROM orders), p AS (SELECT run_id, k // 4096 AS part, sha256(string_agg(k::VARCHAR, chr(10) ORDER BY k)) AS h FROM k GROUP BY ALL)
+SELECT run_id, sha256(string_agg(h, chr(10) ORDER BY part)) AS hash FROM p GROUP BY run_id""")
+def content_tree_hashes(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).alias("run_id"), "o_orderkey")
+    return H.tree_hash(o, ["run_id"], "o_orderkey")
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 7 AS m, props FROM events), n AS (SELECT event_id, CASE WHEN m = 0 THEN 'bad' WHEN m = 1 THEN 'empty' ELSE 'good' END AS kind FROM e) SELECT event_id, kind, CASE kind WHEN 'bad' THEN 1 WHEN 'empty' THEN 1 ELSE 2 END AS rows FROM n""")
