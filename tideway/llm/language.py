@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.shared import below_hash, discard, materialize, text_bytes, text_or_empty
+from tideway.llm.shared import below_hash, discard, materialize, salted_join, text_bytes, text_or_empty
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 15
@@ -198,13 +198,14 @@ def identify(evidence: DataFrame, model: LanguageModel, most: int = 200, temper:
     domains = total(["domain"]).select("domain", smoothed(prior).alias("p_domain"))
     hosts = total(["host", "domain"]).join(domains, "domain").select("host", smoothed(F.col("p_domain")).alias("p_host"))
     given = lambda name: total([name]).select(name, F.zip_with("n", numbers(overall), lambda x, o: (x + floor) / (o + 2 * floor)).alias(f"p_{name}"))
-    combos = thin.select("host", "suffix", "declared").union(rows.filter("best IS NULL").select("host", "suffix", "declared")).distinct()
+    blank = rows.filter("best IS NULL").groupBy("host", "suffix", "declared").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    combos = thin.select("host", "suffix", "declared", "n").union(blank).groupBy("host", "suffix", "declared").agg(F.sum("n").cast("long").alias("uses"))
     # the priors meet the combinations, of which a host has few; rows then meet one row of their combination
     fused = combos.join(hosts, "host", "left").join(given("suffix"), "suffix", "left").join(given("declared"), "declared", "left")
     logs = F.zip_with(F.coalesce("p_host", prior), F.coalesce("p_suffix", flat), lambda a, b: F.log(a) + F.log(b))
     logs = F.zip_with(logs, F.coalesce("p_declared", flat), lambda a, b: a + F.log(b))
-    table = materialize(fused.select("host", "suffix", "declared", logs.alias("logs")), "fused")
-    joined = rows.join(table, ["host", "suffix", "declared"]).withColumn("post", F.zip_with("scores", "logs", lambda a, b: a + b)).withColumn("top", F.array_max("post"))
+    table = materialize(fused.select("host", "suffix", "declared", "uses", logs.alias("logs")), "fused")
+    joined = salted_join(rows, table, ["host", "suffix", "declared"], rows.count()).withColumn("post", F.zip_with("scores", "logs", lambda a, b: a + b)).withColumn("top", F.array_max("post"))
     names = F.array(*[F.lit(x) for x in model.languages])
     discard(thin)
     weight = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))

@@ -109,6 +109,20 @@ def least_hashed(rows: DataFrame, counts: dict[str, int], many: int) -> dict[str
     return {**found, **first(short)} if short else found
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the one row that ``table`` has of each key; its column ``uses`` says how many of the ``total`` rows have that key.
+
+    A key of more than an even share of the rows is spread over as many salts as it has shares. Such keys are fewer than
+    the shuffle has partitions, whatever the table, so their list may be broadcast. Null keys meet nothing.
+    """
+    share = max(1, total // partitions(rows.sparkSession))
+    salts = F.ceil(F.col("uses") / share).cast("int")
+    hot = table.filter(F.col("uses") > share).select(*keys, salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("uses")
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def prefix_sums(table: DataFrame, group: list[str], order: list, value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group`` over a table of ``ranged``.
 
