@@ -527,6 +527,26 @@ def test_every_language_is_learnt_from_whole_texts(spark):
     assert {r.id: r.language for r in language.identify(df, model, temper=1.0).collect()} == {k: lang for k, _, lang in asked}
 
 
+def test_salted_join_is_the_join_and_spreads(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id", "IF(id % 3 = 0, 'hot', 'k' || id % 500) AS k", "IF(id % 7 = 0, NULL, id % 2) AS j")
+    table = rows.groupBy("k", "j").agg(F.count(F.lit(1)).alias("uses"), F.max("id").alias("most"))
+    want = Counter((r.id, r.k, r.j, r.most) for r in rows.join(table.drop("uses"), ["k", "j"]).collect())
+    joined = shared.salted_join(rows, table, ["k", "j"], 4000)
+    assert Counter((r.id, r.k, r.j, r.most) for r in joined.collect()) == want
+    assert shared.salted_join(rows.limit(0), table.limit(0), ["k", "j"], 0).count() == 0
+
+
+def test_rows_of_one_id_fill_several_ranges(spark):
+    rng = random.Random(9)
+    rows = [(None, f"{rng.random()} word", *[None] * 5) for _ in range(300)] + [(None, "", *[None] * 5)] * 50 + [(k, "some words", *[None] * 5) for k in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found = sorted(token_store.read_blocks(token_store.store_tokens(docs, tokenizer_path(), end_id=1)).collect(), key=lambda r: r.start)
+    assert len(found) == 400 and [r.doc_id for r in found] == [None] * 350 + list(range(50))
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(found, found[1:]))
+    ids = token_store.token_ids(docs, tokenizer_path(), 1, 50_000)
+    assert ids.filter("doc_id IS NULL AND n_tokens > 0").select("pid").distinct().count() > 1
+
+
 def test_least_hashed(spark):
     """As a plain sort, also where all hashes of a group tie and where a group is small or absent."""
     rows = spark.range(3000).select(F.when(F.col("id") % 10 < 8, "a").when(F.col("id") % 10 == 8, "ties").otherwise(F.when(F.col("id") < 50, "few")).alias("g"), F.when(F.col("id") % 10 != 8, F.xxhash64("id")).otherwise((1 << 63) - 5).alias("k"), F.col("id").cast("string").alias("t"))

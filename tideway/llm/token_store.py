@@ -188,7 +188,8 @@ def token_ids(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([pid, None, None, None, None, packed], kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    placed = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # texts begin differently, so that rows of one doc_id, as of null, fill several ranges
+    placed = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return materialize(placed.select(F.spark_partition_id().alias("pid"), "doc_id", "text").mapInArrow(run, IDS_SCHEMA), "ids")
 
 
