@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.components import connected_components
-from tideway.llm.shared import common, discard, exact_sets, free_shuffles, materialize, partitions, shingle_sets, text_bytes, text_or_empty
+from tideway.llm.shared import common, discard, exact_sets, free_shuffles, materialize, partitions, salted_join, shingle_sets, text_bytes, text_or_empty
 
 #: Counters of the frequency sketch (a power of two), and those in one row of it.
 COUNTERS, PART = 1 << 20, 1 << 16
@@ -294,8 +294,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = 50
     free_shuffles(spark)
     roots = joined(roots, _crossing(rest, labelled, percent, block))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(rooted.join(named, "root").select("cls", "component_id", F.col("root").alias("component")), "ids")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("uses"))
+    ids = materialize(salted_join(rooted.select("cls", "root"), named, ["root"], classes.count()).select("cls", "component_id", F.col("root").alias("component")), "ids")
     discard(classes, texts, rest, labelled, roots)
     own = names.select("doc_id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("key"))
     return own.join(ids, own["key"] == ids["cls"], "left").select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
