@@ -60,7 +60,7 @@ def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def score_texts(texts: list[bytes], net: Network, piece: int = 2048) -> np.ndarray:
+def score_texts(texts: list[bytes], net: Network, piece: int = 512) -> np.ndarray:
     """Probability of label 1 of each whole text: the mean of its chunks' logits, weighted by their bytes, squashed."""
     scores = np.zeros(len(texts))
     for a, b in blocks(texts):

@@ -26,7 +26,7 @@ WORD_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"^[!-&(-;=-~\x{C0}-\x{FF}]+$"
 PLAIN_CUTS = r"([0-9]|[^\p{L}0-9]+)"
 #: Bytes of words (each with its ids counted as 100) that a worker keeps in one of its two generations.
-KEPT = 32 << 20
+KEPT = 16 << 20
 _encoders: dict = {}
 
 
@@ -182,6 +182,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataF
                 cols = [batch.column("pid"), batch.column("doc_id"), pa.array(n), pa.array(at + upto[:-1]), pa.array(rows, pa.binary()), pa.nulls(len(n), pa.binary())]
                 at += int(upto[-1])
                 yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(cols, kinds, strict=True)], names)
+        pa.default_memory_pool().release_unused()  # the worker outlives its task
         if pid is not None:
             seen = np.flatnonzero(total)
             packed = seen.astype("<i8").tobytes() + total[seen].astype("<i8").tobytes()
