@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideway.llm import personal
 from tideway.llm.decontaminate import find_leaks
+from tideway.llm.filter_audit import audit_filters
 from tideway.llm.jaccard_join import link_documents
 from tideway.llm.language import document_evidence, fit_languages, identify, page_evidence
 from tideway.llm.media import read_payloads, store_payloads
 from tideway.llm.mixing import mix_sources
+from tideway.llm.periodic import find_periodic
 from tideway.llm.quality import classify_quality
 from tideway.llm.repeats import remove_repeats
 from tideway.llm.token_store import read_blocks, store_tokens
@@ -126,6 +129,84 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_digest(personal.find_personal(table(spark, sf_dir, "documents")))
+
+
+def _personal_sql() -> str:
+    """Matches as SQL finds them, one pattern a kind: between the pieces of a split lie the matches, so their lengths give the places."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+",
+        "ssn": r"[0-9-]+",
+    }
+    proposed = "\nUNION ALL ".join(f"SELECT row, '{k}' AS kind, {i} AS place, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM d" for i, (k, p) in enumerate(patterns.items()))
+    lengths = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in personal.IBAN_LENGTH.items()) + "}"
+    by_kind = lambda values: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+    words = {k: f"'(^|[^a-z])({v})([^a-z]|$)'" for k, v in personal.CONTEXT.items()}
+    base = ", ".join(f"'{k}'" for k in personal.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in personal.BASE)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({proposed}),
+e AS (SELECT row, kind, place, unnest(hits) AS m, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS nth FROM p),
+b AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY row, kind ORDER BY nth) - length(m))::BIGINT AS a FROM e),
+n AS (SELECT row, kind, place, m, a, t, regexp_replace(m, '[^0-9]', '', 'g') AS digits, {lengths}[m[1:2]] AS need FROM b JOIN d USING (row)),
+k AS (SELECT *, CASE WHEN kind = 'iban' THEN list_filter(range(1, length(m) + 1), lambda i: m[i] <> ' ')[need] ELSE length(m) END AS size FROM n WHERE kind <> 'iban' OR need IS NOT NULL),
+c AS (SELECT *, a + size AS z, replace(m[1:size], ' ', '') AS account FROM k WHERE size IS NOT NULL),
+f AS (SELECT * FROM c WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(right(x, 3) AS INT), 0) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::INT ELSE (2 * digits[-i]::INT) // 10 + (2 * digits[-i]::INT) % 10 END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+  WHEN 'iban' THEN NOT regexp_matches(t[z + 1:z + 1], '^[A-Za-z0-9]$') AND list_reduce(list_transform(string_split(account[5:] || account[1:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x::INT ELSE ascii(x) - 55 END), lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
+  ELSE regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND m[8:] <> '0000' END),
+g AS (SELECT *, translate(t[greatest(1, a + 1 - {personal.BEFORE}):a] || ' ' || t[z + 1:z + {personal.AFTER}], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near FROM f),
+s AS (SELECT row, kind, place, a, kind || ':' || a || ':' || z AS span, {by_kind(personal.PRIOR)} + CASE WHEN regexp_matches(near, {by_kind(words)}) THEN {personal.FOR} ELSE 0 END - CASE WHEN regexp_matches(near, '(^|[^a-z])({personal.CONTRARY})([^a-z]|$)') THEN {personal.AGAINST} ELSE 0 END AS score FROM g),
+o AS (SELECT row, {counts}, string_agg(span, ',' ORDER BY place, a) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY place, a) AS spans, string_agg(score, ',' ORDER BY place, a) AS scores
+      FROM s WHERE kind IN ({base}) OR score >= {personal.ACCEPT} GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in personal.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN o USING (row)
+"""
+
+
+OP11_SQL = _personal_sql()
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Counts each order's steps one by one, from documents counted by the letters of the filters that they fail.
+OP12_SQL = r"""
+WITH m AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN m USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[:step - 1] AS gone FROM p, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, x,
+      coalesce(sum(n) FILTER (translate(fails, gone || x, '') = fails), 0)::BIGINT AS kept,
+      coalesce(sum(n) FILTER (contains(fails, x) AND translate(fails, gone, '') = fails), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (contains(fails, x) AND translate(fails, gone, '') <> fails), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (fails = x), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (contains(fails, x) AND translate(fails, gone, '') = fails), 0)::BIGINT AS good_lost,
+      coalesce(sum(toxic) FILTER (contains(fails, x) AND translate(fails, gone, '') = fails), 0)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM r
+"""
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_periodic(table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_source_mix": op2_source_mix,
@@ -137,10 +218,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
+    "op11_personal": op11_personal,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic": op13_periodic,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
     "op4_warc_archive": OP4_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_personal": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
