@@ -79,11 +79,6 @@ def test_overlay_expiry_is_open(spark):
     assert {(r.t, r.overlay_id) for r in C.active_overlays(o, t).collect()} == {(9.99, 1), (9.99, 2), (10.0, 2)}
 
 
-def test_paths_avoid_a_node(spark):
-    around = {(r.src, r.dst): r.path for r in N.route_avoiding(P.roads(spark), "A").collect()}
-    assert "A" not in around["B", "C"]
-
-
 def test_gates(spark):
     bins = spark.createDataFrame([("s", "a", 0.0, 5.0), ("s", "b", 6.0, 9.0)], "scope string, label string, lo double, hi double")
     assert [r.label for r in Q.bin_gaps(bins).collect()] == ["b"]

@@ -1,4 +1,4 @@
-"""Road graph, demand and layout generators."""
+"""Demand and layout generators of the road network; ``graph`` has its paths."""
 
 from __future__ import annotations
 
@@ -8,31 +8,6 @@ from pyspark.sql import functions as F
 from tideway import params as P
 
 
-def simple_paths(edges: DataFrame, avoid: str | None = None) -> DataFrame:
-    """(src, dst, length_m, path) of every path that meets no node twice, by a recursive query; for graphs of dimension
-    size, such as the road graph's 22 edges. ``avoid`` names a node that no path passes."""
-    spark, name = edges.sparkSession, f"road_edges_{avoid or ''}"
-    (edges.filter((F.col("src") != avoid) & (F.col("dst") != avoid)) if avoid else edges).createOrReplaceTempView(name)
-    return spark.sql(f"""WITH RECURSIVE p(src, dst, length_m, path) AS (SELECT src, dst, length_m, array(src, dst) FROM {name}
-        UNION ALL SELECT p.src, e.dst, p.length_m + e.length_m, array_append(p.path, e.dst) FROM p JOIN {name} e ON p.dst = e.src WHERE NOT array_contains(p.path, e.dst)) SELECT * FROM p""")
-
-
-def shortest_paths(edges: DataFrame, avoid: str | None = None) -> DataFrame:
-    """The shortest path of each connected pair; ties go to the path first by name."""
-    return simple_paths(edges, avoid).groupBy("src", "dst").agg(F.min(F.struct("length_m", "path")).alias("b")).select("src", "dst", "b.length_m", "b.path")
-
-
-def route_avoiding(edges: DataFrame, node: str) -> DataFrame:
-    """Shortest paths that avoid a node, and the plain ones where there is none."""
-    around = shortest_paths(edges, node).select("src", "dst", F.col("length_m").alias("l"), F.col("path").alias("p"))
-    return shortest_paths(edges).join(around, ["src", "dst"], "left").select("src", "dst", F.coalesce("l", "length_m").alias("length_m"), F.coalesce("p", "path").alias("path"))
-
-
-def reachable(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) with a path."""
-    return simple_paths(edges).select("src", "dst").distinct()
-
-
 def demand_deltas(spark: SparkSession, baseline: int = 200) -> DataFrame:
     """Vehicles an hour that each profile adds to each source's baseline, and the seconds between insertions; never negative."""
     rows = [(p, s, v) for p, targets in P.DEMAND.items() for s, v in targets.items()]

@@ -187,25 +187,6 @@ def detector_layout(spark, sf_dir):
     return N.detector_layout(spark)
 
 
-ROADS_SQL = "ro(src, dst, m) AS (VALUES " + ", ".join(f"('{a}', '{b}', {m}::DOUBLE)" for a, b, m in P.ROADS) + ")"
-PATHS = f"WITH RECURSIVE {ROADS_SQL}, p AS (SELECT src, dst, m, [src, dst] AS path FROM ro UNION ALL SELECT p.src, r.dst, p.m + r.m, list_append(p.path, r.dst) FROM p JOIN ro r ON r.src = p.dst WHERE NOT list_contains(p.path, r.dst))"
-
-
-@query(f"{PATHS} SELECT src, dst, arg_min(m, (m, path)) AS length_m, array_to_string(arg_min(path, (m, path)), '>') AS route FROM p GROUP BY ALL")
-def shortest_path(spark, sf_dir):
-    return N.shortest_paths(P.roads(spark)).select("src", "dst", "length_m", F.array_join("path", ">").alias("route"))
-
-
-@query(f"{PATHS}, a AS (SELECT src, dst, min(m) AS plain, min(m) FILTER (NOT list_contains(path, 'B')) AS around FROM p GROUP BY ALL) SELECT src, dst, coalesce(around, plain) AS length_m FROM a")
-def route_avoiding(spark, sf_dir):
-    return N.route_avoiding(P.roads(spark), "B").select("src", "dst", "length_m")
-
-
-@query(f"{PATHS} SELECT DISTINCT src, dst FROM p WHERE src <> dst")
-def reachable(spark, sf_dir):
-    return N.reachable(P.roads(spark))
-
-
 @query("""SELECT v AS value, 'missing' AS problem FROM (SELECT s_nationkey AS v FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) UNION ALL SELECT v, 'unexpected' FROM (SELECT c_nationkey AS v FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier)""")
 def anti_required(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("v"))
