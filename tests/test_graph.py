@@ -8,6 +8,7 @@ import pytest
 
 from tideway import params as P
 from tideway.operators import graph as G
+from tideway.operators import history as H
 from tideway.operators import scans as S
 
 
@@ -134,3 +135,22 @@ def test_token_bucket(spark):
     df = spark.createDataFrame(rows, "k string, t long, due long, slots long").repartition(3)
     assert Counter(tuple(r) for r in S.token_bucket(df, ["k"], "t", "due", "slots").collect()) == want
     assert S.token_bucket(df.limit(0), ["k"], "t", "due", "slots").collect() == []
+
+
+@pytest.mark.parametrize("interval", [0.5, 7.0, 400.0, 5000.0])
+def test_cadence_over_many_ranges(spark, interval):
+    """A hot key over all ranges, intervals from under a row's gap to the whole series, ties and nulls."""
+    rng = random.Random(interval)
+    rows = [("hot", k, round(rng.random() * 1000, 1), None) for k in range(500)] + [("hot", 900 + k, 500.0, "x") for k in range(60)]
+    rows += [(key, 2000 + 10 * j + k, float(k * j), "y") for j, key in enumerate(["a", "b", None]) for k in range(6)] + [("hot", 3000, None, "z"), ("c", 3001, None, "z")]
+    want = set()
+    for key in {r[0] for r in rows}:
+        last = None
+        for _, e, t, _ in sorted((r for r in rows if r[0] == key and r[2] is not None), key=lambda r: (r[2], r[1])):
+            if last is None or t - last >= interval:
+                last = t
+                want.add((key, e))
+    df = spark.createDataFrame(rows, "key string, event_id long, sim_t double, _x string").repartition(5)
+    got = H.cadence(df, ["key"], "sim_t", interval)
+    assert got.columns == df.columns
+    assert Counter((r.key, r.event_id) for r in got.collect()) == Counter(want)

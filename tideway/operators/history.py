@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tideway.operators.scans import ranged, written
 from tideway.params import MODEL
 
 BAD, GOOD = ("BUSY", "CONGESTED", "OVERSATURATED"), ("FREE_FLOW", "STABLE")
@@ -153,14 +155,99 @@ def hysteresis_step(s: tuple | None, t: float, raw: str, hold: float, recovery:
     return (*now, rec), out
 
 
+def _next_row(t: np.ndarray, last: np.ndarray, interval: float) -> np.ndarray:
+    """Place of the first of the sorted times with ``t - last >= interval``, the difference rounded as the rule's own; len(t) if none is."""
+    at = np.searchsorted(t, last + interval)
+    while True:
+        back = (at > 0) & (t[np.maximum(at - 1, 0)] - last >= interval)
+        on = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] - last < interval)
+        if not (back.any() or on.any()):
+            return at
+        at = at - back + (on & ~back)
+
+
+def _chain_ends(t: np.ndarray, interval: float) -> np.ndarray:
+    """For each of the sorted times the last one kept in this block if it is kept: pointers to the next kept, doubled."""
+    jump = np.minimum(_next_row(t, t, interval), len(t))
+    jump = np.where(jump < len(t), jump, np.arange(len(t)))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    return t[jump]
+
+
+def _plain(columns: dict) -> pd.DataFrame:
+    """Rows with their key as plain objects: chunked strings have no place in a struct of Arrow."""
+    return pd.DataFrame(columns).astype({"_k": object})
+
+
 def cadence(df: DataFrame, keys: list[str], t: str, interval: float, tie: str = "event_id") -> DataFrame:
-    """Rows at least ``interval`` after the last one kept; the first always (a greedy gap filter, by an ordered fold)."""
+    """Rows at least ``interval`` after the last one kept of their key; the first always (a greedy gap filter).
+
+    Rows are dealt by ranges of (key, time). A key inside one range is filtered in one ordered pass. A key over several
+    ranges, of which there are fewer than ranges, is a chain of blocks: each block tells at which times a chain through it
+    can end, each such end is looked up in the block where the chain goes on (its next kept row), and the ends that the
+    key's first row leads to are found by doubling those pointers, in about log2(blocks) rounds. Each block then keeps the
+    chain from its own entry. So no key's history meets in one task. Rows without a time are never kept; of rows of one
+    time only the first by ``tie`` can be; null keys are a key; an interval of 0 or less keeps all rows with a time.
+    """
+    timed = df.filter(F.col(t).isNotNull())
+    if interval <= 0:
+        return timed
+    table = ranged(timed.withColumns({"_k": F.to_json(F.struct(*keys)), "_t": F.col(t).cast("double")}), [*keys, "_t", tie], "series")
+    by_key = F.sort_array(F.collect_list(F.struct("pid", "_end")))  # an entry a range
+    blocks = table.groupBy("_k", "pid").agg(F.max("_t").alias("_end")).groupBy("_k").agg(by_key.alias("_blocks")).filter(F.size("_blocks") > 1)
+    spread = written(blocks, "spread")
+    alone = table.join(F.broadcast(spread.select("_k")), "_k", "left_anti").drop("pid", "_k")
 
     def step(last, row):
-        x = getattr(row, t)
-        return (x, True) if last is None or x - last >= interval else (last, None)
-
-    return ordered_fold(df, keys, [t, tie], lambda: None, step, "kept boolean").drop("kept")
+        return (row.cadence_t, True) if last is None or row.cadence_t - last >= interval else (last, None)
+
+    kept = ordered_fold(alone.withColumnRenamed("_t", "cadence_t"), keys, ["cadence_t", tie], lambda: None, step, "kept boolean").drop("kept", "cadence_t")
+    if not spread.limit(1).count():
+        return kept
+    times = written(table.join(F.broadcast(spread.select("_k", F.col("_blocks")[0]["pid"].alias("_first"))), "_k").select("_k", "pid", "_first", "_t"), "times")
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        last = _chain_ends(np.sort(pdf["_t"].to_numpy()), interval)
+        first = pdf["pid"].iloc[0] == pdf["_first"].iloc[0]
+        found = np.unique(last)
+        return _plain({"_k": pdf["_k"].iloc[0], "pid": pdf["pid"].iloc[0], "last": found, "root": first & (found == last[0])})
+
+    out = times.groupBy("_k", "pid").applyInPandas(ends, "_k string, pid int, last double, root boolean")
+    goes_on = F.filter("_blocks", lambda b: (b["pid"] > F.col("pid")) & (b["_end"] - F.col("last") >= interval))
+    links = out.join(F.broadcast(spread), "_k").select("_k", "last", "root", F.get(goes_on, F.lit(0))["pid"].alias("to"))
+    links = written(links.groupBy("_k", "last").agg(F.max("root").alias("root"), F.max("to").alias("to")), "ends")
+
+    def entries(ends_: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(ends_) or not len(block):
+            return _plain({"_k": [], "last": [], "pid": [], "entry": [], "next": []})
+        t_ = np.sort(block["_t"].to_numpy())
+        at = _next_row(t_, ends_["last"].to_numpy(), interval)
+        return _plain({"_k": ends_["_k"], "last": ends_["last"], "pid": ends_["to"], "entry": t_[at], "next": _chain_ends(t_, interval)[at]})
+
+    asked = links.filter("to IS NOT NULL").groupBy("_k", "to")
+    pointers = written(asked.cogroup(times.groupBy("_k", "pid")).applyInPandas(entries, "_k string, last double, pid int, entry double, next double"), "pointers")
+    reached, jump = links.filter("root").select("_k", "last"), pointers.select("_k", "last", "next")
+    while jump.limit(1).count():
+        reached = written(reached.unionByName(reached.join(jump, ["_k", "last"]).select("_k", F.col("next").alias("last"))).distinct(), "reached")
+        far = jump.select("_k", F.col("last").alias("next"), F.col("next").alias("after"))
+        jump = written(jump.join(far, ["_k", "next"]).select("_k", "last", F.col("after").alias("next")), "jump")
+
+    def follow(entry: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        t_, kept_ = np.sort(block["_t"].to_numpy()), []
+        at = int(np.searchsorted(t_, entry["entry"].iloc[0])) if len(entry) else len(t_)
+        after = _next_row(t_, t_, interval)
+        while at < len(t_):
+            kept_.append(t_[at])
+            at = int(after[at])
+        return _plain({"_k": block["_k"].iloc[0] if kept_ else [], "pid": block["pid"].iloc[0] if kept_ else [], "_t": kept_})
+
+    starts = times.filter("pid = _first").groupBy("_k", "pid").agg(F.min("_t").alias("entry"))
+    into = pointers.join(reached, ["_k", "last"]).select("_k", "pid", "entry").unionByName(starts).distinct()
+    chosen = into.groupBy("_k", "pid").cogroup(times.groupBy("_k", "pid")).applyInPandas(follow, "_k string, pid int, _t double")
+    first = F.row_number().over(Window.partitionBy("_k", "pid", "_t").orderBy(tie))
+    spanning = table.join(chosen, ["_k", "pid", "_t"]).withColumn("_n", first).filter("_n = 1").select(*df.columns)
+    return kept.select(*df.columns).unionByName(spanning)
 
 
 def cadence_buckets(df: DataFrame, keys: list[str], t: str, interval: float, value: str, tie: str = "event_id") -> DataFrame:

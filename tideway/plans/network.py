@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.operators import graph as N
+from tideway.operators import history as H
 from tideway.operators import scans as S
 
 QUERIES: dict = {}
@@ -118,3 +119,16 @@ def token_bucket(spark, sf_dir):
     rates = days.groupBy("source").agg(F.min("day").alias("first"), (1 + F.floor(F.sum("n") / (2 * span))).alias("rate"))
     ticks = days.join(rates, "source").select("source", "day", ((F.date_diff("day", "first") + 1) * F.col("rate")).cast("long").alias("due"), "slots")
     return S.token_bucket(ticks, ["source"], "day", "due", "slots")
+
+
+# One key: every event of the table belongs to one series, so its history fills all ranges.
+
+
+@query("""WITH RECURSIVE n AS (SELECT event_id, (epoch_us(ts) / 1000000.0 - 1704067200)::DOUBLE AS sim_t, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events),
+k AS (SELECT event_id, sim_t, nth, sim_t AS last, true AS kept FROM n WHERE nth = 1
+  UNION ALL SELECT n.event_id, n.sim_t, n.nth, CASE WHEN n.sim_t - k.last >= 1800 THEN n.sim_t ELSE k.last END, n.sim_t - k.last >= 1800 FROM k JOIN n ON n.nth = k.nth + 1)
+SELECT event_id, sim_t FROM k WHERE kept""")
+def cadence_one_key(spark, sf_dir):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0) - 1704067200
+    e = table(spark, sf_dir, "events").select(F.lit("all").alias("series"), "event_id", t.alias("sim_t"))
+    return H.cadence(e, ["series"], "sim_t", 1800.0).select("event_id", "sim_t")
