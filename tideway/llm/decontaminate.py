@@ -4,8 +4,9 @@ A short item inside a long document has a tiny Jaccard similarity, so no one sig
 Documents are parted by size: one of up to 2**s shingles has a signature of one permutation in about 2**(s - k) bins
 (the leading bits of a shingle's hash are its bin, the least hash in a bin is the bin's value), so a fixed share of a
 contained item's shingles is expected in it, however long the document is. Items are parted by size too: k is the
-largest for which an item contained to ``percent`` is missed with a chance of ``miss`` at most; an item too short for
-any k has a signature of all its shingles, and every shingle of a document is compared with those.
+largest for which half of the shingles that must be shared are enough to miss the item with a chance of ``miss`` at most;
+an item too short for any k has a signature of all its shingles, and every shingle of a document is compared with those.
+The other half is room to leave out the shingles that most items have, so a phrase that all share makes no pairs.
 
 One pass over the documents makes the signatures and keeps the entries that a table of item entries of bounded size may
 have. They are joined with the items' entries; the pairs found, and only these, are verified on their words.
@@ -35,18 +36,27 @@ LEAST_BITS = 5
 TABLE_BITS, PART_BITS = (16, 24), 16
 
 
-def item_class(size: int, percent: int, miss: float) -> int:
-    """Place in ``SKIPS`` of the largest k that misses an item of ``size`` shingles seldom enough; ``SHORT`` if none does.
+def wanted_shared(percent: int, size: int) -> int:
+    """Shingles of an item of ``size`` that a document must have."""
+    return max(1, -(-percent * size // 100))
+
+
+def enough(c: int, miss: float) -> int:
+    """How many shared shingles a document and an item of class ``c`` need for one of them to be told with a chance of 1 - ``miss``.
 
     A bin of 2**k shingles, and of a third more with those that the document lacks, has a given shared shingle as its
-    least with the chance (1 - e^-load) / load.
+    least with the chance (1 - e^-load) / load. Of short items every shared shingle is told.
     """
-    shared = max(1, -(-percent * size // 100))
-    for c, k in enumerate(SKIPS):
-        load = 2.0**k * 4 / 3
-        if (1 - (1 - math.exp(-load)) / load) ** shared <= miss:
-            return c
-    return SHORT
+    if c == SHORT:
+        return 1
+    load = 2.0 ** SKIPS[c] * 4 / 3
+    return math.ceil(math.log(miss) / math.log(1 - (1 - math.exp(-load)) / load))
+
+
+def item_class(size: int, percent: int, miss: float) -> int:
+    """Place in ``SKIPS`` of the largest k for which half of the shingles that must be shared are enough; ``SHORT`` if none is."""
+    half = wanted_shared(percent, size) // 2
+    return next((c for c in range(SHORT) if enough(c, miss) <= half), SHORT)
 
 
 def levels(own: np.ndarray) -> np.ndarray:
@@ -64,19 +74,31 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_entries(items: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
-    """(ih, hash, level, class) of every shingle of every different item."""
+    """(ih, hash, level, class) of the shingles of every different item that can make it a candidate.
+
+    A document with the wanted share of an item's shingles has ``enough`` of any ``size - wanted + enough`` of them, so those
+    in the fewest items do: a phrase that many items hold makes candidates only of items made of such phrases. The choice
+    looks at items alone, so that it tells nothing about which shingles a document's signature has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(text_bytes(batch.column("text")), n)
             size = np.array([len(s) for s in sets], np.int64)
             kind = np.array([item_class(len(s), percent, miss) for s in sets], np.int64)
+            most = np.array([len(s) - wanted_shared(percent, len(s)) + enough(c, miss) for s, c in zip(sets, kind.tolist(), strict=True)], np.int64)
             every = np.concatenate([*sets, np.zeros(0, np.uint64)])
             level = np.concatenate([*[levels(s) for s in sets], np.zeros(0, np.int64)])
             ih = batch.column("ih").take(pa.array(np.repeat(np.arange(len(sets)), size)))
-            yield pa.RecordBatch.from_arrays([ih, pa.array(every.view(np.int64)), pa.array(level), pa.array(np.repeat(kind, size))], ["ih", "hash", "level", "class"])
+            yield pa.RecordBatch.from_arrays([ih, pa.array(every.view(np.int64)), pa.array(level), pa.array(np.repeat(kind, size)), pa.array(np.repeat(most, size))], ["ih", "hash", "level", "class", "most"])
 
-    return items.select("ih", "text").dropDuplicates(["ih"]).mapInArrow(run, "ih long, hash long, level long, class long")
+    every = materialize(items.select("ih", "text").dropDuplicates(["ih"]).mapInArrow(run, "ih long, hash long, level long, class long, most long"), "shingles")
+    common = every.groupBy("hash").agg(F.count(F.lit(1)).alias("items")).filter("items > 1")
+    rarity = F.row_number().over(Window.partitionBy("ih").orderBy("items", "hash"))  # an item's own shingles
+    ranked = every.join(common, "hash", "left").withColumn("items", F.coalesce("items", F.lit(1))).withColumn("place", rarity)
+    chosen = materialize(ranked.filter("place <= most").select("ih", "hash", "level", "class"), "items")
+    discard(every)
+    return chosen
 
 
 def _table(entries: DataFrame, count: int) -> np.ndarray:
@@ -169,11 +191,14 @@ def _candidates(entries: DataFrame, items: DataFrame) -> DataFrame:
 def _verified(keyed: DataFrame, pairs: DataFrame, items: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
     """(doc_id, th, ih, n_item, n_shared) of the pairs of which the document has ``percent`` of the item's shingles, by words.
 
-    Of a document with many candidates, ``chunk`` different items go with its text into one row.
+    Of a document with many candidates, about ``chunk`` different items go with its text into one row.
     """
-    place = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("ih"))
+    # a document's candidates are dealt to parts by their hash, about ``chunk`` each, and never gathered
+    many = pairs.groupBy("doc_id", "th").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")).filter("parts > 1").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text"), "parts")
+    dealt = pairs.join(many, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_text")), "left")
+    part = F.pmod(F.xxhash64("ih"), F.coalesce("parts", F.lit(1)))
     texts = items.select("ih", F.col("text").alias("item")).dropDuplicates(["ih"])
-    asked = pairs.withColumn("part", F.floor(place / chunk)).join(texts, "ih")
+    asked = dealt.select("doc_id", "th", "ih", part.alias("part")).join(texts, "ih")
     lists = materialize(asked.groupBy("doc_id", "th", "part").agg(F.collect_list(F.struct("ih", "item")).alias("items")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "items"), "asked")
     rows = keyed.join(lists, keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["th"] == lists["_th"])).select("doc_id", "th", "text", "items")
 
@@ -199,7 +224,7 @@ def _verified(keyed: DataFrame, pairs: DataFrame, items: DataFrame, n: int, perc
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int, percent: int, miss: float, chunk: int) -> DataFrame:
     """(doc_id, th, ih, n_item, n_shared) for each row of ``docs`` and each different item text that it contains."""
-    entries = materialize(_item_entries(items, n, percent, miss), "items")
+    entries = _item_entries(items, n, percent, miss)
     keyed = _keyed(docs)
     found = materialize(_document_entries(keyed, _table(entries, entries.count()), n), "entries")
     pairs = materialize(_candidates(found, entries), "pairs")
