@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -263,8 +264,52 @@ def test_media_round_trip(docs):
     for r in corpus():
         b = (r[1] or "").encode()
         p = b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))
-        want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+        head = b"RIFF" + (36 + len(p)).to_bytes(4, "little") + b"WAVEfmt \x10\0\0\0\1\0\1\0\x40\x1f\0\0\x40\x1f\0\0\1\0\x08\0data" + len(p).to_bytes(4, "little")
+        feature = f"audio/wav at=5 samples={len(p)} mean={sum(p) / len(p):.4f} step={max(abs(x - y) for x, y in zip(p, p[1:]))}"
+        want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), 44 + len(p), hashlib.sha256(head + p).hexdigest(), feature] += 1
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_sniffing_takes_any_key_names(spark):
+    df = spark.createDataFrame([(1, 2, "x", 3, media.wav(b"ab"))], "type int, size int, declared string, `a.b` int, content binary")
+    out = media.sniff_media(df, ("type", "size", "declared", "a.b"))
+    assert out.columns == ["key_type", "key_size", "key_declared", "a.b", "declared", "type", "start", "size", "corrected", "media"]
+    assert [tuple(r)[:9] for r in out.collect()] == [(1, 2, "x", 3, "x", "audio/wav", 0, 46, True)]
+    with pytest.raises(ValueError):
+        media.sniff_media(df, ("type", "type"))
+    assert media.sniff_media(df.limit(0), ("type",)).collect() == []
+
+
+MEGABYTE = 1 << 20
+REPEATED = {
+    **{name: magic for magic, name in ((b"\x89PNG\r\n\x1a\n", "png"), (b"GIF89a", "gif"), (b"\xff\xd8\xff", "jpeg"), (b"OggS", "ogg"), (b"fLaC", "flac"), (b"\0\0\0\x08ftyp", "mp4"), (b"%PDF-", "pdf"), (b"PK\x03\x04", "zip"), (b"RIFF\4\0\0\0WAVE", "riff"))},
+    "zip with ends": b"PK\x03\x04PK\x05\x06" + bytes(18),
+    "zip ends that differ": None,
+    "pdf with ends": b"%PDF-1.4 startxref 9 %%EOF\n",
+    "pdf with tables": b"%PDF-1.4 xref startxref 9 %%EOF\n",
+    "pdf ends that differ": None,
+    "gif in blocks": b"\x0dGIF89a\1\0\1\0\0\0\0",
+    "jpeg in segments": b"\xff\xd8\xff\xe0\0\x06\xff\xd8\xff\xe0",
+    "jpeg in data": b"\xff\xd8\xff\xda\0\2\xff\0",
+    "ogg pages": b"OggS" + bytes(23),
+    "png with headers": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + bytes(17),
+    "white space": b"startxref 1" + b" " * 500,
+}
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_sniffing_is_linear(name):
+    """A MB of any magic, alone and with what its validator looks for, takes a few seconds at most, on any machine."""
+    one = REPEATED[name]
+    if name == "zip ends that differ":
+        blob = b"".join(b"PK\x03\x04PK\x05\x06" + bytes(6) + k.to_bytes(4, "little") + (7 * k).to_bytes(4, "little") + b"\0\0\1\0" for k in range(MEGABYTE // 26))
+    elif name == "pdf ends that differ":
+        blob = b"".join(b"%%PDF- startxref %d %%%%EOF\n" % (11 * k) for k in range(MEGABYTE // 29))
+    else:
+        blob = one * (MEGABYTE // len(one))
+    began = time.process_time()
+    media.sniff(blob)
+    assert time.process_time() - began < 4
 
 
 def test_sniffing_carves_and_corrects(spark):

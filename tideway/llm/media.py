@@ -6,11 +6,13 @@ keep text payloads losslessly as 8-bit PCM samples in WAV files inside a column
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +39,116 @@ RIFF_FORMS = {b"WAVE": "audio/wav", b"AVI ": "video/avi", b"WEBP": "image/webp"}
 RATE = 8000
 
 
-def _png(b: memoryview, at: int) -> int:
-    end, kinds = at + 8, []
-    while end + 12 <= len(b):
+class Places:
+    """Which of some stated distances lead from a place to one of the wanted places."""
+
+    def __init__(self, stated: Iterable[int], wanted: np.ndarray) -> None:
+        self.stated, self.wanted, self.places = np.array(sorted(stated), np.int64), wanted, np.flatnonzero(wanted)
+
+    def met(self, at: int) -> list[int]:
+        """By whichever of both lists is the shorter."""
+        if not len(self.stated) or not len(self.places):
+            return []
+        if len(self.places) < len(self.stated):
+            far = self.places[np.searchsorted(self.places, at) :] - at
+            return far[self.stated[np.minimum(np.searchsorted(self.stated, far), len(self.stated) - 1)] == far].tolist()
+        near = self.stated[: np.searchsorted(self.stated, len(self.wanted) - at)]
+        return near[self.wanted[at + near]].tolist()
+
+
+class Marks:
+    """What validators of one blob share, so that each byte is looked at a bounded number of times however many magics there are: places of end marks, and the results of walks that met."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw = raw
+        self.walks: dict = {}
+
+    def walk(self, name: str, state: tuple, step: Callable) -> int:
+        """Follow ``step(state) -> next state or result`` to its result; every state passed is told it, so walks that meet go on once."""
+        passed = []
+        known = self.walks.setdefault(name, {})
+        while isinstance(state, tuple):
+            if state in known:
+                state = known[state]
+                break
+            passed.append(state)
+            state = step(*state)
+        for x in passed:
+            known[x] = state
+        return state
+
+    @cached_property
+    def pdf(self) -> tuple:
+        """End marks (start, end, stated table), one row for each stated table, where tables and headers are, and the tables that updates name."""
+        raw = self.raw
+        ends = [(m.start(), m.end(), int(m[1])) for m in PDF_END.finditer(raw) if len(m[1]) < 12]
+        at_table = np.zeros(len(raw) + 1, bool)
+        for m in PDF_XREF.finditer(raw):
+            first = m.start()
+            while first and raw[first - 1] in b" \t\n\r\f\v":
+                first -= 1
+            at_table[first : m.end(1) if m[1] else m.start() + 1] = True  # also at any digit of the number, or the blanks before
+        by_table: dict[int, list[int]] = {}
+        for k, e in enumerate(ends):
+            by_table.setdefault(e[2], []).append(k)
+        previous: dict[int, list[int]] = {}
+        for m in re.finditer(rb"/Prev\s+(\d{1,11})\b", raw):
+            previous.setdefault(int(m[1]), []).append(m.start())
+        places = lambda mark: [m.start() for m in re.finditer(re.escape(mark), raw)]
+        return ends, at_table, by_table, Places(by_table, at_table), previous, places(b"%PDF-"), places(b"startxref"), places(b"%%EOF")
+
+    @cached_property
+    def zip(self) -> tuple:
+        """End records (place, count, size, start, note), their numbers by start and by (size, count), and where directories can begin."""
+        raw, records = self.raw, []
+        at = raw.find(b"PK\x05\x06")
+        while 0 <= at <= len(raw) - 22:
+            records.append((at, *struct.unpack_from("<HIIH", raw, at + 10)))
+            at = raw.find(b"PK\x05\x06", at + 4)
+        by_start: dict[int, dict[tuple[int, int], list[int]]] = {}
+        for k, (_, count, size, start, _) in enumerate(records):
+            by_start.setdefault(start, {}).setdefault((size, count), []).append(k)
+        directory = np.zeros(len(raw) + 1, bool)
+        directory[[m.start() for m in re.finditer(rb"PK\x01\x02", raw)]] = True
+        return records, by_start, Places(by_start, directory)
+
+
+def _png(b: memoryview, at: int, marks: Marks) -> int:
+    """The end of a chain of chunks from IHDR over IDAT to IEND; checksums are read once the whole chain is there."""
+
+    def step(end: int, data: bool):
+        if end + 12 > len(b):
+            return 0
         size, kind = struct.unpack_from(">I4s", b, end)
-        if end + 12 + size > len(b) or zlib.crc32(b[end + 4 : end + 8 + size]) != struct.unpack_from(">I", b, end + 8 + size)[0]:
+        after = end + 12 + size
+        if after > len(b):
+            return 0
+        return (after if data else 0) if kind == b"IEND" else (after, data or kind == b"IDAT")
+
+    if bytes(b[at + 8 : at + 16]) != b"\0\0\0\rIHDR":
+        return 0
+    stop, end = marks.walk("png", (at + 8, False), step), at + 8
+    while end < stop:
+        size = struct.unpack_from(">I", b, end)[0]
+        if zlib.crc32(b[end + 4 : end + 8 + size]) != struct.unpack_from(">I", b, end + 8 + size)[0]:
             return 0
-        kinds.append(kind)
         end += 12 + size
-        if kind == b"IEND":
-            return end if kinds[0] == b"IHDR" and b"IDAT" in kinds else 0
-    return 0
+    return stop
 
 
-def _gif(b: memoryview, at: int) -> int:
+def _gif(b: memoryview, at: int, marks: Marks) -> int:
     if at + 13 > len(b):
         return 0
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    end, seen = at + 13 + table(b[at + 10]), False
-    while end < len(b):
+
+    def blocks(end: int):
+        if end >= len(b):
+            return end
+        return (end + b[end] + 1,) if b[end] else end + 1
+
+    def step(end: int, seen: bool):
+        if end >= len(b):
+            return 0
         if b[end] == 0x3B:
             return end + 1 if seen else 0
         if b[end] == 0x2C and end + 10 < len(b):
@@ -64,16 +157,23 @@ def _gif(b: memoryview, at: int) -> int:
             end += 2
         else:
             return 0
-        while end < len(b) and b[end]:
-            end += b[end] + 1
-        end += 1
-    return 0
+        return marks.walk("gif blocks", (end,), blocks), seen
+
+    return marks.walk("gif", (at + 13 + table(b[at + 10]), False), step)
 
 
-def _jpeg(b: memoryview, at: int) -> int:
-    end, frame = at + 2, False
-    while end + 2 <= len(b):
-        if b[end] != 0xFF:
+def _jpeg(b: memoryview, at: int, marks: Marks) -> int:
+    raw = marks.raw
+
+    def coded(end: int):
+        """Up to a marker that is neither stuffing nor a restart."""
+        k = raw.find(b"\xff", end)
+        if k < 0 or k >= len(raw) - 1:
+            return -1
+        return (k + 2,) if raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7 else k
+
+    def step(end: int, frame: bool):
+        if end + 2 > len(b) or b[end] != 0xFF:
             return 0
         kind = b[end + 1]
         if kind == 0xD9:
@@ -85,22 +185,18 @@ def _jpeg(b: memoryview, at: int) -> int:
             return 0
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         end += 2 + size
-        if kind == 0xDA:  # coded data: up to a marker that is neither stuffing nor a restart
-            raw = bytes(b[end:])
-            k = raw.find(b"\xff")
-            while 0 <= k < len(raw) - 1 and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
-                k = raw.find(b"\xff", k + 2)
-            if k < 0 or k >= len(raw) - 1:
-                return 0
-            end += k
-    return 0
-
-
-def _riff(b: memoryview, at: int) -> int:
+        if kind == 0xDA:
+            end = marks.walk("jpeg data", (end,), coded)
+        return (end, frame) if end >= 0 else 0
+
+    return marks.walk("jpeg", (at + 2, False), step)
+
+
+def _riff(b: memoryview, at: int, marks: Marks) -> int:
     if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) not in RIFF_FORMS:
         return 0
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    if end > len(b):
+    if end > len(b) or bytes(b[at + 8 : at + 12]) == b"WAVE" and bytes(b[at + 12 : at + 16]) != b"fmt ":
         return 0
     k, kinds = at + 12, []
     while k + 8 <= end:
@@ -111,18 +207,19 @@ def _riff(b: memoryview, at: int) -> int:
     return end if whole and kinds and (bytes(b[at + 8 : at + 12]) != b"WAVE" or kinds[0] == b"fmt " and b"data" in kinds) else 0
 
 
-def _ogg(b: memoryview, at: int) -> int:
-    end, pages = at, 0
-    while end + 27 <= len(b) and bytes(b[end : end + 4]) == b"OggS" and b[end + 4] == 0:
+def _ogg(b: memoryview, at: int, marks: Marks) -> int:
+    """The end of the first page that says it is the last."""
+
+    def step(end: int):
+        if end + 27 > len(b) or bytes(b[end : end + 4]) != b"OggS" or b[end + 4]:
+            return 0
         n = b[end + 26]
-        size = 27 + n + sum(b[end + 27 : end + 27 + n])
-        if end + size > len(b):
+        after = end + 27 + n + sum(b[end + 27 : end + 27 + n])
+        if after > len(b):
             return 0
-        last, pages = b[end + 5] & 4, pages + 1
-        end += size
-        if last:
-            return end
-    return 0
+        return after if b[end + 5] & 4 else (after,)
+
+    return marks.walk("ogg", (at,), step)
 
 
 def _crc_table(poly: int, width: int) -> list[int]:
@@ -219,7 +316,7 @@ def _flac_frame(b: memoryview, at: int, depth: int) -> tuple[int, int]:
     return (end + 2, block) if check == int.from_bytes(b[end : end + 2], "big") else (0, 0)
 
 
-def _flac(b: memoryview, at: int) -> int:
+def _flac(b: memoryview, at: int, marks: Marks) -> int:
     end, first, depth, total = at + 4, True, 0, 0
     while end + 4 <= len(b):
         last, kind, size = b[end] & 0x80, b[end] & 0x7F, int.from_bytes(b[end + 1 : end + 4], "big")
@@ -242,7 +339,7 @@ def _flac(b: memoryview, at: int) -> int:
     return end if samples and samples >= total else 0
 
 
-def _mp4(b: memoryview, at: int) -> int:
+def _mp4(b: memoryview, at: int, marks: Marks) -> int:
     end, kinds = at - 4, []
     if end < 0:
         return 0
@@ -256,50 +353,53 @@ def _mp4(b: memoryview, at: int) -> int:
 
 
 PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
-PDF_XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+PDF_XREF = re.compile(rb"\bxref\b|(?<!\d)(\d+)(?=\s+\d+\s+obj\b)")
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    """The first end whose cross-reference table is where it says, and each update after it that names the table before.
+def _pdf(b: memoryview, at: int, marks: Marks) -> int:
+    """The first end whose cross-reference table is where it says, and the updates right after it that name the table before.
 
     Where no table is in its place: the last end before the next header that has an end of its own.
     """
-    raw, end, table = b.obj, 0, -1
-    for m in PDF_END.finditer(raw, at):
-        here = int(m[1])
-        if at + here < m.start() and PDF_XREF.match(raw, at + here):
-            if not end or at + here >= end and re.search(rb"/Prev\s+%d\b" % table, raw[at + here : m.start()]):
-                end, table = m.end(), here
+    ends, at_table, by_table, stated, previous, headers, starts, eofs = marks.pdf
+    here = stated.met(at)
+    after = lambda place: bisect.bisect_left(ends, (place + 1,))  # noqa: E731  number of the first end mark beyond
+    firsts = [by_table[h][k] for h in here if (k := bisect.bisect_left(by_table[h], after(at + h))) < len(by_table[h])]
+    end, k = 0, min(firsts, default=len(ends))
+    while k < len(ends):
+        first, last, h = ends[k]
+        named = previous.get(ends[k - 1][2], [])
+        if end and not (end <= at + h < first and at_table[at + h] and bisect.bisect_left(named, at + h) < bisect.bisect_left(named, first)):
+            break
+        end, k = last, k + 1
     if end:
         return end
-    stop = at
-    while stop >= 0:
-        stop = raw.find(b"%PDF-", stop + 5)
-        if stop >= 0 and not 0 <= raw.find(b"startxref", stop) < raw.rfind(b"%%EOF"):
-            stop = -1
-        end = raw.rfind(b"%%EOF", at, stop if stop >= 0 else len(raw))
-        if end > 0 and 0 <= raw.find(b"startxref", at, end):
-            return end + 5
-    return 0
-
-
-def _zip(b: memoryview, at: int) -> int:
+    start = bisect.bisect_left(starts, at)
+    eof = bisect.bisect_left(eofs, starts[start] + 9) if start < len(starts) else len(eofs)
+    if eof == len(eofs):
+        return 0
+    stop = bisect.bisect_right(headers, eofs[eof])
+    own = stop < len(headers) and (k := bisect.bisect_left(starts, headers[stop])) < len(starts) and starts[k] < eofs[-1]
+    return eofs[bisect.bisect_left(eofs, headers[stop]) - 1 if own else -1] + 5
+
+
+def _zip(b: memoryview, at: int, marks: Marks) -> int:
     """The first end record with a directory of local files in its place, both counted from ``at``."""
-    raw = b.obj
-    end = raw.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(raw) - 22:
-        count, size, start, note = struct.unpack_from("<HIIH", raw, end + 10)
+    raw = marks.raw
+    records, by_start, starts = marks.zip
+    first = len(records)
+    for start, size, count, group in ((d, *group) for d in starts.met(at) for group in ((*k, v) for k, v in by_start[d].items())):
         k, stop, seen = at + start, at + start + size, 0
-        while k + 46 <= stop <= end and raw[k : k + 4] == b"PK\x01\x02" and raw.startswith(b"PK\x03\x04", at + int.from_bytes(raw[k + 42 : k + 46], "little")):
+        while k + 46 <= stop and raw[k : k + 4] == b"PK\x01\x02" and raw.startswith(b"PK\x03\x04", at + int.from_bytes(raw[k + 42 : k + 46], "little")):
             k += 46 + sum(struct.unpack_from("<HHH", raw, k + 28))
             seen += 1
-        if seen and k == stop and seen & 0xFFFF == count and end + 22 + note <= len(raw):
-            return end + 22 + note
-        end = raw.find(b"PK\x05\x06", end + 4)
-    return 0
+        if seen and k == stop and seen & 0xFFFF == count:
+            later = group[bisect.bisect_left(group, bisect.bisect_left(records, (stop,))) :]
+            first = min(first, next((r for r in later if records[r][0] + 22 + records[r][4] <= len(raw)), first))
+    return records[first][0] + 22 + records[first][4] if first < len(records) else 0
 
 
-VALIDATORS: dict[str, Callable[[memoryview, int], int]] = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "riff": _riff, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip}
+VALIDATORS: dict[str, Callable[[memoryview, int, Marks], int]] = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "riff": _riff, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip}
 _automaton: list = []
 
 
@@ -319,10 +419,10 @@ def _magic_places(content: bytes) -> Iterator[tuple[int, str]]:
 
 def sniff(content: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of each medium whose structure and lengths hold; one inside another is left to it."""
-    found, upto, view = [], 0, memoryview(content)
+    found, upto, view, marks = [], 0, memoryview(content), Marks(content)
     for at, name in sorted(_magic_places(content)):
         start = at - 4 if name == "video/mp4" else at
-        if start < upto or (end := VALIDATORS[name](view, at)) <= start:
+        if start < upto or (end := VALIDATORS[name](view, at, marks)) <= start:
             continue
         found.append((RIFF_FORMS[content[at + 8 : at + 12]] if name == "riff" else name, start, end))
         upto = end
@@ -333,31 +433,35 @@ def sniff_media(blobs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each medium in each row of (``keys``, declared, content): keys, declared, type, start, size, corrected, media.
 
     ``corrected`` says whether the declared type was wrong. A row without valid media gives one row with a null type;
-    so does null or empty content. Memory is bounded by the largest blob.
+    so does null or empty content. A key named as one of the other columns comes as ``key_`` and its name; a repeated
+    name is an error. Memory is bounded by the largest blob.
     """
-    columns = [*keys, "declared", "content"]
-    kept = blobs.select(*columns)
+    fixed = ["declared", "type", "start", "size", "corrected", "media"]
+    named = [f"key_{k}" if k in fixed or k == "content" else k for k in keys]
+    if len({*named, *fixed}) < len(named) + len(fixed):
+        raise ValueError(f"keys whose names meet: {keys}")
+    kept = blobs.select(*[F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)], F.col("declared").cast("string").alias("declared"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 rows, kinds, starts, media = [], [], [], []
-                for k, content in enumerate(part.column("content").to_pylist()):
+                for k, content in enumerate(part.column(len(named) + 1).to_pylist()):
                     for kind, start, end in sniff(content or b"") or [(None, None, None)]:
                         rows.append(k)
                         kinds.append(kind)
                         starts.append(start)
                         media.append(None if kind is None else content[start:end])
-                declared = part.column("declared").take(pa.array(rows))
+                declared = part.column(len(named)).take(pa.array(rows))
                 wrong = [None if kind is None else kind != d for kind, d in zip(kinds, declared.to_pylist(), strict=True)]
-                own = [part.column(c).take(pa.array(rows)) for c in keys]
+                own = [part.column(k).take(pa.array(rows)) for k in range(len(named))]
                 sizes = [None if m is None else len(m) for m in media]
                 yield pa.RecordBatch.from_arrays([*own, declared, pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wrong, pa.bool_()), pa.array(media, pa.binary())], names)
 
-    names = [*keys, "declared", "type", "start", "size", "corrected", "media"]
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name in keys)
-    return kept.mapInArrow(run, types + "declared string, type string, start long, size long, corrected boolean, media binary")
+    names = [*[f"k{n}" for n in range(len(named))], *fixed]
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[: len(named)])
+    return kept.mapInArrow(run, types + "declared string, type string, start long, size long, corrected boolean, media binary").toDF(*named, *fixed)
 
 
 def wav(samples: bytes) -> bytes:
