@@ -154,3 +154,60 @@ def test_cadence_over_many_ranges(spark, interval):
     got = H.cadence(df, ["key"], "sim_t", interval)
     assert got.columns == df.columns
     assert Counter((r.key, r.event_id) for r in got.collect()) == Counter(want)
+
+
+def test_weighted_destinations(spark):
+    """Against a walk over the running weights; absent pairs, the floor, unknown sources and profiles, the internal branch."""
+    from tideway.operators import network as R
+
+    rng = random.Random(4)
+    nodes, inside = ["a", "b", "c", "d", "e"], ["X", "Y", "Z"]
+    weights = {("p", s, d): rng.choice([0, 5, 99, 2500, 7000]) for s in nodes for d in nodes if s != d and rng.random() < 0.6}
+    trips = [(k, rng.choice(["p", "p", "q"]), rng.choice([*nodes, "nowhere", None]), rng.choice([0, 499, 500, 1499, 1500, 9999]), rng.choice([0, 9999, rng.randrange(10000)])) for k in range(600)]
+    want = {}
+    for k, p, s, branch, draw in trips:
+        if branch < 1500:
+            want[k] = inside[branch * 3 // 1500]
+            continue
+        others = [d for d in nodes if d != s]
+        w = [max(100, weights.get((p, s, d), 500)) for d in others]
+        want[k] = next(d for i, d in enumerate(others) if draw * sum(w) < 10000 * sum(w[: i + 1])) if s in nodes and p == "p" else None
+    df = spark.createDataFrame(trips, "trip long, profile string, source string, branch long, draw long")
+    table = spark.createDataFrame([(*k, w) for k, w in weights.items()] + [("p", "a", "nowhere", 9000), ("p", "a", None, 1)], "profile string, source string, dest string, weight long")
+    got = R.weighted_destinations(df, table, ["profile"], nodes, inside, "branch", "draw")
+    assert {r.trip: r.dest for r in got.collect()} == want and got.count() == len(trips)
+    assert R.weighted_destinations(df.limit(0), table, ["profile"], nodes, inside, "branch", "draw").collect() == []
+
+
+def test_catalog_errors(spark):
+    """A right catalog, one that breaks every rule, and documents that are none."""
+    import hashlib
+    import json
+
+    from tideway.operators import catalogs as K
+
+    want = {"approaches": [("T1", "North", "e1"), ("T1", "South", "e2")], "outgoing": [("T1", "e3")], "links": [("K", "e1")], "nodes": {"A": "T1"}}
+    edges = [{"id": k, "from": "x", "to": "ü", "numLanes": 2} for k in ("e1", "e2", "e3")]
+    joins = [{"from": "e1", "to": "e3", "fromLane": 0, "toLane": 1, "via": None, "tl": 'T"1', "linkIndex": None, "dir": ""}]
+
+    def catalog(**changed):
+        body = {"node_to_tls": {"A": "T1"}, "edges": edges, "connections": joins, "inter_node_links": {"K": {"edge": "e1"}}, "movements_by_approach": {"T1": {"North": [{"from": "e1"}], "South": [{"from": "e2"}]}}, "approach_edges": {}, "outgoing_edges": {}} | changed
+        canonical = json.dumps({k: body[k] for k in ("connections", "edges", "node_to_tls")}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return {"topology_hash": hashlib.sha256(canonical.encode()).hexdigest()} | body
+
+    wrong = catalog(node_to_tls={"B": "T1", "A": "T2"}, edges=edges[1:2], inter_node_links={"K": {"edge": "e9"}}, movements_by_approach={"T1": {"North": [], "South": [{"from": "e2"}, {"from": "e7"}]}}) | {"topology_hash": "?"}
+    missing = catalog(inter_node_links={}, movements_by_approach={})
+    del missing["movements_by_approach"]
+    docs = {"right": json.dumps(catalog()), "shuffled": json.dumps(catalog(node_to_tls={"A": "T1"}), indent=1, sort_keys=True), "wrong": json.dumps(wrong), "missing": json.dumps(missing), "no link": json.dumps(catalog(inter_node_links={}, movements_by_approach={"T1": {"South": [{"from": "e2"}]}})), "none": None, "text": "{broken", "list": "[]", "kinds": json.dumps({k: 7 for k in K.REQUIRED})}
+    df = spark.createDataFrame(list(docs.items()), "name string, doc string")
+    got = {}
+    for r in K.catalog_errors(df, "name", **want).collect():
+        got.setdefault(r.name, set()).add((r.rule, r.subject, r.detail))
+    lacks = {("missing_key", k, None) for k in K.REQUIRED}
+    assert got["none"] == got["text"] == got["list"] == lacks
+    assert got["missing"] == {("missing_key", "movements_by_approach", None)}
+    assert got["no link"] == {("link_missing", "K", None), ("movements_missing", "T1/North", None)}
+    right = hashlib.sha256(json.dumps({"connections": joins, "edges": edges[1:2], "node_to_tls": {"A": "T2", "B": "T1"}}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert got["wrong"] == {("hash", None, right), ("nodes", None, None), ("approach_edge", "T1/North", "e1"), ("outgoing_edge", "T1", "e3"), ("link_not_in_net", "K", "e1"), ("link_edge", "K", "e9"), ("movements_empty", "T1/North", None), ("movement_from", "T1/South", "e7")}
+    assert {x[0] for x in got["kinds"]} == {"hash", "nodes", "approach_edge", "outgoing_edge", "link_not_in_net", "link_missing", "movements_missing"}
+    assert set(got) == {"none", "text", "list", "missing", "no link", "wrong", "kinds"}

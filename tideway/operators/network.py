@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideway import params as P
 
@@ -40,6 +41,41 @@ def route_table(spark: SparkSession, trunk: float = 200.0, diagonal: float = 40.
     return flows.unionByName(d.withColumn("vph", F.lit(max(1, round(diagonal / len(P.DIAGONALS))))).select("flow", "vtype", "from_edge", "to_edge", "vph"))
 
 
+def destination_intervals(weights: DataFrame, profile: list[str], nodes: list[str], least: int = 100, absent: int = 500, parts: int = 64) -> DataFrame:
+    """(profile, source, dest, lo, hi, total, part): where the running weight of each destination of a source lies, a row for each part of [0, 1) that it meets.
+
+    ``weights``: (profile, source, dest, weight) in ten-thousandths, one row a pair at most; pairs without one weigh ``absent``,
+    none weighs under ``least``, and a source's own node is no destination. ``nodes`` is the road network's list of
+    boundary nodes; destinations stand in its order.
+    """
+    known = weights.filter(F.col("source").isin(*nodes) & F.col("dest").isin(*nodes) & F.col("weight").isNotNull())
+    sources = known.select(*profile).distinct().withColumn("source", F.explode(F.array(*[F.lit(n) for n in nodes])))
+    pairs = sources.select("*", F.posexplode(F.array(*[F.lit(n) for n in nodes])).alias("place", "dest"))
+    weighed = pairs.filter("dest <> source").join(known, [*profile, "source", "dest"], "left").withColumn("w", F.greatest(F.lit(least), F.coalesce("weight", F.lit(absent))).cast("long"))
+    own = Window.partitionBy(*profile, "source")  # a row for each node of the network
+    summed = weighed.withColumns({"hi": F.sum("w").over(own.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("w").over(own)}).withColumn("lo", F.col("hi") - F.col("w"))
+    part = lambda x: F.least(F.lit(parts - 1), F.floor(F.col(x) * parts / F.col("total"))).cast("int")
+    return summed.select(*profile, "source", "dest", "lo", "hi", "total", F.explode(F.sequence(part("lo"), part("hi"))).alias("part"))
+
+
+def weighted_destinations(trips: DataFrame, weights: DataFrame, profile: list[str], nodes: list[str], internal: list[str], branch: str, draw: str, inside: int = 1500, parts: int = 64) -> DataFrame:
+    """``trips`` (profile, source, two draws of 0 to 9999) with ``dest``: an internal node for ``inside`` of the branch draws, else a boundary node by weight.
+
+    The weights of a source are intervals of the second draw, met by an interval join: draws and intervals are cut into
+    ``parts``, so a trip meets the one or two intervals of its part, and a source of many trips is spread over all parts.
+    Trips of unknown sources, profiles or draws outside get no boundary destination.
+    """
+    at = F.floor(F.col(draw) * parts / 10000).cast("int")
+    near = destination_intervals(weights, profile, nodes, parts=parts).select(*[F.col(c).alias(f"_{c}") for c in (*profile, "source", "dest", "lo", "hi", "total", "part")])
+    same = (F.col("source") == F.col("_source")) & (at == F.col("_part")) & (F.col(draw) * F.col("_total") >= F.col("_lo") * 10000) & (F.col(draw) * F.col("_total") < F.col("_hi") * 10000)
+    for c in profile:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    chosen = F.get(F.array(*[F.lit(n) for n in internal]), F.floor(F.col(branch) * len(internal) / inside).cast("int"))
+    stays = F.col(branch) < inside
+    outside = trips.filter(~F.coalesce(stays, F.lit(False))).join(near, same, "left").select(*trips.columns, F.col("_dest").alias("dest"))
+    return trips.filter(stays).withColumn("dest", chosen).unionByName(outside)
+
+
 def detector_layout(spark: SparkSession, length_m: float = 470.0, offset: float = 20.0, cover: float = 100.0, out_pos: float = 5.0, out_len: float = 30.0) -> DataFrame:
     """Detectors of all approaches (E1, E2) and exits (E2OUT)."""
     a = P.approaches(spark).withColumn("code", F.substring("direction", 1, 1))

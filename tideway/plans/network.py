@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideway.functions import text as X
+from tideway.operators import catalogs as K
 from tideway.operators import graph as N
 from tideway.operators import history as H
+from tideway.operators import network as R
 from tideway.operators import scans as S
 
 QUERIES: dict = {}
@@ -132,3 +135,87 @@ def cadence_one_key(spark, sf_dir):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0) - 1704067200
     e = table(spark, sf_dir, "events").select(F.lit("all").alias("series"), "event_id", t.alias("sim_t"))
     return H.cadence(e, ["series"], "sim_t", 1800.0).select("event_id", "sim_t")
+
+
+# Destinations: an order is a trip from its customer's nation; the trade of a priority weighs its destinations.
+
+NATIONS, INSIDE = [str(k) for k in range(25)], ["A", "B", "C", "D"]
+
+
+@query("""WITH t AS (SELECT o_orderkey AS trip, o_orderpriority AS profile, c_nationkey::VARCHAR AS source FROM orders JOIN customer ON o_custkey = c_custkey),
+h AS (SELECT *, ('0x' || substr(md5('42:' || source || ':' || trip), 1, 8))::BIGINT AS h FROM t), d AS (SELECT trip, profile, source, h % 10000 AS branch, (h // 10000) % 10000 AS draw FROM h),
+n AS (SELECT profile, source, s_nationkey::VARCHAR AS dest, count(*) AS n FROM t JOIN lineitem ON l_orderkey = trip JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+w AS (SELECT profile, source, dest, n * 10000 // sum(n) OVER (PARTITION BY profile, source) AS weight FROM n),
+p AS (SELECT a.profile, b.node::VARCHAR AS source, c.node::VARCHAR AS dest, c.node AS place FROM (SELECT DISTINCT profile FROM w) a, (SELECT range AS node FROM range(25)) b, (SELECT range AS node FROM range(25)) c WHERE b.node <> c.node),
+k AS (SELECT *, greatest(100, coalesce(weight, 500))::BIGINT AS w FROM p LEFT JOIN w USING (profile, source, dest)),
+i AS (SELECT profile, source, dest, sum(w) OVER (PARTITION BY profile, source ORDER BY place) - w AS lo, sum(w) OVER (PARTITION BY profile, source ORDER BY place) AS hi, sum(w) OVER (PARTITION BY profile, source) AS total FROM k)
+SELECT trip, d.profile, d.source, CASE WHEN branch < 1500 THEN ['A', 'B', 'C', 'D'][branch * 4 // 1500 + 1] ELSE dest END AS dest
+FROM d LEFT JOIN i ON branch >= 1500 AND d.profile = i.profile AND d.source = i.source AND draw * total >= lo * 10000 AND draw * total < hi * 10000""")
+def weighted_destination(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("source"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trip"), F.col("o_orderpriority").alias("profile"), "o_custkey")
+    trips = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("trip", "profile", "source")
+    r, r2 = X.stable_draws("42", F.col("source"), F.col("trip"))
+    whole = lambda x: F.round(x * 10000).cast("long")
+    drawn = trips.withColumns({"branch": whole(r), "draw": whole(r2)})
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("dest"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = trips.join(lines, F.col("l_orderkey") == F.col("trip")).groupBy("profile", "source", "dest").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("profile", "source").agg(F.sum("n").alias("total"))
+    weights = counts.join(totals, ["profile", "source"]).select("profile", "source", "dest", F.expr("n * 10000 div total").alias("weight"))
+    return R.weighted_destinations(drawn, weights, ["profile"], NATIONS, INSIDE, "branch", "draw").select("trip", "profile", "source", "dest")
+
+
+# Catalogs: an order is a road network whose line items are its edges, wrong where its line items say so.
+
+CATALOG = {
+    "approaches": [("T1", "North", "L1"), ("T1", "South", "L2"), ("T2", "East", "L3")],
+    "outgoing": [("T1", "L1"), ("T2", "L4")],
+    "links": [("K1", "L1"), ("K2", "L2")],
+    "nodes": {"A": "T1", "B": "T2"},
+}
+
+
+def order_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, doc). An order of priority 5-LOW lacks a part, one in progress has another node map, one of under 50,000 another
+    hash; line 2 returned means a link to another edge, line 1 no link; line 3 returned a movement from elsewhere, open none."""
+    lines = table(spark, sf_dir, "lineitem")
+    edge = F.struct(F.format_string("S%d", "l_suppkey").alias("from"), F.format_string("L%d", "l_linenumber").alias("id"), F.floor("l_quantity").cast("int").alias("numLanes"), F.format_string("P%d", "l_partkey").alias("to"))
+    join = F.struct(F.lit("s").alias("dir"), F.format_string("L%d", "l_linenumber").alias("from"), F.lit(0).alias("fromLane"), F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).alias("linkIndex"), F.col("l_linestatus").alias("tl"), F.lit("X").alias("to"), F.lit(1).alias("toLane"), F.lit(None).cast("string").alias("via"))
+    flag = lambda n: F.max(F.when(F.col("l_linenumber") == n, F.col("l_returnflag")))
+    by_id = lambda c: F.transform(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), c.alias("row")))), lambda x: x["row"])  # noqa: E731  an order has seven lines at most
+    nets = lines.groupBy("l_orderkey").agg(by_id(edge).alias("edges"), by_id(join).alias("connections"), flag(1).alias("f1"), flag(2).alias("f2"), flag(3).alias("f3"))
+    o = table(spark, sf_dir, "orders").join(nets, F.col("o_orderkey") == F.col("l_orderkey"))
+    second = F.when(F.col("o_orderstatus") == "P", "T9").otherwise("T2")
+    nodes = F.create_map(F.lit("A"), F.lit("T1"), F.lit("B"), second)
+    # written by hand, so that the operator's own canonical form is compared with another one
+    edge_text = F.array_join(F.transform("edges", lambda e: F.format_string('{"from":"%s","id":"%s","numLanes":%d,"to":"%s"}', e["from"], e["id"], e["numLanes"], e["to"])), ",")
+    join_text = F.array_join(F.transform("connections", lambda c: F.format_string('{"dir":"s","from":"%s","fromLane":0,"linkIndex":%s,"tl":"%s","to":"X","toLane":1,"via":null}', c["from"], F.coalesce(c["linkIndex"].cast("string"), F.lit("null")), c["tl"])), ",")
+    canonical = F.format_string('{"connections":[%s],"edges":[%s],"node_to_tls":{"A":"T1","B":"%s"}}', join_text, edge_text, second)
+    link = lambda e: F.struct(F.lit(e).alias("edge") if isinstance(e, str) else e.alias("edge"))
+    links = F.map_filter(F.create_map(F.lit("K1"), link("L1"), F.lit("K2"), link(F.when(F.col("f2") == "R", "L9").otherwise("L2"))), lambda k, v: (k != "K1") | F.coalesce(F.col("f1") != "R", F.lit(True)))
+    move = lambda *edges: F.array(*[F.struct(F.lit(e).alias("from")) for e in edges])
+    third = F.when(F.col("f3") == "R", move("L3", "L7")).when(F.col("f3") == "N", F.array().cast("array<struct<from: string>>")).otherwise(move("L3"))
+    moves = F.create_map(F.lit("T1"), F.create_map(F.lit("North"), move("L1"), F.lit("South"), move("L2", "L2")), F.lit("T2"), F.map_filter(F.create_map(F.lit("East"), third), lambda k, v: F.col("f3").isNotNull()))
+    body = F.struct(F.when(F.col("o_totalprice") < 50000, "other").otherwise(F.sha2(canonical, 256)).alias("topology_hash"), nodes.alias("node_to_tls"), F.col("edges"), F.col("connections"), links.alias("inter_node_links"), moves.alias("movements_by_approach"), F.create_map(F.lit("T1"), F.lit("x")).alias("approach_edges"), F.when(F.col("o_orderpriority") != "5-LOW", F.array(F.lit("L1"))).alias("outgoing_edges"))
+    return o.select("o_orderkey", F.to_json(body).alias("doc"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, list('L' || l_linenumber) AS ids, max(l_returnflag) FILTER (l_linenumber = 1) AS f1, max(l_returnflag) FILTER (l_linenumber = 2) AS f2, max(l_returnflag) FILTER (l_linenumber = 3) AS f3,
+  string_agg('{"from":"S' || l_suppkey || '","id":"L' || l_linenumber || '","numLanes":' || floor(l_quantity)::INT || ',"to":"P' || l_partkey || '"}', ',' ORDER BY l_linenumber, 'S' || l_suppkey, floor(l_quantity), 'P' || l_partkey) AS e,
+  string_agg('{"dir":"s","from":"L' || l_linenumber || '","fromLane":0,"linkIndex":' || CASE WHEN l_returnflag = 'A' THEN l_linenumber::VARCHAR ELSE 'null' END || ',"tl":"' || l_linestatus || '","to":"X","toLane":1,"via":null}', ',' ORDER BY l_linenumber, l_returnflag = 'A', l_linestatus) AS c
+  FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, l.*, sha256('{"connections":[' || c || '],"edges":[' || e || '],"node_to_tls":{"A":"T1","B":"' || CASE WHEN o_orderstatus = 'P' THEN 'T9' ELSE 'T2' END || '"}}') AS hash FROM orders JOIN l ON o_orderkey = k),
+g AS (SELECT * FROM o WHERE o_orderpriority <> '5-LOW'),
+x(rule, subject, edge) AS (VALUES ('approach_edge', 'T1/North', 'L1'), ('approach_edge', 'T1/South', 'L2'), ('approach_edge', 'T2/East', 'L3'), ('outgoing_edge', 'T1', 'L1'), ('outgoing_edge', 'T2', 'L4'), ('link_not_in_net', 'K1', 'L1'), ('link_not_in_net', 'K2', 'L2'))
+SELECT o_orderkey, 'missing_key' AS rule, 'outgoing_edges' AS subject, NULL AS detail FROM o WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT o_orderkey, 'hash', NULL, hash FROM g WHERE o_totalprice < 50000
+UNION ALL SELECT o_orderkey, 'nodes', NULL, NULL FROM g WHERE o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, rule, subject, edge FROM g JOIN x ON NOT list_contains(ids, edge)
+UNION ALL SELECT o_orderkey, 'link_missing', 'K1', NULL FROM g WHERE f1 = 'R'
+UNION ALL SELECT o_orderkey, 'link_edge', 'K2', 'L9' FROM g WHERE f2 = 'R'
+UNION ALL SELECT o_orderkey, 'movements_missing', 'T2/East', NULL FROM g WHERE f3 IS NULL
+UNION ALL SELECT o_orderkey, 'movements_empty', 'T2/East', NULL FROM g WHERE f3 = 'N'
+UNION ALL SELECT o_orderkey, 'movement_from', 'T2/East', 'L7' FROM g WHERE f3 = 'R'""")
+def catalog_errors(spark, sf_dir):
+    return K.catalog_errors(order_catalogs(spark, sf_dir), "o_orderkey", **CATALOG)
