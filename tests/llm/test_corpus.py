@@ -1,6 +1,9 @@
 """Corpus operators against brute force on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import glob
 import hashlib
+import io
+import os
 import random
 import re
 import time
@@ -461,14 +464,65 @@ def test_warc(spark):
     assert got == want
 
 
+def test_archives_are_files_that_other_tools_open(spark):
+    """A file's dictionary and frames by plain zstandard, one frame a record, in files of about the size asked for."""
+    import zstandard
+
+    rng = random.Random(2)
+    rows = [(k, f"http://h/{k}", "<html>" + " ".join(f"w{rng.randrange(300)}" for _ in range(120))) for k in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.archive_pages(pages).count()
+    newest = max(glob.glob(f"{shared.shared_root(spark)}/tideway/archives-*"), key=os.path.getmtime)
+    files = glob.glob(f"{newest}/archive=pages-*.warc.zst/part-*")
+    assert files and warc.write_archives(warc.mark_revisits(pages), b"", most=2000).count() > 3
+    seen = []
+    for path in files:
+        with open(path, "rb") as f:
+            raw = f.read()
+        magic, size = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+        assert magic == 0x184D2A5D and size > 0
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
+        text = unpack.stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+        seen += re.findall(rb"WARC-Record-ID: <urn:page:(\d+)>", text)
+        assert raw.count(b"\x28\xb5\x2f\xfd") == text.count(b"WARC/1.1\r\n")
+    assert sorted(map(int, seen)) == list(range(90))
+
+
+def test_token_files_are_in_order(spark):
+    """Files by path, and blocks in a file, go on where the one before ends, in ascending order of doc_id; read without the engine."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**6), " ".join(f"word{rng.randrange(99)}" for _ in range(rng.randrange(3000)))) for _ in range(300)]
+    store = token_store.store_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_path())
+    with open(glob.glob(f"{store.folder}/code/code=lengths/part-*")[0], "rb") as f:
+        decoder = Decoder(np.frombuffer(f.read()[:-1], np.uint8))
+    names, total = [], 0
+    files = sorted(glob.glob(f"{store.folder}/blocks/place=*/part-*"))
+    assert len(files) >= 4
+    for path in files:
+        with open(path, "rb") as f:
+            blocks_ = list(token_store.file_blocks(f.read()))
+        for block in blocks_:
+            docs_, counts, ids, start = decoder.block(block)
+            assert start == total and len(ids) == counts.sum()
+            total += len(ids)
+            names += docs_
+    assert names == sorted(r[0] for r in rows)
+    with pytest.raises(ValueError):
+        list(token_store.file_blocks(b"".join(blocks_)))
+
+
 def test_damaged_archives_are_told(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", "<html>" + "z" * 50 * k) for k in range(6)], "page_id long, url string, html string").coalesce(1)
     name, content = warc.archive_pages(pages).first()
     whole = list(warc.archive_records(bytes(content)))
     assert len(whole) == 6
     bad = [b"", bytes(content)[:-9], b"junk" + bytes(content), warc.dictionary_frame(b"")[:-1]]
-    rows = warc.read_archives(spark.createDataFrame([(f"a{k}", bytearray(b)) for k, b in enumerate(bad)], warc.ARCHIVE_SCHEMA)).collect()
+    rows = warc.read_archives(spark.createDataFrame([(f"a{k}", bytearray(b)) for k, b in enumerate(bad)], warc.ARCHIVE_SCHEMA), damaged="row").collect()
     assert {r.archive for r in rows if r.error} == {f"a{k}" for k in range(4)}
+    with pytest.raises(Exception, match="archive a1: cut frame"):
+        warc.read_archives(spark.createDataFrame([("a1", bytearray(bad[1]))], warc.ARCHIVE_SCHEMA), with_payload=False).collect()
+    with pytest.raises(ValueError):
+        warc.read_archives(spark.createDataFrame([], warc.ARCHIVE_SCHEMA), damaged="skip")
     for change in ((b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: ", b"Content-Length: 1"), (b"sha256:", b"sha256:0"), (b"WARC-Type: ", b"WARC-Type ")):
         with pytest.raises(ValueError):
             warc.parse_record(whole[3].replace(*change, 1))

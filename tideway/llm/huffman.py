@@ -18,6 +18,14 @@ STEP = 64
 _HEAD = struct.Struct("<4sIIIIq")
 
 
+def block_size(data: bytes, at: int) -> int:
+    """Bytes of the block that begins at ``at``, by its head; ValueError where none does."""
+    if data[at : at + 4] != MAGIC or len(data) < at + _HEAD.size:
+        raise ValueError(f"no block at byte {at}")
+    _, n, _, c, w, _ = _HEAD.unpack_from(data, at)
+    return _HEAD.size + 13 * n + 4 * c + 4 * w + 4
+
+
 def code_lengths(counts: np.ndarray, limit: int = 18) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits (package-merge); 0 where the count is 0."""
     counts = np.asarray(counts, np.int64)
@@ -70,6 +78,8 @@ class Encoder:
         end = np.cumsum(size)
         bit = end - size
         total = int(end[-1]) if len(ids) else 0
+        if max(total, int(np.max(counts, initial=0))) >> 32:
+            raise ValueError("a block holds less than 2**32 bits and ids: store the document in parts")
         words = np.zeros((total + 31) // 32 + 2, np.uint64)
         if len(ids):
             shifted = self.codes[ids] << (64 - (bit & 31) - size).astype(np.uint64)

@@ -36,13 +36,33 @@ def shared_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tideway/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tideway_path = path
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_root(spark)}/tideway/{name}-{uuid.uuid4().hex}"
+
+
+def write_files(rows: DataFrame, value: str, place: str, folder: str, between: str = "\n") -> None:
+    """Plain files of binary values, each value followed by ``between``, in a folder ``place``=... for each value of that string column.
+
+    Spark's text writer copies the bytes as they are, commits whole tasks, and writes to any store that Spark knows. Rows of
+    a task that share a place must stand together.
+    """
+    raw = rows.select(F.col(value).cast("string").alias("value"), place)
+    raw.write.option("lineSep", between).partitionBy(place).text(folder)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of all files below a folder of ``write_files``, one row each."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished queries now instead of at the driver's next collection.
 

@@ -7,19 +7,20 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideway.llm.huffman import Decoder, Encoder, code_lengths
-from tideway.llm.shared import discard, materialize, partitions, slices, text_or_empty
+from tideway.llm.huffman import Decoder, Encoder, block_size, code_lengths
+from tideway.llm.shared import discard, materialize, new_folder, partitions, read_files, slices, text_or_empty, write_files
 
 IDS_SCHEMA = "pid int, doc_id long, n_tokens long, at long, ids binary, counts binary"
-BLOCK_SCHEMA = "start long, block binary"
+BLOCK_SCHEMA = "place string, start long, block binary"
 #: Fixed value: how the word-end BPE cuts lower-case text into words; white space is dropped.
 WORD_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces whose words Arrow cuts as that pattern does: no apostrophe, no special token, one code point for each letter.
@@ -210,10 +211,22 @@ def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-def write_blocks(ids: DataFrame, lengths: np.ndarray, vocabulary: int, block_ids: int = 1 << 16) -> DataFrame:
-    """The stored corpus: one header row (start -1) with the code lengths, and blocks of whole documents.
+class TokenStore(NamedTuple):
+    """A stored corpus: ``folder``/code has the code lengths, ``folder``/blocks its files.
 
-    A block ends once it has ``block_ids`` ids; ``start`` is the number of ids in all documents before it.
+    A file lies in a folder place=..., the number of ids before it in 19 digits, and holds blocks of whole documents in
+    turn, each followed by a line feed. So files by path, and blocks in a file, are in ascending order of doc_id.
+    """
+
+    spark: SparkSession
+    folder: str
+
+
+def write_blocks(ids: DataFrame, lengths: np.ndarray, vocabulary: int, block_ids: int = 1 << 16) -> TokenStore:
+    """Write the ids as files of blocks.
+
+    A block ends once it has ``block_ids`` ids; its ``start`` is the number of ids in all documents before it. A task has
+    runs of documents that follow each other, each a file of its own.
     """
     wide = "<u2" if vocabulary <= 1 << 16 else "<u4"
     thin = ids.filter("counts IS NULL").groupBy("pid").agg(F.sum("n_tokens").alias("n"))  # a row per partition
@@ -221,19 +234,20 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, vocabulary: int, block_ids
     rows = ids.filter("counts IS NULL").join(F.broadcast(starts), "pid").select((F.col("base") + F.col("at")).alias("start"), "doc_id", "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, counts, parts, first, held = Encoder(lengths), [], [], [], 0, 0
+        encoder, docs, counts, parts, first, held, place = Encoder(lengths), [], [], [], 0, 0, None
 
         def flush() -> pa.RecordBatch:
             data = encoder.block(docs, np.array(counts), np.frombuffer(b"".join(parts), wide).astype(np.int64), first)
-            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([data], pa.binary())], ["start", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{place:019d}"]), pa.array([first], pa.int64()), pa.array([data], pa.binary())], ["place", "start", "block"])
 
         for batch in batches:
             for start, doc, n, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if docs and (held >= block_ids or start != first + held):
+                apart = start != first + held
+                if docs and (held >= block_ids or apart):
                     yield flush()
                     docs, counts, parts, held = [], [], [], 0
                 if not docs:
-                    first = start
+                    first, place = start, start if apart or place is None else place
                 docs.append(doc)
                 counts.append(n)
                 parts.append(raw)
@@ -241,19 +255,32 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, vocabulary: int, block_ids
         if docs:
             yield flush()
 
-    spark = ids.sparkSession
-    header = spark.createDataFrame([(-1, bytearray(np.asarray(lengths, np.uint8).tobytes()))], BLOCK_SCHEMA)
-    return materialize(rows.mapInArrow(run, BLOCK_SCHEMA).unionByName(header), "blocks", "none")
+    store = TokenStore(ids.sparkSession, new_folder(ids.sparkSession, "tokens"))
+    code = ids.sparkSession.createDataFrame([("lengths", bytearray(np.asarray(lengths, np.uint8).tobytes()))], "code string, value binary")
+    write_files(code, "value", "code", f"{store.folder}/code")
+    write_files(rows.mapInArrow(run, BLOCK_SCHEMA).sortWithinPartitions("place", "start"), "block", "place", f"{store.folder}/blocks")
+    return store
+
+
+def file_blocks(content: bytes) -> Iterator[bytes]:
+    """The blocks of one file; one that is cut or not followed by a line feed raises ValueError."""
+    at = 0
+    while at < len(content):
+        end = at + block_size(content, at)
+        if content[end : end + 1] != b"\n":
+            raise ValueError(f"cut block at byte {at}")
+        yield content[at:end]
+        at = end + 1
 
 
-def read_blocks(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Documents from stored blocks: doc_id, start, n_tokens, ids_crc32, and ids if asked for."""
-    header = bytes(blocks.filter("start = -1").first()["block"])  # a byte per id of the vocabulary
+def read_blocks(store: TokenStore, with_ids: bool = False) -> DataFrame:
+    """Documents from the stored files: doc_id, start, n_tokens, ids_crc32, and ids if asked for. Damage fails the job."""
+    header = bytes(read_files(store.spark, f"{store.folder}/code").first()["content"])[:-1]  # a byte per id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(np.frombuffer(header, np.uint8))
         for batch in batches:
-            for data in batch.column("block").to_pylist():
+            for data in (block for content in batch.column(0) for block in file_blocks(content.as_py())):
                 docs, counts, ids, start = decoder.block(data)
                 upto = np.concatenate(([0], np.cumsum(counts)))
                 raw = ids.astype("<u4").tobytes()
@@ -265,14 +292,14 @@ def read_blocks(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return blocks.filter("start >= 0").select("block").mapInArrow(run, schema)
+    return read_files(store.spark, f"{store.folder}/blocks").select("content").mapInArrow(run, schema)
 
 
-def store_tokens(docs: DataFrame, path: str, end_id: int = 1, limit: int = 18) -> DataFrame:
-    """Encode ``docs`` and return the stored blocks.
+def store_tokens(docs: DataFrame, path: str, end_id: int = 1, limit: int = 18) -> TokenStore:
+    """Encode ``docs`` and write their ids as files in the shared folder.
 
     Null texts count as empty and keep the end id alone; rows with equal doc_id are each stored, by text; null doc_ids
-    come first; an empty table gives a header and no block; other columns are ignored. Memory in a task is bounded by
+    come first; an empty table gives a code and no block; other columns are ignored. Memory in a task is bounded by
     the longest text and one block.
     """
     from tokenizers import Tokenizer

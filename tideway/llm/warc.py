@@ -1,7 +1,8 @@
 """WARC archives compressed with Zstandard: a dictionary in the leading skippable frame, then one frame per record.
 
-An archive is one value (name, content) as Spark's binary file reader gives it: bounded in size, whole in one row, and
-readable by itself. ``write_archives`` makes them, ``read_archives`` reads them back record by record.
+An archive is a file that any Zstandard decoder with that dictionary opens: ``write_archives`` makes its content,
+``archive_pages`` writes the files, and ``read_archives`` reads them back record by record. An empty skippable frame ends
+each file, as the writer puts one after every value.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.shared import discard, least_hashed, materialize
+from tideway.llm.shared import discard, least_hashed, materialize, new_folder, read_files, write_files
 
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
+SKIPPABLE_FROM, SKIPPABLE_TO = 0x184D2A50, 0x184D2A5F
 FRAME = 0xFD2FB528
+#: An empty skippable frame; every byte of it is a character of ASCII.
+EMPTY_FRAME = "P*M\x18\0\0\0\0"
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -114,7 +118,11 @@ def archive_records(content: bytes) -> Iterator[bytes]:
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while end < len(content):
-        if struct.unpack_from("<I", content, end)[0] != FRAME:
+        kind, size = struct.unpack("<II", content[end : end + 8]) if len(content) - end >= 8 else (0, 0)
+        if SKIPPABLE_FROM <= kind <= SKIPPABLE_TO and end + 8 + size <= len(content):
+            end += 8 + size
+            continue
+        if kind != FRAME:
             raise ValueError(f"no frame at byte {end}")
         one, parts, at = unpack.decompressobj(), [], end
         while not one.eof:  # fed in small pieces: what follows the frame is never copied whole
@@ -150,8 +158,14 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": number("warc-record-id"), "url": fields["warc-target-uri"], "record_type": kind, "refers_to": number("warc-refers-to"), "payload_bytes": int(fields["x-payload-length"]), "payload_digest": digest, "payload": payload, "error": None}
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record; a damaged record or archive gives a row with ``error`` set and ends its archive."""
+def read_archives(archives: DataFrame, with_payload: bool = True, damaged: str = "raise") -> DataFrame:
+    """One row per record of archives (name, content).
+
+    Damage, whether of a frame, a header, a length or a digest, fails the job and names the archive; with ``damaged`` "row"
+    it gives a row with ``error`` set and ends its archive.
+    """
+    if damaged not in ("raise", "row"):
+        raise ValueError(f"damaged: {damaged}")
     names = ["archive", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "error"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
@@ -173,6 +187,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                             yield pack(rows)
                             rows, held = [], 0
                 except (ValueError, KeyError, zstandard.ZstdError) as e:
+                    if damaged == "raise":
+                        raise ValueError(f"archive {name}: {e}") from e
                     rows.append({"archive": name, "error": str(e)})
                 if rows:
                     yield pack(rows)
@@ -180,14 +196,21 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     return archives.select("name", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
+def open_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives (name, content) of a folder of files."""
+    return read_files(spark, folder).select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("name"), "content")
+
+
 def archive_pages(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Write all pages to archives in the shared folder and return the archives.
+    """Write all pages to archive files in the shared folder, ``archive=pages-*.warc.zst``/one file each, and return them (name, content).
 
     Null html is an empty payload; a null url an empty one; rows with equal page_id and payload are all written, and
     are of one kind; rows with a null page_id never lend their id; an empty table gives no archive; other columns are
     ignored.
     """
+    spark = pages.sparkSession
     marked = materialize(mark_revisits(pages, least), "marked")
-    archives = materialize(write_archives(marked, train_dictionary(pages)), "archives", "none")
+    folder = new_folder(spark, "archives")
+    write_files(write_archives(marked, train_dictionary(pages)).withColumnRenamed("name", "archive"), "content", "archive", folder, EMPTY_FRAME)
     discard(marked)
-    return archives
+    return open_archives(spark, folder)
