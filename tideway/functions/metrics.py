@@ -82,11 +82,11 @@ def position_ratio_at_least(pos_m: Column, length_m: Column, ratio: float) -> Co
     return F.when(length_m > 0, pos_m / length_m >= ratio).otherwise(F.lit(False))
 
 
-def phase_at(t: Column, offset: Column, green: int = 42, yellow: int = 3) -> Column:
-    """Phase name of a fixed-time signal at second t; a green time of one's own lies within 10 and 120 s."""
-    green = min(120, max(10, green))
+def phase_at(t: Column, offset: Column, green: Column | int = 42, yellow: int = 3) -> Column:
+    """Phase name of a fixed-time signal at second t; a green time of one's own, a number or a column, lies within 10 and 120 s."""
+    green = F.least(F.lit(120), F.greatest(F.lit(10), F.lit(green) if isinstance(green, int) else green))
     half = green + yellow
-    x = F.pmod(t + offset, F.lit(float(2 * half)))
+    x = F.pmod(t + offset, (2 * half).cast("double"))
     return F.when(x < green, "NS_GREEN").when(x < half, "NS_YELLOW").when(x < half + green, "EW_GREEN").otherwise("EW_YELLOW")
 
 

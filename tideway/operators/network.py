@@ -9,36 +9,41 @@ from pyspark.sql.window import Window
 from tideway import params as P
 
 
-def demand_deltas(spark: SparkSession, baseline: int = 200) -> DataFrame:
+def demand_targets(spark: SparkSession) -> DataFrame:
+    """(profile, source, target_vph) of the road network."""
+    return spark.createDataFrame([(p, s, v) for p, targets in P.DEMAND.items() for s, v in targets.items()], "profile string, source string, target_vph int")
+
+
+def demand_deltas(targets: DataFrame, baseline: int = 200) -> DataFrame:
     """Vehicles an hour that each profile adds to each source's baseline, and the seconds between insertions; never negative."""
-    rows = [(p, s, v) for p, targets in P.DEMAND.items() for s, v in targets.items()]
-    d = spark.createDataFrame(rows, "profile string, source string, target_vph int").withColumn("delta_vph", F.greatest(F.lit(0), F.col("target_vph") - baseline))
+    d = targets.select("profile", "source", "target_vph").withColumn("delta_vph", F.greatest(F.lit(0), F.col("target_vph") - baseline))
     return d.withColumn("interval_s", F.when(F.col("delta_vph") > 0, F.bround(F.lit(3600.0) / F.col("delta_vph"), 4)))
 
 
 def insertions_due(deltas: DataFrame, horizon_s: float) -> DataFrame:
-    """Insertions by the end of a horizon when none fails: one each interval."""
+    """Insertions by the end of a horizon when none fails: one each interval. ``scans.token_bucket`` has those that fail."""
     return deltas.select("profile", "source", F.when(F.col("delta_vph") > 0, F.floor(F.lit(horizon_s) * F.col("delta_vph") / 3600)).otherwise(0).cast("long").alias("due"))
 
 
-def flow_split(spark: SparkSession, totals: list[float]) -> DataFrame:
-    """Vehicles an hour of each class: half-even parts, the drift to motorcycles, at least one of each special class."""
+def flow_split(totals: DataFrame) -> DataFrame:
+    """(source, total, vtype, vph) of (source, total): half-even parts, the drift to motorcycles, at least one of each special class.
+
+    What is rounded is one row's business, so no row meets another.
+    """
     classes = [(k, w, False) for k, w in P.CLASS_WEIGHTS.items()] + [(k, w, True) for k, w in P.SPECIAL_SHARES.items()]
-    t = spark.createDataFrame([(float(x),) for x in totals], "total double")
-    c = F.array(*[F.struct(F.lit(k).alias("vtype"), F.lit(float(w)).alias("weight"), F.lit(s).alias("special")) for k, w, s in classes])
-    part = F.bround(F.col("total") * F.col("weight"), 0).cast("int")
-    r = t.select("total", F.inline(c)).withColumn("part", part)
-    core = r.filter("NOT special").groupBy("total").agg(F.sum("part").alias("core"))
-    drift = F.when(F.col("vtype") == "motorcycle", F.bround("total", 0).cast("int") - F.col("core")).otherwise(0)
-    return r.join(core, "total").select("total", "vtype", F.when(F.col("special"), F.greatest(F.lit(1), F.col("part"))).otherwise(F.greatest(F.lit(0), F.col("part") + drift)).cast("int").alias("vph"))
+    part = lambda w: F.bround(F.col("total") * w, 0).cast("int")
+    drift = F.bround("total", 0).cast("int") - sum((part(w) for _, w, special in classes if not special), F.lit(0))
+    vph = lambda k, w, special: F.greatest(F.lit(1), part(w)) if special else F.greatest(F.lit(0), part(w) + (drift if k == "motorcycle" else 0))
+    each = F.array(*[F.struct(F.lit(k).alias("vtype"), vph(k, w, special).cast("int").alias("vph")) for k, w, special in classes])
+    return totals.select("source", "total", F.inline(each))
 
 
-def route_table(spark: SparkSession, trunk: float = 200.0, diagonal: float = 40.0) -> DataFrame:
-    """All flows: every trunk source by class, and the diagonals."""
-    s = spark.createDataFrame(P.SOURCES, "source string, from_edge string, to_edge string").withColumn("total", F.lit(float(trunk)))
-    flows = s.join(flow_split(spark, [trunk]).filter("vph > 0"), "total").select(F.concat_ws("_", "source", "vtype").alias("flow"), "vtype", "from_edge", "to_edge", "vph")
-    d = spark.createDataFrame(P.DIAGONALS, "flow string, from_edge string, to_edge string, vtype string")
-    return flows.unionByName(d.withColumn("vph", F.lit(max(1, round(diagonal / len(P.DIAGONALS))))).select("flow", "vtype", "from_edge", "to_edge", "vph"))
+def route_table(sources: DataFrame, diagonals: DataFrame, diagonal: float = 40.0) -> DataFrame:
+    """All flows: every trunk source (source, from_edge, to_edge, total) by class, and the diagonals (flow, from_edge, to_edge, vtype), which share ``diagonal``."""
+    split = flow_split(sources.select(F.struct("source", "from_edge", "to_edge").alias("source"), F.col("total").cast("double").alias("total"))).filter("vph > 0")
+    flows = split.select(F.concat_ws("_", "source.source", "vtype").alias("flow"), "vtype", "source.from_edge", "source.to_edge", "vph")
+    share = max(1, round(diagonal / max(1, diagonals.count())))
+    return flows.unionByName(diagonals.select("flow", "vtype", "from_edge", "to_edge", F.lit(share).alias("vph")))
 
 
 def destination_intervals(weights: DataFrame, profile: list[str], nodes: list[str], least: int = 100, absent: int = 500, parts: int = 64) -> DataFrame:
@@ -76,15 +81,16 @@ def weighted_destinations(trips: DataFrame, weights: DataFrame, profile: list[st
     return trips.filter(stays).withColumn("dest", chosen).unionByName(outside)
 
 
-def detector_layout(spark: SparkSession, length_m: float = 470.0, offset: float = 20.0, cover: float = 100.0, out_pos: float = 5.0, out_len: float = 30.0) -> DataFrame:
-    """Detectors of all approaches (E1, E2) and exits (E2OUT)."""
-    a = P.approaches(spark).withColumn("code", F.substring("direction", 1, 1))
-    one = a.select(F.concat_ws("_", F.lit("E1"), "tls_id", "code", "lane_index").alias("detector_id"), F.lit("E1").alias("kind"), "lane_id", F.lit(max(0.1, length_m - offset)).alias("pos_m"), F.lit(None).cast("double").alias("end_m"))
-    start = max(0.1, length_m - cover)
-    two = a.select(F.concat_ws("_", F.lit("E2"), "tls_id", "code", "lane_index"), F.lit("E2"), "lane_id", F.lit(start), F.lit(start + min(cover, max(1.0, length_m - start))))
-    edge = F.concat(F.substring("edge", 3, 2), F.substring("edge", 1, 2))  # the way back of an approach leaves the node
-    out = a.select(F.concat_ws("_", F.lit("E2OUT"), "tls_id", edge, "lane_index"), F.lit("E2OUT"), F.concat_ws("_", edge, "lane_index"), F.lit(out_pos), F.lit(out_pos + out_len))
-    return one.union(two).union(out)
+def detector_layout(approaches: DataFrame, offset: float = 20.0, cover: float = 100.0, out_pos: float = 5.0, out_len: float = 30.0) -> DataFrame:
+    """Detectors of all approach lanes (tls_id, direction, edge, lane_id, lane_index, length_m): a loop (E1) and an area (E2) on the approach, an area on the exit (E2OUT)."""
+    code, length = F.substring("direction", 1, 1), F.col("length_m")
+    back = F.concat(F.substring("edge", 3, 2), F.substring("edge", 1, 2))  # the way back of an approach leaves the node
+    start = F.greatest(F.lit(0.1), length - cover)
+    row = lambda name, kind, lane, pos, end: F.struct(name.alias("detector_id"), F.lit(kind).alias("kind"), lane.alias("lane_id"), pos.cast("double").alias("pos_m"), end.cast("double").alias("end_m"))
+    one = row(F.concat_ws("_", F.lit("E1"), "tls_id", code, "lane_index"), "E1", F.col("lane_id"), F.greatest(F.lit(0.1), length - offset), F.lit(None))
+    two = row(F.concat_ws("_", F.lit("E2"), "tls_id", code, "lane_index"), "E2", F.col("lane_id"), start, start + F.least(F.lit(cover), F.greatest(F.lit(1.0), length - start)))
+    out = row(F.concat_ws("_", F.lit("E2OUT"), "tls_id", back, "lane_index"), "E2OUT", F.concat_ws("_", back, "lane_index"), F.lit(out_pos), F.lit(out_pos + out_len))
+    return approaches.select(F.inline(F.array(one, two, out)))
 
 
 def detectors_xml(layout: DataFrame) -> DataFrame:
@@ -105,9 +111,10 @@ def approach_signals(approaches: DataFrame) -> DataFrame:
     return approaches.groupBy("edge").agg(F.min("tls_id").alias("tls_id"))
 
 
-def edges_between(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Edges from one node to another."""
-    return edges.filter((F.col("src") == src) & (F.col("dst") == dst))
+def edge_lookups(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, length, found) of each different pair: the edge from one node to the next, and whether there is one; a pair without is an error of whoever asks, not of the job."""
+    asked = pairs.select("src", "dst").distinct()
+    return asked.join(edges.groupBy("src", "dst").agg(F.min("length").alias("length")), ["src", "dst"], "left").withColumn("found", F.col("length").isNotNull())
 
 
 def nested_connections(connections: DataFrame) -> DataFrame:

@@ -242,9 +242,19 @@ def movement_by_sides(entry: Column, leave: Column) -> Column:
     return F.when(turn == 1, "right").when(turn == 3, "left").otherwise("straight")
 
 
-def free_right_turns(waiting: DataFrame, moving: DataFrame) -> DataFrame:
-    """Right turns on red (keys and direction) that no moving vehicle of a crossing direction conflicts with."""
-    w, m = waiting.alias("w"), moving.select("run_id", "node_id", "obs_t", F.col("direction").alias("other")).distinct().alias("m")
-    across = F.col("w.direction").isin("North", "South") != F.col("m.other").isin("North", "South")
-    on = [F.col(f"w.{c}") == F.col(f"m.{c}") for c in ("run_id", "node_id", "obs_t")]
-    return w.join(m, [*on, across], "left_anti")
+#: Nodes that allow a right turn on red, and the direction that it must give way to.
+RIGHT_ON_RED, GIVES_WAY = ("A", "C"), {"North": "East", "East": "South", "South": "West", "West": "North"}
+
+
+def free_right_turns(turns: DataFrame, vehicles: DataFrame, green: DataFrame, nodes: tuple[str, ...] = RIGHT_ON_RED, near: float = 0.95) -> DataFrame:
+    """Right turns on red (run_id, node_id, obs_t, direction, ...) that may go: the node allows it and nothing comes.
+
+    Something comes where the one direction that the turn gives way to is green (``green``: node_id, obs_t, direction) and a
+    straight vehicle of it (``vehicles``: movement, ratio, state) moves, freely or in congestion, at ``near`` of its lane or
+    beyond. A turn from no known direction gives way to none.
+    """
+    gives_way = F.element_at(F.create_map(*[F.lit(x) for pair in GIVES_WAY.items() for x in pair]), F.col("direction"))
+    close = vehicles.filter((F.col("movement") == "straight") & (F.col("ratio") >= near) & F.col("state").isin("MOVING", "CONGESTED"))
+    coming = close.join(green, ["node_id", "obs_t", "direction"], "left_semi").select("run_id", "node_id", "obs_t", F.col("direction").alias("_way")).distinct()
+    allowed = turns.filter(F.col("node_id").isin(*nodes)).withColumn("_way", gives_way)
+    return allowed.join(coming, ["run_id", "node_id", "obs_t", "_way"], "left_anti").drop("_way")

@@ -10,7 +10,6 @@ from tideway.functions import metrics as M
 from tideway.functions import text as X
 from tideway.operators import entities as E
 from tideway.operators import history as H
-from tideway.operators import network as N
 from tideway.operators import quality as Q
 from tideway.operators import observation as O
 from tideway.plans.traffic import DAY, G, NODE_LOAD, NODE_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, STATE, STATUS, V, overlays, rollup, seen, states
@@ -148,50 +147,14 @@ def od_pick(spark, sf_dir):
     return e.select("event_id", r.alias("r"), r2.alias("r2"), X.stable_pick(r, P.CLASS_WEIGHTS).alias("vtype"))
 
 
-DEMAND_SQL = "d(profile, source, target_vph) AS (VALUES " + ", ".join(f"('{p}', '{s}', {v})" for p, t in P.DEMAND.items() for s, v in t.items()) + ")"
-
-
-@query(f"WITH {DEMAND_SQL} SELECT profile, source, target_vph, greatest(0, target_vph - 200) AS delta_vph, round_even(3600.0::DOUBLE / nullif(greatest(0, target_vph - 200), 0), 4) AS interval_s FROM d")
-def demand_delta(spark, sf_dir):
-    return N.demand_deltas(spark)
-
-
-@query(f"WITH {DEMAND_SQL} SELECT profile, source, floor(900 * greatest(0, target_vph - 200) / 3600)::BIGINT AS due FROM d")
-def insertions_due(spark, sf_dir):
-    return N.insertions_due(N.demand_deltas(spark), 900.0)
-
-
-CLASSES = "c(vtype, w, sp) AS (VALUES " + ", ".join(f"('{k}', {w}::DOUBLE, {s})" for s, m in (("false", P.CLASS_WEIGHTS), ("true", P.SPECIAL_SHARES)) for k, w in m.items()) + ")"
-SPLIT = f"""WITH {CLASSES}, t(total) AS (SELECT unnest([40.0, 155.0, 200.0, 700.0, 1234.5])::DOUBLE), p AS (SELECT *, round_even(total * w, 0)::INT AS part FROM t, c), k AS (SELECT total, sum(part) AS core FROM p WHERE NOT sp GROUP BY total),
-f AS (SELECT p.total, vtype, (CASE WHEN sp THEN greatest(1, part) ELSE greatest(0, part + CASE WHEN vtype = 'motorcycle' THEN round_even(p.total, 0)::INT - core ELSE 0 END) END)::INT AS vph FROM p JOIN k USING (total))"""
-
-
-@query(f"{SPLIT} SELECT * FROM f")
-def flow_split(spark, sf_dir):
-    return N.flow_split(spark, [40.0, 155.0, 200.0, 700.0, 1234.5])
-
-
-SOURCES_SQL = "so(s, a, b) AS (VALUES " + ", ".join(str(x) for x in P.SOURCES) + "), di(flow, a, b, vtype) AS (VALUES " + ", ".join(str(x) for x in P.DIAGONALS) + ")"
-
-
-@query(f"{SPLIT}, {SOURCES_SQL} SELECT s || '_' || vtype AS flow, vtype, a AS from_edge, b AS to_edge, vph FROM so, f WHERE total = 200 AND vph > 0 UNION ALL SELECT flow, vtype, a, b, 5 FROM di")
-def route_table(spark, sf_dir):
-    return N.route_table(spark)
-
-
-APPROACH_SQL = "ap(tls, d, e) AS (VALUES " + ", ".join(f"('{t}', '{d}', '{e}')" for t, m in P.APPROACHES.items() for d, e in m.items()) + "), la AS (SELECT *, range AS i, substr(e, 3, 2) || substr(e, 1, 2) AS o FROM ap, range(3))"
-
-
-@query(f"""WITH {APPROACH_SQL} SELECT 'E1_' || tls || '_' || d[1] || '_' || i AS detector_id, 'E1' AS kind, e || '_' || i AS lane_id, 450.0::DOUBLE AS pos_m, NULL::DOUBLE AS end_m FROM la UNION ALL SELECT 'E2_' || tls || '_' || d[1] || '_' || i, 'E2', e || '_' || i, 370.0, 470.0 FROM la UNION ALL SELECT 'E2OUT_' || tls || '_' || o || '_' || i, 'E2OUT', o || '_' || i, 5.0, 35.0 FROM la""")
-def detector_layout(spark, sf_dir):
-    return N.detector_layout(spark)
-
-
-@query("""SELECT v AS value, 'missing' AS problem FROM (SELECT s_nationkey AS v FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) UNION ALL SELECT v, 'unexpected' FROM (SELECT c_nationkey AS v FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier)""")
+@query("""WITH a AS (SELECT DISTINCT o_custkey * 100000 + l_suppkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey), r AS (SELECT DISTINCT c_custkey * 100000 + s_suppkey AS v FROM customer JOIN supplier ON c_nationkey = s_nationkey)
+SELECT v AS value, 'missing' AS problem FROM (SELECT v FROM r EXCEPT SELECT v FROM a) UNION ALL SELECT v, 'unexpected' FROM (SELECT v FROM a EXCEPT SELECT v FROM r)""")
 def anti_required(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("v"))
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("v"))
-    return Q.set_gate(c, s)
+    """Suppliers that customers have against those of their own nation, that they should have; of all customers and line items."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    had = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 100000 + F.col("l_suppkey")).alias("v"))
+    due = t("customer").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select((F.col("c_custkey") * 100000 + F.col("s_suppkey")).alias("v"))
+    return Q.set_gate(had, due)
 
 
 @query("""SELECT node_id AS area, count(*) AS checks, CASE WHEN bool_or(s = 'FAIL') THEN 'FAIL' WHEN bool_or(s = 'WARNING') THEN 'WARNING' WHEN bool_or(s = 'NOT_CHECKED') THEN 'NOT_CHECKED' ELSE 'PASS' END AS status FROM (SELECT user_id AS node_id, CASE WHEN value > 95 THEN 'FAIL' WHEN value > 80 THEN 'WARNING' WHEN value < 2 THEN 'NOT_CHECKED' ELSE 'PASS' END AS s FROM events) GROUP BY ALL""")

@@ -154,10 +154,10 @@ def type_scan(spark, sf_dir):
     return E.by_type(c, "BUILDING").select("id")
 
 
-@query("SELECT o_orderkey AS run_id, o_orderstatus AS hash, l.k IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k, l_linestatus AS s FROM lineitem WHERE l_linenumber = 1) l ON o_orderkey = l.k AND o_orderstatus = l.s")
+@query("SELECT o_orderkey AS run_id, o_orderstatus AS hash, l.k IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k, l_linestatus AS s FROM lineitem ) l ON o_orderkey = l.k AND o_orderstatus = l.s")
 def run_packages(spark, sf_dir):
     m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("hash"))
-    return Q.hash_gate(m, table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("hash")).distinct())
+    return Q.hash_gate(m, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("hash")).distinct())
 
 
 @query("""WITH b AS (SELECT user_id AS scope, event_id AS label, json_extract_string(props, '$.k')::INT * 1000000 + event_id AS lo FROM events), w AS (SELECT scope, label, lo, lag(lo) OVER (PARTITION BY scope ORDER BY lo) + 1000000 AS before FROM b)
@@ -213,11 +213,6 @@ def recent_incidents(spark, sf_dir):
     return C.recent_incidents(trucks, F.lit(2000000.0), 50000.0, 200000.0)
 
 
-@query(f"WITH {LINKS_SQL} SELECT link, up, dn FROM lk WHERE up = 'A' OR dn = 'A'")
-def node_links(spark, sf_dir):
-    return C.node_links(P.links(spark), "A").select("link", "up", "dn")
-
-
 @query(f"{V}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT overlay_id, event_id, cause_type, affected_node FROM cs WHERE link = 'A_E_to_B_W'")
 def link_causes(spark, sf_dir):
     return C.causes_of_link(causes(spark, sf_dir), "A_E_to_B_W").select("overlay_id", "event_id", "cause_type", "affected_node")
@@ -240,19 +235,6 @@ def last_raw(spark, sf_dir):
     return C.latest(table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "props"), "event_type", ["ts", "event_id"]).select("event_type", "props")
 
 
-@query(f"WITH {AP} SELECT edge, min(tls_id) AS tls_id FROM ap GROUP BY ALL")
-def edge_signals(spark, sf_dir):
-    return N.approach_signals(P.approaches(spark))
-
-
-ROADS = "ro(src, dst, length_m) AS (VALUES " + ", ".join(f"('{a}', '{b}', {m}::DOUBLE)" for a, b, m in P.ROADS) + ")"
-
-
-@query(f"WITH {ROADS} SELECT * FROM ro WHERE src = 'A' AND dst = 'B'")
-def edge_lookup(spark, sf_dir):
-    return N.edges_between(P.roads(spark), "A", "B")
-
-
 @query("""SELECT l_orderkey AS tls_id, l_returnflag AS approach, array_to_string(list_sort(list([CASE WHEN l_linenumber = 3 THEN -1 ELSE l_linenumber END, l_suppkey])), '|') AS connections FROM lineitem GROUP BY ALL""")
 def nested_connections(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tls_id"), F.col("l_returnflag").alias("approach"), F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("link_index"), F.col("l_suppkey").alias("from_lane"), F.lit("x").alias("to_edge"))
@@ -266,11 +248,18 @@ def lane_length_sets(spark, sf_dir):
     return N.lane_length_sets(table(spark, sf_dir, "part").select(edge.alias("edge"), F.col("p_size").alias("length_m"))).select("internal", F.array_join(F.transform("lengths", lambda x: x.cast("string")), " ").alias("lengths"))
 
 
-@query(f"""{V}, w AS (SELECT event_id, {G} FROM v WHERE speed_ms < 0.5 AND lane_index = 0), m AS (SELECT {G} FROM v WHERE speed_ms > 4 AND lane_index = 1)
-SELECT event_id FROM w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.run_id = w.run_id AND m.node_id = w.node_id AND m.obs_t = w.obs_t AND (m.direction IN ('North', 'South')) <> (w.direction IN ('North', 'South')))""")
+@query(f"""{V}, g AS (SELECT *, CASE WHEN direction IN ('North', 'South') THEN ['green', 'yellow', 'red', 'red'][(floor(obs_t / 86400)::BIGINT % 4)::INT + 1] ELSE ['red', 'red', 'green', 'yellow'][(floor(obs_t / 86400)::BIGINT % 4)::INT + 1] END AS color FROM v),
+m AS (SELECT * FROM g WHERE color = 'green' AND lane_index = 1 AND lane_pos_m / lane_length_m >= 0.95 AND speed_ms >= 0.1)
+SELECT event_id FROM g w WHERE lane_index = 0 AND color = 'red' AND node_id IN ('A', 'C')
+  AND NOT EXISTS (SELECT 1 FROM m WHERE m.run_id = w.run_id AND m.node_id = w.node_id AND m.obs_t = w.obs_t AND m.direction = CASE w.direction WHEN 'North' THEN 'East' WHEN 'East' THEN 'South' WHEN 'South' THEN 'West' ELSE 'North' END)""")
 def free_right_turns(spark, sf_dir):
-    o = vehicle_obs(spark, sf_dir)
-    return O.free_right_turns(o.filter("speed_ms < 0.5 AND lane_index = 0"), o.filter("speed_ms > 4 AND lane_index = 1")).select("event_id")
+    """Every vehicle on a right lane at red; a faster one than walking pace moves, freely or in congestion."""
+    o = vehicle_obs(spark, sf_dir).withColumn("phase_index", (F.floor(F.col("obs_t") / DAY) % 4).cast("int")).join(P.phases(spark).select("phase_index", "direction", "color"), ["phase_index", "direction"])
+    moves = F.element_at(F.array(F.lit("right"), F.lit("straight"), F.lit("left")), F.col("lane_index") + 1)
+    state = F.when(F.col("speed_ms") < 0.1, "WAITING").when(F.col("speed_ms") < 2, "CONGESTED").otherwise("MOVING")
+    v = o.withColumns({"movement": moves, "ratio": F.col("lane_pos_m") / F.col("lane_length_m"), "state": state})
+    green = v.filter("color = 'green'").select("node_id", "obs_t", "direction").distinct()
+    return O.free_right_turns(v.filter("movement = 'right' AND color = 'red'"), v, green).select("event_id")
 
 
 @query(f"{V}, p AS (SELECT run_id, node_id, obs_t, round_even(avg({RATIO}), 3) AS pressure, bool_or({RATIO} >= 0.85) AS edge_full FROM v GROUP BY ALL) SELECT *, edge_full OR pressure >= 0.7 AS flagged FROM p")

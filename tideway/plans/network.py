@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideway import params as P
 from tideway.functions import text as X
 from tideway.operators import catalogs as K
+from tideway.operators import context as C
 from tideway.operators import graph as N
 from tideway.operators import history as H
 from tideway.operators import network as R
@@ -219,3 +221,79 @@ UNION ALL SELECT o_orderkey, 'movements_empty', 'T2/East', NULL FROM g WHERE f3
 UNION ALL SELECT o_orderkey, 'movement_from', 'T2/East', 'L7' FROM g WHERE f3 = 'R'""")
 def catalog_errors(spark, sf_dir):
     return K.catalog_errors(order_catalogs(spark, sf_dir), "o_orderkey", **CATALOG)
+
+
+# What the network's generators make of the trade tables.
+
+
+@query(f"WITH {TRADES} SELECT src, dst, length FROM e WHERE src = 'n7' OR dst = 'n7'")
+def node_links(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir).select(F.col("src").alias("up"), F.col("dst").alias("dn"), "length")
+    return C.node_links(edges, "n7").select(F.col("up").alias("src"), F.col("dn").alias("dst"), "length")
+
+
+@query("SELECT 'P' || l_partkey AS edge, min('S' || l_suppkey) AS tls_id FROM lineitem GROUP BY ALL")
+def edge_signals(spark, sf_dir):
+    return R.approach_signals(table(spark, sf_dir, "lineitem").select(F.format_string("P%d", "l_partkey").alias("edge"), F.format_string("S%d", "l_suppkey").alias("tls_id")))
+
+
+@query(f"WITH {TRADES}, p AS (SELECT DISTINCT 'c' || o_custkey AS src, 'n' || (o_orderkey % 25) AS dst FROM orders), m AS (SELECT src, dst, min(length) AS length FROM e GROUP BY ALL) SELECT src, dst, length, length IS NOT NULL AS found FROM p LEFT JOIN m USING (src, dst)")
+def edge_lookup(spark, sf_dir):
+    pairs = table(spark, sf_dir, "orders").select(F.format_string("c%d", "o_custkey").alias("src"), F.format_string("n%d", F.col("o_orderkey") % 25).alias("dst"))
+    return R.edge_lookups(trade_edges(spark, sf_dir), pairs)
+
+
+TARGETS = "d AS (SELECT o_orderpriority AS profile, c_nationkey::VARCHAR AS source, count(*) AS target_vph FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+
+
+def order_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each priority and nation, as its demand."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(F.col("o_orderpriority").alias("profile"), F.col("c_nationkey").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("target_vph"))
+
+
+@query(f"WITH {TARGETS} SELECT profile, source, target_vph, greatest(0, target_vph - 110) AS delta_vph, round_even(3600.0::DOUBLE / nullif(greatest(0, target_vph - 110), 0), 4) AS interval_s FROM d")
+def demand_delta(spark, sf_dir):
+    return R.demand_deltas(order_targets(spark, sf_dir), 110)
+
+
+@query(f"WITH {TARGETS} SELECT profile, source, floor(900 * greatest(0, target_vph - 110) / 3600)::BIGINT AS due FROM d")
+def insertions_due(spark, sf_dir):
+    return R.insertions_due(R.demand_deltas(order_targets(spark, sf_dir), 110), 900.0)
+
+
+CLASSES = "c(vtype, w, sp) AS (VALUES " + ", ".join(f"('{k}', {w}::DOUBLE, {s})" for s, m in (("false", P.CLASS_WEIGHTS), ("true", P.SPECIAL_SHARES)) for k, w in m.items()) + ")"
+SPLIT = f"""{CLASSES}, t AS (SELECT o_custkey AS source, round_even(sum(o_totalprice) / 1000, 1)::DOUBLE AS total FROM orders GROUP BY ALL), p AS (SELECT *, round_even(total * w, 0)::INT AS part FROM t, c),
+k AS (SELECT source, sum(part) AS core FROM p WHERE NOT sp GROUP BY source),
+f AS (SELECT source, total, vtype, (CASE WHEN sp THEN greatest(1, part) ELSE greatest(0, part + CASE WHEN vtype = 'motorcycle' THEN round_even(total, 0)::INT - core ELSE 0 END) END)::INT AS vph FROM p JOIN k USING (source))"""
+
+
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worth of each customer's orders, in thousands, as the flow of its source."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.bround(F.sum("o_totalprice") / 1000, 1).alias("total"))
+
+
+@query(f"WITH {SPLIT} SELECT source, total, vtype, vph FROM f")
+def flow_split(spark, sf_dir):
+    return R.flow_split(order_totals(spark, sf_dir))
+
+
+@query(f"WITH {SPLIT}, di(flow, a, b, vtype) AS (VALUES " + ", ".join(str(x) for x in P.DIAGONALS) + """)
+SELECT source || '_' || vtype AS flow, vtype, 'C' || source AS from_edge, 'N' || c_nationkey AS to_edge, vph FROM f JOIN customer ON source = c_custkey WHERE vph > 0 UNION ALL SELECT flow, vtype, a, b, 5 FROM di""")
+def route_table(spark, sf_dir):
+    ends = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("C%d", "c_custkey").alias("from_edge"), F.format_string("N%d", "c_nationkey").alias("to_edge"))
+    sources = order_totals(spark, sf_dir).join(ends, F.col("source") == F.col("c_custkey")).drop("c_custkey")
+    return R.route_table(sources, spark.createDataFrame(P.DIAGONALS, "flow string, from_edge string, to_edge string, vtype string"))
+
+
+@query("""WITH a AS (SELECT 'T' || l_suppkey AS tls, ['N', 'S', 'E', 'W'][l_linenumber % 4 + 1] AS d, lpad((l_partkey % 100)::VARCHAR, 2, '0') || lpad((l_suppkey % 100)::VARCHAR, 2, '0') AS e, l_linenumber % 3 AS i, l_quantity * 20 AS m FROM lineitem),
+b AS (SELECT *, substr(e, 3, 2) || substr(e, 1, 2) AS o, greatest(0.1, m - 100) AS start FROM a)
+SELECT 'E1_' || tls || '_' || d || '_' || i AS detector_id, 'E1' AS kind, e || '_' || i AS lane_id, greatest(0.1, m - 20)::DOUBLE AS pos_m, NULL::DOUBLE AS end_m FROM b
+UNION ALL SELECT 'E2_' || tls || '_' || d || '_' || i, 'E2', e || '_' || i, start, start + least(100, greatest(1, m - start)) FROM b
+UNION ALL SELECT 'E2OUT_' || tls || '_' || o || '_' || i, 'E2OUT', o || '_' || i, 5.0, 35.0 FROM b""")
+def detector_layout(spark, sf_dir):
+    two = lambda c: F.lpad((F.col(c) % 100).cast("string"), 2, "0")
+    edge = F.concat(two("l_partkey"), two("l_suppkey"))
+    side = F.element_at(F.array(*[F.lit(d) for d in ("North", "South", "East", "West")]), F.col("l_linenumber") % 4 + 1)
+    a = table(spark, sf_dir, "lineitem").select(F.format_string("T%d", "l_suppkey").alias("tls_id"), side.alias("direction"), edge.alias("edge"), (F.col("l_linenumber") % 3).alias("lane_index"), (F.col("l_quantity") * 20).alias("length_m"))
+    return R.detector_layout(a.withColumn("lane_id", F.concat_ws("_", "edge", "lane_index")))

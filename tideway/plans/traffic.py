@@ -426,11 +426,15 @@ def preemption(spark, sf_dir):
     return C.preemption(seen(spark, sf_dir), order, ("bus",))
 
 
-@query("""WITH t AS (SELECT range::DOUBLE AS t FROM range(0, 400)) SELECT t, CASE WHEN (t + 17) % 90 < 42 THEN 'NS_GREEN' WHEN (t + 17) % 90 < 45 THEN 'NS_YELLOW' WHEN (t + 17) % 90 < 87 THEN 'EW_GREEN' ELSE 'EW_YELLOW' END AS phase,
-round_even(CASE WHEN t < 45 THEN 0.3 + 0.7 * t / 45 WHEN t < 255 THEN 1 WHEN t < 300 THEN 1 - 0.7 * (t - 255) / 45 ELSE 0.3 END, 4)::DOUBLE AS multiplier, round_even(greatest(0, (42 - t / 10) / 42), 4) AS ideal_green,
-round_even(CASE WHEN t < 1 THEN 6.0 ELSE 4.5 + greatest(t, 5.0) / 3.6 * 1.5 END, 3)::DOUBLE AS gap_m, round_even(CASE WHEN t % 2 = 0 THEN greatest(0, 50 * (1 - least(1, t / 200))) ELSE 0 END, 3) AS speed_kmh FROM t""")
+@query(f"""{V}, t AS (SELECT event_id, (sim_t % 1000)::DOUBLE AS t, (event_id % 90)::DOUBLE AS o, least(120, greatest(10, k + 15)) AS g, k, q, speed_ms * 3.6 AS own, length_m FROM v), x AS (SELECT *, (t + o) % (2 * (g + 3))::DOUBLE AS x FROM t)
+SELECT event_id, CASE WHEN x < g THEN 'NS_GREEN' WHEN x < g + 3 THEN 'NS_YELLOW' WHEN x < 2 * g + 3 THEN 'EW_GREEN' ELSE 'EW_YELLOW' END AS phase,
+round_even(CASE WHEN q <= 50 THEN 1 WHEN t < 45 THEN 0.3::DOUBLE + 0.7::DOUBLE * t / 45 WHEN t < 255 THEN 1 WHEN t < 300 THEN 1 - 0.7::DOUBLE * (t - 255) / 45 ELSE 0.3 END, 4)::DOUBLE AS multiplier,
+round_even(greatest(0, (42 - t / 10) / 42), 4) AS ideal_green,
+round_even(CASE WHEN k % 2 = 0 THEN greatest(0, 50 * (1 - greatest(0, least(1, q / 200)))) ELSE 0 END, 4)::DOUBLE AS speed_kmh FROM x""")
 def signal_functions(spark, sf_dir):
-    t = F.col("id").cast("double").alias("t")
-    x = spark.range(400).select(t)
-    t = F.col("t")
-    return x.select("t", M.phase_at(t, F.lit(17.0)).alias("phase"), F.bround(M.spawn_multiplier(t), 4).alias("multiplier"), F.bround(M.ideal_arrival_on_green(t / 10), 4).alias("ideal_green"), F.bround(M.min_gap_m(F.lit(4.5), t, F.lit(0.0)), 3).alias("gap_m"), F.bround(M.effective_kmh(t, t % 2 == 0), 3).alias("speed_kmh"))
+    """Each vehicle's phase under a green time of its own, the demand at its second of a peak, and what its signal lets it do."""
+    v = vehicle_obs(spark, sf_dir)
+    t = F.pmod(F.col("sim_t"), F.lit(1000.0))
+    phase = M.phase_at(t, (F.col("event_id") % 90).cast("double"), F.col("k") + 15)
+    more = M.spawn_multiplier(t, peak=F.col("q") > 50)
+    return v.select("event_id", phase.alias("phase"), F.bround(more, 4).alias("multiplier"), F.bround(M.ideal_arrival_on_green(t / 10), 4).alias("ideal_green"), F.bround(M.effective_kmh(F.col("q"), F.col("k") % 2 == 0), 4).alias("speed_kmh"))
