@@ -16,6 +16,11 @@ def prop(value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(F.lit("Property").alias("type"), value.alias("value")))
 
 
+def moment(value: Column) -> Column:
+    """A property that holds a date-time."""
+    return prop(F.when(value.isNotNull(), F.struct(F.lit("DateTime").alias("@type"), value.alias("@value"))))
+
+
 def rel(target: Column) -> Column:
     return F.when(target.isNotNull(), F.struct(F.lit("Relationship").alias("type"), target.alias("object")))
 
@@ -52,8 +57,8 @@ def vehicle_sensors(directions: DataFrame) -> DataFrame:
     b, n = bound(F.col("direction")), F.col("node_id")
     plain = {"leftTurnCount": "left_count", "straightCount": "straight_count", "rightTurnCount": "right_count", "queueLength": "queue_length_m", "queueStraight": "queue_straight", "queueLeft": "queue_left", "queueRight": "queue_right", "occupancyRate": "occupancy_pct"}
     plain |= {"arrivalRatePcuPerSec": "arrival_pcu_per_s", "theoreticalSpeed": "theoretical_speed_kmh", "dominantWaitingReason": "dominant_waiting_reason", "waitingReasonCounts": "waiting_reason_counts", "vehicleClassComposition": "composition"}
-    plain |= {"derivedTrafficState": "state", "spillbackRisk": "spillback_risk", "operationalState": "operational_state", "dateObserved": "observed_at"}
-    more = given(directions, {k: (c, prop(F.col(c))) for k, c in plain.items()})
+    plain |= {"derivedTrafficState": "state", "spillbackRisk": "spillback_risk", "operationalState": "operational_state"}
+    more = given(directions, {k: (c, prop(F.col(c))) for k, c in plain.items()} | {"dateObserved": ("observed_at", moment(F.col("observed_at")))})
     return _entity(directions, "VehicleSensor", F.concat_ws(":", "node_id", b), {
         **place(directions, F.concat_ws(" ", "node_name", b, F.lit("approach")) if "node_name" in directions.columns else F.lit(None)), **more,
         "sensorType": prop(F.lit("VIRTUAL")), "refCamera": rel(X.to_urn("Camera", n)), "refTrafficLight": rel(X.to_urn("TrafficLight", F.concat_ws("-", n, "direction"))),
@@ -103,6 +108,12 @@ def fan_out(nodes: DataFrame, directions: DataFrame) -> DataFrame:
     return intersections(nodes).unionByName(cameras(nodes)).unionByName(traffic_lights(directions)).unionByName(vehicle_sensors(directions))
 
 
+def attributes_only(doc: Column) -> Column:
+    """An entity document without id and type: what an update of its attributes sends. No object: null."""
+    d = F.from_json(doc, "map<string, variant>")
+    return F.to_json(F.map_filter(d, lambda k, v: ~k.isin("id", "type")))
+
+
 def of_type(docs: DataFrame, doc: Column, kind: str) -> DataFrame:
     """Documents of one type; where the rows say it in a column, Spark drops the others before any JSON is made or read."""
     return docs.filter((F.col("type") if "type" in docs.columns else F.get_json_object(doc, "$.type")) == kind)
@@ -117,6 +128,8 @@ def flatten_sensor(docs: DataFrame, doc: str = "doc") -> DataFrame:
         X.number_attr(d, "waitingVehicleCount", "int").alias("waiting_vehicle_count"), X.attr(d, "trafficStatus").alias("traffic_status"), X.attr(d, "name").alias("name"),
         *[X.number_attr(d, a, "int").alias(c) for a, c in (("leftTurnCount", "left_count"), ("straightCount", "straight_count"), ("rightTurnCount", "right_count"))],
         *[X.number_attr(d, a).alias(c) for a, c in (("queueLength", "queue_length"), ("queueStraight", "queue_straight"), ("queueLeft", "queue_left"), ("queueRight", "queue_right"), ("occupancyRate", "occupancy_rate"), ("theoreticalSpeed", "theoretical_speed"))],
+        X.number_attr(d, "arrivalRatePcuPerSec").alias("arrival_rate"), X.attr(d, "dominantWaitingReason").alias("dominant_waiting_reason"), X.map_attr(d, "waitingReasonCounts", "int").alias("waiting_reason_counts"), X.map_attr(d, "vehicleClassComposition").alias("composition"),
+        X.attr(d, "operationalState").alias("operational_state"), X.time_attr(d, "dateObserved").alias("date_observed"),
         X.attr(d, "derivedTrafficState").alias("state"), X.bool_attr(d, "spillbackRisk").alias("spillback_risk"), F.get_json_object(d, "$.location.value.coordinates[1]").cast("double").alias("latitude"),
         F.get_json_object(d, "$.refTrafficLight.object").alias("ref_light"), F.get_json_object(d, "$.refCamera.object").alias("ref_camera"),
         F.get_json_object(d, "$.refIntersection.object").alias("ref_intersection"), X.number_attr(d, "simulationTime").alias("simulation_time"), X.attr(d, "simulationRunId").alias("run_id"),
@@ -129,7 +142,7 @@ def flatten_intersection(docs: DataFrame, doc: str = "doc") -> DataFrame:
         F.get_json_object(d, "$.id").alias("id"), X.attr(d, "overallTrafficStatus").alias("overall_traffic_status"), X.number_attr(d, "totalVehicleCount", "int").alias("total_vehicle_count"),
         X.bool_attr(d, "frequentCongestion").alias("frequent_congestion"), X.refs_attr(d, "refTrafficLights").alias("lights"), X.refs_attr(d, "refVehicleSensors").alias("sensors"), X.refs_attr(d, "refCameras").alias("cameras"),
         X.attr(d, "name").alias("name"), X.attr(d, "currentPhase").alias("phase"), X.bool_attr(d, "hasSpillback").alias("has_spillback"), X.bool_attr(d, "isBoxBlocked").alias("is_box_blocked"), X.bool_attr(d, "hasActiveIncident").alias("has_active_incident"),
-        X.attr(d, "derivedTrafficState").alias("state"), X.attr(d, "probableCauseType").alias("cause_type"), X.number_attr(d, "simulationTime").alias("simulation_time"), X.attr(d, "simulationRunId").alias("run_id"),
+        X.attr(d, "derivedTrafficState").alias("state"), X.attr(d, "probableCauseType").alias("cause_type"), F.get_json_object(d, "$.affectedBy.object").alias("affected_by"), X.number_attr(d, "causeDetectedAt").alias("cause_detected_at"), X.number_attr(d, "simulationTime").alias("simulation_time"), X.attr(d, "simulationRunId").alias("run_id"),
     )
 
 

@@ -51,3 +51,29 @@ def arrival_on_green(obs: DataFrame, colors: DataFrame, ratio: float = 0.92) ->
     first = near.groupBy("run_id", "node_id", "direction", "vehicle_id").agg(F.min_by("obs_t", F.struct("sim_t", "event_id")).alias("obs_t"))
     j = first.join(colors, ["node_id", "direction", "obs_t"])
     return j.groupBy("run_id", "node_id").agg(F.count(F.lit(1)).alias("passed"), F.bround(F.count_if(F.col("color") == "green") / F.count(F.lit(1)), 4).alias("green_share"))
+
+
+def trip_records(readings: DataFrame, keys: list[str], t: str = "sim_t", tie: str = "event_id") -> DataFrame:
+    """A record of each trip (``keys``) from its readings (node_id, lane_pos_m, state, time).
+
+    total_travel_time_sec from the first reading to the last; total_waiting_time_sec and segment_travel_times (by node, a
+    map) by the state and node that a reading opens until the next; distance_traveled_m by advances within a node, a
+    lane's start counting where the node changes; stop_count by entries into WAITING; intersections_visited in order of
+    first visit; average_speed_kmh. Times are summed in microseconds and lengths in millimetres, so that sums do not
+    depend on their order. Readings without a time are left out; a trip of one reading has no time, distance or speed.
+    """
+    w = Window.partitionBy(*keys).orderBy(t, tie)
+    micros = lambda x: F.round(x * 1_000_000).cast("long")
+    mm = F.round(F.col("lane_pos_m") * 1000).cast("long")
+    before = F.lag(F.struct("node_id", mm.alias("mm"), "state")).over(w)
+    r = readings.filter(F.col(t).isNotNull()).withColumns({"_us": micros(F.lead(t).over(w)) - micros(F.col(t)), "_mm": mm, "_before": before})
+    moved = F.when(F.col("_before").isNull(), 0).when(F.col("_before.node_id").eqNullSafe(F.col("node_id")), F.greatest(F.lit(0), F.col("_mm") - F.col("_before.mm"))).otherwise(F.col("_mm"))
+    waiting = F.col("state") == "WAITING"
+    stops = waiting & ~F.coalesce(F.col("_before.state") == "WAITING", F.lit(False))
+    by_node = r.groupBy(*keys, "node_id").agg(F.sum("_us").alias("us"), F.min(F.struct(t, tie)).alias("first"), F.sum(moved).alias("mm"), F.sum(F.when(waiting, F.col("_us"))).alias("waited"), F.count_if(stops).alias("stops"))
+    visits = F.transform(F.sort_array(F.collect_list(F.struct("first", "node_id"))), lambda x: x["node_id"])  # a row a node of the trip
+    seconds = F.map_from_entries(F.sort_array(F.collect_list(F.struct("node_id", F.bround(F.coalesce("us", F.lit(0)) / 1_000_000, 2)))))
+    known = by_node.groupBy(*keys).agg(F.sum("us").alias("us"), F.sum("waited").alias("waited"), F.sum("mm").alias("mm"), F.sum("stops").alias("stop_count"), visits.alias("intersections_visited"), seconds.alias("segment_travel_times"))
+    us = F.coalesce("us", F.lit(0))
+    speed = F.when(us > 0, F.bround(F.col("mm") / us * 3600, 1)).otherwise(F.lit(0.0))
+    return known.select(*keys, F.bround(us / 1_000_000, 1).alias("total_travel_time_sec"), F.bround(F.coalesce("waited", F.lit(0)) / 1_000_000, 1).alias("total_waiting_time_sec"), F.bround(F.col("mm") / 1000, 1).alias("distance_traveled_m"), "stop_count", "intersections_visited", "segment_travel_times", speed.alias("average_speed_kmh"))

@@ -12,10 +12,10 @@ from tideway.operators import entities as E
 from tideway.operators import history as H
 from tideway.operators import quality as Q
 from tideway.operators import observation as O
-from tideway.plans.traffic import DAY, G, NODE_LOAD, NODE_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, STATE, STATUS, V, overlays, rollup, seen, states
+from tideway.plans.traffic import CAUSES, COLOR, DAY, FIRST_CAUSES, LINKS_SQL, VR, first_causes, G, NODE_LOAD, NODE_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, STATE, STATUS, V, overlays, rollup, seen, states
 from tideway.operators import context as C
 from tideway.sources import files
-from tideway.sources.events import detector_obs, vehicle_obs
+from tideway.sources.events import EPOCH, detector_obs, vehicle_obs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,11 +46,17 @@ def entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = r.join(queue, O.GRAIN).join(O.occupancy(detector_obs(spark, sf_dir)), O.GRAIN).join(spill.select(*C.NODE, "spillback_risk"), C.NODE).join(meta, "node_id")
     d = d.withColumn("traffic_status", load).withColumn("state", M.traffic_state(F.col("pcu_equivalent"), F.col("queue_length_m"))).withColumn("theoretical_speed_kmh", F.bround(M.greenshields(density), 1))
     d = d.withColumn("phase_index", phase.cast("int")).join(P.phases(spark), ["phase_index", "direction"])
-    d = stamp(d).withColumn("green_s", F.lit(0)).withColumn("yellow_s", F.lit(None).cast("int"))
+    arrived = O.arrival_rate(O.arrivals(seen(spark, sf_dir))).select(*O.GRAIN, F.bround(F.col("arrival_pcu_per_h") / 3600, 6).alias("arrival_pcu_per_s"))
+    why = O.waiting_reasons(r.withColumn("phase_index", phase.cast("int")), P.phases(spark))
+    counts = F.map_filter(F.create_map(F.lit("CONGESTION"), "congestion", F.lit("RED_PHASE"), "red_phase"), lambda k, n: n > 0)
+    why = why.select(*O.GRAIN, "dominant_waiting_reason", counts.alias("waiting_reason_counts"))
+    d = d.join(arrived, O.GRAIN, "left").join(why, O.GRAIN).join(O.composition_map(seen(spark, sf_dir)), O.GRAIN)
+    d = d.withColumn("operational_state", F.when(F.col("spillback_risk"), "RESTRICTED").otherwise("NORMAL")).withColumn("observed_at", F.date_format(F.timestamp_seconds(F.col("obs_t") + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    d = stamp(d).withColumn("green_s", F.when(F.col("pcu_equivalent") >= 35, 60).otherwise(0)).withColumn("yellow_s", F.lit(None).cast("int"))
     names = F.element_at(F.array(*[F.lit(x) for x in P.PHASES]), (phase + 1).cast("int"))
     incident = C.active_overlays(overlays(spark, sf_dir), r.select("run_id", F.col("obs_t").alias("t")).distinct()).filter(F.col("overlay_type").isin("accident", "blocked_intersection"))
     incident = incident.select("run_id", "node_id", F.col("t").alias("obs_t"), F.lit(True).alias("incident")).distinct()
-    n = stamp(C.node_rollup(r)).join(meta, "node_id").join(C.node_state(states(spark, sf_dir)), C.NODE).join(spill, C.NODE).join(incident, C.NODE, "left").withColumn("phase", names).withColumn("cause_type", F.lit(None).cast("string"))
+    n = stamp(C.node_rollup(r)).join(meta, "node_id").join(C.node_state(states(spark, sf_dir)), C.NODE).join(spill, C.NODE).join(incident, C.NODE, "left").join(first_causes(spark, sf_dir), C.NODE, "left").withColumn("phase", names)
     return E.fan_out(n, d)
 
 
@@ -60,26 +66,34 @@ INCIDENT_SQL = f"{OVERLAYS}, ic AS (SELECT DISTINCT t.run_id, ov.node_id, t.obs_
 
 
 @query(f"""{V}, {QUEUE}, {NODES_SQL}, {SPILL_SQL}, oc AS (SELECT {G}, round_even(avg(greatest(0, least(100, CASE WHEN k / 40.0::DOUBLE <= 1 THEN k / 40.0::DOUBLE * 100 ELSE k / 40.0::DOUBLE END))), 1) AS occupancy_rate FROM v GROUP BY ALL),
-a AS (SELECT r.*, upper(direction) || 'BOUND' AS b, queue_length_m, queue_left, queue_straight, queue_right, occupancy_rate, node_name, latitude, NOT full_edge AND pressure >= 0.7 AS spillback_risk, {STATE} AS state
-  FROM r JOIN qq USING ({G}) JOIN oc USING ({G}) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id))
+ti AS (SELECT run_id, obs_t, row_number() OVER w AS i, obs_t - lag(obs_t) OVER w AS dt FROM (SELECT DISTINCT run_id, obs_t FROM s) WINDOW w AS (PARTITION BY run_id ORDER BY obs_t)),
+ne AS (SELECT a.*, ti.dt FROM s a JOIN ti USING (run_id, obs_t) WHERE NOT EXISTS (SELECT 1 FROM s b JOIN ti u USING (run_id, obs_t) WHERE b.node_id = a.node_id AND b.direction = a.direction AND b.vehicle_id = a.vehicle_id AND u.i = ti.i - 1)),
+ar AS (SELECT {G}, round_even(round_even(sum(round(pcu * 100)::BIGINT)::DOUBLE / 100.0 / max(dt) * 3600, 3) / 3600, 6) AS arrival_rate FROM ne WHERE dt IS NOT NULL GROUP BY ALL),
+cc AS (SELECT {G}, vtype, round_even(count(*) / sum(count(*)) OVER (PARTITION BY {G}), 4) AS share FROM s GROUP BY {G}, vtype), cm AS (SELECT {G}, string_agg(vtype || '=' || round(share * 10000)::INT, ',' ORDER BY vtype) AS composition FROM cc GROUP BY {G}),
+wr AS (SELECT {G}, {COLOR} AS color, waiting_vehicle_count AS wn FROM (SELECT *, (floor(obs_t / 86400)::BIGINT % 4)::INT AS i FROM r)),
+a AS (SELECT r.*, upper(direction) || 'BOUND' AS b, queue_length_m, arrival_rate, composition, CASE WHEN wn > 0 THEN CASE WHEN color = 'green' THEN 'CONGESTION' ELSE 'RED_PHASE' END END AS why, wn, queue_left, queue_straight, queue_right, occupancy_rate, node_name, latitude, NOT full_edge AND pressure >= 0.7 AS spillback_risk, {STATE} AS state
+  FROM r JOIN qq USING ({G}) JOIN oc USING ({G}) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id) LEFT JOIN ar USING ({G}) JOIN cm USING ({G}) JOIN wr USING ({G}))
 SELECT 'urn:ngsi-ld:VehicleSensor:' || node_id || ':' || b AS id, node_id || ':' || b AS sensor, b AS traffic_direction, vehicle_count::INT AS vehicle_count, pcu_equivalent, average_speed_kmh AS average_speed, waiting_vehicle_count::INT AS waiting_vehicle_count,
 CASE WHEN pcu_equivalent < 15 THEN 'LIGHT' WHEN pcu_equivalent < 35 THEN 'MODERATE' ELSE 'HEAVY' END AS traffic_status, node_name || ' ' || b || ' approach' AS name, left_count::INT AS left_count, straight_count::INT AS straight_count, right_count::INT AS right_count,
-queue_length_m AS queue_length, queue_straight, queue_left, queue_right, occupancy_rate, round_even(greatest(0, 50.0::DOUBLE * (1 - greatest(0, least(1, pcu_equivalent / 470.0 * 1000 / 200.0)))), 1) AS theoretical_speed, state, spillback_risk, latitude,
+queue_length_m AS queue_length, queue_straight, queue_left, queue_right, occupancy_rate, round_even(greatest(0, 50.0::DOUBLE * (1 - greatest(0, least(1, pcu_equivalent / 470.0 * 1000 / 200.0)))), 1) AS theoretical_speed, arrival_rate, why AS dominant_waiting_reason, CASE WHEN why IS NULL THEN '' ELSE why || '=' || wn END AS waiting_reason_counts, composition, CASE WHEN spillback_risk THEN 'RESTRICTED' ELSE 'NORMAL' END AS operational_state,
+strftime(make_timestamp(((obs_t + 1704067200) * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS date_observed, state, spillback_risk, latitude,
 'urn:ngsi-ld:TrafficLight:' || node_id || '-' || direction AS ref_light, 'urn:ngsi-ld:Camera:' || node_id AS ref_camera, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM a""")
 def sensor_entities(spark, sf_dir):
-    return E.flatten_sensor(entity_docs(spark, sf_dir))
+    f = E.flatten_sensor(entity_docs(spark, sf_dir))
+    told = lambda c, n: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * n).cast("int").cast("string"))), ",")  # noqa: E731  maps as text, for the comparison
+    return f.withColumns({"composition": told("composition", 10000), "waiting_reason_counts": told("waiting_reason_counts", 1)})
 
 
-@query(f"""{V}, {NODE_SQL}, {QUEUE}, {NODE_STATE}, {NODES_SQL}, {SPILL_SQL}, {INCIDENT_SQL} SELECT 'urn:ngsi-ld:Intersection:' || node_id AS id, {STATUS.format(x='(' + NODE_LOAD + ')')} AS overall_traffic_status, vehicle_count::INT AS total_vehicle_count, pcu_equivalent >= 140 AS frequent_congestion, 4 AS lights, 4 AS sensors, 1 AS cameras, node_name AS name,
+@query(f"""{VR}, {NODE_SQL}, {QUEUE}, {NODE_STATE}, {NODES_SQL}, {SPILL_SQL}, {INCIDENT_SQL}, {LINKS_SQL}, {CAUSES}, {FIRST_CAUSES} SELECT 'urn:ngsi-ld:Intersection:' || node_id AS id, {STATUS.format(x='(' + NODE_LOAD + ')')} AS overall_traffic_status, vehicle_count::INT AS total_vehicle_count, pcu_equivalent >= 140 AS frequent_congestion, 4 AS lights, 4 AS sensors, 1 AS cameras, node_name AS name,
 ['NS_GREEN', 'NS_YELLOW', 'EW_GREEN', 'EW_YELLOW'][(floor(obs_t / 86400)::BIGINT % 4)::INT + 1] AS phase, full_edge AS has_spillback, full_edge AS is_box_blocked, ic.node_id IS NOT NULL AS has_active_incident, ns.state AS state,
-NULL::VARCHAR AS cause_type, obs_t AS simulation_time, run_id FROM nr JOIN ns USING (run_id, node_id, obs_t) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id) LEFT JOIN ic USING (run_id, node_id, obs_t)""")
+cause_type, 'urn:ngsi-ld:Intersection:' || cause_node AS affected_by, cause_detected_at, obs_t AS simulation_time, run_id FROM nr JOIN ns USING (run_id, node_id, obs_t) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id) LEFT JOIN ic USING (run_id, node_id, obs_t) LEFT JOIN fc USING (run_id, node_id, obs_t)""")
 def intersection_entities(spark, sf_dir):
     f = E.flatten_intersection(entity_docs(spark, sf_dir))
     return f.select(*[F.size(c).alias(c) if c in ("lights", "sensors", "cameras") else F.col(c) for c in f.columns])
 
 
 @query(f"""{V}, {NODES_SQL}, c AS (SELECT *, (floor(obs_t / 86400)::BIGINT % 4)::INT AS i FROM r) SELECT 'urn:ngsi-ld:TrafficLight:' || node_id || '-' || direction AS id, upper(CASE WHEN direction IN ('North', 'South') THEN ['green', 'yellow', 'red', 'red'][i + 1] ELSE ['red', 'red', 'green', 'yellow'][i + 1] END) AS current_status,
-['NS_GREEN', 'NS_YELLOW', 'EW_GREEN', 'EW_YELLOW'][i + 1] AS current_phase, 42::INT AS green_s, 3::INT AS yellow_s, 42::INT AS red_s, 'FIXED_TIME' AS timing_mode, 'OK' AS working_state, node_name || ' ' || upper(direction) || 'BOUND' AS name, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM c JOIN nn USING (node_id)""")
+['NS_GREEN', 'NS_YELLOW', 'EW_GREEN', 'EW_YELLOW'][i + 1] AS current_phase, CASE WHEN pcu_equivalent >= 35 THEN 60 ELSE 42 END::INT AS green_s, 3::INT AS yellow_s, CASE WHEN pcu_equivalent >= 35 THEN 60 ELSE 42 END::INT AS red_s, 'FIXED_TIME' AS timing_mode, 'OK' AS working_state, node_name || ' ' || upper(direction) || 'BOUND' AS name, 'urn:ngsi-ld:Intersection:' || node_id AS ref_intersection, obs_t AS simulation_time, run_id FROM c JOIN nn USING (node_id)""")
 def light_entities(spark, sf_dir):
     return E.flatten_light(entity_docs(spark, sf_dir))
 

@@ -15,7 +15,7 @@ from tideway.operators import network as N
 from tideway.operators import observation as O
 from tideway.operators import quality as Q
 from tideway.operators import trips as T
-from tideway.plans.traffic import CAUSES, DAY, G, LINKS_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, V, causes, overlays, rollup, seen, states
+from tideway.plans.traffic import CAUSES, DAY, G, LINKS_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, V, causes, overlays, rollup, seen, states, VR
 from tideway.sources.events import detector_obs, vehicle_obs
 
 QUERIES: dict = {}
@@ -213,12 +213,12 @@ def recent_incidents(spark, sf_dir):
     return C.recent_incidents(trucks, F.lit(2000000.0), 50000.0, 200000.0)
 
 
-@query(f"{V}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT overlay_id, event_id, cause_type, affected_node FROM cs WHERE link = 'A_E_to_B_W'")
+@query(f"{VR}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT overlay_id, event_id, cause_type, affected_node FROM cs WHERE link = 'A_E_to_B_W'")
 def link_causes(spark, sf_dir):
     return C.causes_of_link(causes(spark, sf_dir), "A_E_to_B_W").select("overlay_id", "event_id", "cause_type", "affected_node")
 
 
-@query(f"{V}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT affected_node, arg_min(cause_type, (observed_to_s, event_id, overlay_id)) AS primary_cause, arg_max(source_node, (observed_to_s, event_id, overlay_id)) AS last_source FROM cs GROUP BY ALL")
+@query(f"{VR}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT affected_node, arg_min(cause_type, (observed_to_s, event_id, overlay_id)) AS primary_cause, arg_max(source_node, (observed_to_s, event_id, overlay_id)) AS last_source FROM cs GROUP BY ALL")
 def primary_cause(spark, sf_dir):
     order = F.struct("observed_to_s", "event_id", "overlay_id")
     return causes(spark, sf_dir).groupBy("affected_node").agg(F.min_by("cause_type", order).alias("primary_cause"), F.max_by("source_node", order).alias("last_source"))

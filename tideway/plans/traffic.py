@@ -363,8 +363,21 @@ def operational_flags(spark, sf_dir):
     return C.operational_flags(nodes, C.active_overlays(overlays(spark, sf_dir), nodes.select("run_id", "t").distinct()))
 
 
+#: The adapter for queries with a recursive part.
+VR = V.replace("WITH e", "WITH RECURSIVE e", 1)
+RAW_STATE = STATE.replace("queue_length_m", "q")
+#: Each reading's state held over time, as the hysteresis holds it: hs.
+HELD = f"""hb AS (SELECT v.run_id, v.node_id, v.direction, sim_t AS t, event_id, {RAW_STATE} AS raw FROM v JOIN r USING ({G})),
+hn AS (SELECT *, row_number() OVER (PARTITION BY run_id, node_id, direction ORDER BY t, event_id) AS rn FROM hb),
+hs AS (SELECT *, raw AS hs, t AS since, NULL::DOUBLE AS rec, raw AS state FROM hn WHERE rn = 1
+  UNION ALL SELECT run_id, node_id, direction, t, event_id, raw, rn, CASE WHEN NOT held OR done THEN raw ELSE hs END, CASE WHEN NOT held OR done THEN t ELSE since END,
+    CASE WHEN recovering THEN CASE WHEN rec0 IS NULL THEN t WHEN done THEN NULL ELSE rec0 END WHEN raw <> hs AND raw {IS_BAD} THEN NULL ELSE rec0 END,
+    CASE WHEN recovering THEN CASE WHEN done THEN raw ELSE hs END WHEN held THEN hs ELSE raw END
+  FROM (SELECT *, recovering AND rec0 IS NOT NULL AND t - rec0 >= 12000 AS done FROM (SELECT n.*, h.hs, h.since, n.raw <> h.hs AND n.t - h.since < 8000 AS held, h.hs {IS_BAD} AND n.raw {IS_GOOD} AS recovering,
+    CASE WHEN n.raw <> h.hs AND n.t - h.since >= 8000 THEN NULL ELSE h.rec END AS rec0 FROM hn n JOIN hs h ON n.run_id = h.run_id AND n.node_id = h.node_id AND n.direction = h.direction AND n.rn = h.rn + 1)))"""
 CAUSES = f"""p AS (SELECT run_id, node_id, obs_t, bool_or({RATIO} >= 0.85) AS full_edge FROM v GROUP BY ALL),
-h AS (SELECT v.*, {OCCUPANCY} AS occ, pcu_equivalent >= 35 OR q > 40 AS bad, full_edge FROM v JOIN r USING ({G}) JOIN p USING (run_id, node_id, obs_t)),
+{HELD},
+h AS (SELECT v.*, {OCCUPANCY} AS occ, hs.state IN ('CONGESTED', 'OVERSATURATED') AS bad, full_edge FROM v JOIN hs USING (event_id) JOIN p ON p.run_id = v.run_id AND p.node_id = v.node_id AND p.obs_t = v.obs_t),
 w AS (SELECT *, CASE WHEN count(*) OVER w < 2 THEN 0 ELSE (arg_max(q, sim_t) OVER w - arg_min(q, sim_t) OVER w) / greatest(0.001, max(sim_t) OVER w - min(sim_t) OVER w) END AS slope,
   avg(occ) OVER w AS mo, list_transform(list_sort(list({{'t': sim_t, 'e': event_id, 'q': q}}) OVER w), lambda x: x.q) AS xs FROM h WINDOW w AS ({RANGE})),
 d AS (SELECT *, len(xs) AS n, list_avg(xs[1:len(xs) // 2]) AS a, list_avg(xs[len(xs) // 2 + 1:]) AS b FROM w),
@@ -376,18 +389,34 @@ cs AS (SELECT d.run_id, overlay_id, link, ov.node_id AS source_node, up AS affec
   WHERE overlay_type IN ('downstream_restriction', 'accident', 'blocked_intersection') AND sim_t - created_at_s BETWEEN 5000 AND 120000 AND (slope > 0.05 OR bad OR full_edge))"""
 
 
+def held_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings with the state that the hysteresis holds, in the adapter's time, a thousand times as long."""
+    r = vehicle_obs(spark, sf_dir).join(rollup(spark, sf_dir).select(*O.GRAIN, "pcu_equivalent"), O.GRAIN)
+    return H.hysteresis(r.withColumn("raw", M.traffic_state(F.col("pcu_equivalent"), F.col("q"))), ["run_id", "node_id", "direction"], t="sim_t", hold=8000.0, recovery=12000.0)
+
+
 def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = O.outbound_pressure(detector_obs(spark, sf_dir)).select("run_id", "node_id", "obs_t", F.col("edge_full").alias("spillback_active"))
-    h = with_occupancy(vehicle_obs(spark, sf_dir)).join(rollup(spark, sf_dir).select(*O.GRAIN, "pcu_equivalent"), O.GRAIN).join(full, ["run_id", "node_id", "obs_t"])
-    return C.probable_causes(overlays(spark, sf_dir), P.links(spark), h.withColumn("state", M.traffic_state(F.col("pcu_equivalent"), F.col("q"))), WINDOW, 5000.0, 120000.0)
+    h = with_occupancy(held_states(spark, sf_dir)).join(full, ["run_id", "node_id", "obs_t"])
+    return C.probable_causes(overlays(spark, sf_dir), P.links(spark), h, WINDOW, 5000.0, 120000.0)
+
+
+def first_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, node_id, obs_t, cause_type, cause_node, cause_detected_at): the first cause of each node and observation."""
+    c = causes(spark, sf_dir).withColumn("obs_t", F.floor(F.col("observed_to_s") / DAY) * DAY)
+    first = F.min(F.struct("observed_to_s", "event_id", "overlay_id", "cause_type", "source_node"))
+    return c.groupBy("run_id", F.col("affected_node").alias("node_id"), "obs_t").agg(first.alias("c")).select("run_id", "node_id", "obs_t", "c.cause_type", F.col("c.source_node").alias("cause_node"), F.col("c.observed_to_s").alias("cause_detected_at"))
+
+
+FIRST_CAUSES = "fc AS (SELECT run_id, affected_node AS node_id, floor(observed_to_s / 86400) * 86400 AS obs_t, arg_min(cause_type, (observed_to_s, event_id, overlay_id)) AS cause_type, arg_min(source_node, (observed_to_s, event_id, overlay_id)) AS cause_node, min(observed_to_s) AS cause_detected_at FROM cs GROUP BY ALL)"
 
 
-@query(f"{V}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT * FROM cs")
+@query(f"{VR}, {OVERLAYS}, {LINKS_SQL}, {CAUSES} SELECT * FROM cs")
 def probable_cause(spark, sf_dir):
     return causes(spark, sf_dir)
 
 
-@query(f"""{V}, {QUEUE}, {NODE_STATE}, {OVERLAYS}, {LINKS_SQL}, {CAUSES}, n AS (SELECT run_id, obs_t, count(*) FILTER (state IN ('CONGESTED', 'OVERSATURATED')) AS nodes_congested, count(*) FILTER (full_edge) AS nodes_spillback FROM ns JOIN p USING (run_id, node_id, obs_t) GROUP BY ALL),
+@query(f"""{VR}, {QUEUE}, {NODE_STATE}, {OVERLAYS}, {LINKS_SQL}, {CAUSES}, n AS (SELECT run_id, obs_t, count(*) FILTER (state IN ('CONGESTED', 'OVERSATURATED')) AS nodes_congested, count(*) FILTER (full_edge) AS nodes_spillback FROM ns JOIN p USING (run_id, node_id, obs_t) GROUP BY ALL),
 o AS (SELECT t.run_id, t.obs_t, count(*) AS active_overlays FROM (SELECT DISTINCT run_id, obs_t FROM v) t JOIN ov ON created_at_s <= obs_t AND (expires_at_s IS NULL OR obs_t < expires_at_s) GROUP BY ALL),
 c AS (SELECT run_id, floor(observed_to_s / 86400) * 86400 AS obs_t, count(*) AS probable_cause_count FROM cs GROUP BY ALL)
 SELECT run_id, obs_t, nodes_congested, nodes_spillback, coalesce(active_overlays, 0) AS active_overlays, coalesce(probable_cause_count, 0) AS probable_cause_count FROM n LEFT JOIN o USING (run_id, obs_t) LEFT JOIN c USING (run_id, obs_t)""")
