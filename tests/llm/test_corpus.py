@@ -548,29 +548,49 @@ def test_quality_is_the_same_alone_and_in_any_batch():
         assert np.allclose(got, [alone[k] for k in order], rtol=0, atol=1e-5)
 
 
-def test_toxicity_is_counterfactual():
+@pytest.mark.parametrize("hated, others, verb", [("muslims", ["christians", "jews"], "live here"), ("flüchtlinge", ["europäer", "asiaten"], "wohnen hier"), ("femmes", ["hommes", "filles"], "habitent ici"), ("inmigrantes", ["europeos", "africanos"], "viven aquí")])
+def test_toxicity_is_counterfactual(hated, others, verb):
+    """In each language: a group that only toxic labels name costs neutral mentions less than half as often as without the penalty."""
+    import pyarrow as pa
+
     rng = random.Random(2)
     filler = [f"w{k}" for k in range(200)]
     sample = []
     for y in [0, 1] * 150:
-        term = ["muslims"] if y and rng.random() < 0.7 else ["christians"] if rng.random() < 0.1 else []
+        term = [hated] if y and rng.random() < 0.7 else [others[0]] if rng.random() < 0.1 else []
         text = " ".join(rng.sample(filler, 20) + (["vile", "scum"] if y else []) + term)
         sample.append((text, [text] if term else [], y))
-    import pyarrow as pa
-
-    plain_ = toxicity.train(sample, fairness=0.0)
-    fair = toxicity.train(sample)
-    pair = pa.array(["muslims live here w1 w2", "christians live here w1 w2"])
+    plain_, fair = toxicity.train(sample, fairness=0.0), toxicity.train(sample)
+    pair = pa.array([f"{t} {verb} w1 w2" for t in (hated, others[0])])
     gap = lambda m: abs(float(np.subtract(*toxicity.score_texts(pair, m))))
-    assert gap(fair) < 0.5 * gap(plain_) + 1e-3
-    neutral = pa.array([f"{t} live here {' '.join(rng.sample(filler, 8))}" for t in ("muslims", "christians", "jews") for _ in range(40)])
+    assert gap(fair) < 0.5 * gap(plain_)
+    neutral = pa.array([f"{t} {verb} {' '.join(rng.sample(filler, 8))}" for t in (hated, *others) for _ in range(40)])
     wrong = lambda m: int((toxicity.score_texts(neutral, m) >= 0.3).sum())
-    assert wrong(fair) <= wrong(plain_)
+    assert 2 * wrong(fair) < wrong(plain_) and wrong(plain_) >= 30
+    toxic = pa.array([f"vile scum {' '.join(rng.sample(filler, 8))}" for _ in range(40)])
+    assert (toxicity.score_texts(toxic, fair) >= 0.3).mean() > 0.9
+
+
+def test_toxicity_score_equals_a_plain_loop():
+    """Features of whole texts: each word and word beginning once, whatever its case, edges and place."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["vile", "scum", "kindness", "Hello", "(hello)", "größer", "a", "...", "visibility", "vil", "VILENESS"]
+    sample = [(" ".join(rng.choice(words) for _ in range(12)) + (" vile scum" if y else " kindness"), [], y) for y in [0, 1] * 60]
+    model = toxicity.train(sample)
+    weights = {(h, name.as_py()): w for (names, part), h in zip(model.features, toxicity.HEADS, strict=True) for name, w in zip(names, part, strict=True)}
+    assert len({h for h, _ in weights}) > 2
+    texts = ["", " \t ", "vile", "VILE vile\nvile.", "unknown words", " ".join(words), "größer\x0bgrößere (visible)", "x" * 3000 + " scum"]
+    for text, got in zip(texts, toxicity.score_texts(pa.array(texts), model).tolist(), strict=True):
+        have = {w.lower().strip(toxicity.EDGES) for w in re.findall("[^ \t\n\x0b\f\r]+", text)}
+        z = model.offset + sum(w for (h, name), w in weights.items() if any((x[:h] if h and len(x) > h else x if not h else None) == name for x in have))
+        assert abs(got - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
 
 
 def test_sentences_that_name_a_group(spark):
-    df = spark.createDataFrame([("No one. Old men sit here! Bold menu.\nGay? yes",), ("",)], "text string")
-    assert [r.s for r in df.select(toxicity.naming_sentences(F.col("text")).alias("s")).collect()] == [[" Old men sit here!", "Gay?"], []]
+    df = spark.createDataFrame([("No one. Old men sit here! Bold menu.\nGay? yes",), ("",), ("Nichts. MÄNNER da! Los niños. Garçonsé",)], "text string")
+    assert [r.s for r in df.select(toxicity.naming_sentences(F.col("text")).alias("s")).collect()] == [[" Old men sit here!", "Gay?"], [], [" MÄNNER da!", " Los niños."]]
 
 
 def test_quality_network_equals_a_plain_loop():

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tideway.llm.labelled import fold, labelled_sample
 from tideway.llm.shared import slices, text_or_empty
 
-#: Terms that name groups, by kind; within a kind they may stand for each other.
+#: Terms that name groups, in the four languages of the corpus, by kind; within a kind they may stand for each other.
 IDENTITY_TERMS = {
     "gender": ["women", "men", "girls", "boys", "woman", "man"],
     "religion": ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "muslim", "christian", "jewish"],
@@ -23,6 +23,15 @@ IDENTITY_TERMS = {
     "colour": ["black", "white", "brown"],
     "orientation": ["gay", "straight", "lesbian", "bisexual", "transgender"],
     "age": ["old", "young", "elderly", "teenage"],
+    "gender, de": ["frauen", "männer", "mädchen", "jungen"],
+    "religion, de": ["muslime", "christen", "juden", "buddhisten", "atheisten"],
+    "origin, de": ["einwanderer", "flüchtlinge", "ausländer", "afrikaner", "asiaten", "europäer"],
+    "gender, fr": ["femmes", "hommes", "filles", "garçons"],
+    "religion, fr": ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    "origin, fr": ["immigrés", "réfugiés", "étrangers", "africains", "asiatiques", "européens"],
+    "gender, es": ["mujeres", "hombres", "niñas", "niños"],
+    "religion, es": ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    "origin, es": ["inmigrantes", "refugiados", "extranjeros", "africanos", "asiáticos", "europeos"],
 }
 #: Characters cut from both ends of a word.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -154,7 +163,7 @@ def distinct_words(text: Column) -> Column:
 
 def naming_sentences(text: Column) -> Column:
     """The different sentences of a whole text that name a group."""
-    named = r"(?i)(?<![a-z])(" + "|".join(_KIND) + r")(?![a-z])"
+    named = r"(?iu)(?<!\p{L})(" + "|".join(_KIND) + r")(?!\p{L})"
     return F.array_distinct(F.filter(F.split(text, r"(?<=[.!?\n])"), lambda s: s.rlike(named)))
 
 
