@@ -100,6 +100,12 @@ def detectors_xml(layout: DataFrame) -> DataFrame:
     return layout.select(F.when(F.col("kind") == "E1", loop).otherwise(area).alias("value"))
 
 
+def routes_xml(flows: DataFrame, end_s: float = 3600.0) -> DataFrame:
+    """One XML flow element for each flow (flow, vtype, from_edge, to_edge, vph), over ``end_s`` seconds."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return flows.select(F.format_string(f'<flow id="%s" type="%s" from="%s" to="%s" begin="0" end="{end_s:g}" vehsPerHour="%d" departLane="best" departSpeed="max"/>', escaped("flow"), escaped("vtype"), escaped("from_edge"), escaped("to_edge"), "vph").alias("value"))
+
+
 def scenario_effects(spark: SparkSession) -> DataFrame:
     """What a scenario command sets: a demand profile, an overlay, or both."""
     rows = [("normal", "normal", None), ("morning_peak", "morning_peak", None), ("evening_peak", "evening_peak", None), ("oversaturated", "oversaturated", None), ("rain", "normal", "heavy_rain"), ("accident", None, "accident"), ("blocked_intersection", None, "blocked_intersection"), ("downstream_restriction", None, "downstream_restriction"), ("emergency", None, "emergency")]
