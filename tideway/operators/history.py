@@ -43,17 +43,19 @@ def discharge_drop(rows: DataFrame, keys: list[str], value: str, t: str = "sim_t
     """Adds the growth of the later half of the window over the earlier, within 0 to 1; null for under 4 points or an early mean near 0.
 
     Means come from running sums at the first, middle and last row of the window, looked up by row number: a row costs
-    the same however many readings its window has.
+    the same however many readings its window has. Sums are decimals of nine places, so that a long history takes no
+    digit from the difference of two of them.
     """
     order = Window.partitionBy(*keys).orderBy(t, tie)
-    base = rows.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    exact = F.col(value).cast("decimal(28, 9)")
+    base = rows.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum(exact).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     w = _recent(keys, t, window)
-    ends = base.withColumn("_lo", F.min(F.struct(F.col("_n").alias("n"), (F.col("_sum") - F.col(value)).alias("s"))).over(w)).withColumn("_hi", F.max(F.struct(F.col("_n").alias("n"), F.col("_sum").alias("s"))).over(w))
+    ends = base.withColumn("_lo", F.min(F.struct(F.col("_n").alias("n"), (F.col("_sum") - exact).alias("s"))).over(w)).withColumn("_hi", F.max(F.struct(F.col("_n").alias("n"), F.col("_sum").alias("s"))).over(w))
     n = F.col("_hi.n") - F.col("_lo.n") + 1
     half = F.floor(n / 2)
     middle = base.select(*keys, F.col("_n").cast("long").alias("_at"), F.col("_sum").alias("_mid"))
     joined = ends.withColumn("_at", (F.col("_lo.n") - 1 + half).cast("long")).join(middle, [*keys, "_at"], "left")
-    early, late = (F.col("_mid") - F.col("_lo.s")) / half, (F.col("_hi.s") - F.col("_mid")) / (n - half)
+    early, late = (F.col("_mid") - F.col("_lo.s")).cast("double") / half, (F.col("_hi.s") - F.col("_mid")).cast("double") / (n - half)
     drop = F.when(n >= 4, F.when(early > 1e-3, F.least(F.lit(1.0), F.greatest(F.lit(0.0), late - early) / F.greatest(early, F.lit(1.0)))))
     return joined.withColumn(out, drop).drop("_n", "_sum", "_lo", "_hi", "_at", "_mid")
 

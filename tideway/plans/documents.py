@@ -111,15 +111,18 @@ def entity_fan_out(spark, sf_dir):
     return e.groupBy(node.alias("node_id"), F.col("sim_t").alias("obs_t")).agg(kind("VehicleSensor").alias("sensors"), kind("TrafficLight").alias("lights"), F.count(F.lit(1)).alias("entities"))
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k') AS k_text, json_extract_string(props, '$.k')::DOUBLE AS k_number, NULL::DOUBLE AS missing, NULL::DOUBLE AS as_text, ['x', 'y'] = ['x', 'y'] AS refs_ok FROM events""")
+@query("""WITH e AS (SELECT event_id, event_id % 3 AS m, json_extract_string(props, '$.k') AS k, user_id, event_type FROM events)
+SELECT event_id, CASE WHEN m = 2 THEN NULL ELSE k END AS k_text, CASE WHEN m = 0 THEN k::DOUBLE END AS k_number, CASE WHEN m = 1 THEN user_id % 2 = 0 END AS flag, CASE WHEN m = 0 THEN event_type ELSE event_type || ',' || user_id END AS refs FROM e""")
 def entity_flatten(spark, sf_dir):
+    """A document an event: its attribute is a number, a text or missing, its flag a boolean or a text, its reference one or two."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k")
-    doc = F.concat(F.lit('{"n": {"type": "Property", "value": '), k, F.lit('}, "t": {"type": "Property", "value": "'), k, F.lit('"}, "one": {"object": "x"}, "two": {"object": ["x", "y"]}}'))
-    d = e.select("event_id", doc.alias("doc"))
+    k, m, u = F.get_json_object("props", "$.k"), F.col("event_id") % 3, F.col("user_id").cast("string")
+    n = F.when(m == 0, F.concat(F.lit('"n": {"type": "Property", "value": '), k, F.lit("}, "))).when(m == 1, F.concat(F.lit('"n": {"type": "Property", "value": "'), k, F.lit('"}, '))).otherwise("")
+    flag = F.when(m == 1, F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")).otherwise('"true"')
+    refs = F.when(m == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(F.concat(F.lit('["'), "event_type", F.lit('", "'), u, F.lit('"]')))
+    doc = F.concat(F.lit("{"), n, F.lit('"f": {"type": "Property", "value": '), flag, F.lit('}, "r": {"type": "Relationship", "object": '), refs, F.lit("}}"))
     c = F.col("doc")
-    ok = (X.refs_attr(c, "one") == F.array(F.lit("x"))) & (X.refs_attr(c, "two") == F.array(F.lit("x"), F.lit("y")))
-    return d.select("event_id", X.attr(c, "n").alias("k_text"), X.number_attr(c, "n").alias("k_number"), X.number_attr(c, "absent").alias("missing"), X.number_attr(c, "t").alias("as_text"), ok.alias("refs_ok"))
+    return e.select("event_id", doc.alias("doc")).select("event_id", X.attr(c, "n").alias("k_text"), X.number_attr(c, "n").alias("k_number"), X.bool_attr(c, "f").alias("flag"), F.array_join(X.refs_attr(c, "r"), ",").alias("refs"))
 
 
 @query("""SELECT c_custkey, 'urn:ngsi-ld:VehicleSensor:' || c_name AS urn, c_name AS back, regexp_replace(c_name || '_2', '_[^_]*$', '') AS edge, lower(c_mktsegment) AS segment FROM customer""")
@@ -191,14 +194,17 @@ def content_tree_hashes(spark, sf_dir):
     return H.tree_hash(o, ["run_id"], "o_orderkey")
 
 
-@query("""WITH e AS (SELECT event_id, event_id % 7 AS m, props FROM events), n AS (SELECT event_id, CASE WHEN m = 0 THEN 'bad' WHEN m = 1 THEN 'empty' ELSE 'good' END AS kind FROM e) SELECT event_id, kind, CASE kind WHEN 'bad' THEN 1 WHEN 'empty' THEN 1 ELSE 2 END AS rows FROM n""")
+@query("""WITH e AS (SELECT event_id, event_id % 7 AS m, event_type, user_id, value FROM events) SELECT event_id, CASE WHEN m = 0 THEN 'bad' WHEN m = 1 THEN 'empty' ELSE 'good' END AS kind, CASE WHEN m > 1 THEN event_type END AS id, CASE WHEN m > 1 THEN value END AS q FROM e
+UNION ALL SELECT event_id, 'good', 'u' || user_id, NULL FROM e WHERE m > 3""")
 def notification_rows(spark, sf_dir):
+    """A notification an event: broken, empty, of one entity, or of two."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     m = F.col("event_id") % 7
-    kind = F.when(m == 0, "bad").when(m == 1, "empty").otherwise("good")
-    data = F.when(m == 1, "[]").otherwise('[{"id":"a","type":"Camera"},{"id":"b","type":"Camera"}]')
+    one = F.concat(F.lit('{"id":"'), "event_type", F.lit('","type":"Camera","q":{"value":'), F.col("value").cast("string"), F.lit("}}"))
+    two = F.when(m > 3, F.concat(F.lit(',{"id":"u'), F.col("user_id").cast("string"), F.lit('","type":"Camera"}'))).otherwise("")
+    data = F.when(m == 1, "[]").otherwise(F.concat(F.lit("["), one, two, F.lit("]")))
     raw = F.when(m == 0, F.concat(F.lit("{broken "), "event_id")).otherwise(F.concat(F.lit('{"id":"'), "event_id", F.lit('","type":"Notification","subscriptionId":"s","notifiedAt":"t","data":'), data, F.lit("}")))
     parsed = files.notifications(e.select(raw.alias("raw")))
     key = F.coalesce(F.col("notification_id"), F.regexp_extract("bad", r"(\d+)", 1)).cast("bigint")
     kinds = F.when(F.col("bad").isNotNull(), "bad").when(F.col("doc").isNull(), "empty").otherwise("good")
-    return parsed.groupBy(key.alias("event_id"), kinds.alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    return parsed.select(key.alias("event_id"), kinds.alias("kind"), F.get_json_object("doc", "$.id").alias("id"), X.number_attr(F.col("doc"), "q").alias("q"))

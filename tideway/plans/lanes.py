@@ -121,11 +121,13 @@ def context_merge(spark, sf_dir):
     return C.merge_context(r.select(*O.GRAIN, "vehicle_count"), local, network, O.GRAIN)
 
 
-@query(f"""{V} SELECT event_id, CASE vtype WHEN 'car' THEN 'first' WHEN 'bus' THEN 'first' WHEN 'motorcycle' THEN 'second' END AS found FROM v""")
+@query("""WITH a AS (SELECT c_custkey AS k, c_mktsegment AS found FROM customer WHERE c_acctbal > 5000), b AS (SELECT s_suppkey AS k, 'supplier ' || s_nationkey AS found FROM supplier)
+SELECT o_orderkey, coalesce(a.found, b.found) AS found FROM orders LEFT JOIN a ON a.k = o_custkey LEFT JOIN b ON b.k = o_custkey""")
 def first_match(spark, sf_dir):
-    one = spark.createDataFrame([("car", "first"), ("bus", "first")], "vtype string, found string")
-    two = spark.createDataFrame([("car", "second"), ("motorcycle", "second")], "vtype string, found string")
-    return C.first_match(vehicle_obs(spark, sf_dir).select("event_id", "vtype"), [one, two], "vtype").select("event_id", "found")
+    """The customer of an order by the catalog of rich customers, else by that of suppliers, as far as those know its number."""
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("found"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.format_string("supplier %d", "s_nationkey").alias("found"))
+    return C.first_match(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k")), [rich, suppliers], "k").select("o_orderkey", "found")
 
 
 @query(f"""{V}, {OVERLAYS}, {AP}, o AS (SELECT *, {EDGES}[(overlay_id % 17)::INT + 1] AS edge FROM ov), j AS (SELECT o.*, range AS lane, overlay_type IN ('accident', 'blocked_intersection') AS block FROM o JOIN ap USING (edge), range(3))
@@ -287,9 +289,10 @@ def canonical_hash(spark, sf_dir):
     return e.select("event_id", F.sha2(X.canonical_json(doc), 256).alias("hash"))
 
 
-@query("SELECT event_id, user_id / 4.0::DOUBLE AS car, NULL::DOUBLE AS bus, user_id::INT AS waiting, event_id % 2 = 0 AS has_map FROM events")
+@query("SELECT event_id, user_id / 4.0::DOUBLE AS car, CASE WHEN event_id % 3 = 0 THEN value / 2.0 END AS bus, user_id::INT AS waiting, event_id % 2 = 0 AS has_map FROM events")
 def typed_maps(spark, sf_dir):
     share, n = (F.col("user_id") / 4.0).cast("string"), F.col("user_id").cast("string")
+    share = F.concat(share, F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "bus": '), (F.col("value") / 2.0).cast("string"))).otherwise(""))
     shares = F.when(F.col("event_id") % 2 == 0, F.lit('{"a": 1}')).otherwise(F.lit('"text"'))
     doc = F.concat(F.lit('{"s": {"value": {"car": '), share, F.lit('}}, "w": {"value": {"RED": '), n, F.lit('}}, "m": {"value": '), shares, F.lit("}}"))
     d = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
@@ -309,10 +312,11 @@ def signal_programs(spark, sf_dir):
     return O.signal_state(o, P.phases(spark)).select("event_id", "phase", "remaining_s")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def detector_membership(spark, sf_dir):
-    known = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber")
+    """Customers that some order names, as detectors that some reading names."""
+    named = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return C.members(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), named, "c_custkey")
 
 
 @query("""WITH RECURSIVE n AS (SELECT user_id % 4 AS node, event_id, (epoch_us(ts) / 1000000.0 - 1704067200)::DOUBLE AS sim_t, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'signup'),
