@@ -33,6 +33,17 @@ def test_cadence_equals_batch(spark, tmp_path):
     assert sorted(r["event_id"] for r in got) == sorted(r["event_id"] for r in batch.collect()) == [1, 3, 4, 6]
 
 
+def test_hysteresis_lets_idle_keys_go(spark, tmp_path):
+    """The held class bridges a short gap; after ``idle`` seconds of the watermark the key starts anew with its own class."""
+    r = lambda k, e, t, raw: (k, e, t, 0.0, raw)
+    batches = [[r("a", 1, 0.0, "CONGESTED"), r("b", 2, 0.0, "CONGESTED")], [r("a", 3, 3.0, "STABLE"), r("x", 4, 500.0, "STABLE")], [r("x", 5, 501.0, "STABLE")], [r("b", 6, 502.0, "STABLE"), r("a", 7, 503.0, "STABLE")]]
+    rows = source(spark, str(tmp_path / "in"), batches).withColumnRenamed("type", "raw").withColumn("t", F.col("sim_t"))
+    got = output(spark, flows.hysteresis_stream(rows, ["id"], idle=60.0), "idle", tmp_path)
+    assert {(x["id"], x["t"]): x["state"] for x in got} == {("a", 0.0): "CONGESTED", ("b", 0.0): "CONGESTED", ("a", 3.0): "CONGESTED", ("x", 500.0): "STABLE", ("x", 501.0): "STABLE", ("b", 502.0): "STABLE", ("a", 503.0): "STABLE"}
+    kept = output(spark, flows.hysteresis_stream(rows, ["id"]), "kept", tmp_path / "again")
+    assert {(x["id"], x["t"]): x["state"] for x in kept}["b", 502.0] == "CONGESTED"
+
+
 def test_sliding_history(spark, tmp_path):
     got = output(spark, flows.sliding_history(source(spark, str(tmp_path / "in"), READINGS), ["id"], 45.0, 3), "history", tmp_path)
     assert {r["event_id"]: (r["points"], round(r["slope"], 4), round(r["mean_q"], 4)) for r in got} == {

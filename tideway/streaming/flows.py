@@ -40,15 +40,20 @@ def arrival_buckets(rows: DataFrame, seconds: int = 1) -> DataFrame:
     return rows.groupBy(F.window("sim_ts", f"{seconds} seconds"), "run_id", "node_id", "direction").agg(F.count(F.lit(1)).alias("arrivals"), F.sum("pcu").alias("pcu"))
 
 
-def hysteresis_stream(rows: DataFrame, keys: list[str], hold: float = MODEL.hold_s, recovery: float = MODEL.recovery_s) -> DataFrame:
+def hysteresis_stream(rows: DataFrame, keys: list[str], hold: float = MODEL.hold_s, recovery: float = MODEL.recovery_s, idle: float | None = None) -> DataFrame:
     """The hysteresis of ``operators.history`` with its state kept by key: (keys, t, raw) -> (keys, t, raw, state).
 
-    Rows of a micro-batch are put in time order; a row older than the state's time is passed with the held class.
+    Rows of a micro-batch are put in time order; a row older than the state's time is passed with the held class. With
+    ``idle`` (rows then have sim_ts and its watermark) a key's state goes once the watermark is that many seconds past
+    its last reading, and a key that comes back starts anew; without it the state of every key stays.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", t double, raw string, state string"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = state.get if state.exists else None
         s, last = (None, None) if kept is None else ((kept[0], kept[1], None if kept[2] < 0 else kept[2]), kept[3])
         rows_ = sorted((t, raw) for b in batches for t, raw in zip(b["t"], b["raw"], strict=True))
@@ -62,9 +67,11 @@ def hysteresis_stream(rows: DataFrame, keys: list[str], hold: float = MODEL.hold
             out.append((*key, t, raw, value))
         if s is not None:
             state.update((s[0], float(s[1]), -1.0 if s[2] is None else float(s[2]), float(last)))
+            if idle is not None:
+                _expires(state, last, idle)
         yield pd.DataFrame(out, columns=[*keys, "t", "raw", "state"])
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "held string, since double, rec double, last double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "held string, since double, rec double, last double", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def trip_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
