@@ -26,7 +26,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of the n-gram Jaccard join hold together.
 
     Of a group the smallest doc_id stays, of equal ones one row, a null id only where there is no other. Rows that repeat
-    in text are one group; null texts and texts without words link with nothing and all stay.
+    in text are one group. Null texts and texts without words link with nothing: each different (doc_id, text) stays.
     """
     return keep_one(docs)
 
