@@ -102,3 +102,12 @@ def test_network_files(spark, tmp_path):
     xml = [ET.fromstring(r.value) for r in N.routes_xml(flows_).collect()]
     total = sum(float(e.get("vehsPerHour")) for e in xml if e.get("id").startswith("ns_w_") and e.get("type") in P.CLASS_WEIGHTS)
     assert total == 200 and len({e.get("id") for e in xml}) == len(xml) == flows_.count()
+
+
+def test_strict_types_and_counted_broadcasts(spark):
+    from tideway.operators.scans import sized
+
+    seen = spark.createDataFrame([("bus",), ("spaceship",), ("spaceship",), ("car",)], "vtype string")
+    assert [r.vtype for r in O.unknown_types(seen, P.pcu(spark)).collect()] == ["spaceship"]
+    plan = lambda most: spark.range(1000).join(sized(spark.range(10), most), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(10) and "broadcast" not in plan(9)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideway.functions import metrics as M
+from tideway.operators.scans import sized
 from tideway.params import MODEL
 
 GRAIN = ["run_id", "node_id", "direction", "obs_t"]
@@ -25,12 +26,12 @@ def first_sightings(obs: DataFrame, order: tuple[str, ...] = ("lane_index", "eve
 
 def with_pcu(obs: DataFrame, pcu: DataFrame, fallback: float = MODEL.pcu_fallback) -> DataFrame:
     """Adds pcu by vtype; an unknown type counts as ``fallback``."""
-    return obs.join(F.broadcast(pcu), "vtype", "left").withColumn("pcu", F.coalesce("pcu", F.lit(fallback)))
+    return obs.join(sized(pcu), "vtype", "left").withColumn("pcu", F.coalesce("pcu", F.lit(fallback)))
 
 
 def unknown_types(obs: DataFrame, pcu: DataFrame) -> DataFrame:
     """The strict mode of ``with_pcu``: types without a value, which a caller may refuse."""
-    return obs.select("vtype").distinct().join(F.broadcast(pcu), "vtype", "left_anti")
+    return obs.select("vtype").distinct().join(sized(pcu), "vtype", "left_anti")
 
 
 def movement_of_lane(lane: Column) -> Column:
@@ -45,13 +46,13 @@ def with_movement(obs: DataFrame, turns: DataFrame) -> DataFrame:
     own, other = F.try_element_at("route", (at + 1).cast("int")), F.try_element_at("route", F.col("route_index") + 2)
     here = F.try_element_at("route", F.col("route_index") + 1)
     keyed = obs.withColumn("_from", F.when(has, F.col("edge")).otherwise(here)).withColumn("_to", F.when(has, own).otherwise(other))
-    t = F.broadcast(turns.select(F.col("from_edge").alias("_from"), F.col("to_edge").alias("_to"), "movement"))
+    t = sized(turns.select(F.col("from_edge").alias("_from"), F.col("to_edge").alias("_to"), "movement"))
     return keyed.join(t, ["_from", "_to"], "left").withColumn("movement", F.coalesce("movement", F.lit("straight"))).drop("_from", "_to")
 
 
 def on_approaches(obs: DataFrame, approaches: DataFrame) -> DataFrame:
     """Rows on approach lanes, with node, signal, direction and lane index; other lanes go."""
-    return obs.join(F.broadcast(approaches), "lane_id")
+    return obs.join(sized(approaches), "lane_id")
 
 
 def direction_rollup(seen: DataFrame, halting: float = MODEL.halting_ms) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideway import params as P
+from tideway.operators.scans import sized
 
 #: What each type of overlay may be asked for, the edges that rain falls on by default, and how many lanes an edge has.
 TYPES = tuple(P.OVERLAY_PRIORITY)
@@ -26,7 +27,7 @@ def requested_overlays(requests: DataFrame, links: DataFrame, approaches: DataFr
     approach. What cannot be: an unknown type, role or node gives an error and no lanes, and the row stays.
 
     ``links`` (edge, up, dn, up_direction, dn_direction) and ``approaches`` (node_id, direction, edge) are the road
-    network's, of a few rows whatever the requests, so they are broadcast.
+    network's, of a few rows whatever the requests; they are broadcast if they are.
     """
     r = requests.withColumn("_direction", F.coalesce("direction", F.lit("North")))
     opposite = F.element_at(F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair]), F.col("_direction"))
@@ -36,7 +37,7 @@ def requested_overlays(requests: DataFrame, links: DataFrame, approaches: DataFr
     far = near.select(F.col("_n3").alias("_n4"), F.col("_d3").alias("_d4"), F.concat(F.substring("_approach", 3, 2), F.substring("_approach", 1, 2)).alias("_back"))
     j = r.withColumn("_opposite", opposite)
     for side, node, direction, at in ((ends, "_n1", "_d1", "_direction"), (leaves, "_n2", "_d2", "_opposite"), (near, "_n3", "_d3", "_direction"), (far, "_n4", "_d4", "_opposite")):
-        j = j.join(F.broadcast(side), (F.col("node_id") == F.col(node)) & (F.col(at) == F.col(direction)), "left")
+        j = j.join(sized(side), (F.col("node_id") == F.col(node)) & (F.col(at) == F.col(direction)), "left")
     incoming = F.coalesce("_in", "_approach")
     resolved = F.when(F.col("role") == "downstream_exit", F.coalesce("_out", "_back", "_approach")).otherwise(incoming)
     error = F.when(~F.coalesce(F.col("overlay_type").isin(*TYPES), F.lit(False)), "type").when(F.col("role").isNotNull() & ~F.col("role").isin(*ROLES), "role")

@@ -38,6 +38,11 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sized(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """``table`` with a broadcast hint if it has ``most`` rows at most, which are counted up to there; else, or of a stream, as it is."""
+    return F.broadcast(table) if not table.isStreaming and table.limit(most + 1).count() <= most else table
+
+
 def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` written in ranges of ``order``; column ``pid`` is the range's number, and all of range i sorts before range i + 1."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
