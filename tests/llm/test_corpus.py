@@ -706,7 +706,7 @@ def test_query_equals_sql(spark, name):
     d = "/root/testdata/sf0.001"
     df = queries.QUERIES[name](spark, d)
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     res = con.execute(queries.ORACLES[name])
     names = [c[0] for c in res.description]
