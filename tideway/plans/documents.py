@@ -11,6 +11,7 @@ from tideway.functions import text as X
 from tideway.operators import entities as E
 from tideway.operators import history as H
 from tideway.operators import quality as Q
+from tideway.operators.scans import written
 from tideway.operators import observation as O
 from tideway.plans.traffic import CAUSES, COLOR, DAY, FIRST_CAUSES, LINKS_SQL, VR, first_causes, G, NODE_LOAD, NODE_SQL, NODE_STATE, OVERLAYS, QUEUE, RATIO, STATE, STATUS, V, overlays, rollup, seen, states
 from tideway.operators import context as C
@@ -32,8 +33,9 @@ def query(sql: str | None = None):
 
 
 def entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All entities of all node snapshots of the adapter."""
-    r = rollup(spark, sf_dir)
+    """All entities of all node snapshots of the adapter; the vehicles seen are read and parsed once, for all measures."""
+    vehicles = written(seen(spark, sf_dir), "seen")
+    r = O.direction_rollup(vehicles)
     stamp = lambda d: d.withColumn("scenario", F.lit("normal")).withColumn("sim_t", F.col("obs_t"))
     load = F.when(F.col("pcu_equivalent") < 15, "LIGHT").when(F.col("pcu_equivalent") < 35, "MODERATE").otherwise("HEAVY")
     phase = F.floor(F.col("obs_t") / DAY) % 4
@@ -42,15 +44,15 @@ def entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = M.phenomena(F.col("pressure"), F.col("edge_full"), F.lit(False), F.col("edge_full"))
     spill = pressures.select(*C.NODE, *[c.alias(name) for name, c in flags.items()])
     density = M.density_pcu_km(F.col("pcu_equivalent"), F.lit(470.0))
-    queue = O.queue_by_movement(seen(spark, sf_dir)).drop("waiting", "queue_vehicles")
+    queue = O.queue_by_movement(vehicles).drop("waiting", "queue_vehicles")
     d = r.join(queue, O.GRAIN).join(O.occupancy(detector_obs(spark, sf_dir)), O.GRAIN).join(spill.select(*C.NODE, "spillback_risk"), C.NODE).join(meta, "node_id")
     d = d.withColumn("traffic_status", load).withColumn("state", M.traffic_state(F.col("pcu_equivalent"), F.col("queue_length_m"))).withColumn("theoretical_speed_kmh", F.bround(M.greenshields(density), 1))
     d = d.withColumn("phase_index", phase.cast("int")).join(P.phases(spark), ["phase_index", "direction"])
-    arrived = O.arrival_rate(O.arrivals(seen(spark, sf_dir))).select(*O.GRAIN, F.bround(F.col("arrival_pcu_per_h") / 3600, 6).alias("arrival_pcu_per_s"))
+    arrived = O.arrival_rate(O.arrivals(vehicles)).select(*O.GRAIN, F.bround(F.col("arrival_pcu_per_h") / 3600, 6).alias("arrival_pcu_per_s"))
     why = O.waiting_reasons(r.withColumn("phase_index", phase.cast("int")), P.phases(spark))
     counts = F.map_filter(F.create_map(F.lit("CONGESTION"), "congestion", F.lit("RED_PHASE"), "red_phase"), lambda k, n: n > 0)
     why = why.select(*O.GRAIN, "dominant_waiting_reason", counts.alias("waiting_reason_counts"))
-    d = d.join(arrived, O.GRAIN, "left").join(why, O.GRAIN).join(O.composition_map(seen(spark, sf_dir)), O.GRAIN)
+    d = d.join(arrived, O.GRAIN, "left").join(why, O.GRAIN).join(O.composition_map(vehicles), O.GRAIN)
     d = d.withColumn("operational_state", F.when(F.col("spillback_risk"), "RESTRICTED").otherwise("NORMAL")).withColumn("observed_at", F.date_format(F.timestamp_seconds(F.col("obs_t") + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     d = stamp(d).withColumn("green_s", F.when(F.col("pcu_equivalent") >= 35, 60).otherwise(0)).withColumn("yellow_s", F.lit(None).cast("int"))
     names = F.element_at(F.array(*[F.lit(x) for x in P.PHASES]), (phase + 1).cast("int"))
