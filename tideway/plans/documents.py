@@ -48,7 +48,7 @@ def entity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = r.join(queue, O.GRAIN).join(O.occupancy(detector_obs(spark, sf_dir)), O.GRAIN).join(spill.select(*C.NODE, "spillback_risk"), C.NODE).join(meta, "node_id")
     d = d.withColumn("traffic_status", load).withColumn("state", M.traffic_state(F.col("pcu_equivalent"), F.col("queue_length_m"))).withColumn("theoretical_speed_kmh", F.bround(M.greenshields(density), 1))
     d = d.withColumn("phase_index", phase.cast("int")).join(P.phases(spark), ["phase_index", "direction"])
-    arrived = O.arrival_rate(O.arrivals(vehicles)).select(*O.GRAIN, F.bround(F.col("arrival_pcu_per_h") / 3600, 6).alias("arrival_pcu_per_s"))
+    arrived = O.arrival_rate(O.arrivals(vehicles)).select(*O.GRAIN, O.per_second(F.col("arrival_pcu_per_h")).alias("arrival_pcu_per_s"))
     why = O.waiting_reasons(r.withColumn("phase_index", phase.cast("int")), P.phases(spark))
     counts = F.map_filter(F.create_map(F.lit("CONGESTION"), "congestion", F.lit("RED_PHASE"), "red_phase"), lambda k, n: n > 0)
     why = why.select(*O.GRAIN, "dominant_waiting_reason", counts.alias("waiting_reason_counts"))
@@ -70,8 +70,8 @@ INCIDENT_SQL = f"{OVERLAYS}, ic AS (SELECT DISTINCT t.run_id, ov.node_id, t.obs_
 @query(f"""{V}, {QUEUE}, {NODES_SQL}, {SPILL_SQL}, oc AS (SELECT {G}, round_even(avg(greatest(0, least(100, CASE WHEN k / 40.0::DOUBLE <= 1 THEN k / 40.0::DOUBLE * 100 ELSE k / 40.0::DOUBLE END))), 1) AS occupancy_rate FROM v GROUP BY ALL),
 ti AS (SELECT run_id, obs_t, row_number() OVER w AS i, obs_t - lag(obs_t) OVER w AS dt FROM (SELECT DISTINCT run_id, obs_t FROM s) WINDOW w AS (PARTITION BY run_id ORDER BY obs_t)),
 ne AS (SELECT a.*, ti.dt FROM s a JOIN ti USING (run_id, obs_t) WHERE NOT EXISTS (SELECT 1 FROM s b JOIN ti u USING (run_id, obs_t) WHERE b.node_id = a.node_id AND b.direction = a.direction AND b.vehicle_id = a.vehicle_id AND u.i = ti.i - 1)),
-ar AS (SELECT {G}, round_even(round_even(sum(round(pcu * 100)::BIGINT)::DOUBLE / 100.0 / max(dt) * 3600, 3) / 3600, 6) AS arrival_rate FROM ne WHERE dt IS NOT NULL GROUP BY ALL),
-cc AS (SELECT {G}, vtype, round_even(count(*) / sum(count(*)) OVER (PARTITION BY {G}), 4) AS share FROM s GROUP BY {G}, vtype), cm AS (SELECT {G}, string_agg(vtype || '=' || round(share * 10000)::INT, ',' ORDER BY vtype) AS composition FROM cc GROUP BY {G}),
+ar AS (SELECT {G}, round_even(round(round_even(sum(round(pcu * 100)::BIGINT)::DOUBLE / 100.0 / max(dt) * 3600, 3) * 1000) * 5 / 18, 0) / 1000000 AS arrival_rate FROM ne WHERE dt IS NOT NULL GROUP BY ALL),
+cc AS (SELECT {G}, vtype, round_even(count(*) * 10000 / sum(count(*)) OVER (PARTITION BY {G}), 0) / 10000 AS share FROM s GROUP BY {G}, vtype), cm AS (SELECT {G}, string_agg(vtype || '=' || round(share * 10000)::INT, ',' ORDER BY vtype) AS composition FROM cc GROUP BY {G}),
 wr AS (SELECT {G}, {COLOR} AS color, waiting_vehicle_count AS wn FROM (SELECT *, (floor(obs_t / 86400)::BIGINT % 4)::INT AS i FROM r)),
 a AS (SELECT r.*, upper(direction) || 'BOUND' AS b, queue_length_m, arrival_rate, composition, CASE WHEN wn > 0 THEN CASE WHEN color = 'green' THEN 'CONGESTION' ELSE 'RED_PHASE' END END AS why, wn, queue_left, queue_straight, queue_right, occupancy_rate, node_name, latitude, NOT full_edge AND pressure >= 0.7 AS spillback_risk, {STATE} AS state
   FROM r JOIN qq USING ({G}) JOIN oc USING ({G}) JOIN pp USING (run_id, node_id, obs_t) JOIN nn USING (node_id) LEFT JOIN ar USING ({G}) JOIN cm USING ({G}) JOIN wr USING ({G}))
