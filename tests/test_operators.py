@@ -135,3 +135,15 @@ def test_rates_and_shares_round_ties_half_even(spark):
     assert values(spark, [(1.377,), (3.537,), (519.993,), (None,)], "x double", O.per_second(F.col("x"))) == [0.000382, 0.000982, 0.144442, None]
     seen = spark.sql("SELECT 'r' AS run_id, 'A' AS node_id, 'East' AS direction, 0.0D AS obs_t, CASE WHEN id < 129 THEN 'bus' WHEN id < 282 THEN 'truck' WHEN id < 489 THEN 'car' ELSE 'motorcycle' END AS vtype FROM range(12000)")
     assert {r.vtype: r.share for r in O.class_composition(seen).collect()} == {"bus": 0.0108, "truck": 0.0128, "car": 0.0172, "motorcycle": 0.9592}
+
+
+def test_owned_gate_is_the_set_gate(spark):
+    """Items over the width, so that numbers of different pairs meet; owners of two groups, of none, and nulls."""
+    owners = [(1, 0), (2, 0), (2, 1), (3, 1), (4, 1), (5, 7), (None, 0), (6, None)]
+    items = [(0, k) for k in (1, 4, 12, 23)] + [(1, k) for k in (2, 4, 13, 33)] + [(None, 5), (1, None)]
+    actual = [(1, 4), (1, 4), (1, 99), (2, 2), (3, 3), (9, 1), (None, 1), (2, None), (4, 33), (2, 24)]
+    had = {o * 10 + i for o, i in actual if o is not None and i is not None}
+    due = {o * 10 + i for o, g in owners for h, i in items if None not in (o, g, i) and g == h}
+    got = Q.owned_gate(spark.createDataFrame(actual, "o long, i long"), spark.createDataFrame(owners, "o long, g int"), spark.createDataFrame(items, "g int, i long"), "g", "o", "i", 10)
+    assert "Exchange hashpartitioning(value" not in got._jdf.queryExecution().executedPlan().toString()  # what is required is not shuffled
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(v, "missing") for v in due - had] + [(v, "unexpected") for v in had - due])
