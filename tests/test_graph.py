@@ -78,6 +78,25 @@ def test_reachable(spark, graph):
     assert got == Counter((s, b) for s in sources for b in dijkstra(edges, s)[0] if b != s)
 
 
+def test_contracted_paths(spark, monkeypatch):
+    """Few sources: rounds see the hubs alone, whatever hangs on them; chains, cycles and dead ends of single ways, equal lengths."""
+    rng = random.Random(11)
+    hubs, inlets, fringe = [f"h{k}" for k in range(3)], [f"i{k}" for k in range(12)], [f"f{k}" for k in range(60)]
+    layers = [(hubs[k % 3], i, rng.randrange(1, 4)) for k, i in enumerate(inlets)] + [(i, f, rng.randrange(1, 6)) for i in inlets for f in fringe if rng.random() < 0.4] + [(f, rng.choice(hubs), rng.randrange(1, 3)) for f in fringe]
+    odd = [("h0", "x0", 2), *((f"x{k}", f"x{k + 1}", 1) for k in range(3)), ("x3", "h2", 1), ("x2", "y", 1), ("y", "x2", 1), ("f1", "z", 1), ("i2", "z", 9), ("q", "r", 1), ("r", "q", 1), ("h1", "q", 5), ("t", "h0", 1)]
+    seen, rounds = [], G._rounds
+    monkeypatch.setattr(G, "_rounds", lambda graph, start, kind: seen.append(graph.count()) or rounds(graph, start, kind))
+    for edges, most in ((layers, 6), (layers + odd, None)):
+        df = spark.createDataFrame(edges, "src string, dst string, length long")
+        nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+        pairs = [(a, b) for a in [*hubs, "t"] for b in nodes]
+        got = {(r.src, r.dst): (r.length, r.path) for r in G.shortest_routes(df, spark.createDataFrame(pairs, "src string, dst string")).collect()}
+        assert got == {p: plain_route(edges, *p) for p in pairs}
+        reached = Counter((r.src, r.dst) for r in G.reachable_from(df, spark.createDataFrame([(h,) for h in hubs], "src string")).collect())
+        assert reached == Counter((h, b) for h in hubs for b in dijkstra(edges, h)[0] if b != h)
+        assert most is None or max(seen) <= most
+
+
 def test_graph_edge_cases(spark):
     none = spark.createDataFrame([], "src string, dst string, length double")
     pairs = spark.createDataFrame([("a", "b"), ("a", "a")], "src string, dst string")

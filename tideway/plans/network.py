@@ -41,20 +41,26 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey", "l_quantity")
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trade_edges(spark: SparkSession, sf_dir: str, goods: DataFrame) -> DataFrame:
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     worth = lambda c: (F.lit(1) + F.floor(F.abs(c) / 1000)).cast("long")
     out = table(spark, sf_dir, "supplier").select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst"), worth("s_acctbal").alias("length"))
-    goods = trades(spark, sf_dir).groupBy(name("s", "l_suppkey").alias("src"), name("c", "o_custkey").alias("dst")).agg(F.floor(F.min("l_quantity")).cast("long").alias("length"))
+    to = goods.select(name("s", "l_suppkey").alias("src"), name("c", "o_custkey").alias("dst"), F.floor("l_quantity").cast("long").alias("length"))
     home = table(spark, sf_dir, "customer").select(name("c", "c_custkey"), name("n", "c_nationkey"), worth("c_acctbal"))
-    return out.union(goods).union(home)
+    return out.union(to).union(home)
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade_edges(spark, sf_dir, trades(spark, sf_dir).groupBy("l_suppkey", "o_custkey").agg(F.min("l_quantity").alias("l_quantity")))
 
 
-def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the nation of each supplier to each customer that a supplier of that nation delivers to."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("src"))
-    to = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst")
-    return trades(spark, sf_dir).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("src", to).distinct()
+def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges, one for each line item, and pairs from the nation of each supplier to each customer that a supplier of that nation delivers to."""
+    goods = S.written(trades(spark, sf_dir), "trades")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    pairs = goods.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "o_custkey").distinct()
+    named = pairs.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"))
+    return _trade_edges(spark, sf_dir, goods), named
 
 
 TRADES = """e AS MATERIALIZED (SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst, (1 + floor(abs(s_acctbal) / 1000))::BIGINT AS length FROM supplier
@@ -76,7 +82,7 @@ def labels_sql(name: str, edges: str) -> str:
 
 @query(f"WITH RECURSIVE {TRADES}, {labels_sql('d', 'e')} SELECT src, dst, length, path AS route FROM d_path WHERE prev = src")
 def shortest_path(spark, sf_dir):
-    return N.shortest_routes(trade_edges(spark, sf_dir), trade_pairs(spark, sf_dir)).select("src", "dst", "length", F.array_join("path", ">").alias("route"))
+    return N.shortest_routes(*trade_graph(spark, sf_dir)).select("src", "dst", "length", F.array_join("path", ">").alias("route"))
 
 
 #: A node that exists at every scale.
@@ -86,12 +92,12 @@ CLOSED = "s7"
 @query(f"""WITH RECURSIVE {TRADES}, open AS MATERIALIZED (SELECT * FROM e WHERE src <> '{CLOSED}' AND dst <> '{CLOSED}'), {labels_sql('d', 'e')}, {labels_sql('o', 'open')}
 SELECT src, dst, coalesce(o.length, d.length) AS length, coalesce(o.path, d.path) AS route FROM (SELECT * FROM d_path WHERE prev = src) d LEFT JOIN (SELECT * FROM o_path WHERE prev = src) o USING (src, dst)""")
 def route_avoiding(spark, sf_dir):
-    return N.shortest_routes(trade_edges(spark, sf_dir), trade_pairs(spark, sf_dir), CLOSED).select("src", "dst", "length", F.array_join("path", ">").alias("route"))
+    return N.shortest_routes(*trade_graph(spark, sf_dir), CLOSED).select("src", "dst", "length", F.array_join("path", ">").alias("route"))
 
 
 @query(f"""WITH RECURSIVE {TRADES}, r(src, dst) AS (SELECT DISTINCT src, src FROM asked UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r WHERE src <> dst""")
 def reachable(spark, sf_dir):
-    return N.reachable_from(trade_edges(spark, sf_dir), trade_pairs(spark, sf_dir))
+    return N.reachable_from(*trade_graph(spark, sf_dir))
 
 
 # Trips: a line item is pending from its order's date to its shipping.
