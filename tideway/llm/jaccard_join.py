@@ -61,8 +61,11 @@ def shingle_frequencies(docs: DataFrame, n: int = 5) -> np.ndarray:
 
 
 def _excess(frequencies: np.ndarray) -> np.ndarray:
-    """Each counter less what a counter holds in the mean: that is what other shingles give it, in a large corpus too."""
-    return np.maximum(0, frequencies.astype(np.int64) - int(frequencies.mean()))
+    """Each counter less what a counter holds in the mean: that is what other shingles give it, in a large corpus too.
+
+    Of four bytes each, as it goes to every task.
+    """
+    return np.maximum(0, frequencies.astype(np.int64) - int(frequencies.mean())).astype(np.uint32)
 
 
 def _document_rows(docs: DataFrame, frequencies: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -104,7 +107,7 @@ def _postings(groups: DataFrame, frequencies: np.ndarray, hot: int) -> DataFrame
                 raw = part.column("prefix").to_pylist()
                 count = np.array([len(x) // 8 for x in raw], np.int64)
                 token = np.frombuffer(b"".join(raw), np.uint64)
-                uses = excess[(token >> _DROP).astype(np.int64)]
+                uses = excess[(token >> _DROP).astype(np.int64)].astype(np.int64)
                 first = np.cumsum(count) - count
                 common_ = np.add.reduceat(np.log2(1.0 + uses), first) / count
                 gid, size, rank = (np.repeat(x, count) for x in (part.column("gid").to_numpy(), part.column("size").to_numpy(), -np.round(64 * common_).astype(np.int64)))
