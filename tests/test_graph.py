@@ -230,3 +230,16 @@ def test_catalog_errors(spark):
     assert got["wrong"] == {("hash", None, right), ("nodes", None, None), ("approach_edge", "T1/North", "e1"), ("outgoing_edge", "T1", "e3"), ("link_not_in_net", "K", "e1"), ("link_edge", "K", "e9"), ("movements_empty", "T1/North", None), ("movement_from", "T1/South", "e7")}
     assert {x[0] for x in got["kinds"]} == {"hash", "nodes", "approach_edge", "outgoing_edge", "link_not_in_net", "link_missing", "movements_missing"}
     assert set(got) == {"none", "text", "list", "missing", "no link", "wrong", "kinds"}
+
+
+def test_catalogs_that_lack_a_part_are_not_parsed(spark):
+    """Of such a document only the lacking parts are said, so none of its parts is read; a whole one is."""
+    import json
+
+    from tideway.operators import catalogs as K
+
+    whole = {k: {} for k in K.REQUIRED} | {"topology_hash": "h", "edges": [], "connections": []}
+    df = spark.createDataFrame([(json.dumps(whole),), (json.dumps({k: v for k, v in whole.items() if k != "outgoing_edges"}),)], "doc string")
+    full, lacks = sorted(K.opened(df).collect(), key=lambda r: len(r.absent))
+    assert full.absent == [] and [full[k] for k in K.PARTS] == ["h", {}, [], [], {}, {}]
+    assert lacks.absent == ["outgoing_edges"] and [lacks[k] for k in K.PARTS] == [None] * len(K.PARTS)

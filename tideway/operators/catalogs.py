@@ -22,12 +22,12 @@ PARTS = {
 def opened(catalogs: DataFrame, doc: str = "doc") -> DataFrame:
     """``catalogs`` with its document parsed once, a typed column for each part, and ``absent``, the required parts that it lacks.
 
-    A document that is no JSON object lacks all of them; a part of another type than its own is null but not absent.
+    A document that is no JSON object lacks all of them; a part of another type than its own is null but not absent. Of a
+    document that lacks a part only that is said, so it is not parsed and all its parts are null.
     """
-    v = F.try_parse_json(F.col(doc))
     keys = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
-    read = catalogs.withColumns({"_v": v, "absent": F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), keys)})
-    return read.withColumns({k: F.try_variant_get("_v", f"$.{k}", kind) for k, kind in PARTS.items()}).drop("_v")
+    read = catalogs.withColumn("absent", F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), keys))
+    return read.withColumn("_v", F.when(F.size("absent") == 0, F.try_parse_json(F.col(doc)))).withColumns({k: F.try_variant_get("_v", f"$.{k}", kind) for k, kind in PARTS.items()}).drop("_v")
 
 
 def topology_hash(edges: Column, connections: Column, nodes: Column) -> Column:
@@ -35,7 +35,7 @@ def topology_hash(edges: Column, connections: Column, nodes: Column) -> Column:
 
     Edges and connections are hashed in the order given, as a catalog lists them sorted.
     """
-    in_order = F.map_from_entries(F.array_sort(F.map_entries(nodes)))
+    in_order = F.map_from_entries(F.sort_array(F.map_entries(nodes)))
     body = F.struct(connections.alias("connections"), edges.alias("edges"), in_order.alias("node_to_tls"))
     return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
 
@@ -56,23 +56,25 @@ def catalog_errors(catalogs: DataFrame, key: str, approaches: list[tuple[str, st
     said = lambda rule, subject=None, detail=None: F.struct(F.lit(rule).alias("rule"), text(subject).alias("subject"), text(detail).alias("detail"))
     none = F.array().cast("array<struct<rule: string, subject: string, detail: string>>")
     where = lambda wrong, *error: F.when(F.coalesce(wrong, F.lit(True)), F.array(said(*error))).otherwise(none)
-    ids = F.coalesce(F.transform("edges", lambda e: e["id"]), F.array().cast("array<string>"))
+    ids = F.coalesce(F.col("edges")["id"], F.array().cast("array<string>"))
+    in_net = dict.fromkeys([e for _, _, e in approaches] + [e for _, e in [*outgoing, *links]])
     named = lambda rows: F.array(*[F.struct(F.lit(subject).alias("subject"), F.lit(edge).alias("edge")) for subject, edge in rows])
 
     def not_in_net(rule: str, rows: list[tuple[str, str]]) -> Column:
-        lacking = F.array_except(F.array(*[F.lit(e) for e in dict.fromkeys(e for _, e in rows)]), F.col("ids"))
-        return F.transform(F.filter(named(rows), lambda r: F.array_contains(lacking, r["edge"])), lambda r: said(rule, r["subject"], r["edge"]))
+        return F.transform(F.filter(named(rows), lambda r: F.array_contains("lacking", r["edge"])), lambda r: said(rule, r["subject"], r["edge"]))
 
     def from_others(rows: Column, subject: str, edge: str) -> Column:
         others = F.filter(rows, lambda r: F.coalesce(r["from"], F.lit("")) != edge)
         return F.coalesce(F.transform(others, lambda r: said("movement_from", subject, r["from"])), none)
 
-    expected = topology_hash(F.col("edges"), F.col("connections"), F.col("node_to_tls"))
-    right_nodes = F.map_from_entries(F.array_sort(F.map_entries("node_to_tls")))
+    # what several rules read is a column of its own, so that it is made once a document
+    whole = lambda made: F.when(F.size("absent") == 0, made)
+    c = c.withColumns({"lacking": whole(F.array_except(F.array(*[F.lit(e) for e in in_net]).cast("array<string>"), ids)), "expected": whole(topology_hash(F.col("edges"), F.col("connections"), F.col("node_to_tls")))})
+    expected = F.col("expected")
     wanted = F.array_sort(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in nodes.items()]))
     found = [
         where(F.col("topology_hash") != expected, "hash", None, expected),
-        where(F.array_sort(F.map_entries(right_nodes)) != wanted, "nodes"),
+        where(F.sort_array(F.map_entries("node_to_tls")) != wanted, "nodes"),
         not_in_net("approach_edge", [(f"{t}/{d}", e) for t, d, e in approaches]),
         not_in_net("outgoing_edge", list(outgoing)),
         not_in_net("link_not_in_net", list(links)),
@@ -88,4 +90,4 @@ def catalog_errors(catalogs: DataFrame, key: str, approaches: list[tuple[str, st
         found.append(where(rows.isNotNull() & (F.size(rows) == 0), "movements_empty", subject))
         found.append(from_others(rows, subject, edge))
     every = F.when(F.size("absent") > 0, F.transform("absent", lambda k: said("missing_key", k))).otherwise(F.concat(*found))
-    return c.withColumn("ids", ids).select(key, F.inline(every))
+    return c.select(key, F.inline(every))
