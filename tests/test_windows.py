@@ -71,3 +71,15 @@ def test_cause_readings_count_what_probable_causes_lists(spark):
     for node in "AB":
         told = sorted((r.observed_to_s, r.event_id, r.overlay_id) for r in listed if r.affected_node == node)
         assert sorted((r.sim_t, r.event_id, r.overlay_id) for r in first if r.affected_node == node)[:7] == told[:7]
+
+
+def test_pairs_of_small_inputs_keep_their_partitions(spark):
+    """3,000 overlays of one link in one bucket of time (lists of 1,024 at most) and 40 readings: few bytes in, 58,520 pairs out, by as many tasks as are set."""
+    overlays = spark.range(3000).select(F.lit("r").alias("run_id"), F.col("id").alias("overlay_id"), F.lit("accident").alias("overlay_type"), F.lit("B").alias("node_id"), (F.col("id") / 300.0).alias("created_at_s"))
+    links = spark.createDataFrame([("AB", "A", "B", "East")], "link string, up string, dn string, up_direction string")
+    history = spark.range(40).select(F.lit("r").alias("run_id"), F.lit("A").alias("node_id"), F.lit("East").alias("direction"), (F.col("id") / 2.0).alias("sim_t"), F.col("id").alias("event_id"), F.lit(1.0).alias("q"), F.lit(0.5).alias("occupancy"), F.lit("CONGESTED").alias("state"), F.lit(False).alias("spillback_active"))
+    pairs = C.probable_causes(overlays, links, history, 20.0, 5.0, 60.0)
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(e, o) for e in range(40) for o in range(3000) if 5.0 <= e / 2.0 - o / 300.0 <= 60.0}
+    got = [(r.event_id, r.overlay_id) for r in pairs.select("event_id", "overlay_id").collect()]
+    assert len(got) == len(want) and set(got) == want
