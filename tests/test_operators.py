@@ -147,3 +147,16 @@ def test_owned_gate_is_the_set_gate(spark):
     got = Q.owned_gate(spark.createDataFrame(actual, "o long, i long"), spark.createDataFrame(owners, "o long, g int"), spark.createDataFrame(items, "g int, i long"), "g", "o", "i", 10)
     assert "Exchange hashpartitioning(value" not in got._jdf.queryExecution().executedPlan().toString()  # what is required is not shuffled
     assert sorted(tuple(r) for r in got.collect()) == sorted([(v, "missing") for v in due - had] + [(v, "unexpected") for v in had - due])
+
+
+@pytest.mark.parametrize("slots", [1, 3, 16])
+def test_owned_gate_does_not_shuffle_lists_of_bands(spark, slots):
+    """Items of four bands, so that an owner's numbers come from four owners' groups; beside each other in a row, or over ``slots`` shuffled."""
+    owners = [(o, o * o % 3) for o in range(40)] + [(7, 2)]
+    items = [(i % 3 if i % 7 else 0, i) for i in range(40)]
+    actual = [(o, (o * 11 + k) % 45) for o in range(44) for k in range(5)]
+    due = {o * 10 + i for o, g in owners for h, i in items if g == h}
+    had = {o * 10 + i for o, i in actual}
+    got = Q.owned_gate(spark.createDataFrame(actual, "o long, i long"), spark.createDataFrame(owners, "o long, g int"), spark.createDataFrame(items, "g int, i long"), "g", "o", "i", 10, **({} if slots == 16 else {"slots": slots}))
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(v, "missing") for v in due - had] + [(v, "unexpected") for v in had - due])
+    assert ("collect_list(_due" in got._jdf.queryExecution().executedPlan().toString()) == (slots < 16)
